@@ -190,23 +190,38 @@ def center_markers(df: DataFrame, col: str, digits: int = 6, exact: bool = True)
 def correlation_matrix(df: DataFrame, cols: list[str] | None = None, digits: int = 6) -> DataFrame:
     """Pearson correlation, pairwise-complete, lower triangle without the
     diagonal → (col_a, col_b, corr).  NULL when either side is constant.
-    All pairs are one aggregate."""
+
+    Two scans: column means (one row, broadcast), then for every pair the
+    sums of centred products over the rows where both are present — plain
+    additions that stay in one code-generated aggregate however many pairs.
+    """
     cols = cols or numeric_columns(df)
-    xs = {c: num(df, c) for c in cols}
-    aggs, pairs = [], []
-    for i, a in enumerate(cols):
-        for j in range(i):
-            b = cols[j]
-            both = xs[a].isNotNull() & xs[b].isNotNull()
-            xa, xb = F.when(both, xs[a]), F.when(both, xs[b])
-            k = len(pairs)
-            aggs.append(safe_div(F.covar_pop(xa, xb), F.stddev_pop(xa) * F.stddev_pop(xb)).alias(f"r{k}"))
-            pairs.append((a, b))
+    pairs = [(a, cols[j]) for i, a in enumerate(cols) for j in range(i)]
     if not pairs:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, corr double")
-    row = df.agg(*aggs)
+    means = df.agg(*[F.avg(num(df, c)).alias(f"__m{i}") for i, c in enumerate(cols)],
+                   *[(F.max(num(df, c)) > F.min(num(df, c))).alias(f"__v{i}") for i, c in enumerate(cols)])
+    idx = {c: i for i, c in enumerate(cols)}
+    xs = {c: num(df, c) - F.col(f"__m{idx[c]}") for c in cols}
+    aggs = []
+    for k, (a, b) in enumerate(pairs):
+        both = xs[a].isNotNull() & xs[b].isNotNull()
+        xa, xb = F.when(both, xs[a]), F.when(both, xs[b])
+        aggs += [F.count(xa).alias(f"n{k}"), F.sum(xa).alias(f"sa{k}"), F.sum(xb).alias(f"sb{k}"),
+                 F.sum(xa * xb).alias(f"sab{k}"), F.sum(xa * xa).alias(f"saa{k}"), F.sum(xb * xb).alias(f"sbb{k}")]
+    row = df.crossJoin(F.broadcast(means)).agg(*aggs).crossJoin(means)
+
+    def r(k):
+        n, sa, sb = F.col(f"n{k}"), F.col(f"sa{k}"), F.col(f"sb{k}")
+        cov = F.col(f"sab{k}") - sa * sb / n
+        va = F.col(f"saa{k}") - sa * sa / n
+        vb = F.col(f"sbb{k}") - sb * sb / n
+        a, b = pairs[k]
+        varies = F.col(f"__v{idx[a]}") & F.col(f"__v{idx[b]}")
+        return F.when(varies & (va > 0) & (vb > 0), cov / F.sqrt(va * vb))
+
     return row.select(F.inline(F.array(*[
-        F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.round(F.col(f"r{k}"), digits).alias("corr"))
+        F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.round(r(k), digits).alias("corr"))
         for k, (a, b) in enumerate(pairs)])))
 
 
