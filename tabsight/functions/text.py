@@ -41,3 +41,23 @@ def tfidf_tokens(text: Column) -> Column:
     """Lower-cased tokens of two or more word characters."""
     parts = F.split(F.lower(F.coalesce(text, F.lit(""))), WORD_SPLIT)
     return F.filter(parts, lambda w: F.char_length(w) >= 2)
+
+
+def spark_english_stop_words() -> list[str]:
+    """Spark ML's built-in English stop-word list, read from the Spark jar
+    (same list as ``StopWordsRemover.loadDefaultStopWords('english')``, no JVM
+    needed).  Used by TF-IDF in place of the 318-word list of the original
+    tool, which is not shipped here."""
+    import os
+    import zipfile
+
+    import pyspark
+    jars = os.path.join(os.path.dirname(pyspark.__file__), "jars")
+    for f in sorted(os.listdir(jars)):
+        if f.startswith("spark-mllib_") and f.endswith(".jar"):
+            with zipfile.ZipFile(os.path.join(jars, f)) as z:
+                return z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split()
+    raise FileNotFoundError("spark-mllib jar not found")
+
+
+__all__ += ["spark_english_stop_words"]
