@@ -1 +1,104 @@
-"""(filled in below)"""
+"""Phase 2 queries: rolling band, extremes, time split, lags, date parsing,
+densities."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tabsight.operators import density as D
+from tabsight.operators import series as S
+from tabsight.plans.registry import query, table
+
+HOURLY_SQL = """(SELECT event_type, date_trunc('hour', ts) AS ts, avg(value) AS value,
+                        CAST(count(*) AS BIGINT) AS n_obs FROM events GROUP BY 1, 2)"""
+
+
+def hourly(spark, sf_dir):
+    return S.resample_mean(table(spark, sf_dir, "events"), ["event_type"], "ts", "value", "hour")
+
+
+@query("rolling_band", f"""
+WITH h AS {HOURLY_SQL},
+r AS (SELECT *, count(value) OVER w AS k, avg(value) OVER w AS ma, stddev_samp(value) OVER w AS sd
+      FROM h WINDOW w AS (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))
+SELECT event_type, ts, round(value, 6) AS value, n_obs,
+       round(CASE WHEN k = 30 THEN ma END, 6) AS ma, round(CASE WHEN k = 30 THEN sd END, 6) AS std,
+       round(CASE WHEN k = 30 THEN ma - sd END, 6) AS band_lo, round(CASE WHEN k = 30 THEN ma + sd END, 6) AS band_hi
+FROM r
+""")
+def q_rolling_band(spark, sf_dir):
+    h = hourly(spark, sf_dir)
+    out = S.rolling_stats(h, ["event_type"], "ts", "value", 30, "ts")
+    return out.withColumn("value", F.round("value", 6))
+
+
+@query("peak_and_low", f"""
+WITH h AS {HOURLY_SQL}
+SELECT event_type, round(max(value), 6) AS peak_value, arg_min(ts, [-value, epoch_us(ts)]) AS peak_ts,
+       round(min(value), 6) AS low_value, arg_min(ts, [value, epoch_us(ts)]) AS low_ts
+FROM h GROUP BY event_type
+""")
+def q_peak_and_low(spark, sf_dir):
+    out = S.peak_and_low(hourly(spark, sf_dir), ["event_type"], "ts", "value", "ts")
+    return out.withColumn("peak_value", F.round("peak_value", 6)).withColumn("low_value", F.round("low_value", 6))
+
+
+@query("time_split", f"""
+WITH h AS {HOURLY_SQL},
+r AS (SELECT event_type, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS rn,
+             count(*) OVER (PARTITION BY event_type) AS n FROM h)
+SELECT event_type, ts, CASE WHEN rn <= floor(n * 0.8) THEN 'train' ELSE 'test' END AS split,
+       CAST(CASE WHEN rn <= floor(n * 0.8) THEN rn ELSE rn - floor(n * 0.8) END AS BIGINT) AS step
+FROM r
+""")
+def q_time_split(spark, sf_dir):
+    return S.time_split(hourly(spark, sf_dir), ["event_type"], "ts", "ts", 0.8).select(
+        "event_type", "ts", "split", "step")
+
+
+@query("lags_and_diff", f"""
+WITH h AS {HOURLY_SQL}
+SELECT event_type, ts, round(value, 6) AS value,
+       round(lag(value, 1) OVER w, 6) AS lag_1, round(lag(value, 2) OVER w, 6) AS lag_2,
+       round(value - lag(value, 1) OVER w, 6) AS diff_1
+FROM h WINDOW w AS (PARTITION BY event_type ORDER BY ts)
+""")
+def q_lags_and_diff(spark, sf_dir):
+    out = S.add_lags(hourly(spark, sf_dir), ["event_type"], "ts", "value", 2, "ts", diff=True)
+    return out.select("event_type", "ts", *[F.round(c, 6).alias(c) for c in ["value", "lag_1", "lag_2", "diff_1"]])
+
+
+@query("parse_date", """
+SELECT o_orderkey, parsed FROM (
+  SELECT o_orderkey,
+         try_strptime(CASE WHEN o_orderkey % 7 = 0 THEN 'x' ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END,
+                      '%Y-%m-%d %H:%M:%S') AS parsed FROM orders) t
+WHERE parsed IS NOT NULL
+""")
+def q_parse_date(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    txt = o.select("o_orderkey", F.when(F.col("o_orderkey") % 7 == 0, F.lit("x"))
+                   .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).alias("date_text"))
+    parsed = S.parse_date(txt, "date_text", "parsed", "yyyy-MM-dd HH:mm:ss")
+    return parsed.where(F.col("parsed").isNotNull()).select("o_orderkey", F.col("parsed").cast("timestamp_ntz"))
+
+
+def _kde_sql(tbl, col, points, digits=10):
+    return f"""
+WITH s AS (SELECT count({col}) AS n, min({col}) AS lo, max({col}) AS hi, stddev_samp({col}) AS sd FROM {tbl}),
+g AS (SELECT CAST(range AS INTEGER) AS point FROM range({points})),
+p AS (SELECT point, lo + point * ((hi - lo) / {points - 1}) AS x, n, sd * pow(n, -0.2) AS h FROM g, s)
+SELECT point, round(x, 6) AS x,
+       round(sum(exp(-0.5 * pow((x - v.{col}) / h, 2))) / (n * h * sqrt(2 * pi())), {digits}) AS density
+FROM p, (SELECT {col} FROM {tbl} WHERE {col} IS NOT NULL) v GROUP BY point, x, n, h"""
+
+
+@query("kde_grid", _kde_sql("events", "value", 300))
+def q_kde_grid(spark, sf_dir):
+    return D.kde(table(spark, sf_dir, "events"), "value", 300)
+
+
+@query("violin_density", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", * FROM ({_kde_sql('lineitem', c, 100)})" for c in ["l_quantity", "l_discount"]))
+def q_violin_density(spark, sf_dir):
+    return D.violin_density(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount"], 100)
