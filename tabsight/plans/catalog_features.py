@@ -41,12 +41,16 @@ def q_standardize(spark, sf_dir):
     return out.select("l_orderkey", "l_linenumber", *[F.round(c, 6).alias(c) for c in LI_FEAT])
 
 
+# squares of prices reach 1e10: fewer decimals keep the rounding exact
+_SQ_DIGITS = {"l_quantity": 6, "l_extendedprice": 2, "l_discount": 6, "l_tax": 6}
+
+
 @query("square_features", "SELECT l_orderkey, l_linenumber, " + ", ".join(
-    f"round({c} * {c}, 2) AS {c}_sq" for c in LI_FEAT) + " FROM lineitem")
+    f"round({c} * {c}, {_SQ_DIGITS[c]}) AS {c}_sq" for c in LI_FEAT) + " FROM lineitem")
 def q_square_features(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *LI_FEAT)
     out = Fe.square_features(li, LI_FEAT)
-    return out.select("l_orderkey", "l_linenumber", *[F.round(f"{c}_sq", 2).alias(f"{c}_sq") for c in LI_FEAT])
+    return out.select("l_orderkey", "l_linenumber", *[F.round(f"{c}_sq", _SQ_DIGITS[c]).alias(f"{c}_sq") for c in LI_FEAT])
 
 
 _PAIRS = Fe.interaction_pairs(LI_FEAT)
