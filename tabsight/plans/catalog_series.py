@@ -83,7 +83,7 @@ def q_parse_date(spark, sf_dir):
     return parsed.where(F.col("parsed").isNotNull()).select("o_orderkey", F.col("parsed").cast("timestamp_ntz"))
 
 
-def _kde_sql(tbl, col, points, digits=10):
+def _kde_sql(tbl, col, points, digits=8):
     return f"""
 WITH s AS (SELECT count({col}) AS n, min({col}) AS lo, max({col}) AS hi, stddev_samp({col}) AS sd FROM {tbl}),
 g AS (SELECT CAST(range AS INTEGER) AS point FROM range({points})),
