@@ -1 +1,145 @@
-"""(filled in below)"""
+"""Phase 5 queries: model catalogue, tuning, importances, kNN, linear fits."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tabsight.operators import models as M
+from tabsight.operators.knn import knn_predict
+from tabsight.operators.features import train_test_split
+from tabsight.plans.preprocess import prepare
+from tabsight.plans.registry import query, table
+from tabsight.session import get_spark  # noqa: F401  (scripts)
+
+
+def classification_input(spark, sf_dir):
+    """labels ⋈ documents: target ``quality``; features length, language,
+    source and whitespace token count."""
+    from tabsight.functions.text import token_count
+    lab = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "n_chars", "lang", "source", token_count(F.col("text")).alias("n_tokens"))
+    return lab.join(docs, "doc_id")
+
+
+def regression_input(spark, sf_dir):
+    """lineitem ⋈ part: target ``l_extendedprice``.  ``lineitem`` has no
+    short unique key, so the row id is an md5 over its key columns and
+    measures (unique at every scale)."""
+    li = table(spark, sf_dir, "lineitem")
+    rid = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in li.columns]))
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_retailprice", "p_size")
+    return li.select(rid.alias("row_id"), "l_partkey", "l_quantity", "l_discount", "l_tax",
+                     "l_extendedprice").join(part, "l_partkey").drop("l_partkey")
+
+
+def _prep_cls(spark, sf_dir):
+    return prepare(classification_input(spark, sf_dir), "quality", "doc_id")
+
+
+def _prep_reg(spark, sf_dir, **kw):
+    return prepare(regression_input(spark, sf_dir), "l_extendedprice", "row_id", **kw)
+
+
+@query("train_leaderboard")
+def q_train_leaderboard(spark, sf_dir):
+    """Every catalogue model on both problems, scored on the held-out 20 %."""
+    pc = _prep_cls(spark, sf_dir)
+    lb_c, _, _ = M.train_all(pc.train.cache(), pc.test.cache(), pc.kind, pc.id_col)
+    pr = _prep_reg(spark, sf_dir)
+    lb_r, _, _ = M.train_all(pr.train.cache(), pr.test.cache(), pr.kind, pr.id_col)
+    return (lb_c.select(F.lit("classification").alias("problem"), "*")
+            .unionByName(lb_r.select(F.lit("regression").alias("problem"), "*"), allowMissingColumns=True))
+
+
+@query("tuned_models")
+def q_tuned_models(spark, sf_dir):
+    """Grid search with 3-fold CV: forest trees × depth and logistic C on the
+    classification problem, ridge alpha on the regression problem."""
+    from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+    from pyspark.ml.regression import LinearRegression
+    pc = _prep_cls(spark, sf_dir)
+    tr = pc.train.cache()
+    n = tr.count()
+    rows = []
+    _, p, s = M.tune(RandomForestClassifier(seed=M.SEED), M.GRID_FOREST, tr, "classification")
+    rows.append(("random_forest", str(sorted(p.items())), s))
+    lr = LogisticRegression(elasticNetParam=0.0, standardization=False, maxIter=M.LOGREG_ITER,
+                            featuresCol="features_scaled")
+    _, p, s = M.tune(lr, {"regParam": [1.0 / (c * n) for c in M.GRID_LOGREG_C]}, tr, "classification")
+    rows.append(("logistic_regression", str(sorted(p.items())), s))
+    pr = _prep_reg(spark, sf_dir)
+    trr = pr.train.cache()
+    st = trr.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("sd")).first()
+    ridge = LinearRegression(elasticNetParam=0.0, standardization=False, solver="normal",
+                             featuresCol="features_scaled")
+    grid = {"regParam": [a * st["sd"] / st["n"] for a in M.GRID_RIDGE_ALPHA]}
+    _, p, s = M.tune(ridge, grid, trr, "regression")
+    rows.append(("ridge", str(sorted(p.items())), s))
+    return spark.createDataFrame(rows, "model string, best_params string, cv_score double").select(
+        "model", "best_params", F.round("cv_score", 4).alias("cv_score"))
+
+
+@query("feature_importance")
+def q_feature_importance(spark, sf_dir):
+    from pyspark.ml.regression import RandomForestRegressor
+    pr = _prep_reg(spark, sf_dir)
+    m = RandomForestRegressor(numTrees=M.FOREST_TREES, maxDepth=M.FOREST_DEPTH, seed=M.SEED).fit(pr.train)
+    return M.feature_importance(m, pr.feature_cols, 20, spark=spark)
+
+
+@query("select_features")
+def q_select_features(spark, sf_dir):
+    """Engineered features of the regression problem, kept or dropped by
+    forest importance (threshold 0.1 × mean)."""
+    from tabsight.operators.features import auto_features
+    d = regression_input(spark, sf_dir)
+    base = ["l_quantity", "l_discount", "l_tax", "p_retailprice", "p_size"]
+    d, gen = auto_features(d, base)
+    d = d.withColumn("label", F.col("l_extendedprice"))
+    train = train_test_split(d, "row_id").where(F.col("split") == "train")
+    _, tbl, _ = M.select_features(train, base + gen, gen, "label", "regression")
+    return tbl
+
+
+@query("linear_attributions")
+def q_linear_attributions(spark, sf_dir):
+    """Exact Shapley values of least squares on the scaled regression
+    features: mean |w·(x − mean)| per feature on the test rows."""
+    from pyspark.ml.regression import LinearRegression
+    pr = _prep_reg(spark, sf_dir)
+    m = LinearRegression(regParam=0.0, solver="normal", featuresCol="features_scaled").fit(pr.train)
+    return M.linear_attributions(m, pr.test, pr.feature_cols, "features_scaled", background=pr.train)
+
+
+@query("linear_simple", """
+SELECT round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept,
+       round(regr_slope(l_extendedprice, l_quantity), 6) AS slope FROM lineitem
+""")
+def q_linear_simple(spark, sf_dir):
+    from pyspark.ml.regression import LinearRegression
+    li = M.assemble(table(spark, sf_dir, "lineitem"), ["l_quantity"])
+    m = LinearRegression(regParam=0.0, solver="normal", labelCol="l_extendedprice").fit(li)
+    return spark.createDataFrame([(float(m.intercept), float(m.coefficients[0]))], "intercept double, slope double") \
+        .select(F.round("intercept", 4).alias("intercept"), F.round("slope", 6).alias("slope"))
+
+
+EMB_SPLIT_SQL = "(CAST(('0x' || substr(md5('42|' || CAST(vec_id AS VARCHAR)), 1, 8)) AS BIGINT) % 100)"
+
+
+@query("knn_predict", f"""
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label, {EMB_SPLIT_SQL} < 80 AS is_train FROM embeddings),
+tr AS (SELECT * FROM e WHERE is_train), te AS (SELECT * FROM e WHERE NOT is_train),
+d AS (SELECT te.vec_id, tr.vec_id AS nb, tr.label AS y,
+             row_number() OVER (PARTITION BY te.vec_id ORDER BY list_distance(te.v, tr.v), tr.vec_id) AS rk
+      FROM te, tr),
+v AS (SELECT vec_id, y, count(*) AS n FROM d WHERE rk <= 5 GROUP BY vec_id, y)
+SELECT vec_id, CAST(arg_min(y, [-n, y]) AS INTEGER) AS prediction, (SELECT label FROM te WHERE te.vec_id = v.vec_id) AS label
+FROM v GROUP BY vec_id
+""")
+def q_knn_predict(spark, sf_dir):
+    e = train_test_split(table(spark, sf_dir, "embeddings"), "vec_id")
+    tr, te = e.where(F.col("split") == "train"), e.where(F.col("split") == "test")
+    p = knn_predict(tr, te, "vec_id", "embedding", "label", 5, "classification")
+    return p.join(te.select("vec_id", "label"), "vec_id").select(
+        "vec_id", F.col("prediction").cast("int").alias("prediction"), "label")
