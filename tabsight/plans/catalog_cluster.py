@@ -1 +1,132 @@
-"""(filled in below)"""
+"""Phase 6 queries: cluster quality, k-means, mixtures, PCA/SVD projections."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tabsight.operators import cluster as K
+from tabsight.plans.registry import query, table
+from tabsight.sources.io import union_all_by_name
+
+EMB = """(SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"""
+
+
+def embeddings(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings")
+
+
+@query("silhouette_by_label", f"""
+WITH e AS {EMB},
+cs AS (SELECT label, count(*) AS n FROM e GROUP BY label),
+p AS (SELECT a.vec_id, a.label AS la, b.label AS lb, sum(list_distance(a.v, b.v) ^ 2) AS ss
+      FROM e a, e b WHERE a.vec_id <> b.vec_id GROUP BY 1, 2, 3),
+m AS (SELECT p.vec_id, la, lb, CASE WHEN la = lb THEN ss / (cs.n - 1) ELSE ss / cs.n END AS md
+      FROM p JOIN cs ON cs.label = p.lb),
+ab AS (SELECT vec_id, max(CASE WHEN la = lb THEN md END) AS a, min(CASE WHEN la <> lb THEN md END) AS b
+       FROM m GROUP BY 1),
+s AS (SELECT CASE WHEN cs.n <= 1 THEN 0 WHEN greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END AS s
+      FROM e JOIN cs USING (label) LEFT JOIN ab ON ab.vec_id = e.vec_id)
+SELECT round(avg(s), 6) AS silhouette, CAST((SELECT count(*) FROM cs) AS INTEGER) AS n_clusters FROM s
+""")
+def q_silhouette_by_label(spark, sf_dir):
+    """Squared-Euclidean silhouette of the given labels (closed form; the
+    oracle computes it from all pairs)."""
+    s = K.silhouette_sq(embeddings(spark, sf_dir), "embedding", "label")
+    return s.select(F.round("silhouette", 6).alias("silhouette"), F.col("n_clusters").cast("int"))
+
+
+@query("davies_bouldin_by_label", f"""
+WITH e AS {EMB},
+u AS (SELECT label, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS x FROM e),
+c AS (SELECT label, list(m ORDER BY i) AS mu FROM (SELECT label, i, avg(x) AS m FROM u GROUP BY 1, 2) t GROUP BY label),
+s AS (SELECT e.label, avg(list_distance(e.v, c.mu)) AS s FROM e JOIN c USING (label) GROUP BY e.label),
+r AS (SELECT a.label, max((sa.s + sb.s) / list_distance(a.mu, b.mu)) AS r
+      FROM c a JOIN c b ON a.label <> b.label JOIN s sa ON sa.label = a.label JOIN s sb ON sb.label = b.label
+      GROUP BY a.label)
+SELECT round(avg(r), 6) AS davies_bouldin, CAST((SELECT count(*) FROM c) AS INTEGER) AS n_clusters FROM r
+""")
+def q_davies_bouldin_by_label(spark, sf_dir):
+    s = K.davies_bouldin(embeddings(spark, sf_dir), "embedding", "label")
+    return s.select(F.round("davies_bouldin", 6).alias("davies_bouldin"), F.col("n_clusters").cast("int"))
+
+
+def _k(spark, sf_dir):
+    return K.cluster_count(embeddings(spark, sf_dir).count())
+
+
+@query("kmeans")
+def q_kmeans(spark, sf_dir):
+    """k = min(5, max(2, n // 50)); best of 5 seeded starts."""
+    _, out = K.kmeans(embeddings(spark, sf_dir), "embedding", _k(spark, sf_dir))
+    return out.select("vec_id", "cluster")
+
+
+@query("gmm")
+def q_gmm(spark, sf_dir):
+    """Gaussian mixture on the 64-d embeddings projected to 20 components."""
+    _, out = K.gaussian_mixture(embeddings(spark, sf_dir), "embedding", _k(spark, sf_dir))
+    return out.select("vec_id", "cluster", F.round("probability", 6).alias("probability"))
+
+
+@query("elbow")
+def q_elbow(spark, sf_dir):
+    return K.elbow(embeddings(spark, sf_dir), "embedding", 10)
+
+
+@query("pca_scree")
+def q_pca_scree(spark, sf_dir):
+    return K.pca_scree(embeddings(spark, sf_dir), "embedding", 20)
+
+
+def _pca2(spark, sf_dir):
+    from pyspark.ml.functions import vector_to_array
+    p = K.pca_project(embeddings(spark, sf_dir), "embedding", 2, out="p")
+    return p.select("vec_id", "label", vector_to_array("p")[0].alias("x"), vector_to_array("p")[1].alias("y"))
+
+
+@query("projection")
+def q_projection(spark, sf_dir):
+    """PCA and truncated SVD (2-D) side by side, one row per (method, id)."""
+    pca = _pca2(spark, sf_dir).select(F.lit("pca").alias("method"), "vec_id", "label", "x", "y")
+    svd, share = K.svd_project(embeddings(spark, sf_dir), "embedding", 2)
+    svd = svd.select(F.lit("svd").alias("method"), "vec_id", "label", F.col("c1").alias("x"), F.col("c2").alias("y"))
+    return union_all_by_name(pca, svd).select("method", "vec_id", "label", F.round("x", 6).alias("x"),
+                                              F.round("y", 6).alias("y"))
+
+
+@query("cluster_map")
+def q_cluster_map(spark, sf_dir):
+    """2-D PCA points with their k-means cluster, its centroid and size."""
+    pts = _pca2(spark, sf_dir)
+    _, km = K.kmeans(embeddings(spark, sf_dir), "embedding", _k(spark, sf_dir))
+    j = pts.join(km.select("vec_id", "cluster"), "vec_id")
+    cent = K.cluster_sizes_centroids(j, "cluster")
+    return j.join(cent, "cluster").select("vec_id", "cluster", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"),
+                                          F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"), "size")
+
+
+@query("cluster_leaderboard")
+def q_cluster_leaderboard(spark, sf_dir):
+    """k-means and Gaussian mixture scored by silhouette (squared) and
+    Davies–Bouldin; best by silhouette; DB also as a share of the largest."""
+    from pyspark.sql import Window
+    emb = embeddings(spark, sf_dir)
+    k = _k(spark, sf_dir)
+    rows = []
+    for name, fit in (("kmeans", K.kmeans), ("gaussian_mixture", K.gaussian_mixture)):
+        try:
+            _, lab = fit(emb, "embedding", k)
+            s = K.silhouette_sq(lab, "embedding", "cluster").first()
+            db = K.davies_bouldin(lab, "embedding", "cluster").first()
+            rows.append((name, float(s["silhouette"]), float(db["davies_bouldin"]), int(s["n_clusters"]), None))
+        except Exception as e:  # noqa: BLE001
+            rows.append((name, None, None, None, f"{type(e).__name__}: {e}"[:300]))
+    lb = spark.createDataFrame(rows, "method string, silhouette double, davies_bouldin double, n_clusters int, error string")
+    lb = lb.where(F.col("silhouette").isNull() | (F.col("silhouette") > -1))
+    w = Window.orderBy(F.desc_nulls_last("silhouette"), "method")  # one row per method
+    mx = lb.agg(F.max("davies_bouldin").alias("__m"))
+    return (lb.crossJoin(mx).withColumn("rank", F.row_number().over(w))
+            .select("method", F.round("silhouette", 6).alias("silhouette"),
+                    F.round("davies_bouldin", 6).alias("davies_bouldin"),
+                    F.round(F.try_divide(F.col("davies_bouldin"), F.col("__m")), 6).alias("db_share_of_max"),
+                    "n_clusters", (F.col("rank") == 1).alias("best"), "error"))
