@@ -102,3 +102,20 @@ def q_kde_grid(spark, sf_dir):
     f"SELECT '{c}' AS \"column\", * FROM ({_kde_sql('lineitem', c, 100)})" for c in ["l_quantity", "l_discount"]))
 def q_violin_density(spark, sf_dir):
     return D.violin_density(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount"], 100)
+
+
+@query("arima_forecast")
+def q_arima_forecast(spark, sf_dir):
+    """ARIMA(2,1,2) by Hannan–Rissanen on the first 80 % of every hourly
+    ``event_type`` series; forecast paired with the held-out hours."""
+    from tabsight.operators.forecast import arima_forecast
+    fc = arima_forecast(hourly(spark, sf_dir), ["event_type"], "ts", "value", 2, 2, 0.8)
+    return fc.select("event_type", "step", "ts", F.round("actual", 6).alias("actual"),
+                     F.round("forecast", 6).alias("forecast"), F.round("error", 6).alias("error"))
+
+
+@query("forecast_scores")
+def q_forecast_scores(spark, sf_dir):
+    from tabsight.operators.forecast import arima_forecast, forecast_scores
+    fc = arima_forecast(hourly(spark, sf_dir), ["event_type"], "ts", "value", 2, 2, 0.8)
+    return forecast_scores(fc, ["event_type"])
