@@ -323,3 +323,10 @@ def q_cap_rows(spark, sf_dir):
 @query("preview", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 5")
 def q_preview(spark, sf_dir):
     return io.preview(table(spark, sf_dir, "orders"), 5, "o_orderkey")
+
+
+@query("isolation_forest")
+def q_isolation_forest(spark, sf_dir):
+    """100 trees of 256 hashed rows; the top 5 % of scores are anomalies."""
+    from tabsight.operators.anomaly import isolation_forest
+    return isolation_forest(table(spark, sf_dir, "events"), "event_id", ["user_id", "value"])
