@@ -1 +1,99 @@
-"""(filled in below)"""
+"""Phase 8 queries: explanation, report facts, model persistence."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tabsight.operators import evaluate as E
+from tabsight.operators import outliers as O
+from tabsight.operators import profile as P
+from tabsight.plans.catalog_evaluate import CC_SQL, rule_scores
+from tabsight.plans.catalog_profile import EVENT_NUM
+from tabsight.plans.registry import query, table
+from tabsight.sources.io import union_all_by_name
+from tabsight.session import checkpoint_dir
+
+
+@query("sampled_attributions")
+def q_sampled_attributions(spark, sf_dir):
+    """Sampled Shapley values (10 seeded permutations) of the random forest
+    on the classification problem, explained on every test row."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from tabsight.operators.explain import sampled_attributions
+    from tabsight.plans.catalog_models import _prep_cls
+    pc = _prep_cls(spark, sf_dir)
+    m = RandomForestClassifier(numTrees=50, maxDepth=12, seed=42).fit(pc.train)
+    return sampled_attributions(m, pc.test, pc.train, pc.id_col, "features", pc.feature_cols, 10,
+                                output="probability")
+
+
+def _fmt(c, digits=4):
+    return F.format_string(f"%.{digits}f", c.cast("double"))
+
+
+@query("report_facts", f"""
+WITH {CC_SQL},
+ev AS (SELECT count(*) AS n FROM events),
+oc AS (SELECT string_agg(c, ', ' ORDER BY c) AS cols FROM (
+  SELECT 'value' AS c WHERE (SELECT count(*) FROM events, (SELECT avg(value) mu, stddev_pop(value) sd,
+      quantile_cont(value, .25) q1, quantile_cont(value, .75) q3 FROM events) s
+      WHERE (sd > 0 AND abs(value - mu) / sd > 3) OR value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)) > 0
+  UNION ALL
+  SELECT 'user_id' WHERE (SELECT count(*) FROM events, (SELECT avg(user_id) mu, stddev_pop(user_id) sd,
+      quantile_cont(user_id, .25) q1, quantile_cont(user_id, .75) q3 FROM events) s
+      WHERE (sd > 0 AND abs(user_id - mu) / sd > 3) OR user_id < q1 - 1.5 * (q3 - q1) OR user_id > q3 + 1.5 * (q3 - q1)) > 0
+  UNION ALL
+  SELECT 'event_id' WHERE (SELECT count(*) FROM events, (SELECT avg(event_id) mu, stddev_pop(event_id) sd,
+      quantile_cont(event_id, .25) q1, quantile_cont(event_id, .75) q3 FROM events) s
+      WHERE (sd > 0 AND abs(event_id - mu) / sd > 3) OR event_id < q1 - 1.5 * (q3 - q1) OR event_id > q3 + 1.5 * (q3 - q1)) > 0) t),
+top AS (SELECT model, accuracy, row_number() OVER (ORDER BY accuracy DESC NULLS LAST, model) AS rk FROM scores)
+SELECT 'dataset' AS section, 'rows' AS "key", CAST(n AS VARCHAR) AS value FROM ev
+UNION ALL SELECT 'dataset', 'columns', '6'
+UNION ALL SELECT 'outliers', 'columns', coalesce(cols, '') FROM oc
+UNION ALL SELECT 'models', 'best', model FROM top WHERE rk = 1
+UNION ALL SELECT 'models', 'best_score', printf('%.4f', accuracy) FROM top WHERE rk = 1
+UNION ALL SELECT 'models', 'top3', string_agg(model, ', ' ORDER BY rk) FROM top WHERE rk <= 3
+""")
+def q_report_facts(spark, sf_dir):
+    """The facts of the final report as (section, key, value) rows."""
+    ev = table(spark, sf_dir, "events")
+    summ = P.dataset_summary(ev)
+    facts = [summ.select(F.lit("dataset").alias("section"), F.lit("rows").alias("key"),
+                         F.col("n_rows").cast("string").alias("value")),
+             summ.select(F.lit("dataset").alias("section"), F.lit("columns").alias("key"),
+                         F.col("n_columns").cast("string").alias("value"))]
+    oc = O.outlier_comparison(ev, EVENT_NUM).agg(
+        F.coalesce(F.array_join(F.array_sort(F.collect_list("column")), ", "), F.lit("")).alias("value"))
+    facts.append(oc.select(F.lit("outliers").alias("section"), F.lit("columns").alias("key"), "value"))
+    lb = E.leaderboard(rule_scores(spark, sf_dir), "accuracy")  # one row per model
+    facts.append(lb.where("rank = 1").select(F.lit("models").alias("section"), F.lit("best").alias("key"),
+                                             F.col("model").alias("value")))
+    facts.append(lb.where("rank = 1").select(F.lit("models").alias("section"), F.lit("best_score").alias("key"),
+                                             _fmt(F.col("accuracy")).alias("value")))
+    top3 = lb.where("rank <= 3").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "model"))),
+                                                              lambda s: s["model"]), ", ").alias("value"))
+    facts.append(top3.select(F.lit("models").alias("section"), F.lit("top3").alias("key"), "value"))
+    return union_all_by_name(*facts)
+
+
+@query("save_load_model")
+def q_save_load_model(spark, sf_dir):
+    """Scaler + logistic regression as one PipelineModel, saved under
+    the shared checkpoint folder, loaded back; predictions compared."""
+    import uuid
+
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StandardScaler
+    from tabsight.plans.catalog_models import _prep_cls
+    from tabsight.sources.io import load_model, save_model
+    pc = _prep_cls(spark, sf_dir)
+    pipe = Pipeline(stages=[StandardScaler(inputCol="features", outputCol="__z", withMean=True, withStd=True),
+                            LogisticRegression(featuresCol="__z", maxIter=500)])
+    model = pipe.fit(pc.train)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/models/{uuid.uuid4().hex}"
+    save_model(model, path)
+    loaded = load_model(path)
+    a = model.transform(pc.test).select(pc.id_col, F.col("prediction").alias("prediction_saved"))
+    b = loaded.transform(pc.test).select(pc.id_col, F.col("prediction").alias("prediction_loaded"))
+    return a.join(b, pc.id_col).withColumn("same", F.col("prediction_saved") == F.col("prediction_loaded"))
