@@ -16,12 +16,13 @@ from tabsight.plans.registry import query, table
 from tabsight.sources.io import union_all_by_name
 
 # rule name → (Spark condition, SQL condition); prediction = 1 when true
+# (conditions are built lazily: no Spark session is needed to import this module)
 RULES = {
-    "len_over_500": (F.col("n_chars") > 500, "n_chars > 500"),
-    "len_over_2000": (F.col("n_chars") > 2000, "n_chars > 2000"),
-    "len_over_8000": (F.col("n_chars") > 8000, "n_chars > 8000"),
-    "lang_en": (F.col("lang") == "en", "lang = 'en'"),
-    "always_1": (F.lit(True), "true"),
+    "len_over_500": (lambda: F.col("n_chars") > 500, "n_chars > 500"),
+    "len_over_2000": (lambda: F.col("n_chars") > 2000, "n_chars > 2000"),
+    "len_over_8000": (lambda: F.col("n_chars") > 8000, "n_chars > 8000"),
+    "lang_en": (lambda: F.col("lang") == "en", "lang = 'en'"),
+    "always_1": (lambda: F.lit(True), "true"),
 }
 
 
@@ -29,7 +30,7 @@ def rule_predictions(spark, sf_dir):
     lab = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang")
     j = lab.join(docs, "doc_id")
-    arr = F.array(*[F.struct(F.lit(k).alias("model"), cond.cast("int").alias("prediction"))
+    arr = F.array(*[F.struct(F.lit(k).alias("model"), cond().cast("int").alias("prediction"))
                     for k, (cond, _) in RULES.items()])
     return j.select("doc_id", "label", F.explode(arr).alias("r")).select("r.model", "doc_id", "label", "r.prediction")
 
