@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tabsight.functions.exprs import num
 from tabsight.operators.features import impute_median
+from tabsight.session import spread
 
 EULER = 0.5772156649015329
 
@@ -128,7 +129,8 @@ def isolation_forest(df: DataFrame, id_col: str, cols: list[str], n_trees: int =
         g = g.sort_values("node")
         trees[int(t)] = {k: g[k].to_numpy() for k in ["feature", "threshold", "left", "right", "size"]}
     idt = x.schema[id_col].dataType.simpleString()
-    scored = x.mapInPandas(_scorer(trees, cols, id_col, psi), f"{id_col} {idt}, score double")
+    # scores feed the threshold and the flags: score once, keep them
+    scored = spread(x).mapInPandas(_scorer(trees, cols, id_col, psi), f"{id_col} {idt}, score double").persist()
     q = 1.0 - contamination
     thr_expr = F.percentile("score", F.lit(q)) if exact_threshold else F.percentile_approx("score", F.lit(q), 100_000)
     thr = scored.agg(thr_expr.alias("__thr"))

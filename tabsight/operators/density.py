@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsight.functions.exprs import num
+from tabsight.session import spread
 
 
 def _stats(df: DataFrame, x):
@@ -57,7 +58,7 @@ def kde(df: DataFrame, col: str, points: int = 100, bandwidth: float | None = No
     step = (hi - lo) / (points - 1) if points > 1 else 0.0
     if not h or h <= 0:
         return spark.createDataFrame([(i, lo + i * step, None) for i in range(points)], schema)
-    vals = df.select(x.alias("__x")).where(F.col("__x").isNotNull())
+    vals = spread(df.select(x.alias("__x")).where(F.col("__x").isNotNull()))
     part = vals.mapInPandas(_partial_sums(lo, step, h, points), "point int, s double")
     norm = n * h * math.sqrt(2 * math.pi)
     return (part.groupBy("point").agg(F.sum("s").alias("s"))

@@ -191,33 +191,54 @@ def correlation_matrix(df: DataFrame, cols: list[str] | None = None, digits: int
     """Pearson correlation, pairwise-complete, lower triangle without the
     diagonal → (col_a, col_b, corr).  NULL when either side is constant.
 
-    Two scans: column means (one row, broadcast), then for every pair the
-    sums of centred products over the rows where both are present — plain
-    additions that stay in one code-generated aggregate however many pairs.
+    Pass 1 (one aggregate): column means, spread flags and missing counts.
+    Pass 2: sums of centred products.  When no column has a missing value the
+    pairwise-complete rows are all rows, so the per-column sums are shared and
+    pass 2 needs d + d(d−1)/2 sums instead of 6 per pair (which also keeps the
+    aggregate under the code-generation field limit).
     """
     cols = cols or numeric_columns(df)
     pairs = [(a, cols[j]) for i, a in enumerate(cols) for j in range(i)]
     if not pairs:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, corr double")
-    means = df.agg(*[F.avg(num(df, c)).alias(f"__m{i}") for i, c in enumerate(cols)],
-                   *[(F.max(num(df, c)) > F.min(num(df, c))).alias(f"__v{i}") for i, c in enumerate(cols)])
     idx = {c: i for i, c in enumerate(cols)}
-    xs = {c: num(df, c) - F.col(f"__m{idx[c]}") for c in cols}
-    aggs = []
-    for k, (a, b) in enumerate(pairs):
-        both = xs[a].isNotNull() & xs[b].isNotNull()
-        xa, xb = F.when(both, xs[a]), F.when(both, xs[b])
-        aggs += [F.count(xa).alias(f"n{k}"), F.sum(xa).alias(f"sa{k}"), F.sum(xb).alias(f"sb{k}"),
-                 F.sum(xa * xb).alias(f"sab{k}"), F.sum(xa * xa).alias(f"saa{k}"), F.sum(xb * xb).alias(f"sbb{k}")]
-    row = df.crossJoin(F.broadcast(means)).agg(*aggs).crossJoin(means)
+    means = df.agg(*[F.avg(num(df, c)).alias(f"__m{i}") for i, c in enumerate(cols)],
+                   *[(F.max(num(df, c)) > F.min(num(df, c))).alias(f"__v{i}") for i, c in enumerate(cols)],
+                   *[F.count(F.when(num(df, c).isNull(), 1)).alias(f"__z{i}") for i, c in enumerate(cols)])
+    first = means.first()  # one row
+    complete = all(first[f"__z{i}"] == 0 for i in range(len(cols)))
+    lit_means = {c: F.lit(first[f"__m{idx[c]}"]).cast("double") for c in cols}
+    xs = {c: num(df, c) - lit_means[c] for c in cols}
+    if complete:
+        aggs = [F.count(F.lit(1)).alias("n")]
+        aggs += [F.sum(xs[c]).alias(f"s{idx[c]}") for c in cols]
+        aggs += [F.sum(xs[c] * xs[c]).alias(f"q{idx[c]}") for c in cols]
+        aggs += [F.sum(xs[a] * xs[b]).alias(f"sab{k}") for k, (a, b) in enumerate(pairs)]
+        row = df.agg(*aggs)
+
+        def parts(k):
+            a, b = pairs[k]
+            ia, ib = idx[a], idx[b]
+            return (F.col("n"), F.col(f"s{ia}"), F.col(f"s{ib}"), F.col(f"sab{k}"), F.col(f"q{ia}"), F.col(f"q{ib}"))
+    else:
+        aggs = []
+        for k, (a, b) in enumerate(pairs):
+            both = xs[a].isNotNull() & xs[b].isNotNull()
+            xa, xb = F.when(both, xs[a]), F.when(both, xs[b])
+            aggs += [F.count(xa).alias(f"n{k}"), F.sum(xa).alias(f"sa{k}"), F.sum(xb).alias(f"sb{k}"),
+                     F.sum(xa * xb).alias(f"sab{k}"), F.sum(xa * xa).alias(f"saa{k}"), F.sum(xb * xb).alias(f"sbb{k}")]
+        row = df.agg(*aggs)
+
+        def parts(k):
+            return tuple(F.col(f"{p}{k}") for p in ("n", "sa", "sb", "sab", "saa", "sbb"))
 
     def r(k):
-        n, sa, sb = F.col(f"n{k}"), F.col(f"sa{k}"), F.col(f"sb{k}")
-        cov = F.col(f"sab{k}") - sa * sb / n
-        va = F.col(f"saa{k}") - sa * sa / n
-        vb = F.col(f"sbb{k}") - sb * sb / n
+        n, sa, sb, sab, saa, sbb = parts(k)
+        cov = sab - sa * sb / n
+        va = saa - sa * sa / n
+        vb = sbb - sb * sb / n
         a, b = pairs[k]
-        varies = F.col(f"__v{idx[a]}") & F.col(f"__v{idx[b]}")
+        varies = F.lit(bool(first[f"__v{idx[a]}"]) and bool(first[f"__v{idx[b]}"]))
         return F.when(varies & (va > 0) & (vb > 0), cov / F.sqrt(va * vb))
 
     return row.select(F.inline(F.array(*[

@@ -14,13 +14,14 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabsight.session import spread
 from tabsight.functions.text import (STOP_WORDS_TOP, spark_english_stop_words, tfidf_tokens,
                                      token_count, word_tokens)
 
 
 def word_counts(df: DataFrame, col: str, stop_words=STOP_WORDS_TOP, min_len: int = 3) -> DataFrame:
     """(word, count) over all rows of a text column."""
-    words = df.select(F.explode(word_tokens(F.col(col), min_len)).alias("word"))
+    words = spread(df.select(col)).select(F.explode(word_tokens(F.col(col), min_len)).alias("word"))
     if stop_words:
         words = words.where(~F.col("word").isin(list(stop_words)))
     return words.groupBy("word").agg(F.count(F.lit(1)).cast("bigint").alias("count"))
@@ -73,6 +74,7 @@ def tfidf_long(df: DataFrame, id_col: str, col: str, max_features: int = 300,
     training-set fit to new rows.
     """
     stop = spark_english_stop_words() if stop_words is None else list(stop_words)
+    df = spread(df.select(id_col, col))
     vocab = vocabulary if vocabulary is not None else tfidf_vocabulary(df, col, max_features, stop)
     toks = df.select(id_col, F.explode(tfidf_tokens(F.col(col))).alias("term"))
     if stop:

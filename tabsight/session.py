@@ -75,3 +75,15 @@ def env_int(name: str, default: int) -> int:
         return int(os.environ.get(name, default))
     except ValueError:
         return default
+
+
+def spread(df, min_partitions: int | None = None):
+    """Give CPU-heavy work (tokenising, NumPy scoring) at least one input
+    partition per core.  A table stored as one large row group is read by a
+    single task however many splits are planned; on a cluster reading many
+    files the input already has far more partitions than cores and this is
+    a no-op (no extra shuffle)."""
+    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= 2 * n:
+        return df
+    return df.repartition(n)
