@@ -130,3 +130,21 @@ def q_cluster_leaderboard(spark, sf_dir):
                     F.round("davies_bouldin", 6).alias("davies_bouldin"),
                     F.round(F.try_divide(F.col("davies_bouldin"), F.col("__m")), 6).alias("db_share_of_max"),
                     "n_clusters", (F.col("rank") == 1).alias("best"), "error"))
+
+
+def events_2d(spark, sf_dir):
+    """events as standardised (value, fractional hour of day) points."""
+    from tabsight.operators.features import standardize
+    ev = table(spark, sf_dir, "events")
+    h = F.hour("ts") + F.minute("ts") / 60.0 + F.second("ts") / 3600.0
+    pts = ev.select("event_id", F.col("value").cast("double").alias("value"), h.cast("double").alias("hour"))
+    z = standardize(pts, ["value", "hour"])
+    return z.select("event_id", F.array("value", "hour").alias("v"))
+
+
+@query("dbscan")
+def q_dbscan(spark, sf_dir):
+    """DBSCAN (eps 0.5, 5 points) over every event; noise = −1.  Checked
+    against brute force in the tests."""
+    from tabsight.operators.dbscan import dbscan
+    return dbscan(events_2d(spark, sf_dir), "event_id", "v", 0.5, 5)
