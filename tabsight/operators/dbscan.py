@@ -49,8 +49,35 @@ def _dist2(a: str, b: str, d: int) -> Column:
     return e
 
 
+def _sub_offsets(b: int, t: float, eps: float) -> list[tuple[int, ...]]:
+    """Sub-cell offsets whose boxes can hold a pair within eps."""
+    r = math.ceil(eps / t) + 1
+    out = []
+    for o in itertools.product(range(-r, r + 1), repeat=b):
+        gap = sum((max(0, abs(v) - 1) * t) ** 2 for v in o)
+        if gap <= eps * eps * (1 + 1e-12):
+            out.append(o)
+    return out
+
+
+def _box_d2(p: str, sub: str, t: float, b: int, far: bool) -> Column:
+    """Squared distance from point ``p`` to the box of sub-cell ``sub``:
+    nearest (far=False) or farthest (far=True) corner distance."""
+    e = None
+    for i in range(b):
+        lo = F.col(sub)[i] * t
+        hi = (F.col(sub)[i] + 1) * t
+        x = F.col(p)[i]
+        if far:
+            g = F.greatest(F.abs(x - lo), F.abs(x - hi))
+        else:
+            g = F.greatest(lo - x, x - hi, F.lit(0.0))
+        e = g * g if e is None else e + g * g
+    return e
+
+
 def dbscan(df: DataFrame, id_col: str, vec_col: str, eps: float = 0.5, min_points: int = 5,
-           max_rounds: int = 10_000) -> DataFrame:
+           max_rounds: int = 10_000, sub: int = 4) -> DataFrame:
     """(id, cluster) with noise = −1.  ``vec_col``: array of numbers."""
     pts = df.select(F.col(id_col).alias("pid"),
                     F.transform(F.col(vec_col), lambda x: x.cast("double")).alias("v"))
@@ -60,69 +87,126 @@ def dbscan(df: DataFrame, id_col: str, vec_col: str, eps: float = 0.5, min_point
         return spark.createDataFrame([], f"{id_col} {df.schema[id_col].dataType.simpleString()}, cluster int")
     d = len(first[0])
     b = min(d, 3)
+    if b < d:
+        return _dbscan_pairs(pts, id_col, d, b, eps, min_points, max_rounds)
     side = eps / math.sqrt(b)
-    full = b == d
-    cell = F.array(*[F.floor(F.col("v")[i] / side).cast("long") for i in range(b)])
-    pts = pts.withColumn("cell", cell)
-    offs = _offsets(b, side, eps)
+    t = side / sub
+    eps2 = eps * eps * (1 + 1e-12)
+    subk = F.array(*[F.floor(F.col("v")[i] / t).cast("long") for i in range(b)])
+    pts = pts.withColumn("sub", subk).withColumn(
+        "cell", F.transform(F.col("sub"), lambda x: F.floor(x / F.lit(sub)).cast("long")))
+    pts = cut_lineage(pts)
+    offs = _sub_offsets(b, t, eps)
     off_arr = F.array(*[F.array(*[F.lit(v) for v in o]) for o in offs])
-    nb_cell = lambda c: F.transform(off_arr, lambda o: F.zip_with(c, o, lambda x, y: x + y))
-    eps2 = eps * eps
-
-    counts = pts.groupBy("cell").agg(F.count(F.lit(1)).alias("cell_n"))
-    pts = pts.join(counts, "cell")
-    if full:
-        dense = pts.where(F.col("cell_n") >= min_points).select("pid", "cell", "v")
-        need = pts.where(F.col("cell_n") < min_points)
-    else:
-        dense = pts.limit(0).select("pid", "cell", "v")
-        need = pts
-    # neighbour counts for the points not settled by their cell's size
-    probe = need.select(F.col("pid").alias("a"), F.col("v").alias("va"),
-                        F.explode(nb_cell(F.col("cell"))).alias("cell"))
-    other = pts.select(F.col("pid").alias("bb"), F.col("v").alias("vb"), "cell")
-    near = probe.join(other, "cell").where(_dist2("va", "vb", d) <= eps2)
-    nc = near.groupBy("a").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= min_points)
-    core = dense.unionByName(
-        need.join(nc.select(F.col("a").alias("pid")), "pid").select("pid", "cell", "v"))
-    core = cut_lineage(core)
-
-    # graph nodes: cells (b = d: a cell's cores are all linked) or points
-    node = (lambda: F.col("cell")) if full else (lambda: F.col("pid").cast("string"))
-    cores = core.select("pid", "cell", "v", node().cast("string").alias("node") if not full else
-                        F.concat_ws(",", F.col("cell").cast("array<string>")).alias("node"))
-    cprobe = cores.select(F.col("node").alias("na"), F.col("v").alias("va"),
-                          F.explode(nb_cell(F.col("cell"))).alias("cell"))
-    ctarget = cores.select(F.col("node").alias("nb"), F.col("v").alias("vb"), "cell")
-    edges = (cprobe.join(ctarget, "cell").where((F.col("na") != F.col("nb")) & (_dist2("va", "vb", d) <= eps2))
-             .select("na", "nb").distinct())
-    edges = cut_lineage(edges)
-    # component label = smallest core id of the component
-    labels = cores.groupBy("node").agg(F.min("pid").alias("lab"))
-    labels = cut_lineage(labels)
+    nb_sub = lambda c: F.transform(off_arr, lambda o: F.zip_with(c, o, lambda x, y: x + y))
+
+    # ---- core points -------------------------------------------------------
+    cell_n = pts.groupBy("cell").agg(F.count(F.lit(1)).alias("cell_n"))
+    pts = pts.join(cell_n, "cell")
+    sub_n = pts.groupBy("sub").agg(F.count(F.lit(1)).alias("sub_n"))
+    need = pts.where(F.col("cell_n") < min_points)        # cells too small to settle it
+    probe = need.select("pid", "v", F.explode(nb_sub(F.col("sub"))).alias("sub"))
+    pw = probe.join(sub_n, "sub")
+    certain = pw.where(_box_d2("v", "sub", t, b, True) <= eps2).groupBy("pid").agg(F.sum("sub_n").alias("k1"))
+    border = pw.where((_box_d2("v", "sub", t, b, True) > eps2) & (_box_d2("v", "sub", t, b, False) <= eps2))
+    bpairs = (border.select(F.col("pid").alias("a"), F.col("v").alias("va"), "sub")
+              .join(pts.select(F.col("v").alias("vb"), "sub"), "sub")
+              .where(_dist2("va", "vb", d) <= eps2).groupBy(F.col("a").alias("pid")).agg(F.count(F.lit(1)).alias("k2")))
+    k = (need.select("pid").join(certain, "pid", "left").join(bpairs, "pid", "left")
+         .where(F.coalesce("k1", F.lit(0)) + F.coalesce("k2", F.lit(0)) >= min_points).select("pid"))
+    core_ids = pts.where(F.col("cell_n") >= min_points).select("pid").unionByName(k)
+    core = cut_lineage(pts.join(core_ids, "pid").select("pid", "v", "sub", "cell"))
+
+    # ---- links between core cells (all cores of one cell are linked) -------
+    node = F.concat_ws(",", F.col("cell").cast("array<string>"))
+    core = core.withColumn("node", node)
+    csub = core.groupBy("sub", "cell", "node").agg(F.min("pid").alias("first_pid"))
+    probe_s = csub.select(F.col("sub").alias("su"), F.col("node").alias("na"),
+                          F.explode(nb_sub(F.col("sub"))).alias("sub"))
+    sp = probe_s.join(csub.select("sub", F.col("node").alias("nb")), "sub").where(F.col("na") != F.col("nb"))
+    gap2, far2 = _sub_pair_d2("su", "sub", t, b)
+    sure = sp.where(far2 <= eps2).select("na", "nb").distinct()
+    maybe = sp.where((far2 > eps2) & (gap2 <= eps2)).join(sure, ["na", "nb"], "left_anti")
+    checked = (maybe.select("na", "nb", "su", "sub")
+               .join(core.select(F.col("sub").alias("su"), F.col("v").alias("va")), "su")
+               .join(core.select("sub", F.col("v").alias("vb")), "sub")
+               .where(_dist2("va", "vb", d) <= eps2).select("na", "nb").distinct())
+    edges = cut_lineage(sure.unionByName(checked).distinct())
+    labels = cut_lineage(core.groupBy("node").agg(F.min("pid").alias("lab")))
+    labels = _propagate(labels, edges, max_rounds)
+    core_lab = core.join(labels, "node").select("pid", "v", "sub", "lab")
+
+    # ---- border points: lowest cluster among cores within eps --------------
+    lab_sub = core_lab.groupBy("sub").agg(F.min("lab").alias("sub_lab"))
+    non_core = pts.join(core_ids, "pid", "left_anti").select("pid", "v", "sub")
+    bp = non_core.select("pid", "v", F.explode(nb_sub(F.col("sub"))).alias("sub")).join(lab_sub, "sub")
+    sure_b = bp.where(_box_d2("v", "sub", t, b, True) <= eps2).select("pid", F.col("sub_lab").alias("lab"))
+    maybe_b = (bp.where((_box_d2("v", "sub", t, b, True) > eps2) & (_box_d2("v", "sub", t, b, False) <= eps2))
+               .select(F.col("pid"), F.col("v").alias("va"), "sub")
+               .join(core_lab.select("sub", F.col("v").alias("vb"), "lab"), "sub")
+               .where(_dist2("va", "vb", d) <= eps2).select("pid", "lab"))
+    border_lab = sure_b.unionByName(maybe_b).groupBy("pid").agg(F.min("lab").alias("lab"))
+    return _number(pts.select("pid"), core_lab.select("pid", "lab").unionByName(border_lab), id_col)
+
+
+def _sub_pair_d2(a: str, b_: str, t: float, b: int):
+    gap, far = None, None
+    for i in range(b):
+        dlt = F.abs(F.col(a)[i] - F.col(b_)[i])
+        g = F.greatest(dlt - 1, F.lit(0)) * t
+        f = (dlt + 1) * t
+        gap = g * g if gap is None else gap + g * g
+        far = f * f if far is None else far + f * f
+    return gap, far
+
+
+def _propagate(labels: DataFrame, edges: DataFrame, max_rounds: int) -> DataFrame:
+    """Min-label propagation until nothing changes (checkpoint each round)."""
     for _ in range(max_rounds):
         prop = (edges.join(labels.withColumnRenamed("node", "na"), "na")
                 .groupBy(F.col("nb").alias("node")).agg(F.min("lab").alias("cand")))
-        new = (labels.join(prop, "node", "left")
-               .select("node", F.least("lab", F.coalesce("cand", "lab")).alias("lab")))
-        new = cut_lineage(new)
-        changed = new.join(labels.withColumnRenamed("lab", "old"), "node").where(F.col("lab") != F.col("old")).count()
+        new = cut_lineage(labels.join(prop, "node", "left")
+                          .select("node", F.least("lab", F.coalesce("cand", "lab")).alias("lab")))
+        changed = (new.join(labels.withColumnRenamed("lab", "old"), "node")
+                   .where(F.col("lab") != F.col("old")).limit(1).count())
         labels = new
         if changed == 0:
             break
-    core_lab = cores.join(labels, "node").select("pid", "cell", "v", "lab")
-    # border points: lowest component (by smallest core id) among cores within eps
-    non_core = pts.join(core.select("pid"), "pid", "left_anti")
-    bprobe = non_core.select(F.col("pid").alias("a"), F.col("v").alias("va"),
-                             F.explode(nb_cell(F.col("cell"))).alias("cell"))
-    border = (bprobe.join(core_lab.select(F.col("v").alias("vb"), "cell", "lab"), "cell")
-              .where(_dist2("va", "vb", d) <= eps2)
-              .groupBy(F.col("a").alias("pid")).agg(F.min("lab").alias("lab")))
-    assigned = core_lab.select("pid", "lab").unionByName(border)
-    # number clusters 0.. by their smallest core id (one row per cluster)
+    return labels
+
+
+def _number(all_ids: DataFrame, assigned: DataFrame, id_col: str) -> DataFrame:
+    """Clusters numbered 0.. by their smallest core id; others −1."""
     from pyspark.sql import Window
     ids = assigned.select("lab").distinct()
-    ids = ids.withColumn("cluster", (F.dense_rank().over(Window.orderBy("lab")) - 1).cast("int"))
-    out = (pts.select("pid").join(assigned, "pid", "left").join(ids, "lab", "left")
-           .select(F.col("pid").alias(id_col), F.coalesce("cluster", F.lit(-1)).cast("int").alias("cluster")))
-    return out
+    ids = ids.withColumn("cluster", (F.dense_rank().over(Window.orderBy("lab")) - 1).cast("int"))  # one row per cluster
+    return (all_ids.join(assigned, "pid", "left").join(ids, "lab", "left")
+            .select(F.col("pid").alias(id_col), F.coalesce("cluster", F.lit(-1)).cast("int").alias("cluster")))
+
+
+def _dbscan_pairs(pts: DataFrame, id_col: str, d: int, b: int, eps: float, min_points: int,
+                  max_rounds: int) -> DataFrame:
+    """d > 3: bucket on the first three coordinates, check every candidate
+    pair exactly (no shortcut: a cell no longer bounds distances)."""
+    side = eps / math.sqrt(b)
+    eps2 = eps * eps * (1 + 1e-12)
+    pts = pts.withColumn("cell", F.array(*[F.floor(F.col("v")[i] / side).cast("long") for i in range(b)]))
+    offs = _offsets(b, side, eps)
+    off_arr = F.array(*[F.array(*[F.lit(v) for v in o]) for o in offs])
+    nb_cell = lambda c: F.transform(off_arr, lambda o: F.zip_with(c, o, lambda x, y: x + y))
+    probe = pts.select(F.col("pid").alias("a"), F.col("v").alias("va"), F.explode(nb_cell(F.col("cell"))).alias("cell"))
+    near = cut_lineage(probe.join(pts.select(F.col("pid").alias("bb"), F.col("v").alias("vb"), "cell"), "cell")
+                       .where(_dist2("va", "vb", d) <= eps2).select("a", "bb"))
+    core_ids = near.groupBy("a").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= min_points).select(F.col("a").alias("pid"))
+    core_ids = cut_lineage(core_ids)
+    edges = (near.join(core_ids.withColumnRenamed("pid", "a"), "a").join(core_ids.withColumnRenamed("pid", "bb"), "bb")
+             .where(F.col("a") != F.col("bb")).select(F.col("a").cast("string").alias("na"),
+                                                       F.col("bb").cast("string").alias("nb")))
+    labels = core_ids.select(F.col("pid").cast("string").alias("node"), F.col("pid").alias("lab"))
+    labels = _propagate(labels, cut_lineage(edges), max_rounds)
+    core_lab = labels.select(F.col("lab"), F.col("node").alias("pk"))
+    core_lab = core_ids.join(core_lab, core_ids["pid"].cast("string") == core_lab["pk"]).select("pid", "lab")
+    border = (near.join(core_lab.select(F.col("pid").alias("bb"), "lab"), "bb")
+              .join(core_ids.withColumnRenamed("pid", "a"), "a", "left_anti")
+              .groupBy(F.col("a").alias("pid")).agg(F.min("lab").alias("lab")))
+    return _number(pts.select("pid"), core_lab.unionByName(border), id_col)

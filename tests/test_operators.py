@@ -247,3 +247,49 @@ def test_dtype_and_text_columns(spark):
     d = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     t = {r["column"]: r["is_text"] for r in text_columns(d).collect()}
     assert t == {"text": True, "lang": False, "source": False}
+
+
+def _brute_dbscan(X, eps, mp):
+    n = len(X)
+    D = ((X[:, None] - X[None]) ** 2).sum(-1) <= eps * eps
+    core = D.sum(1) >= mp
+    lab = -np.ones(n, int)
+    c = 0
+    for i in range(n):
+        if not core[i] or lab[i] >= 0:
+            continue
+        stack, lab[i] = [i], c
+        while stack:
+            j = stack.pop()
+            for k in np.flatnonzero(D[j]):
+                if lab[k] < 0:
+                    lab[k] = c
+                    if core[k]:
+                        stack.append(k)
+        c += 1
+    return lab
+
+
+def _two_moons(n=300, seed=0):
+    rng = np.random.default_rng(seed)
+    a = np.linspace(0, np.pi, n // 2)
+    X = np.r_[np.c_[np.cos(a), np.sin(a)], np.c_[1 - np.cos(a), 0.5 - np.sin(a)]]
+    return X + rng.normal(scale=0.08, size=X.shape)
+
+
+@pytest.mark.parametrize("eps", [0.1, 0.2, 0.3])
+def test_dbscan_two_moons_matches_brute_force(spark, eps):
+    from tabsight.operators.dbscan import dbscan
+    X = _two_moons()
+    df = spark.createDataFrame([(i, [float(a), float(b)]) for i, (a, b) in enumerate(X)], "id long, v array<double>")
+    got = dbscan(df, "id", "v", eps, 5).orderBy("id").toPandas()["cluster"].to_numpy()
+    assert (got == _brute_dbscan(X, eps, 5)).all()
+
+
+def test_dbscan_four_dims_matches_brute_force(spark):
+    from tabsight.operators.dbscan import dbscan
+    rng = np.random.default_rng(3)
+    X = np.r_[rng.normal(0, 0.3, (80, 4)), rng.normal(2, 0.3, (80, 4)), rng.uniform(-2, 4, (40, 4))]
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(X)], "id long, v array<double>")
+    got = dbscan(df, "id", "v", 0.6, 5).orderBy("id").toPandas()["cluster"].to_numpy()
+    assert (got == _brute_dbscan(X, 0.6, 5)).all()
