@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsight.functions.exprs import num
-from tabsight.operators.profile import column_stats, quantile_expr
+from tabsight.operators.profile import column_stats, quantile_row
 
 
 def _limit_counts(df: DataFrame, cols: list[str], z: float, k: float, exact: bool) -> DataFrame:
@@ -73,7 +73,8 @@ def remove_z_outliers(df: DataFrame, cols: list[str], z: float = 3.0,
 
 
 def _z_filter(df: DataFrame, cols: list[str], z: float, exact: bool) -> DataFrame:
-    med = df.agg(*[quantile_expr(num(df, c), [0.5], exact)[0].alias(f"__med{i}") for i, c in enumerate(cols)])
+    q = quantile_row(df, {f"__m{i}": num(df, c) for i, c in enumerate(cols)}, [0.5], exact)
+    med = q.select(*[F.col(f"__m{i}__q0").alias(f"__med{i}") for i in range(len(cols))])
     filled = {c: F.coalesce(num(df, c), F.col(f"__med{i}")) for i, c in enumerate(cols)}
     mom = df.crossJoin(F.broadcast(med)).agg(
         *[F.avg(filled[c]).alias(f"__mu{i}") for i, c in enumerate(cols)],

@@ -31,10 +31,31 @@ def quantile_expr(x, probs, exact: bool = True):
     return F.percentile_approx(x, arr, QUANTILE_ACCURACY).cast("array<double>")
 
 
+def quantile_row(df: DataFrame, exprs: dict, probs, exact=True) -> DataFrame:
+    """One-row table ``{name}__q{i}`` of quantiles of named numeric columns.
+    ``exact``: True/'auto' → exact (``percentile``, or the bounded
+    distributed ``refine`` above the size threshold), 'refine' → always
+    refine, False → ``percentile_approx``."""
+    from tabsight.operators.quantiles import choose_method, refine_quantiles
+    method = choose_method(df, "auto" if exact is True else exact) if exact else "approx"
+    if method == "refine":
+        got = refine_quantiles(df, exprs, probs)
+        spark = df.sparkSession
+        row = [float(got[(n, p)]) if got[(n, p)] is not None else None for n in exprs for p in probs]
+        schema = ", ".join(f"`{n}__q{i}` double" for n in exprs for i in range(len(probs)))
+        return spark.createDataFrame([tuple(row)], schema)
+    agg = df.agg(*[quantile_expr(x, probs, method != "approx").alias(f"{n}__qa") for n, x in exprs.items()])
+    return agg.select(*[F.col(f"`{n}__qa`")[i].alias(f"{n}__q{i}") for n in exprs for i in range(len(probs))])
+
+
 def column_stats(df: DataFrame, cols: list[str], probs=(0.25, 0.5, 0.75),
-                 exact: bool = True) -> DataFrame:
+                 exact: bool | str = True) -> DataFrame:
     """One-row wide table: ``{c}__n, __mean, __std, __std_pop, __min, __max,
     __q0 …`` for every column (NaN counted as missing)."""
+    from tabsight.operators.quantiles import choose_method
+    if probs and exact and choose_method(df, "auto" if exact is True else exact) == "refine":
+        base = column_stats(df, cols, (), exact)
+        return base.crossJoin(quantile_row(df, {c: num(df, c) for c in cols}, probs, "refine"))
     aggs = []
     for c in cols:
         x = num(df, c)
@@ -181,10 +202,11 @@ def histogram(df: DataFrame, col: str, bins: int = 40, digits: int = 6) -> DataF
                     F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count")))
 
 
-def center_markers(df: DataFrame, col: str, digits: int = 6, exact: bool = True) -> DataFrame:
+def center_markers(df: DataFrame, col: str, digits: int = 6, exact: bool | str = True) -> DataFrame:
     x = num(df, col)
-    return df.agg(F.round(F.avg(x), digits).alias("mean"),
-                  F.round(quantile_expr(x, [0.5], exact)[0], digits).alias("median"))
+    med = quantile_row(df, {"m": x}, [0.5], exact)
+    return df.agg(F.round(F.avg(x), digits).alias("mean")).crossJoin(med).select(
+        "mean", F.round("m__q0", digits).alias("median"))
 
 
 def correlation_matrix(df: DataFrame, cols: list[str] | None = None, digits: int = 6) -> DataFrame:
@@ -273,6 +295,7 @@ def box_stats(df: DataFrame, cols: list[str], k: float = 1.5, digits: int = 6,
     return out.select("column", *[F.round(F.col(d).cast("double"), digits).alias(d) for d in dbl], "n_fliers")
 
 
-def median_all(df: DataFrame, cols: list[str], exact: bool = True) -> DataFrame:
+def median_all(df: DataFrame, cols: list[str], exact: bool | str = True) -> DataFrame:
     """One-row table of column medians (the fill values of median imputation)."""
-    return df.agg(*[quantile_expr(num(df, c), [0.5], exact)[0].alias(c) for c in cols])
+    q = quantile_row(df, {c: num(df, c) for c in cols}, [0.5], exact)
+    return q.select(*[F.col(f"`{c}__q0`").alias(c) for c in cols])

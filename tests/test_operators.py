@@ -293,3 +293,23 @@ def test_dbscan_four_dims_matches_brute_force(spark):
     df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(X)], "id long, v array<double>")
     got = dbscan(df, "id", "v", 0.6, 5).orderBy("id").toPandas()["cluster"].to_numpy()
     assert (got == _brute_dbscan(X, 0.6, 5)).all()
+
+
+def test_refine_quantiles_equal_percentile(spark):
+    from tabsight.operators.quantiles import refine_quantiles
+    ev = events(spark)
+    probs = (0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0)
+    got = refine_quantiles(ev, {"value": F.col("value"), "user_id": F.col("user_id")}, probs,
+                           buckets=8, max_collect=20)
+    want = ev.agg(*[F.percentile(c, F.array(*[F.lit(p) for p in probs])).alias(c) for c in ["value", "user_id"]]).first()
+    for c in ["value", "user_id"]:
+        for i, p in enumerate(probs):
+            assert got[(c, p)] == pytest.approx(want[c][i], rel=1e-12, abs=1e-12)
+
+
+def test_stats_refine_path_matches(spark):
+    from tabsight.operators.outliers import outlier_comparison
+    from tabsight.operators.profile import box_stats
+    ev = events(spark)
+    assert box_stats(ev, ["value"], exact="refine").collect() == box_stats(ev, ["value"]).collect()
+    assert outlier_comparison(ev, ["value"], exact="refine").collect() == outlier_comparison(ev, ["value"]).collect()
