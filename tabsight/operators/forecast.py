@@ -84,11 +84,11 @@ def arima_forecast(df: DataFrame, keys: list[str], ts: str, val: str, p: int = 2
     train = ranked.where("__train").select(*keys, ts, "__y", F.col(RANK).alias(POS))
     test = ranked.where(~F.col("__train")).select(*keys, ts, "__y", (F.col(RANK) - F.col("__cut")).alias("step"))
     # 1. differences of the training part
-    d1 = add_lags(train, keys, POS, "__y", 1, POS, diff=True).select(*keys, POS, F.col("diff_1").alias("w"))
+    d1 = add_lags(train, keys, POS, "__y", 1, POS, diff=True, ts_is_rank=True).select(*keys, POS, F.col("diff_1").alias("w"))
     d1 = d1.where(F.col("w").isNotNull())
     # 2. long autoregression → residuals as shock estimates
     m = long_ar
-    lw = add_lags(d1, keys, POS, "w", max(m, p), POS, diff=False)
+    lw = add_lags(d1, keys, POS, "w", max(m, p), POS, diff=False, ts_is_rank=True)
     ar_x = [f"lag_{i}" for i in range(1, m + 1)]
     beta1 = _fit(lw, keys, "w", ar_x)
     res = lw.join(beta1, keys) if keys else lw.crossJoin(beta1)
@@ -96,7 +96,7 @@ def arima_forecast(df: DataFrame, keys: list[str], ts: str, val: str, p: int = 2
     # 3. ARMA regression on own lags and residual lags
     own = [f"wlag_{i}" for i in range(1, p + 1)]
     res = res.select(*keys, POS, "w", "e", *[F.col(f"lag_{i}").alias(f"wlag_{i}") for i in range(1, p + 1)])
-    rl = add_lags(res, keys, POS, "e", q, POS, diff=False)
+    rl = add_lags(res, keys, POS, "e", q, POS, diff=False, ts_is_rank=True)
     rl = rl.select(*keys, POS, "w", *own, "e", *[F.col(f"lag_{i}").alias(f"elag_{i}") for i in range(1, q + 1)])
     xs = own + [f"elag_{i}" for i in range(1, q + 1)]
     rl = cut_lineage(rl)

@@ -52,10 +52,16 @@ def rolling_stats(df: DataFrame, keys: list[str], ts: str, val: str, w: int, id_
 
 
 def add_lags(df: DataFrame, keys: list[str], ts: str, val: str, n: int, id_col: str,
-             diff: bool = True, block_rows: int = 1_000_000, chunk_rows: int = 1_000_000) -> DataFrame:
+             diff: bool = True, block_rows: int = 1_000_000, chunk_rows: int = 1_000_000,
+             ts_is_rank: bool = False) -> DataFrame:
     """Add ``lag_1 … lag_n`` (previous values in time order) and, if asked,
-    ``diff_1`` = value − previous value (the d = 1 of ARIMA)."""
-    ranked = ordered_rank(df, keys, ts, [id_col], chunk_rows=chunk_rows, with_count=False)
+    ``diff_1`` = value − previous value (the d = 1 of ARIMA).
+    ``ts_is_rank``: ``ts`` already holds consecutive row numbers per key
+    (skips the ranking)."""
+    if ts_is_rank:
+        ranked = df.withColumn(RANK, F.col(ts).cast("long"))
+    else:
+        ranked = ordered_rank(df, keys, ts, [id_col], chunk_rows=chunk_rows, with_count=False)
     blk = with_blocks(ranked, n, block_rows)
     w = Window.partitionBy(*keys, BLOCK).orderBy(RANK)
     lags = [F.lag(F.col(val), i).over(w).alias(f"lag_{i}") for i in range(1, n + 1)]
