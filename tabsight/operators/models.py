@@ -43,6 +43,10 @@ CV_FOLDS = 3
 
 SCALED = {"logistic_regression", "knn", "linear_regression", "ridge"}
 
+# Tree training: larger node-statistics batches mean fewer passes over the
+# data per tree level; cached node ids avoid re-walking deep trees.
+TREE_OPTS = {"maxMemoryInMB": 1024, "cacheNodeIds": True}
+
 
 def assemble(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
@@ -56,29 +60,32 @@ def catalogue(kind: str, n_train: int, n_classes: int = 2, y_std: float | None =
     from pyspark.ml import regression as R
     common = dict(labelCol=label, featuresCol=features)
     if kind == "classification":
-        gbt = C.GBTClassifier(maxIter=BOOST_ROUNDS, maxDepth=BOOST_DEPTH, stepSize=BOOST_STEP, seed=SEED, **common)
+        gbt = C.GBTClassifier(maxIter=BOOST_ROUNDS, maxDepth=BOOST_DEPTH, stepSize=BOOST_STEP, seed=SEED,
+                              **TREE_OPTS, **common)
         if n_classes > 2:
             gbt = C.OneVsRest(classifier=C.GBTClassifier(maxIter=BOOST_ROUNDS, maxDepth=BOOST_DEPTH,
-                                                         stepSize=BOOST_STEP, seed=SEED), **common)
+                                                         stepSize=BOOST_STEP, seed=SEED, **TREE_OPTS), **common)
         return {
-            "random_forest": C.RandomForestClassifier(numTrees=FOREST_TREES, maxDepth=FOREST_DEPTH, seed=SEED, **common),
+            "random_forest": C.RandomForestClassifier(numTrees=FOREST_TREES, maxDepth=FOREST_DEPTH, seed=SEED,
+                                                      **TREE_OPTS, **common),
             "gradient_boosting": gbt,
             "logistic_regression": C.LogisticRegression(regParam=1.0 / (LOGREG_C * max(n_train, 1)),
                                                         elasticNetParam=0.0, standardization=False,
                                                         maxIter=LOGREG_ITER, **common),
             "knn": None,
-            "decision_tree": C.DecisionTreeClassifier(maxDepth=TREE_DEPTH, seed=SEED, **common),
+            "decision_tree": C.DecisionTreeClassifier(maxDepth=TREE_DEPTH, seed=SEED, **TREE_OPTS, **common),
         }
     ridge_reg = RIDGE_ALPHA * (y_std or 1.0) / max(n_train, 1)
     return {
-        "random_forest": R.RandomForestRegressor(numTrees=FOREST_TREES, maxDepth=FOREST_DEPTH, seed=SEED, **common),
+        "random_forest": R.RandomForestRegressor(numTrees=FOREST_TREES, maxDepth=FOREST_DEPTH, seed=SEED,
+                                                   **TREE_OPTS, **common),
         "gradient_boosting": R.GBTRegressor(maxIter=BOOST_ROUNDS, maxDepth=BOOST_DEPTH, stepSize=BOOST_STEP,
-                                            seed=SEED, **common),
+                                            seed=SEED, **TREE_OPTS, **common),
         "linear_regression": R.LinearRegression(regParam=0.0, solver="normal", **common),
         "ridge": R.LinearRegression(regParam=ridge_reg, elasticNetParam=0.0, standardization=False,
                                     solver="normal", **common),
         "knn": None,
-        "decision_tree": R.DecisionTreeRegressor(maxDepth=TREE_DEPTH, seed=SEED, **common),
+        "decision_tree": R.DecisionTreeRegressor(maxDepth=TREE_DEPTH, seed=SEED, **TREE_OPTS, **common),
     }
 
 
@@ -204,7 +211,7 @@ def select_features(df: DataFrame, feature_cols: list[str], generated: list[str]
     from pyspark.ml.regression import RandomForestRegressor
     a = assemble(df.na.fill(0.0, subset=feature_cols), feature_cols, "__fs")
     cls = RandomForestClassifier if kind == "classification" else RandomForestRegressor
-    m = cls(numTrees=30, maxDepth=6, seed=SEED, labelCol=label, featuresCol="__fs").fit(a)
+    m = cls(numTrees=30, maxDepth=6, seed=SEED, labelCol=label, featuresCol="__fs", **TREE_OPTS).fit(a)
     imp = m.featureImportances.toArray().tolist()
     mean = sum(imp) / len(imp) if imp else 0.0
     dropped = [c for c, v in zip(feature_cols, imp) if c in set(generated) and v < threshold_factor * mean]

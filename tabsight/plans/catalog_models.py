@@ -62,7 +62,7 @@ def q_tuned_models(spark, sf_dir):
     tr = pc.train.cache()
     n = tr.count()
     rows = []
-    _, p, s = M.tune(RandomForestClassifier(seed=M.SEED), M.GRID_FOREST, tr, "classification")
+    _, p, s = M.tune(RandomForestClassifier(seed=M.SEED, **M.TREE_OPTS), M.GRID_FOREST, tr, "classification")
     rows.append(("random_forest", str(sorted(p.items())), s))
     lr = LogisticRegression(elasticNetParam=0.0, standardization=False, maxIter=M.LOGREG_ITER,
                             featuresCol="features_scaled")
@@ -84,7 +84,8 @@ def q_tuned_models(spark, sf_dir):
 def q_feature_importance(spark, sf_dir):
     from pyspark.ml.regression import RandomForestRegressor
     pr = _prep_reg(spark, sf_dir)
-    m = RandomForestRegressor(numTrees=M.FOREST_TREES, maxDepth=M.FOREST_DEPTH, seed=M.SEED).fit(pr.train)
+    m = RandomForestRegressor(numTrees=M.FOREST_TREES, maxDepth=M.FOREST_DEPTH, seed=M.SEED,
+                              **M.TREE_OPTS).fit(pr.train)
     return M.feature_importance(m, pr.feature_cols, 20, spark=spark)
 
 

@@ -22,7 +22,8 @@ def q_sampled_attributions(spark, sf_dir):
     from tabsight.operators.explain import sampled_attributions
     from tabsight.plans.catalog_models import _prep_cls
     pc = _prep_cls(spark, sf_dir)
-    m = RandomForestClassifier(numTrees=50, maxDepth=12, seed=42).fit(pc.train)
+    from tabsight.operators.models import TREE_OPTS
+    m = RandomForestClassifier(numTrees=50, maxDepth=12, seed=42, **TREE_OPTS).fit(pc.train)
     return sampled_attributions(m, pc.test, pc.train, pc.id_col, "features", pc.feature_cols, 10,
                                 output="probability")
 
