@@ -107,13 +107,22 @@ def q_cluster_map(spark, sf_dir):
 
 @query("cluster_leaderboard")
 def q_cluster_leaderboard(spark, sf_dir):
-    """k-means and Gaussian mixture scored by silhouette (squared) and
-    Davies–Bouldin; best by silhouette; DB also as a share of the largest."""
+    """k-means, Gaussian mixture and DBSCAN (eps 0.5, 5 points) scored by
+    silhouette (squared; noise counted as its own cluster, as the original
+    does) and Davies–Bouldin; clusterings with silhouette −1 (fewer than two
+    clusters) are dropped; best by silhouette; DB also as a share of the
+    largest."""
     from pyspark.sql import Window
     emb = embeddings(spark, sf_dir)
     k = _k(spark, sf_dir)
     rows = []
-    for name, fit in (("kmeans", K.kmeans), ("gaussian_mixture", K.gaussian_mixture)):
+    from tabsight.operators.dbscan import dbscan
+
+    def fit_dbscan(df, vec, _k):
+        lab = dbscan(df, "vec_id", vec, 0.5, 5)
+        return None, df.join(lab, "vec_id")
+
+    for name, fit in (("kmeans", K.kmeans), ("gaussian_mixture", K.gaussian_mixture), ("dbscan", fit_dbscan)):
         try:
             _, lab = fit(emb, "embedding", k)
             s = K.silhouette_sq(lab, "embedding", "cluster").first()

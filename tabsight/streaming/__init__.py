@@ -1,0 +1,8 @@
+"""Streaming.
+
+The analysed tool has no streaming operator: no stream source or sink, no
+watermark, no event-time window, no stateful operator.  Nothing is built
+here.  A model saved with ``tabsight.sources.save_model`` is a Spark
+``PipelineModel`` and can score a streaming DataFrame directly
+(``model.transform(spark.readStream...)``) without code from this package.
+"""

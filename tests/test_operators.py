@@ -313,3 +313,27 @@ def test_stats_refine_path_matches(spark):
     ev = events(spark)
     assert box_stats(ev, ["value"], exact="refine").collect() == box_stats(ev, ["value"]).collect()
     assert outlier_comparison(ev, ["value"], exact="refine").collect() == outlier_comparison(ev, ["value"]).collect()
+
+
+def test_csv_round_trip_and_schema_helpers(spark, tmp_path):
+    from tabsight.operators.columns import date_candidates, numeric_columns
+    from tabsight.operators.profile import dtype_counts
+    from tabsight.sources.io import read_table, write_results
+    o = spark.read.parquet(f"{SF_SMALL}/orders.parquet").limit(50)
+    path = str(tmp_path / "orders_csv")
+    write_results(o.withColumn("o_orderpriority", F.when(F.col("o_orderkey") % 5 == 0, F.lit("NA"))
+                               .otherwise(F.col("o_orderpriority"))), path, "csv")
+    back = read_table(spark, path, "csv")
+    assert back.count() == 50
+    assert back.where(F.col("o_orderpriority").isNull()).count() == o.where(F.col("o_orderkey") % 5 == 0).count()
+    assert "o_totalprice" in numeric_columns(back)
+    assert date_candidates(o) == ["o_orderdate"]
+    assert {r["kind"]: r["n_columns"] for r in dtype_counts(o).collect()} == {"Numeric": 3, "Categorical": 2, "Other": 1}
+
+
+def test_cap_rows_repeatable(spark):
+    from tabsight.sources.io import cap_rows
+    o = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    a = [r[0] for r in cap_rows(o, 100, "o_orderkey").select("o_orderkey").collect()]
+    b = [r[0] for r in cap_rows(o.repartition(7), 100, "o_orderkey").select("o_orderkey").collect()]
+    assert len(a) == 100 and sorted(a) == sorted(b)
