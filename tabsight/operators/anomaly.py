@@ -131,9 +131,10 @@ def isolation_forest(df: DataFrame, id_col: str, cols: list[str], n_trees: int =
     idt = x.schema[id_col].dataType.simpleString()
     # scores feed the threshold and the flags: score once, keep them
     scored = spread(x).mapInPandas(_scorer(trees, cols, id_col, psi), f"{id_col} {idt}, score double").persist()
+    from tabsight.operators.profile import quantile_row
     q = 1.0 - contamination
-    thr_expr = F.percentile("score", F.lit(q)) if exact_threshold else F.percentile_approx("score", F.lit(q), 100_000)
-    thr = scored.agg(thr_expr.alias("__thr"))
+    thr = quantile_row(scored, {"s": F.col("score")}, [q], True if exact_threshold else False).select(
+        F.col("s__q0").alias("__thr"))
     return scored.crossJoin(F.broadcast(thr)).select(
         id_col, "score", (F.col("score") > F.col("__thr")).alias("is_anomaly"))
 

@@ -54,12 +54,17 @@ def _hash_order(id_cols: list[str], seed: int):
 
 
 def cap_rows(df: DataFrame, n: int, id_cols: list[str] | str, seed: int = 42,
-             exact: bool = True) -> DataFrame:
+             exact: bool = True, direct_limit: int = 10_000) -> DataFrame:
     """Repeatable uniform sample of ``n`` rows (no replacement).
 
-    ``exact=True`` ranks rows by a seeded hash of the id and keeps the first
-    ``n`` — a distributed top-k (``TakeOrderedAndProject``), no full sort.
-    ``exact=False`` uses a Bernoulli sample of the expected size instead.
+    ``exact=True``: the ``n`` rows with the smallest seeded hash of the id
+    (ties by id) — the same rows however the table is partitioned.  Small
+    ``n`` is a distributed top-k (``TakeOrderedAndProject``).  Large ``n``
+    would make every task send ``n`` rows to one final task, so instead a
+    hash threshold is taken from a sketch quantile (with margin), rows under
+    it are kept — about ``n`` rows — and the exact top ``n`` is cut from
+    those; the threshold is widened if too few pass.
+    ``exact=False``: a Bernoulli sample of the expected size.
     The cap is off unless the caller asks for it.
     """
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
@@ -69,7 +74,21 @@ def cap_rows(df: DataFrame, n: int, id_cols: list[str] | str, seed: int = 42,
             return df
         return df.sample(withReplacement=False, fraction=min(1.0, n / total), seed=seed)
     h = "__cap_hash"
-    return df.withColumn(h, _hash_order(ids, seed)).orderBy(h, *ids).limit(n).drop(h)
+    hashed = df.withColumn(h, _hash_order(ids, seed))
+    if n <= direct_limit:
+        return hashed.orderBy(h, *ids).limit(n).drop(h)
+    num = F.conv(F.substring(F.col(h), 1, 15), 16, 10).cast("long")
+    stats = hashed.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    if stats <= n:
+        return df
+    margin = 1.05
+    while True:
+        frac = min(1.0, n * margin / stats)
+        thr = hashed.agg(F.percentile_approx(num, F.lit(frac), 10_000).alias("t")).first()["t"]
+        kept = hashed.where(num <= F.lit(thr))
+        if frac >= 1.0 or kept.count() >= n:
+            return kept.orderBy(h, *ids).limit(n).drop(h)
+        margin *= 1.5
 
 
 def preview(df: DataFrame, n: int, id_cols: list[str] | str) -> DataFrame:

@@ -337,3 +337,11 @@ def test_cap_rows_repeatable(spark):
     a = [r[0] for r in cap_rows(o, 100, "o_orderkey").select("o_orderkey").collect()]
     b = [r[0] for r in cap_rows(o.repartition(7), 100, "o_orderkey").select("o_orderkey").collect()]
     assert len(a) == 100 and sorted(a) == sorted(b)
+
+
+def test_cap_rows_threshold_path_equals_direct(spark):
+    from tabsight.sources.io import cap_rows
+    o = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    a = sorted(r[0] for r in cap_rows(o, 700, "o_orderkey", direct_limit=10_000).select("o_orderkey").collect())
+    b = sorted(r[0] for r in cap_rows(o, 700, "o_orderkey", direct_limit=100).select("o_orderkey").collect())
+    assert a == b and len(a) == 700
