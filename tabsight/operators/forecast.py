@@ -12,9 +12,10 @@ squares regressions instead, and least squares is a sum over rows:
 3. residuals of that fit stand in for the unobserved shocks;
 4. regress the differences on p own lags and q residual lags (again one
    grouped aggregate), solve each series' small system;
-5. the forecast recursion runs per series from its last p values and q
-   residuals only (one row in, ``horizon`` rows out), then the differences
-   are summed back onto the last observed level.
+5. the forecast is a linear recursion on the state (last p differences,
+   last q residuals, level); the horizon is cut into blocks, each block
+   starts from the state given by a power of the transition matrix, so a
+   long horizon is spread over many tasks (one row in per block).
 
 Coefficients are therefore not the likelihood ones; same order, same split.
 """
@@ -68,8 +69,54 @@ def _predict(beta_col: str, xs: list[str]):
     return e
 
 
+def _transition(beta: np.ndarray, p: int, q: int) -> np.ndarray:
+    """One forecast step as a linear map of the state
+    [w_t … w_{t−p+1}, e_t … e_{t−q+1}, 1, level_t] (future shocks are 0)."""
+    m = p + q + 2
+    M = np.zeros((m, m))
+    one, lev = p + q, p + q + 1
+    row = np.zeros(m)
+    row[one] = beta[0]
+    row[:p] = beta[1:1 + p]
+    row[p:p + q] = beta[1 + p:1 + p + q]
+    if p:
+        M[0] = row
+        for i in range(1, p):
+            M[i, i - 1] = 1.0
+    for j in range(1, q):
+        M[p + j, p + j - 1] = 1.0
+    M[one, one] = 1.0
+    M[lev] = row
+    M[lev, lev] += 1.0
+    return M
+
+
+def _forecast_block(keys: list[str], p: int, q: int, block_steps: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, r in pdf.iterrows():
+            beta = np.asarray(r["beta"], dtype="float64")
+            hist = list(r["hist"])
+            w_hist = [h["w"] for h in hist][-p:] if p else []
+            e_hist = [h["e"] if h["e"] is not None else 0.0 for h in hist][-q:] if q else []
+            w_hist = [0.0] * (p - len(w_hist)) + w_hist
+            e_hist = [0.0] * (q - len(e_hist)) + e_hist
+            z = np.array(w_hist[::-1] + e_hist[::-1] + [1.0, float(r["y_last"])])
+            M = _transition(beta, p, q)
+            start = int(r["__blk"]) * block_steps
+            stop = min(int(r["h"]), start + block_steps)
+            if start > 0:
+                z = np.linalg.matrix_power(M, start) @ z
+            for s in range(start + 1, stop + 1):
+                z = M @ z
+                out.append({**{c: r[c] for c in keys}, "step": s, "forecast": float(z[-1])})
+        return pd.DataFrame(out, columns=keys + ["step", "forecast"])
+    return run
+
+
 def arima_forecast(df: DataFrame, keys: list[str], ts: str, val: str, p: int = 2, q: int = 2,
-                   frac: float = 0.8, long_ar: int = 8, chunk_rows: int = 1_000_000) -> DataFrame:
+                   frac: float = 0.8, long_ar: int = 8, chunk_rows: int = 1_000_000,
+                   block_steps: int = 100_000) -> DataFrame:
     """Forecast the last (1 − frac) of every series → (keys…, step, ts,
     actual, forecast, error)."""
     keys = list(keys)
@@ -113,29 +160,13 @@ def arima_forecast(df: DataFrame, keys: list[str], ts: str, val: str, p: int = 2
         state.crossJoin(beta2).crossJoin(last_y).crossJoin(horizon)
     kschema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, r in pdf.iterrows():
-            beta = np.asarray(r["beta"], dtype="float64")
-            hist = list(r["hist"])
-            w_hist = [h["w"] for h in hist][-p:] if p else []
-            e_hist = [h["e"] if h["e"] is not None else 0.0 for h in hist][-q:] if q else []
-            w_hist = [0.0] * (p - len(w_hist)) + w_hist
-            e_hist = [0.0] * (q - len(e_hist)) + e_hist
-            level = float(r["y_last"])
-            for s in range(1, int(r["h"]) + 1):
-                x = [1.0] + w_hist[::-1][:p] + e_hist[::-1][:q]
-                w_next = float(np.dot(beta, x))
-                level += w_next
-                out.append({**{c: r[c] for c in keys}, "step": s, "forecast": level})
-                w_hist = (w_hist + [w_next])[-p:] if p else []
-                e_hist = (e_hist + [0.0])[-q:] if q else []
-        cols = keys + ["step", "forecast"]
-        return pd.DataFrame(out, columns=cols)
-
     fschema = (kschema + ", " if keys else "") + "step long, forecast double"
-    fc = st.groupBy(*keys).applyInPandas(run, fschema) if keys else \
-        st.mapInPandas(lambda it: (run(x) for x in it), fschema)
+    # the horizon is cut into blocks of ``block_steps``; each block starts
+    # from the state reached by a matrix power, so no task generates more
+    # than one block whatever the horizon
+    blocks = st.select("*", F.explode(F.sequence(F.lit(0), F.greatest(
+        F.ceil(F.col("h") / F.lit(block_steps)) - 1, F.lit(0)).cast("int"))).alias("__blk"))
+    fc = blocks.groupBy(*keys, "__blk").applyInPandas(_forecast_block(keys, p, q, block_steps), fschema)
     j = test.join(fc, [*keys, "step"], "left")
     return j.select(*keys, "step", ts, F.col("__y").alias("actual"), "forecast",
                     (F.col("__y") - F.col("forecast")).alias("error"))

@@ -345,3 +345,14 @@ def test_cap_rows_threshold_path_equals_direct(spark):
     a = sorted(r[0] for r in cap_rows(o, 700, "o_orderkey", direct_limit=10_000).select("o_orderkey").collect())
     b = sorted(r[0] for r in cap_rows(o, 700, "o_orderkey", direct_limit=100).select("o_orderkey").collect())
     assert a == b and len(a) == 700
+
+
+def test_forecast_blocks_equal_one_block(spark):
+    from tabsight.operators.forecast import arima_forecast
+    from tabsight.operators.series import resample_mean
+    h = resample_mean(events(spark), ["event_type"], "ts", "value", "hour")
+    a = arima_forecast(h, ["event_type"], "ts", "value", block_steps=100_000).toPandas()
+    b = arima_forecast(h, ["event_type"], "ts", "value", block_steps=7).toPandas()
+    m = a.merge(b, on=["event_type", "step"])
+    assert len(m) == len(a) == len(b)
+    assert np.allclose(m["forecast_x"], m["forecast_y"], rtol=1e-9, atol=1e-9)
