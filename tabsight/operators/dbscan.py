@@ -132,9 +132,9 @@ def dbscan(df: DataFrame, id_col: str, vec_col: str, eps: float = 0.5, min_point
                .join(core.select("sub", F.col("v").alias("vb")), "sub")
                .where(_dist2("va", "vb", d) <= eps2).select("na", "nb").distinct())
     edges = cut_lineage(sure.unionByName(checked).distinct())
-    labels = cut_lineage(core.groupBy("node").agg(F.min("pid").alias("lab")))
+    labels = cut_lineage(core.select("node").distinct().withColumn("lab", F.col("node")))
     labels = _propagate(labels, edges, max_rounds)
-    core_lab = core.join(labels, "node").select("pid", "v", "sub", "lab")
+    core_lab = core.join(_component_ids(core.select("pid", "node"), labels), "pid").select("pid", "v", "sub", "lab")
 
     # ---- border points: lowest cluster among cores within eps --------------
     lab_sub = core_lab.groupBy("sub").agg(F.min("lab").alias("sub_lab"))
@@ -161,12 +161,18 @@ def _sub_pair_d2(a: str, b_: str, t: float, b: int):
 
 
 def _propagate(labels: DataFrame, edges: DataFrame, max_rounds: int) -> DataFrame:
-    """Min-label propagation until nothing changes (checkpoint each round)."""
+    """Connected components: every node ends labelled with the smallest node
+    id of its component.  Each round takes the smallest label among the
+    neighbours, then jumps one hop along the labels (a label is itself a
+    node), which roughly halves long chains per round.  Lineage is cut by a
+    reliable checkpoint every round."""
     for _ in range(max_rounds):
         prop = (edges.join(labels.withColumnRenamed("node", "na"), "na")
                 .groupBy(F.col("nb").alias("node")).agg(F.min("lab").alias("cand")))
-        new = cut_lineage(labels.join(prop, "node", "left")
-                          .select("node", F.least("lab", F.coalesce("cand", "lab")).alias("lab")))
+        step = labels.join(prop, "node", "left").select("node", F.least("lab", F.coalesce("cand", "lab")).alias("lab"))
+        hop = step.select(F.col("node").alias("lab"), F.col("lab").alias("lab2"))
+        new = cut_lineage(step.join(hop, "lab", "left")
+                          .select("node", F.least("lab", F.coalesce("lab2", "lab")).alias("lab")))
         changed = (new.join(labels.withColumnRenamed("lab", "old"), "node")
                    .where(F.col("lab") != F.col("old")).limit(1).count())
         labels = new
@@ -175,6 +181,13 @@ def _propagate(labels: DataFrame, edges: DataFrame, max_rounds: int) -> DataFram
     return labels
 
 
+def _component_ids(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(pid, lab) with lab = smallest core id of the pid's component."""
+    j = members.join(labels, "node")
+    first = j.groupBy(F.col("lab").alias("comp")).agg(F.min("pid").alias("cid"))
+    return j.join(first, j["lab"] == first["comp"]).select("pid", F.col("cid").alias("lab"))
+
+
 def _number(all_ids: DataFrame, assigned: DataFrame, id_col: str) -> DataFrame:
     """Clusters numbered 0.. by their smallest core id; others −1."""
     from pyspark.sql import Window
@@ -202,10 +215,9 @@ def _dbscan_pairs(pts: DataFrame, id_col: str, d: int, b: int, eps: float, min_p
     edges = (near.join(core_ids.withColumnRenamed("pid", "a"), "a").join(core_ids.withColumnRenamed("pid", "bb"), "bb")
              .where(F.col("a") != F.col("bb")).select(F.col("a").cast("string").alias("na"),
                                                        F.col("bb").cast("string").alias("nb")))
-    labels = core_ids.select(F.col("pid").cast("string").alias("node"), F.col("pid").alias("lab"))
+    labels = core_ids.select(F.col("pid").cast("string").alias("node"), F.col("pid").cast("string").alias("lab"))
     labels = _propagate(labels, cut_lineage(edges), max_rounds)
-    core_lab = labels.select(F.col("lab"), F.col("node").alias("pk"))
-    core_lab = core_ids.join(core_lab, core_ids["pid"].cast("string") == core_lab["pk"]).select("pid", "lab")
+    core_lab = _component_ids(core_ids.select("pid", F.col("pid").cast("string").alias("node")), labels)
     border = (near.join(core_lab.select(F.col("pid").alias("bb"), "lab"), "bb")
               .join(core_ids.withColumnRenamed("pid", "a"), "a", "left_anti")
               .groupBy(F.col("a").alias("pid")).agg(F.min("lab").alias("lab")))
