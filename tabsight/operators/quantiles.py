@@ -35,7 +35,8 @@ AUTO_BYTES = 4 << 30
 
 def estimated_bytes(df: DataFrame) -> int | None:
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        return int(size) if isinstance(size, int) else int(str(size.toString()))
     except Exception:  # noqa: BLE001  (e.g. Spark Connect)
         return None
 

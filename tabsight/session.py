@@ -77,13 +77,16 @@ def env_int(name: str, default: int) -> int:
         return default
 
 
-def spread(df, min_partitions: int | None = None):
-    """Give CPU-heavy work (tokenising, NumPy scoring) at least one input
-    partition per core.  A table stored as one large row group is read by a
-    single task however many splits are planned; on a cluster reading many
-    files the input already has far more partitions than cores and this is
-    a no-op (no extra shuffle)."""
+def spread(df, min_partitions: int | None = None, small_bytes: int = 2 << 30):
+    """Give CPU-heavy work (tokenising, NumPy scoring) one input partition
+    per core.  A table stored as one large row group is read by a single
+    task however many splits are planned.  Decided from the optimizer's size
+    estimate (no job runs): inputs under ``small_bytes`` are round-robin
+    repartitioned (a cheap shuffle of little data); larger inputs, which a
+    cluster reads from many files and row groups, are left as they are."""
+    from tabsight.operators.quantiles import estimated_bytes
     n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= 2 * n:
+    size = estimated_bytes(df)
+    if size is None or size > small_bytes:
         return df
     return df.repartition(n)

@@ -356,3 +356,11 @@ def test_forecast_blocks_equal_one_block(spark):
     m = a.merge(b, on=["event_type", "step"])
     assert len(m) == len(a) == len(b)
     assert np.allclose(m["forecast_x"], m["forecast_y"], rtol=1e-9, atol=1e-9)
+
+
+def test_size_estimate_and_method_choice(spark):
+    from tabsight.operators.quantiles import choose_method, estimated_bytes
+    d = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    assert estimated_bytes(d) > 0
+    assert choose_method(d) == "percentile"
+    assert choose_method(d, auto_bytes=1) == "refine"
