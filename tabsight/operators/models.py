@@ -220,6 +220,13 @@ def select_features(df: DataFrame, feature_cols: list[str], generated: list[str]
     return df.drop(*dropped), table, dropped
 
 
+def top_selected_features(importance: DataFrame, n: int = 15) -> DataFrame:
+    """Importance order after removing the dropped features, top ``n``
+    (``importance``: the table returned by ``select_features``)."""
+    return (importance.where(~F.col("dropped")).orderBy(F.desc("importance"), "feature").limit(n)
+            .select("feature", "importance"))
+
+
 def linear_attributions(model, df: DataFrame, names: list[str], features: str = "features",
                         background: DataFrame | None = None, digits: int = 6) -> DataFrame:
     """Exact Shapley values of a linear model: wᵢ · (xᵢ − mean(xᵢ)) with the

@@ -144,3 +144,26 @@ def q_knn_predict(spark, sf_dir):
     p = knn_predict(tr, te, "vec_id", "embedding", "label", 5, "classification")
     return p.join(te.select("vec_id", "label"), "vec_id").select(
         "vec_id", F.col("prediction").cast("int").alias("prediction"), "label")
+
+
+@query("preprocess")
+def q_preprocess(spark, sf_dir):
+    """X8 end to end on the regression problem: encode, impute, engineer
+    (squares, neighbour products, logs, quartile bins), select by forest
+    importance (fitted on the train split), scale → model-ready rows."""
+    pr = _prep_reg(spark, sf_dir, auto_fe=True, select=True)
+    out = pr.train.unionByName(pr.test)
+    return out.drop("features", "features_scaled")
+
+
+@query("top_selected_features")
+def q_top_selected_features(spark, sf_dir):
+    """The 15 most important kept features after selection."""
+    from tabsight.operators.features import auto_features
+    d = regression_input(spark, sf_dir)
+    base = ["l_quantity", "l_discount", "l_tax", "p_retailprice", "p_size"]
+    d, gen = auto_features(d, base)
+    d = d.withColumn("label", F.col("l_extendedprice"))
+    train = train_test_split(d, "row_id").where(F.col("split") == "train")
+    _, tbl, _ = M.select_features(train, base + gen, gen, "label", "regression")
+    return M.top_selected_features(tbl, 15)

@@ -119,3 +119,17 @@ def q_forecast_scores(spark, sf_dir):
     from tabsight.operators.forecast import arima_forecast, forecast_scores
     fc = arima_forecast(hourly(spark, sf_dir), ["event_type"], "ts", "value", 2, 2, 0.8)
     return forecast_scores(fc, ["event_type"])
+
+
+@query("forecast_table")
+def q_forecast_table(spark, sf_dir):
+    """Training hours and held-out hours with their forecasts in one
+    long table per ``event_type`` (part = train / test)."""
+    from tabsight.operators.forecast import arima_forecast, forecast_table
+    from tabsight.operators.series import time_split
+    h = hourly(spark, sf_dir)
+    fc = arima_forecast(h, ["event_type"], "ts", "value", 2, 2, 0.8)
+    train = time_split(h, ["event_type"], "ts", "ts", 0.8).where(F.col("split") == "train")
+    out = forecast_table(train, fc, ["event_type"], "ts", "value")
+    return out.select("event_type", "ts", "part", F.round("actual", 6).alias("actual"),
+                      F.round("forecast", 6).alias("forecast"))

@@ -364,3 +364,22 @@ def test_size_estimate_and_method_choice(spark):
     assert estimated_bytes(d) > 0
     assert choose_method(d) == "percentile"
     assert choose_method(d, auto_bytes=1) == "refine"
+
+
+def test_correlation_matches_pandas(spark):
+    from tabsight.operators.profile import correlation_matrix
+    li = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
+    cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    got = {(r["col_a"], r["col_b"]): r["corr"] for r in correlation_matrix(li, cols).collect()}
+    pc = li.select(*cols).toPandas().corr()
+    for (a, b), v in got.items():
+        assert v == pytest.approx(pc.loc[a, b], abs=2e-6)
+
+
+def test_correlation_pairwise_complete_with_missing(spark):
+    from tabsight.operators.profile import correlation_matrix
+    ev = events(spark).select(F.when(F.col("event_id") % 7 == 0, None).otherwise(F.col("value")).alias("v"),
+                              F.col("user_id").cast("double").alias("u"))
+    got = correlation_matrix(ev, ["v", "u"]).first()["corr"]
+    pdf = ev.toPandas()
+    assert got == pytest.approx(pdf["v"].corr(pdf["u"]), abs=2e-6)
