@@ -51,16 +51,32 @@ def token_stats(df: DataFrame, col: str, by: list[str] | None = None, digits: in
     return df.groupBy(*(by or [])).agg(*aggs)
 
 
+def _term_stats(df: DataFrame, col: str, stop, terms: list[str] | None = None) -> DataFrame:
+    """(term, n, dfreq): corpus count and number of documents containing the
+    term, in ONE partial aggregation and one explode: each row's tokens are
+    followed by its distinct tokens (``array_distinct``), and the position
+    tells which part an exploded token came from.  No (document, term)
+    shuffle."""
+    toks = tfidf_tokens(F.col(col))
+    keep = list(terms) if terms is not None else None
+    if stop or keep is not None:
+        stop_set = list(stop or [])
+        toks = F.filter(toks, lambda t: (t.isin(keep) if keep is not None else F.lit(True))
+                        & (~t.isin(stop_set) if stop_set else F.lit(True)))
+    a = df.select(toks.alias("__t"))
+    both = a.select(F.concat("__t", F.array_distinct("__t")).alias("__c"), F.size("__t").alias("__k"))
+    ex = both.select("__k", F.posexplode("__c").alias("__p", "term"))
+    return ex.groupBy("term").agg(F.count_if(F.col("__p") < F.col("__k")).alias("n"),
+                                  F.count_if(F.col("__p") >= F.col("__k")).alias("dfreq"))
+
+
 def tfidf_vocabulary(df: DataFrame, col: str, max_features: int = 300, stop_words=None) -> DataFrame:
-    """Top ``max_features`` terms by corpus count (ties by term) → (term, term_index)."""
+    """Top ``max_features`` terms by corpus count (ties by term) →
+    (term, term_index, n, dfreq) — ≤ ``max_features`` rows."""
     stop = spark_english_stop_words() if stop_words is None else list(stop_words)
-    terms = df.select(F.explode(tfidf_tokens(F.col(col))).alias("term"))
-    if stop:
-        terms = terms.where(~F.col("term").isin(stop))
-    top = (terms.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-           .orderBy(F.desc("n"), "term").limit(max_features))
+    top = _term_stats(df, col, stop).orderBy(F.desc("n"), "term").limit(max_features)
     w = Window.orderBy(F.desc("n"), "term")  # ≤ max_features rows
-    return top.select("term", (F.row_number().over(w) - 1).cast("int").alias("term_index"))
+    return top.select("term", (F.row_number().over(w) - 1).cast("int").alias("term_index"), "n", "dfreq")
 
 
 def tfidf_long(df: DataFrame, id_col: str, col: str, max_features: int = 300,
@@ -70,26 +86,49 @@ def tfidf_long(df: DataFrame, id_col: str, col: str, max_features: int = 300,
 
     tf = raw count, idf = ln((1 + n) / (1 + df)) + 1 (smoothed), each
     document's vector L2-normalised over the vocabulary.  Pass a fitted
-    ``vocabulary`` (and ``n_docs``/document frequencies through it) to apply a
-    training-set fit to new rows.
+    ``vocabulary`` (term, term_index[, dfreq]) and ``n_docs`` to apply a
+    training-set fit to new rows; without ``dfreq`` the document frequencies
+    are counted on ``df``.
+
+    Pass 1 is one aggregation (term counts and document frequencies); the
+    vocabulary it yields is ≤ ``max_features`` rows and is collected.  Pass 2
+    is map-only: a ``CountVectorizerModel`` over that vocabulary counts each
+    document's terms inside its row, and idf, norm and the long form are
+    row-local Spark ML transformers (``ElementwiseProduct`` by the idf
+    vector, L2 ``Normalizer``) — no shuffle of (document, term) pairs.
     """
+    from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.linalg import Vectors
+
     stop = spark_english_stop_words() if stop_words is None else list(stop_words)
     df = spread(df.select(id_col, col))
     vocab = vocabulary if vocabulary is not None else tfidf_vocabulary(df, col, max_features, stop)
-    toks = df.select(id_col, F.explode(tfidf_tokens(F.col(col))).alias("term"))
-    if stop:
-        toks = toks.where(~F.col("term").isin(stop))
-    # Vocabulary is ≤ max_features rows: a bounded broadcast.
-    tf = (toks.join(F.broadcast(vocab.select("term")), "term")
-          .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
-    dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("dfreq"))
-    n = df.agg(F.count(F.lit(1)).alias("__n"))
-    idf = dfreq.crossJoin(F.broadcast(n)).select(
-        "term", (F.log((1 + F.col("__n")) / (1 + F.col("dfreq"))) + 1).alias("idf"))
-    raw = tf.join(F.broadcast(idf), "term").select(id_col, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    wdoc = Window.partitionBy(id_col)  # one document: ≤ max_features rows
-    return raw.select(id_col, "term",
-                      F.round(F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(wdoc)), digits).alias("weight"))
+    limit = max(max_features, 1 << 20) if vocabulary is not None else max_features
+    rows = vocab.orderBy("term_index").limit(limit + 1).collect()  # ≤ max_features rows
+    if len(rows) > limit:
+        raise ValueError(f"vocabulary larger than {limit} terms")
+    terms = [r["term"] for r in rows]
+    if not terms:
+        return df.sparkSession.createDataFrame([], f"{id_col} {df.schema[id_col].dataType.simpleString()}, "
+                                                   "term string, weight double")
+    if "dfreq" in vocab.columns:
+        dfreq = {r["term"]: r["dfreq"] for r in rows}
+    else:
+        dfreq = {r["term"]: r["dfreq"] for r in _term_stats(df, col, None, terms).collect()}  # ≤ |vocab|
+    n = n_docs if n_docs is not None else df.count()
+    idf = [math.log((1 + n) / (1 + dfreq.get(t, 0))) + 1 for t in terms]
+
+    stages = [CountVectorizerModel.from_vocabulary(terms, inputCol="__tok", outputCol="__tf"),
+              ElementwiseProduct(inputCol="__tf", outputCol="__w", scalingVec=Vectors.dense(idf)),
+              Normalizer(inputCol="__w", outputCol="__x", p=2.0)]
+    vec = df.select(id_col, tfidf_tokens(F.col(col)).alias("__tok"))
+    for st in stages:  # row-local JVM transformers on ≤ max_features-long sparse vectors
+        vec = st.transform(vec)
+    long = vec.select(id_col, F.posexplode(vector_to_array("__x")).alias("__i", "__v")).where(F.col("__v") > 0)
+    term_arr = F.array(*[F.lit(t) for t in terms])
+    return long.select(id_col, F.get(term_arr, F.col("__i")).alias("term"),
+                       F.round("__v", digits).alias("weight"))
 
 
 def tfidf_vectors(df: DataFrame, id_col: str, col: str, max_features: int = 300, stop_words=None):

@@ -383,3 +383,22 @@ def test_correlation_pairwise_complete_with_missing(spark):
     got = correlation_matrix(ev, ["v", "u"]).first()["corr"]
     pdf = ev.toPandas()
     assert got == pytest.approx(pdf["v"].corr(pdf["u"]), abs=2e-6)
+
+
+def test_tfidf_fitted_vocabulary_and_pandas(spark):
+    """Pass-1 statistics (corpus count, document frequency) match a pandas
+    count; a fitted vocabulary without ``dfreq`` gives the same weights."""
+    from tabsight.operators import text as X
+    docs = spark.createDataFrame(
+        [(1, "Apple apple banana; cherry!"), (2, "banana banana the kiwi"), (3, None), (4, "x y"),
+         (5, "cherry apple apple apple")], "doc_id int, text string")
+    vocab = X.tfidf_vocabulary(docs, "text", 3)
+    got = {r.term: (r.n, r.dfreq, r.term_index) for r in vocab.collect()}
+    assert got == {"apple": (5, 2, 0), "banana": (3, 2, 1), "cherry": (2, 2, 2)}
+    full = {(r.doc_id, r.term): r.weight for r in X.tfidf_long(docs, "doc_id", "text", 3).collect()}
+    refit = X.tfidf_long(docs, "doc_id", "text", 3, vocabulary=vocab.select("term", "term_index"), n_docs=5)
+    assert full == {(r.doc_id, r.term): r.weight for r in refit.collect()}
+    # doc 1: tf apple 2, banana 1, cherry 1; idf = ln(6/3) + 1 for all three
+    w = np.array([2.0, 1.0, 1.0])
+    assert full[(1, "apple")] == round(w[0] / np.linalg.norm(w), 6)
+    assert (2, "kiwi") not in full and not any(d in (3, 4) for d, _ in full)
