@@ -30,7 +30,11 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-AUTO_BYTES = 4 << 30
+# ``percentile`` merges one value→count map of every distinct value in a
+# single task: ≤ 256 MiB of input keeps that map ≤ ~32 M entries (< 1 GiB).
+# Below it the one-pass ``percentile`` is faster than refine's passes (sf0.1:
+# 14.7 s vs 25.4 s over the quantile queries); above it refine is bounded.
+AUTO_BYTES = 256 << 20
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
