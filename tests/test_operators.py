@@ -402,3 +402,11 @@ def test_tfidf_fitted_vocabulary_and_pandas(spark):
     w = np.array([2.0, 1.0, 1.0])
     assert full[(1, "apple")] == round(w[0] / np.linalg.norm(w), 6)
     assert (2, "kiwi") not in full and not any(d in (3, 4) for d, _ in full)
+
+
+def test_tfidf_output_plan_has_no_hash_shuffle(spark):
+    """Pass 2 is map-only: no (document, term) or per-document exchange."""
+    from tabsight.operators import text as X
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    plan = X.tfidf_long(docs, "doc_id", "text", 300)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Window" not in plan
