@@ -115,8 +115,11 @@ def isolation_forest(df: DataFrame, id_col: str, cols: list[str], n_trees: int =
     frac = min(1.0, 3.0 * psi / max(n, 1))
     limit = int(frac * 2_147_483_647)
     h = lambda t: F.abs(F.xxhash64(F.col(id_col), F.lit(seed), t)) % F.lit(2_147_483_647)
-    picked = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: h(t) < F.lit(limit))
-    cand = x.select("*", F.explode(picked).alias("tree")).withColumn("__h", F.xxhash64(F.col(id_col), F.lit(seed + 1), F.col("tree")))
+    # explode + where (fused by whole-stage codegen) rather than a filter
+    # lambda per row: the same hashed draws, no interpreted per-tree calls
+    cand = (x.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
+            .where(h(F.col("tree")) < F.lit(limit))
+            .withColumn("__h", F.xxhash64(F.col(id_col), F.lit(seed + 1), F.col("tree"))))
     w = Window.partitionBy("tree").orderBy("__h", id_col)  # ~3·sample rows per tree
     sample = cand.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= psi).drop("__rn", "__h")
     nodes = sample.groupBy("tree").applyInPandas(
