@@ -15,13 +15,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabsight.session import spread
-from tabsight.functions.text import (STOP_WORDS_TOP, spark_english_stop_words, tfidf_tokens,
-                                     token_count, word_tokens)
+from tabsight.functions.text import (STOP_WORDS_TOP, WORD_SPLIT, spark_english_stop_words,
+                                     tfidf_tokens, token_count)
 
 
 def word_counts(df: DataFrame, col: str, stop_words=STOP_WORDS_TOP, min_len: int = 3) -> DataFrame:
     """(word, count) over all rows of a text column."""
-    words = spread(df.select(col)).select(F.explode(word_tokens(F.col(col), min_len)).alias("word"))
+    # the word rule of ``word_tokens``, applied after the explode so that
+    # whole-stage codegen fuses split, explode and filter (no per-row lambda)
+    parts = F.split(F.lower(F.col(col)), WORD_SPLIT)
+    words = (spread(df.select(col)).select(F.explode(parts).alias("word"))
+             .where(F.col("word").rlike("^[a-z]{%d,}$" % min_len)))
     if stop_words:
         words = words.where(~F.col("word").isin(list(stop_words)))
     return words.groupBy("word").agg(F.count(F.lit(1)).cast("bigint").alias("count"))
