@@ -34,7 +34,8 @@ def word_tokens(text: Column, min_len: int = 3) -> Column:
 
 def token_count(text: Column) -> Column:
     """Number of whitespace-separated tokens (Python ``len(s.split())``)."""
-    return F.size(F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != ""))
+    # maximal runs of non-whitespace = the non-empty pieces of a split on \s+
+    return F.regexp_count(text, F.lit(r"\S+"))
 
 
 def tfidf_tokens(text: Column) -> Column:

@@ -410,3 +410,10 @@ def test_tfidf_output_plan_has_no_hash_shuffle(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     plan = X.tfidf_long(docs, "doc_id", "text", 300)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning" not in plan and "Window" not in plan
+
+
+def test_token_count_edges(spark):
+    from tabsight.functions.text import token_count
+    df = spark.createDataFrame([(1, ""), (2, "   "), (3, "\n a\tb  c \n"), (4, None), (5, "one")], "id int, t string")
+    got = {r.id: r.n for r in df.select("id", token_count(F.col("t")).alias("n")).collect()}
+    assert got == {1: 0, 2: 0, 3: 3, 4: None, 5: 1}
