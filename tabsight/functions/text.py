@@ -5,16 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-__all__ = ["STOP_WORDS_TOP", "word_tokens", "token_count", "tfidf_tokens",
+__all__ = ["STOP_WORDS_TOP", "ENGLISH_STOP_WORDS", "word_tokens", "token_count", "tfidf_tokens",
            "WORD_SPLIT", "DATE_NAME_TOKENS"]
 
 # --- fixed values (must equal the reference for equal results) -------------
 # Stop words removed before counting the most frequent words.
 STOP_WORDS_TOP = (
-    "the and for are but not you all can had was one our out "
-    "get has him his how its new now see too use with that "
-    "this from they been have more will than then when your also"
-).split()
+    "the", "and", "for", "are", "but", "not", "you", "all", "can", "had", "was", "one", "our", "out",
+    "get", "has", "him", "his", "how", "its", "new", "now", "see", "too", "use", "with", "that",
+    "this", "from", "they", "been", "have", "more", "will", "than", "then", "when", "your", "also",
+)
+# Spark ML's default English stop words, in Spark's own order (TF-IDF).
+ENGLISH_STOP_WORDS = (
+    "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "your", "yours", "yourself",
+    "yourselves", "he", "him", "his", "himself", "she", "her", "hers", "herself", "it", "its",
+    "itself", "they", "them", "their", "theirs", "themselves", "what", "which", "who", "whom",
+    "this", "that", "these", "those", "am", "is", "are", "was", "were", "be", "been", "being",
+    "have", "has", "had", "having", "do", "does", "did", "doing", "a", "an", "the", "and", "but",
+    "if", "or", "because", "as", "until", "while", "of", "at", "by", "for", "with", "about",
+    "against", "between", "into", "through", "during", "before", "after", "above", "below", "to",
+    "from", "up", "down", "in", "out", "on", "off", "over", "under", "again", "further", "then",
+    "once", "here", "there", "when", "where", "why", "how", "all", "any", "both", "each", "few",
+    "more", "most", "other", "some", "such", "no", "nor", "not", "only", "own", "same", "so",
+    "than", "too", "very", "s", "t", "can", "will", "just", "don", "should", "now", "i'll",
+    "you'll", "he'll", "she'll", "we'll", "they'll", "i'd", "you'd", "he'd", "she'd", "we'd",
+    "they'd", "i'm", "you're", "he's", "she's", "it's", "we're", "they're", "i've", "we've",
+    "you've", "they've", "isn't", "aren't", "wasn't", "weren't", "haven't", "hasn't", "hadn't",
+    "don't", "doesn't", "didn't", "won't", "wouldn't", "shan't", "shouldn't", "mustn't", "can't",
+    "couldn't", "cannot", "could", "here's", "how's", "let's", "ought", "that's", "there's",
+    "what's", "when's", "where's", "who's", "why's", "would",
+)
 # Column-name fragments that mark a date column candidate.
 DATE_NAME_TOKENS = ("date", "time", "year", "month", "day", "period")
 # ---------------------------------------------------------------------------
@@ -42,23 +62,3 @@ def tfidf_tokens(text: Column) -> Column:
     """Lower-cased tokens of two or more word characters."""
     parts = F.split(F.lower(F.coalesce(text, F.lit(""))), WORD_SPLIT)
     return F.filter(parts, lambda w: F.char_length(w) >= 2)
-
-
-def spark_english_stop_words() -> list[str]:
-    """Spark ML's built-in English stop-word list, read from the Spark jar
-    (same list as ``StopWordsRemover.loadDefaultStopWords('english')``, no JVM
-    needed).  Used by TF-IDF in place of the 318-word list of the original
-    tool, which is not shipped here."""
-    import os
-    import zipfile
-
-    import pyspark
-    jars = os.path.join(os.path.dirname(pyspark.__file__), "jars")
-    for f in sorted(os.listdir(jars)):
-        if f.startswith("spark-mllib_") and f.endswith(".jar"):
-            with zipfile.ZipFile(os.path.join(jars, f)) as z:
-                return z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split()
-    raise FileNotFoundError("spark-mllib jar not found")
-
-
-__all__ += ["spark_english_stop_words"]

@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabsight.session import spread
-from tabsight.functions.text import (STOP_WORDS_TOP, WORD_SPLIT, spark_english_stop_words,
-                                     tfidf_tokens, token_count)
+from tabsight.functions.text import (ENGLISH_STOP_WORDS, STOP_WORDS_TOP, WORD_SPLIT, tfidf_tokens,
+                                     token_count)
 
 
 def word_counts(df: DataFrame, col: str, stop_words=STOP_WORDS_TOP, min_len: int = 3) -> DataFrame:
@@ -77,7 +77,7 @@ def _term_stats(df: DataFrame, col: str, stop, terms: list[str] | None = None) -
 def tfidf_vocabulary(df: DataFrame, col: str, max_features: int = 300, stop_words=None) -> DataFrame:
     """Top ``max_features`` terms by corpus count (ties by term) →
     (term, term_index, n, dfreq) — ≤ ``max_features`` rows."""
-    stop = spark_english_stop_words() if stop_words is None else list(stop_words)
+    stop = list(ENGLISH_STOP_WORDS if stop_words is None else stop_words)
     top = _term_stats(df, col, stop).orderBy(F.desc("n"), "term").limit(max_features)
     w = Window.orderBy(F.desc("n"), "term")  # ≤ max_features rows
     return top.select("term", (F.row_number().over(w) - 1).cast("int").alias("term_index"), "n", "dfreq")
@@ -105,7 +105,7 @@ def tfidf_long(df: DataFrame, id_col: str, col: str, max_features: int = 300,
     from pyspark.ml.functions import vector_to_array
     from pyspark.ml.linalg import Vectors
 
-    stop = spark_english_stop_words() if stop_words is None else list(stop_words)
+    stop = list(ENGLISH_STOP_WORDS if stop_words is None else stop_words)
     df = spread(df.select(id_col, col))
     vocab = vocabulary if vocabulary is not None else tfidf_vocabulary(df, col, max_features, stop)
     limit = max(max_features, 1 << 20) if vocabulary is not None else max_features
@@ -148,7 +148,7 @@ def tfidf_vectors(df: DataFrame, id_col: str, col: str, max_features: int = 300,
                                     RegexTokenizer, StopWordsRemover)
     from pyspark.ml.linalg import Vectors
 
-    stop = spark_english_stop_words() if stop_words is None else list(stop_words)
+    stop = list(ENGLISH_STOP_WORDS if stop_words is None else stop_words)
     base = Pipeline(stages=[
         RegexTokenizer(inputCol=col, outputCol="__tok", pattern=r"[^\p{L}\p{N}_]+", minTokenLength=2,
                        toLowercase=True),

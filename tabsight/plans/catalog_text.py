@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabsight.functions.text import STOP_WORDS_TOP, WORD_SPLIT, spark_english_stop_words
+from tabsight.functions.text import ENGLISH_STOP_WORDS, STOP_WORDS_TOP, WORD_SPLIT
 from tabsight.operators import text as X
 from tabsight.plans.registry import query, table
 
@@ -47,7 +47,7 @@ def q_token_stats(spark, sf_dir):
 
 
 def _tfidf_sql():
-    stop = _sql_list(spark_english_stop_words())
+    stop = _sql_list(ENGLISH_STOP_WORDS)
     return f"""
 WITH tok AS (
   SELECT doc_id, t AS term FROM (
@@ -62,6 +62,6 @@ SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) A
 """
 
 
-@query("tfidf_long", _tfidf_sql())
+@query("tfidf_long", _tfidf_sql)
 def q_tfidf_long(spark, sf_dir):
     return X.tfidf_long(table(spark, sf_dir, "documents"), "doc_id", "text", 300)

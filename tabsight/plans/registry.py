@@ -9,16 +9,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str | Callable[[], str]] = {}
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | Callable[[], str] | None = None):
+    """Register a query; ``sql`` may be a function, called only when the SQL
+    is asked for.  Importing a catalogue module again replaces its own
+    entries; two functions of one name are an error."""
     def deco(fn):
-        if name in QUERIES:
+        old = QUERIES.get(name)
+        if old is not None and (old.__module__, old.__qualname__) != (fn.__module__, fn.__qualname__):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = sql.strip()
+            ORACLE[name] = sql
         return fn
     return deco
 
@@ -33,4 +37,4 @@ def load_all():
         catalog_profile, catalog_text, catalog_series, catalog_features,
         catalog_evaluate, catalog_models, catalog_cluster, catalog_report,
     )
-    return QUERIES, ORACLE
+    return dict(QUERIES), {k: (v() if callable(v) else v).strip() for k, v in ORACLE.items()}
