@@ -45,7 +45,7 @@ def test_loads_from_a_zip_without_jars_twice(tmp_path):
             if os.sep + "jars" in d:
                 continue
             for n in names:
-                if n.endswith(".py"):
+                if n.endswith((".py", ".json")):
                     z.write(os.path.join(d, n), os.path.relpath(os.path.join(d, n), os.path.dirname(top)))
     code = ("import sys, pyspark; assert 'pyspark.zip' in pyspark.__file__, pyspark.__file__\n"
             "import __spark_entry__ as e\n"
