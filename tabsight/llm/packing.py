@@ -13,7 +13,6 @@ one window left is cut at powers of two, which need no padding.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,12 +22,12 @@ from pyspark.sql import functions as F
 
 from tabsight.llm.wordbpe import WordIds, read_json
 
-FIELDS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+FIELDS = ("start", "length", "doc_tokens", "sequence_id", "offset")
 
 
 class LevelPacker:
     """Places (document, ids) pieces; finished pieces are appended to ``out``
-    as (document, start, length, crc32, document's tokens, sequence, offset)."""
+    as (document, start, length, document's tokens, sequence, offset, ids)."""
 
     def __init__(self, capacity: int, max_open: int, first_sequence: int):
         self.capacity, self.max_open = capacity, max_open
@@ -89,7 +88,7 @@ class LevelPacker:
         offset = 0
         for doc, start, ids, total in window:
             n = len(ids) // 4
-            self.out.append((doc, start, n, zlib.crc32(ids), total, self.next_sequence, offset))
+            self.out.append((doc, start, n, total, self.next_sequence, offset, ids))
             offset += n
         self.next_sequence += 1
 
@@ -130,11 +129,11 @@ def _cut(piece: tuple, n: int) -> tuple[tuple, tuple | None]:
 
 
 def _worker(tokenizer_json: str, capacity: int, max_open: int, end_id: int, id_type: pa.DataType):
-    types = [id_type] + [pa.int64()] * len(FIELDS)
+    types = [id_type] + [pa.int64()] * len(FIELDS) + [pa.binary()]
 
     def table(rows):
         cols = list(zip(*rows)) if rows else [[]] * len(types)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", *FIELDS])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", *FIELDS, "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = WordIds(tokenizer_json)
@@ -143,7 +142,7 @@ def _worker(tokenizer_json: str, capacity: int, max_open: int, end_id: int, id_t
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 packer.add(doc, encode(text) + end)
-                if len(packer.out) >= 50_000:
+                if len(packer.out) >= 2000:
                     yield table(packer.out)
                     packer.out = []
         packer.finish()
@@ -153,8 +152,8 @@ def _worker(tokenizer_json: str, capacity: int, max_open: int, end_id: int, id_t
 
 def pack_documents(df: DataFrame, tokenizer_path: str, capacity: int = 2048, max_open: int = 64,
                    end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens,
-    sequence_id, offset.
+    """One row per piece: doc_id, start, length, doc_tokens, sequence_id,
+    offset, ids (binary, little-endian unsigned 32-bit).
 
     Null and empty texts are the end id alone; null and repeated ids are
     packed like any other row; an empty table gives no piece; other columns
@@ -165,4 +164,10 @@ def pack_documents(df: DataFrame, tokenizer_path: str, capacity: int = 2048, max
     kind = df.schema[id_col].dataType
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         _worker(read_json(tokenizer_path), capacity, max_open, end_id, to_arrow_type(kind)),
-        f"doc_id {kind.simpleString()}, " + ", ".join(f"`{c}` long" for c in FIELDS))
+        f"doc_id {kind.simpleString()}, " + ", ".join(f"`{c}` long" for c in FIELDS) + ", ids binary")
+
+
+def with_checksums(pieces: DataFrame) -> DataFrame:
+    """The pieces with the CRC-32 of their ids in the place of the ids."""
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
+                         "offset")

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsight.llm import exact_dedup, packing, tokens
+from tabsight.llm import (bpe_words, chat, exact_dedup, fingerprint, language, ngram_join, packing, quality,
+                          tokens, url_filter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -32,6 +33,58 @@ def op1(spark, sf_dir):
     return tokens.count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query("op2_quality_crf")
+def op2(spark, sf_dir):
+    return quality.classify_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query("op3_bpe_words")
+def op3(spark, sf_dir):
+    out = bpe_words.encode_decode(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                      F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op4_order_minhash")
+def op4(spark, sf_dir):
+    return fingerprint.fingerprints(documents(spark, sf_dir))
+
+
+@query("op5_language_kernels")
+def op5(spark, sf_dir):
+    return language.identify_language(documents(spark, sf_dir, "doc_id", "text", "lang"))
+
+
+@query("op6_tool_calls", r"""
+WITH u AS (SELECT conv_id, turn, text, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS g
+           FROM conversations WHERE role = 'user'),
+l AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn % 2, g ORDER BY turn) - 1 AS level FROM u),
+r AS (SELECT conv_id, turn - 1 AS turn, min(text) AS result FROM conversations WHERE role = 'assistant' GROUP BY ALL)
+SELECT l.conv_id, l.turn, l.conv_id || ':' || l.turn AS call_id, 'reply' AS name, CAST(l.level AS INTEGER) AS level,
+       r.turn IS NOT NULL AS linked, coalesce(l.text, '') <> '' AS valid,
+       CASE WHEN l.text IS NULL THEN '$.prompt: not string' WHEN l.text = '' THEN '$.prompt: too short' ELSE '' END AS errors,
+       '{"arguments":{"prompt":' || coalesce(CAST(to_json(l.text) AS VARCHAR), 'null') || '},"depends_on":['
+       || CASE WHEN l.turn >= 2 THEN '"' || l.conv_id || ':' || (l.turn - 2) || '"' ELSE '' END
+       || '],"id":"' || l.conv_id || ':' || l.turn || '","name":"reply","result":'
+       || coalesce(CAST(to_json(r.result) AS VARCHAR), 'null') || '}' AS json
+FROM l LEFT JOIN r USING (conv_id, turn)
+""")
+def op6(spark, sf_dir):
+    calls, results = chat.conversation_calls(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return chat.link_calls(calls, results, chat.REPLY).withColumn("errors", F.array_join("errors", "; "))
+
+
+#: The rules of the URL filter; the longest that fits decides.
+URL_RULES = [url_filter.Rule("block", "net/"), url_filter.Rule("allow", "example.net/en/"),
+             url_filter.Rule("block", "example.com/de/"), url_filter.Rule("allow", "org/fr/")]
+
+
+@query("op10_url_trees")
+def op10(spark, sf_dir):
+    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), URL_RULES)
+
+
 @query("op8_exact_dedup", r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
 g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
@@ -45,4 +98,10 @@ def op8(spark, sf_dir):
 
 @query("op9_sum_of_squares_packing")
 def op9(spark, sf_dir):
-    return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.with_checksums(packing.pack_documents(
+        documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
+
+
+@query("op7_prefix_tree_join")
+def op7(spark, sf_dir):
+    return ngram_join.near_duplicates(documents(spark, sf_dir))
