@@ -53,7 +53,7 @@ def kmers(text: Column) -> Column:
         each = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - K, F.lit(0))), lambda i: _packed(
             F.xxhash64(*[F.get(w, i + j) for j in range(K)]), i))
         return F.when(F.size(w) > 0, each).otherwise(F.array().cast("array<bigint>"))
-    return F.array_sort(_bind(F.transform(words, lambda x: F.xxhash64(x)), from_hashes))
+    return F.sort_array(_bind(F.transform(words, lambda x: F.xxhash64(x)), from_hashes))
 
 
 def numbered(sorted_kmers: Column) -> Column:
@@ -67,7 +67,7 @@ def numbered(sorted_kmers: Column) -> Column:
         return _bind(starts, lambda st: F.flatten(F.transform(st, lambda a, j: F.transform(
             F.slice(s, a + 1, F.coalesce(F.get(st, j + 1), n) - a),
             lambda v, o: _packed(F.xxhash64(_upper(v), o), v.bitwiseAND(F.lit(POS)))))))
-    return F.array_sort(_bind(sorted_kmers, runs))
+    return F.sort_array(_bind(sorted_kmers, runs))
 
 
 def signature(sorted_numbered: Column) -> Column:
