@@ -120,6 +120,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     ``errors``."""
     wanted = results.where("call_id IS NOT NULL").groupBy("call_id").agg(
         F.min("content").alias("result"), F.lit(True).alias("answered"))
+    calls = calls.select("call_id", "conv_id", "turn", "name", "arguments", "depends_on")
     named = calls.where("call_id IS NOT NULL")
     ids = named.select(F.col("call_id").alias("dep_id")).distinct()
     edges = (named.select("call_id", F.explode("depends_on").alias("dep_id"))
