@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabsight.llm import exact_dedup, language, ngram_join, packing, quality
+from tabsight.session import checkpoint_dir
 
 QUALITY_LEAST = 0.3  # least score of a document that stays
 LANGUAGE_LEAST = 0.25  # least score of the language found
@@ -62,10 +63,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what lies between two of them is a
     Parquet table in the folder that spark.checkpoint.dir names."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    base = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    base = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for at, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{at}")

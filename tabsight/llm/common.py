@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabsight.session import cut_lineage
+
 #: ASCII white space as a regular expression that Java and RE2 read alike.
 ASCII_SPACE = r"[\x20\x09-\x0D]+"
 
@@ -15,17 +17,8 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def shared_checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the cluster names in
-    ``spark.checkpoint.dir``; without that setting (and without a folder set
-    on the context, as tests do) this is an error, because a folder of one
-    machine is not readable from the others."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    ``spark.checkpoint.dir`` (see ``tabsight.session.checkpoint_dir``)."""
+    return cut_lineage(df)
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:

@@ -24,6 +24,7 @@ from tabsight.llm.common import held_out
 MAX_N = 4
 BUCKETS = 1 << 17
 STEP = 1 << 18  # characters hashed at a time
+SAMPLE_PARTS = 64
 UNKNOWN = "und"
 
 
@@ -108,10 +109,13 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
                        F.col(text_col).cast("string").alias("text"))
     usable = rows.where("did IS NOT NULL AND lang IS NOT NULL").where(~held_out(F.col("did")))
     known = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).select("lang")
-    pick = Window.partitionBy("lang").orderBy(F.xxhash64("did", "lang"), "did")
-    ids = (usable.select("did", "lang").join(F.broadcast(known), "lang", "left_semi")
-           .withColumn("rank", F.row_number().over(pick)).where(F.col("rank") <= per_language)
-           .groupBy("did").agg(F.min("rank").alias("rank")))
+    # the first of each language, in two steps, so that a frequent language is not one task's
+    h = F.xxhash64("did", "lang")
+    ids = usable.select("did", "lang", F.pmod(h, F.lit(SAMPLE_PARTS)).alias("part")).join(F.broadcast(known), "lang", "left_semi")
+    for keys in (["lang", "part"], ["lang"]):
+        order = Window.partitionBy(*keys).orderBy(h, "did")
+        ids = ids.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language)
+    ids = ids.select("did").distinct()
 
     @F.pandas_udf("binary")
     def buckets(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
