@@ -46,7 +46,7 @@ class WordIds:
     """Ids of words as little-endian unsigned 32-bit bytes, each distinct word
     encoded once while it stays in a bounded table."""
 
-    def __init__(self, tokenizer_json: str, max_known: int = 300_000):
+    def __init__(self, tokenizer_json: str, max_known: int = 700_000):
         self.tok, self.max_known = load(tokenizer_json), max_known
         self.known: dict[bytes, bytes] = {}
 
@@ -61,7 +61,25 @@ class WordIds:
             known.clear()
         ids = list(map(known.get, words))
         if None in ids:
-            new = list(dict.fromkeys(w for w, i in zip(words, ids) if i is None))
-            known.update(zip(new, self.encode_new(new)))
+            self.learn(dict.fromkeys(w for w, i in zip(words, ids) if i is None))
             ids = list(map(known.__getitem__, words))
         return b"".join(ids)
+
+    def learn(self, words) -> None:
+        """Add words that are not known.  A full stop or comma behind an ASCII
+        letter is always a pre-token of its own, so such a word's ids are
+        those of the bare word and of the mark."""
+        known, marked, bare = self.known, [], {}
+        for w in words:
+            if len(w) > 1 and w[-1] in b".," and (97 <= w[-2] <= 122 or 65 <= w[-2] <= 90) and b"<|" not in w:
+                marked.append(w)
+                if w[:-1] not in known:
+                    bare[w[:-1]] = None
+            else:
+                bare[w] = None
+        for mark in (b".", b","):
+            if mark not in known:
+                bare[mark] = None
+        known.update(zip(bare, self.encode_new(list(bare))))
+        for w in marked:
+            known[w] = known[w[:-1]] + known[w[-1:]]
