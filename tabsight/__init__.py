@@ -9,7 +9,7 @@ model where one is trained).  Sub-packages:
   evaluation, clustering, projection, anomaly detection
 * ``plans``     — composed analyses (preprocessing, report facts) and the
   registry of named queries used by the driver contract
-* ``streaming`` — notes on applying fitted models to streams
+
 """
 
 from tabsight.session import get_spark, checkpoint_dir

@@ -1,8 +1,9 @@
 """Isolation forest.
 
-* **Samples**: tree t draws its ``sample_size`` rows by a seeded hash of
-  (id, t): each row first passes a Bernoulli filter sized for ~3 × sample
-  rows per tree, then the smallest hashes per tree are kept — repeatable,
+* **Samples**: one seeded hash of a row's id says how many trees it is drawn
+  for (binomial, sized for ~3 × sample rows per tree); rows drawn for none
+  stop there, the others go to the trees that hash lowest with the id, and
+  each tree keeps its ``sample_size`` smallest hashes — repeatable,
   independent of partitioning, and no row is copied to trees it is not in.
 * **Fit**: ``groupBy(tree).applyInPandas`` grows each tree (≤ 2·sample − 1
   nodes) from its own bounded sample.
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tabsight.functions.exprs import num
 from tabsight.operators.features import impute_median
-from tabsight.session import spread
+from tabsight.session import cut_lineage, spread
 
 EULER = 0.5772156649015329
 
@@ -37,6 +38,18 @@ def c_factor(m: float) -> float:
     return 2.0 * (math.log(m - 1) + EULER) - 2.0 * (m - 1) / m
 
 
+def binomial_cumulative(n: int, p: float) -> list[float]:
+    """P(at most k successes of n) for k = 0 … n − 1."""
+    if p >= 1.0:
+        return [0.0] * n
+    out, term, total = [], (1.0 - p) ** n, 0.0
+    for k in range(n):
+        total += term
+        out.append(total)
+        term *= (n - k) / (k + 1) * p / (1.0 - p)
+    return out
+
+
 def _grow(cols: list[str], sample_size: int, seed: int):
     max_depth = int(math.ceil(math.log2(max(sample_size, 2))))
 
@@ -113,13 +126,15 @@ def isolation_forest(df: DataFrame, id_col: str, cols: list[str], n_trees: int =
     n = x.count()
     psi = max(1, min(sample_size, n))
     frac = min(1.0, 3.0 * psi / max(n, 1))
-    limit = int(frac * 2_147_483_647)
-    h = lambda t: F.abs(F.xxhash64(F.col(id_col), F.lit(seed), t)) % F.lit(2_147_483_647)
-    # explode + where (fused by whole-stage codegen) rather than a filter
-    # lambda per row: the same hashed draws, no interpreted per-tree calls
-    cand = (x.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
-            .where(h(F.col("tree")) < F.lit(limit))
-            .withColumn("__h", F.xxhash64(F.col(id_col), F.lit(seed + 1), F.col("tree"))))
+    # how many trees a row joins is binomial(n_trees, frac): one hash against
+    # the cumulative probabilities; rows of no tree go no further, the others
+    # join the trees that a hash of (row, tree) puts first
+    u = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    joins = F.size(F.filter(F.array(*[F.lit(c) for c in binomial_cumulative(n_trees, frac)]), lambda c: c <= F.col("__u")))
+    order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: F.struct(
+        F.xxhash64(F.col(id_col), F.lit(seed + 1), t).alias("__h"), t.alias("tree"))))
+    cand = (x.withColumn("__u", u).withColumn("__joins", joins).where("__joins > 0")
+            .select(id_col, *cols, F.inline(F.slice(order, 1, F.col("__joins")))))
     w = Window.partitionBy("tree").orderBy("__h", id_col)  # ~3·sample rows per tree
     sample = cand.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= psi).drop("__rn", "__h")
     nodes = sample.groupBy("tree").applyInPandas(
@@ -133,7 +148,7 @@ def isolation_forest(df: DataFrame, id_col: str, cols: list[str], n_trees: int =
         trees[int(t)] = {k: g[k].to_numpy() for k in ["feature", "threshold", "left", "right", "size"]}
     idt = x.schema[id_col].dataType.simpleString()
     # scores feed the threshold and the flags: score once, keep them
-    scored = spread(x).mapInPandas(_scorer(trees, cols, id_col, psi), f"{id_col} {idt}, score double").persist()
+    scored = cut_lineage(spread(x).mapInPandas(_scorer(trees, cols, id_col, psi), f"{id_col} {idt}, score double"))
     from tabsight.operators.profile import quantile_row
     q = 1.0 - contamination
     thr = quantile_row(scored, {"s": F.col("score")}, [q], True if exact_threshold else False).select(

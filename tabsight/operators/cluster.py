@@ -10,8 +10,12 @@ materialised:
   (n_C·‖x‖² − 2·x·S_C + Q_C) / n_C with S_C = Σ y, Q_C = Σ ‖y‖²;
 * Davies–Bouldin from centroids and mean centroid distances.
 
-The per-cluster table (k rows × d numbers) is the only thing brought to the
-driver, after a check that k is at most ``max_clusters``.
+Sums are taken around the mean of all rows, so data far from zero does not
+cancel.  The per-cluster table (k rows × d numbers, k ≤ ``max_clusters``, a
+documented bound whose breach is an error) is the only thing brought to the
+driver; nothing of size k × k is kept.  A ``noise`` label is not a cluster: with
+fewer than two real clusters the scores are −1 and 999, otherwise noise rows
+are scored like a group of their own (as in the original).
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_CLUSTERS = 10_000
+CELLS = 1 << 22  # numbers in one block of a distance matrix
 
 
 def to_vector(df: DataFrame, col: str, out: str = "features") -> DataFrame:
@@ -41,36 +46,58 @@ def to_array(df: DataFrame, col: str, out: str) -> DataFrame:
 
 
 def cluster_count(n: int) -> int:
-    """k = min(5, max(2, n // 50))."""
+    """Fixed values 5, 2, 50: k = min(5, max(2, n // 50))."""
     return min(5, max(2, n // 50))
 
 
 def _cluster_table(df: DataFrame, arr: str, label: str, max_clusters: int = MAX_CLUSTERS):
-    """(labels, n, S (k×d), Q (k)) — per-cluster sums, size-checked."""
-    dim = len(df.select(arr).where(F.col(arr).isNotNull()).first()[0])
+    """(centre, labels, n, S (k×d), Q (k)): per-cluster sums of the rows minus
+    the mean of all rows."""
+    first = df.select(arr).where(F.col(arr).isNotNull()).first()
+    dim = len(first[0]) if first else 0
+    mean = df.agg(*[F.avg(F.col(arr)[i]) for i in range(dim)]).first() if dim else []
+    x = [F.col(arr)[i] - F.lit(float(mean[i] or 0.0)) for i in range(dim)]
     g = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"),
-                              F.array(*[F.sum(F.col(arr)[i]) for i in range(dim)]).alias("s"),
-                              F.sum(F.aggregate(F.col(arr), F.lit(0.0), lambda a, x: a + x * x)).alias("q"))
+                              F.array(*[F.sum(c) for c in x]).alias("s"),
+                              F.sum(sum((c * c for c in x), F.lit(0.0))).alias("q"))
     rows = g.limit(max_clusters + 1).collect()
     if len(rows) > max_clusters:
         raise ValueError(f"more than {max_clusters} clusters")
     rows.sort(key=lambda r: (r[label] is None, r[label]))
     labels = [r[label] for r in rows]
-    return labels, np.array([r["n"] for r in rows], "float64"), np.array([r["s"] for r in rows], "float64"), \
-        np.array([r["q"] for r in rows], "float64")
+    return np.array([float(m or 0.0) for m in mean]), labels, np.array([r["n"] for r in rows], "float64"), \
+        np.array([r["s"] for r in rows], "float64"), np.array([r["q"] for r in rows], "float64")
 
 
-def silhouette_sq(df: DataFrame, vec: str, label: str, by_point: bool = False):
+def _real(labels: list, noise) -> int:
+    return sum(1 for lab in labels if lab != noise)
+
+
+def silhouette_sq(df: DataFrame, vec: str, label: str, by_point: bool = False, noise=None):
     """Mean silhouette with squared Euclidean distance; a one-member cluster
-    scores 0; fewer than two clusters → -1.  Two passes, no pairs."""
+    scores 0; fewer than two clusters besides ``noise`` → -1.  No pairs."""
     arr = "__arr"
     d = to_array(df, vec, arr).select(label, arr)
-    labels, n, S, Q = _cluster_table(d, arr, label)
+    centre, labels, n, S, Q = _cluster_table(d, arr, label)
     spark = df.sparkSession
-    if len(labels) < 2:
-        return spark.createDataFrame([(-1.0, len(labels))], "silhouette double, n_clusters int")
+    k_real = _real(labels, noise)
+    if k_real < 2:
+        return spark.createDataFrame([(-1.0, k_real)], "silhouette double, n_clusters int")
     index = {lab: i for i, lab in enumerate(labels)}
     lt = d.schema[label].dataType.simpleString()
+    step = max(1, CELLS // len(labels))
+
+    def scores(X, own):
+        X = X - centre
+        D = ((X * X).sum(axis=1)[:, None] * n[None, :] - 2 * X @ S.T + Q[None, :])
+        rows = np.arange(len(X))
+        a_den = n[own] - 1
+        a = np.where(a_den > 0, D[rows, own] / np.maximum(a_den, 1), 0.0)
+        other = D / n[None, :]
+        other[rows, own] = np.inf
+        bmin = other.min(axis=1)
+        m = np.maximum(a, bmin)
+        return np.where((a_den > 0) & (m > 0), (bmin - a) / np.where(m > 0, m, 1), 0.0)
 
     def run(batches):
         for b in batches:
@@ -78,32 +105,26 @@ def silhouette_sq(df: DataFrame, vec: str, label: str, by_point: bool = False):
                 continue
             X = np.stack(b[arr].to_numpy()).astype("float64")
             own = np.array([index[v] for v in b[label]])
-            xx = (X * X).sum(axis=1)
-            D = (xx[:, None] * n[None, :] - 2 * X @ S.T + Q[None, :])
-            rows = np.arange(len(X))
-            a_den = n[own] - 1
-            a = np.where(a_den > 0, D[rows, own] / np.maximum(a_den, 1), 0.0)
-            other = D / n[None, :]
-            other[rows, own] = np.inf
-            bmin = other.min(axis=1)
-            m = np.maximum(a, bmin)
-            s = np.where((a_den > 0) & (m > 0), (bmin - a) / np.where(m > 0, m, 1), 0.0)
+            s = np.concatenate([scores(X[at:at + step], own[at:at + step]) for at in range(0, len(X), step)])
             yield pd.DataFrame({label: b[label], "s": s})
 
     per = d.mapInPandas(run, f"{label} {lt}, s double")
     if by_point:
         return per
-    return per.agg(F.avg("s").alias("silhouette"), F.lit(len(labels)).alias("n_clusters"))
+    return per.agg(F.avg("s").alias("silhouette"), F.lit(k_real).alias("n_clusters"))
 
 
-def davies_bouldin(df: DataFrame, vec: str, label: str):
-    """Davies–Bouldin index (Euclidean); 999 when fewer than two clusters."""
+def davies_bouldin(df: DataFrame, vec: str, label: str, noise=None):
+    """Davies–Bouldin index (Euclidean); 999 when fewer than two clusters
+    besides ``noise``.  Centroid distances are taken for a block of clusters
+    at a time."""
     arr = "__arr"
     d = to_array(df, vec, arr).select(label, arr)
-    labels, n, S, _ = _cluster_table(d, arr, label)
+    centre, labels, n, S, _ = _cluster_table(d, arr, label)
     spark = df.sparkSession
-    if len(labels) < 2:
-        return spark.createDataFrame([(999.0, len(labels))], "davies_bouldin double, n_clusters int")
+    k_real = _real(labels, noise)
+    if k_real < 2:
+        return spark.createDataFrame([(999.0, k_real)], "davies_bouldin double, n_clusters int")
     C = S / n[:, None]
     index = {lab: i for i, lab in enumerate(labels)}
     lt = d.schema[label].dataType.simpleString()
@@ -112,17 +133,21 @@ def davies_bouldin(df: DataFrame, vec: str, label: str):
         for b in batches:
             if len(b) == 0:
                 continue
-            X = np.stack(b[arr].to_numpy()).astype("float64")
+            X = np.stack(b[arr].to_numpy()).astype("float64") - centre
             own = np.array([index[v] for v in b[label]])
             yield pd.DataFrame({label: b[label], "dist": np.sqrt(((X - C[own]) ** 2).sum(axis=1))})
 
     spread = dict(d.mapInPandas(run, f"{label} {lt}, dist double").groupBy(label)
                   .agg(F.avg("dist")).collect())  # ≤ k rows
     s = np.array([spread[lab] for lab in labels])
-    cd = np.sqrt(((C[:, None, :] - C[None, :, :]) ** 2).sum(axis=2))
-    np.fill_diagonal(cd, np.inf)
-    r = ((s[:, None] + s[None, :]) / cd).max(axis=1)
-    return spark.createDataFrame([(float(r.mean()), len(labels))], "davies_bouldin double, n_clusters int")
+    step = max(1, CELLS // (len(labels) * max(1, C.shape[1])))
+    worst = []
+    for at in range(0, len(labels), step):
+        part = np.sqrt(((C[at:at + step, None, :] - C[None, :, :]) ** 2).sum(axis=2))
+        part[np.arange(len(part)), np.arange(at, at + len(part))] = np.inf
+        with np.errstate(divide="ignore"):
+            worst.append(((s[at:at + step, None] + s[None, :]) / part).max(axis=1))
+    return spark.createDataFrame([(float(np.concatenate(worst).mean()), k_real)], "davies_bouldin double, n_clusters int")
 
 
 def kmeans(df: DataFrame, vec: str, k: int, starts: int = 5, seed: int = 42, out: str = "cluster"):
@@ -137,31 +162,32 @@ def kmeans(df: DataFrame, vec: str, k: int, starts: int = 5, seed: int = 42, out
     return best, best.transform(d).drop("__v")
 
 
-def gaussian_mixture(df: DataFrame, vec: str, k: int, seed: int = 42, max_dim: int = 20,
+def gaussian_mixture(df: DataFrame, vec: str, k: int, seed: int = 42, pca_dim: int | None = None,
                      out: str = "cluster"):
-    """Full-covariance Gaussian mixture; inputs wider than ``max_dim`` are
-    first projected by PCA (the covariance of 64 raw dimensions is not
-    positive definite on small tables).  → (model, labelled df)."""
+    """Full-covariance Gaussian mixture → (model, labelled df).  ``pca_dim``
+    (off unless given) first projects the centred rows on that many principal
+    components: with fewer rows than dimensions a full covariance is not
+    positive definite."""
     from pyspark.ml.clustering import GaussianMixture
+    from pyspark.ml.functions import vector_to_array
     d = to_vector(df, vec, "__v")
-    dim = d.select("__v").first()[0].size
-    if dim > max_dim:
-        d = pca_project(d, "__v", max_dim, out="__p", standardize=False).drop("__v").withColumnRenamed("__p", "__v")
+    if pca_dim:
+        d = pca_project(d, "__v", pca_dim, out="__p", standardize=False).drop("__v").withColumnRenamed("__p", "__v")
     m = GaussianMixture(k=k, seed=seed, featuresCol="__v", predictionCol=out, probabilityCol="__prob").fit(d)
-    from pyspark.ml.functions import vector_to_array
     res = m.transform(d).withColumn("probability", F.array_max(vector_to_array("__prob"))).drop("__v", "__prob")
     return m, res
 
 
-def elbow(df: DataFrame, vec: str, k_max: int = 10, seed: int = 42) -> DataFrame:
-    """k-means inertia for k = 2 … min(k_max, n // 2 + 1) on one cached input."""
+def elbow(df: DataFrame, vec: str, k_max: int = 10, seed: int = 42, starts: int = 5) -> DataFrame:
+    """Lowest k-means inertia of ``starts`` seeded runs for k = 2 …
+    min(k_max, n // 2 + 1) on one cached input."""
     from pyspark.ml.clustering import KMeans
     d = to_vector(df, vec, "__v").select("__v").persist()
     n = d.count()
     rows = []
     for k in range(2, min(k_max, n // 2 + 1) + 1):
-        m = KMeans(k=k, seed=seed, featuresCol="__v").fit(d)
-        rows.append((k, float(m.summary.trainingCost)))
+        cost = min(float(KMeans(k=k, seed=seed + i, featuresCol="__v").fit(d).summary.trainingCost) for i in range(starts))
+        rows.append((k, cost))
     d.unpersist()
     return df.sparkSession.createDataFrame(rows, "k int, inertia double")
 
@@ -184,8 +210,10 @@ def pca_fit(df: DataFrame, vec: str, k: int):
     return PCA(k=k, inputCol=vec, outputCol="__pca").fit(df)
 
 
-def pca_project(df: DataFrame, vec: str, k: int, out: str = "pca", standardize: bool = True) -> DataFrame:
-    """Centre (and standardise) first: Spark's PCA does not centre on transform."""
+def pca_project(df: DataFrame, vec: str, k: int, out: str = "pca", standardize: bool = True,
+                with_share: bool = False):
+    """Centre (and standardise) first: Spark's PCA does not centre on
+    transform.  ``with_share``: also the share of variance the ``k`` axes keep."""
     d = to_vector(df, vec, "__pv")
     if standardize:
         d = standardize_vector(d, "__pv", "__pc")
@@ -193,7 +221,8 @@ def pca_project(df: DataFrame, vec: str, k: int, out: str = "pca", standardize:
         from pyspark.ml.feature import StandardScaler
         d = StandardScaler(inputCol="__pv", outputCol="__pc", withMean=True, withStd=False).fit(d).transform(d)
     m = pca_fit(d, "__pc", k)
-    return m.transform(d).withColumnRenamed("__pca", out).drop("__pv", "__pc")
+    res = m.transform(d).withColumnRenamed("__pca", out).drop("__pv", "__pc")
+    return (res, float(m.explainedVariance.toArray().sum())) if with_share else res
 
 
 def pca_scree(df: DataFrame, vec: str, k_max: int = 20, digits: int = 6) -> DataFrame:
@@ -238,9 +267,10 @@ def svd_project(df: DataFrame, vec: str, k: int = 2, standardize: bool = True) -
             t = F.col("__a")[i] * F.lit(float(V[i, j]))
             e = t if e is None else e + t
         proj = proj.withColumn(f"c{j + 1}", e)
-    var_proj = proj.agg(*[F.var_samp(f"c{j + 1}").alias(f"v{j}") for j in range(k)]).first()
-    var_all = arr.agg(F.sum(F.lit(0.0)).alias("z"), *[F.var_samp(F.col("__a")[i]).alias(f"o{i}") for i in range(dim)]).first()
-    share = float(sum(var_proj) / sum(var_all[1:])) if sum(var_all[1:]) else float("nan")
+    got = proj.agg(*[F.var_samp(f"c{j + 1}") for j in range(k)], *[F.var_samp(F.col("__a")[i]) for i in range(dim)]).first()
+    d.unpersist()
+    total = sum(v or 0.0 for v in got[k:])
+    share = float(sum(v or 0.0 for v in got[:k]) / total) if total else float("nan")
     return proj.drop("__sv0", "__sx", "__a"), share
 
 

@@ -7,6 +7,8 @@ costs one scan, not one job per column.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -129,12 +131,18 @@ def infer_problem(df: DataFrame, target: str | None, max_classes: int = 20,
 
 
 def distinct_counts(df: DataFrame, cols: list[str], exact: bool = True) -> DataFrame:
-    """(column, n_distinct) for many columns in one aggregate."""
-    fn = F.countDistinct if exact else F.approx_count_distinct
-    row = df.agg(*[fn(num(df, c) if is_numeric_type(df.schema[c].dataType) else F.col(c))
-                   .cast("bigint").alias(c) for c in cols])
-    return row.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("n_distinct")) for c in cols])))
+    """(column, n_distinct).  Exact counts are one small aggregate for each
+    column over that column alone (several distinct counts in one aggregate
+    would copy every row once per column); ``exact=False`` is one
+    HyperLogLog++ aggregate."""
+    x = {c: num(df, c) if is_numeric_type(df.schema[c].dataType) else F.col(f"`{c}`") for c in cols}
+    if not exact:
+        row = df.agg(*[F.approx_count_distinct(x[c]).cast("bigint").alias(f"d{i}") for i, c in enumerate(cols)])
+        return row.select(F.inline(F.array(*[
+            F.struct(F.lit(c).alias("column"), F.col(f"d{i}").alias("n_distinct")) for i, c in enumerate(cols)])))
+    parts = [df.select(x[c].alias("v")).where("v IS NOT NULL").distinct()
+             .agg(F.lit(c).alias("column"), F.count(F.lit(1)).cast("bigint").alias("n_distinct")) for c in cols]
+    return reduce(DataFrame.unionAll, parts)
 
 
 def short_categoricals(df: DataFrame, target: str | None = None, text_cols=(),

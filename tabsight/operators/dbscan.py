@@ -1,23 +1,28 @@
 """Exact DBSCAN on a grid.
 
 Points are bucketed on a grid over their first ``b = min(d, 3)``
-coordinates with cell side ``eps / √b``.  Dropping coordinates never makes
-two points closer, so every pair within ``eps`` lies in cells at most
-``⌈√b⌉`` apart in each bucket coordinate: those neighbour cells are an
-equi-join on the cell key after exploding a fixed list of offsets, never a
-cross join.  Exact distances are then checked on the candidate pairs.
-
-* **Core points**: when ``b = d`` a cell's diameter is ≤ eps, so every point
-  of a cell holding ≥ ``min_points`` points is core without any pair; only
-  points of sparser cells count their neighbours (a sparse cell has fewer
-  than ``min_points`` points, which bounds how many of them exist per cell).
-* **Clusters**: connected components of core points linked within eps.
-  When ``b = d`` all cores of a cell are linked, so the graph is over cells;
-  components come from iterated min-label propagation (a join and a grouped
-  min per round), with a reliable checkpoint each round to cut lineage.
+coordinates.  Dropping coordinates never makes two points closer, so every
+pair within ``eps`` lies in neighbouring cells: those are an equi-join on the
+cell key after exploding a fixed list of offsets, never a cross join.
+
+* **Core points**: with up to three dimensions a cell (side ``eps / √d``) has
+  a diameter ≤ eps, so every point of a cell holding ≥ ``min_points`` points
+  is core without any pair; only points of sparser cells count their
+  neighbours, and whole sub-cells certainly within eps count at once.
+* **Clusters**: connected components of core points linked within eps,
+  by min-label propagation with label hops until nothing changes, with a
+  reliable checkpoint each round to cut lineage.  Sub-cells that are neither
+  certainly within nor certainly beyond eps are compared in NumPy groups of
+  at most two parts of ``PART_POINTS`` points, one row out per group.
 * **Border points** take the lowest cluster number among the cores within
   eps (the order in which clusters are grown from the lowest point index);
   the rest are noise (−1).  Clusters are numbered by their smallest core id.
+
+With more dimensions a cell no longer bounds distances.  Cells (side eps)
+are then cut into parts of ``PART_POINTS`` points, and each pair of parts of
+neighbouring cells is one group whose distances are computed in NumPy; a
+group returns neighbour counts or a spanning set of links (at most as many
+rows as it holds points), never its pairs.
 """
 
 from __future__ import annotations
@@ -25,20 +30,17 @@ from __future__ import annotations
 import itertools
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabsight.operators.knn import distances
+from tabsight.operators.ordered import dense_codes
 from tabsight.session import cut_lineage
 
-
-def _offsets(b: int, side: float, eps: float) -> list[tuple[int, ...]]:
-    r = math.ceil(math.sqrt(b))
-    out = []
-    for o in itertools.product(range(-r, r + 1), repeat=b):
-        gap = sum((max(0, abs(v) - 1) * side) ** 2 for v in o)
-        if gap <= eps * eps * (1 + 1e-12):
-            out.append(o)
-    return out
+PART_POINTS = 2000
+GROUP = ["home", "home_part", "other", "other_part"]
 
 
 def _dist2(a: str, b: str, d: int) -> Column:
@@ -77,7 +79,7 @@ def _box_d2(p: str, sub: str, t: float, b: int, far: bool) -> Column:
 
 
 def dbscan(df: DataFrame, id_col: str, vec_col: str, eps: float = 0.5, min_points: int = 5,
-           max_rounds: int = 10_000, sub: int = 4) -> DataFrame:
+           sub: int = 4) -> DataFrame:
     """(id, cluster) with noise = −1.  ``vec_col``: array of numbers."""
     pts = df.select(F.col(id_col).alias("pid"),
                     F.transform(F.col(vec_col), lambda x: x.cast("double")).alias("v"))
@@ -88,7 +90,7 @@ def dbscan(df: DataFrame, id_col: str, vec_col: str, eps: float = 0.5, min_point
     d = len(first[0])
     b = min(d, 3)
     if b < d:
-        return _dbscan_pairs(pts, id_col, d, b, eps, min_points, max_rounds)
+        return _dbscan_parts(pts, id_col, b, eps, min_points)
     side = eps / math.sqrt(b)
     t = side / sub
     eps2 = eps * eps * (1 + 1e-12)
@@ -127,13 +129,12 @@ def dbscan(df: DataFrame, id_col: str, vec_col: str, eps: float = 0.5, min_point
     gap2, far2 = _sub_pair_d2("su", "sub", t, b)
     sure = sp.where(far2 <= eps2).select("na", "nb").distinct()
     maybe = sp.where((far2 > eps2) & (gap2 <= eps2)).join(sure, ["na", "nb"], "left_anti")
-    checked = (maybe.select("na", "nb", "su", "sub")
-               .join(core.select(F.col("sub").alias("su"), F.col("v").alias("va")), "su")
-               .join(core.select("sub", F.col("v").alias("vb")), "sub")
-               .where(_dist2("va", "vb", d) <= eps2).select("na", "nb").distinct())
+    maybe = maybe.select("na", "nb", F.col("su").alias("home"), F.col("sub").alias("other"))
+    touching = _touching(core.select(F.col("sub").alias("cell"), "v"), maybe.select("home", "other").distinct(), eps2)
+    checked = maybe.join(touching, ["home", "other"]).select("na", "nb").distinct()
     edges = cut_lineage(sure.unionByName(checked).distinct())
     labels = cut_lineage(core.select("node").distinct().withColumn("lab", F.col("node")))
-    labels = _propagate(labels, edges, max_rounds)
+    labels = _propagate(labels, edges)
     core_lab = core.join(_component_ids(core.select("pid", "node"), labels), "pid").select("pid", "v", "sub", "lab")
 
     # ---- border points: lowest cluster among cores within eps --------------
@@ -160,13 +161,13 @@ def _sub_pair_d2(a: str, b_: str, t: float, b: int):
     return gap, far
 
 
-def _propagate(labels: DataFrame, edges: DataFrame, max_rounds: int) -> DataFrame:
+def _propagate(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """Connected components: every node ends labelled with the smallest node
     id of its component.  Each round takes the smallest label among the
     neighbours, then jumps one hop along the labels (a label is itself a
     node), which roughly halves long chains per round.  Lineage is cut by a
     reliable checkpoint every round."""
-    for _ in range(max_rounds):
+    while True:
         prop = (edges.join(labels.withColumnRenamed("node", "na"), "na")
                 .groupBy(F.col("nb").alias("node")).agg(F.min("lab").alias("cand")))
         step = labels.join(prop, "node", "left").select("node", F.least("lab", F.coalesce("cand", "lab")).alias("lab"))
@@ -177,8 +178,7 @@ def _propagate(labels: DataFrame, edges: DataFrame, max_rounds: int) -> DataFram
                    .where(F.col("lab") != F.col("old")).limit(1).count())
         labels = new
         if changed == 0:
-            break
-    return labels
+            return labels
 
 
 def _component_ids(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -190,35 +190,121 @@ def _component_ids(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _number(all_ids: DataFrame, assigned: DataFrame, id_col: str) -> DataFrame:
     """Clusters numbered 0.. by their smallest core id; others −1."""
-    from pyspark.sql import Window
-    ids = assigned.select("lab").distinct()
-    ids = ids.withColumn("cluster", (F.dense_rank().over(Window.orderBy("lab")) - 1).cast("int"))  # one row per cluster
-    return (all_ids.join(assigned, "pid", "left").join(ids, "lab", "left")
+    codes = dense_codes(assigned, "lab").select(F.col("value").alias("lab"), F.col("code").alias("cluster"))
+    return (all_ids.join(assigned, "pid", "left").join(codes, "lab", "left")
             .select(F.col("pid").alias(id_col), F.coalesce("cluster", F.lit(-1)).cast("int").alias("cluster")))
 
 
-def _dbscan_pairs(pts: DataFrame, id_col: str, d: int, b: int, eps: float, min_points: int,
-                  max_rounds: int) -> DataFrame:
-    """d > 3: bucket on the first three coordinates, check every candidate
-    pair exactly (no shortcut: a cell no longer bounds distances)."""
-    side = eps / math.sqrt(b)
-    eps2 = eps * eps * (1 + 1e-12)
-    pts = pts.withColumn("cell", F.array(*[F.floor(F.col("v")[i] / side).cast("long") for i in range(b)]))
-    offs = _offsets(b, side, eps)
+def _pair_groups(pts: DataFrame, pairs: DataFrame, hash_col: str) -> DataFrame:
+    """``pts`` (cell, …) cut into parts of about ``PART_POINTS`` by a hash of
+    ``hash_col``; every point once for each part of each cell that ``pairs``
+    (home, other) puts it together with, as a member of a (home part, other
+    part) group: ``side`` 0 as a home point, 1 as the other."""
+    parts = pts.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / PART_POINTS).cast("int").alias("parts"))
+    near = (pairs.join(parts.withColumnsRenamed({"cell": "home", "parts": "home_parts"}), "home")
+            .join(parts.withColumnsRenamed({"cell": "other", "parts": "other_parts"}), "other"))
+    mine = pts.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64(hash_col), F.col("parts")).cast("int")).drop("parts")
+    homes = (mine.withColumnsRenamed({"cell": "home", "part": "home_part"}).join(near, "home")
+             .withColumn("other_part", F.explode(F.sequence(F.lit(0), F.col("other_parts") - 1))))
+    others = (mine.withColumnsRenamed({"cell": "other", "part": "other_part"}).join(near, "other")
+              .withColumn("home_part", F.explode(F.sequence(F.lit(0), F.col("home_parts") - 1))))
+    cols = [c for c in pts.columns if c != "cell"]
+    return (homes.select(*GROUP, *cols, F.lit(0).alias("side"))
+            .unionByName(others.select(*GROUP, *cols, F.lit(1).alias("side"))))
+
+
+def _neighbour_pairs(pts: DataFrame, offs: list[tuple[int, ...]]) -> DataFrame:
+    """(home, other): every cell with each of its occupied neighbours."""
+    cells = pts.select("cell").distinct()
     off_arr = F.array(*[F.array(*[F.lit(v) for v in o]) for o in offs])
-    nb_cell = lambda c: F.transform(off_arr, lambda o: F.zip_with(c, o, lambda x, y: x + y))
-    probe = pts.select(F.col("pid").alias("a"), F.col("v").alias("va"), F.explode(nb_cell(F.col("cell"))).alias("cell"))
-    near = cut_lineage(probe.join(pts.select(F.col("pid").alias("bb"), F.col("v").alias("vb"), "cell"), "cell")
-                       .where(_dist2("va", "vb", d) <= eps2).select("a", "bb"))
-    core_ids = near.groupBy("a").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= min_points).select(F.col("a").alias("pid"))
-    core_ids = cut_lineage(core_ids)
-    edges = (near.join(core_ids.withColumnRenamed("pid", "a"), "a").join(core_ids.withColumnRenamed("pid", "bb"), "bb")
-             .where(F.col("a") != F.col("bb")).select(F.col("a").cast("string").alias("na"),
-                                                       F.col("bb").cast("string").alias("nb")))
-    labels = core_ids.select(F.col("pid").cast("string").alias("node"), F.col("pid").cast("string").alias("lab"))
-    labels = _propagate(labels, cut_lineage(edges), max_rounds)
-    core_lab = _component_ids(core_ids.select("pid", F.col("pid").cast("string").alias("node")), labels)
-    border = (near.join(core_lab.select(F.col("pid").alias("bb"), "lab"), "bb")
-              .join(core_ids.withColumnRenamed("pid", "a"), "a", "left_anti")
-              .groupBy(F.col("a").alias("pid")).agg(F.min("lab").alias("lab")))
+    return (cells.select(F.col("cell").alias("home"), F.explode(
+        F.transform(off_arr, lambda o: F.zip_with(F.col("cell"), o, lambda x, y: x + y))).alias("other"))
+        .join(cells.withColumnRenamed("cell", "other"), "other"))
+
+
+def _touching(pts: DataFrame, pairs: DataFrame, eps2: float) -> DataFrame:
+    """The (home, other) of ``pairs`` that hold two points within eps.  First
+    one part of each side is compared, which settles nearly all pairs of
+    dense cells; the others are compared in full."""
+    def any_near(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, _, near = _sides(pdf, eps2)
+        return pdf[["home", "other"]].iloc[:1] if near.any() else pdf[["home", "other"]].iloc[:0]
+
+    def found(groups):
+        return groups.groupBy(*GROUP).applyInPandas(any_near, "home array<long>, other array<long>").distinct()
+    first = cut_lineage(found(_pair_groups(pts, pairs, "v").where("home_part = 0 AND other_part = 0")))
+    rest = pairs.join(first, ["home", "other"], "left_anti")
+    return first.unionByName(found(_pair_groups(pts, rest, "v").where("home_part > 0 OR other_part > 0")))
+
+
+def _sides(pdf: pd.DataFrame, eps2: float):
+    """(home rows, other rows, which pairs are within eps)"""
+    a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+    if not len(a) or not len(b):
+        return a, b, np.zeros((len(a), len(b)), bool)
+    X, Y = (np.stack(x["v"].to_numpy()).astype("float64") for x in (a, b))
+    centre = Y.mean(axis=0)
+    return a, b, distances(X - centre, Y - centre) ** 2 <= eps2
+
+
+def _count_near(eps2: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, _, near = _sides(pdf, eps2)
+        return pd.DataFrame({"pid": a["pid"], "k": near.sum(axis=1).astype("int64")})
+    return run
+
+
+def _link_near(eps2: float):
+    """Links that connect what all links among the group's cores connect, and
+    for each border point one core of each connected set it touches."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b, near = _sides(pdf, eps2)
+        ids_a, ids_b = a["pid"].to_numpy(), b["pid"].to_numpy()
+        core_a, core_b = a["core"].to_numpy(dtype=bool), b["core"].to_numpy(dtype=bool)
+        names = {p: i for i, p in enumerate(dict.fromkeys([*ids_a.tolist(), *ids_b.tolist()]))}
+        up = list(range(len(names)))
+
+        def find(i):
+            while up[i] != i:
+                up[i] = up[up[i]]
+                i = up[i]
+            return i
+        at_a, at_b = [names[p] for p in ids_a.tolist()], [names[p] for p in ids_b.tolist()]
+        out = []
+        for i in np.flatnonzero(core_a):
+            for j in np.flatnonzero(near[i] & core_b):
+                x, y = find(at_a[i]), find(at_b[j])
+                if x != y:
+                    up[x] = y
+                    out.append((ids_a[i], ids_b[j], True))
+        for i in np.flatnonzero(~core_a):
+            seen = set()
+            for j in np.flatnonzero(near[i] & core_b):
+                root = find(at_b[j])
+                if root not in seen:
+                    seen.add(root)
+                    out.append((ids_a[i], ids_b[j], False))
+        return pd.DataFrame(out, columns=["na", "nb", "core"])
+    return run
+
+
+def _dbscan_parts(pts: DataFrame, id_col: str, b: int, eps: float, min_points: int) -> DataFrame:
+    """d > 3: groups of neighbouring cells' parts, see the module's docstring."""
+    eps2 = eps * eps * (1 + 1e-12)
+    kind = pts.schema["pid"].dataType.simpleString()
+    pts = pts.withColumn("cell", F.array(*[F.floor(F.col("v")[i] / eps).cast("long") for i in range(b)]))
+    offs = [o for o in itertools.product((-1, 0, 1), repeat=b)]
+    counts = (_pair_groups(pts, _neighbour_pairs(pts, offs), "pid").groupBy(*GROUP).applyInPandas(_count_near(eps2), f"pid {kind}, k long")
+              .groupBy("pid").agg(F.sum("k").alias("k")))
+    flagged = cut_lineage(pts.join(counts, "pid").withColumn("core", F.col("k") >= min_points).drop("k"))
+    links = cut_lineage(_pair_groups(flagged, _neighbour_pairs(flagged, offs), "pid").groupBy(*GROUP).applyInPandas(
+        _link_near(eps2), f"na {kind}, nb {kind}, core boolean"))
+    cores = flagged.where("core").select("pid")
+    text = [F.col(c).cast("string").alias(c) for c in ("na", "nb")]
+    edges = links.where("core").select(*text)
+    edges = cut_lineage(edges.union(edges.select("nb", "na")).distinct())
+    labels = _propagate(cores.select(F.col("pid").cast("string").alias("node"), F.col("pid").cast("string").alias("lab")), edges)
+    core_lab = _component_ids(cores.select("pid", F.col("pid").cast("string").alias("node")), labels)
+    border = (links.where("NOT core").join(core_lab.select(F.col("pid").alias("nb"), "lab"), "nb")
+              .groupBy(F.col("na").alias("pid")).agg(F.min("lab").alias("lab")))
     return _number(pts.select("pid"), core_lab.unionByName(border), id_col)

@@ -43,7 +43,7 @@ def _partial_sums(lo: float, step: float, h: float, points: int):
 
 
 def kde(df: DataFrame, col: str, points: int = 100, bandwidth: float | None = None,
-        digits: int = 8) -> DataFrame:
+        digits: int | None = 8) -> DataFrame:
     """Density at ``points`` equally spaced points from min to max →
     (point, x, density).  Bandwidth defaults to Scott's rule:
     std (n-1) · n^(-1/5)."""
@@ -61,21 +61,49 @@ def kde(df: DataFrame, col: str, points: int = 100, bandwidth: float | None = No
     vals = spread(df.select(x.alias("__x")).where(F.col("__x").isNotNull()))
     part = vals.mapInPandas(_partial_sums(lo, step, h, points), "point int, s double")
     norm = n * h * math.sqrt(2 * math.pi)
+    density = F.col("s") / F.lit(norm)
     return (part.groupBy("point").agg(F.sum("s").alias("s"))
             .select("point", F.round(F.lit(lo) + F.col("point") * F.lit(step), 6).alias("x"),
-                    F.round(F.col("s") / F.lit(norm), digits).alias("density")))
+                    (density if digits is None else F.round(density, digits)).alias("density")))
 
 
 def violin_density(df: DataFrame, cols: list[str], points: int = 100, digits: int = 8) -> DataFrame:
-    """Per column KDE (Scott bandwidth) at 100 points → (column, point, x, density).
-    Columns with < 3 values or one distinct value are skipped (no spread)."""
-    parts = []
-    for c in cols:
-        parts.append(kde(df, c, points, digits=digits).select(F.lit(c).alias("column"), "*"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.where(F.col("density").isNotNull())
+    """Per column KDE (Scott bandwidth) at ``points`` points → (column, point,
+    x, density).  Two scans for all columns together: one aggregate, one pass
+    of partial sums.  Columns with < 3 values or one distinct value are
+    skipped (no spread)."""
+    names = [f"c{i}" for i in range(len(cols))]
+    vals = df.select(*[num(df, c).alias(n) for c, n in zip(cols, names)])
+    st = vals.agg(*[e.alias(f"{k}_{n}") for n in names for k, e in (
+        ("n", F.count(n)), ("lo", F.min(n)), ("hi", F.max(n)), ("sd", F.stddev_samp(n)))]).first()
+    grids = {}
+    for c, n in zip(cols, names):
+        count, lo, hi, sd = (st[f"{k}_{n}"] for k in ("n", "lo", "hi", "sd"))
+        if count >= 3 and sd and sd > 0:
+            grids[n] = (c, lo, (hi - lo) / (points - 1) if points > 1 else 0.0, sd * count ** -0.2, count)
+    schema = "column string, point int, x double, density double"
+    if not grids:
+        return df.sparkSession.createDataFrame([], schema)
+
+    def run(batches):
+        acc = {n: np.zeros(points) for n in grids}
+        for b in batches:
+            for n, (_, lo, step, h, _) in grids.items():
+                x = b[n].to_numpy(dtype="float64")
+                x = x[~np.isnan(x)]
+                grid = lo + np.arange(points, dtype="float64") * step
+                for s in range(0, len(x), 4096):
+                    d = (grid[None, :] - x[s:s + 4096, None]) / h
+                    acc[n] += np.exp(-0.5 * d * d).sum(axis=0)
+        yield pd.concat([pd.DataFrame({"name": n, "point": np.arange(points, dtype="int32"), "s": a}) for n, a in acc.items()])
+
+    part = spread(vals.select(*grids)).mapInPandas(run, "name string, point int, s double")
+    table = df.sparkSession.createDataFrame(
+        [(n, c, lo, step, count * h * math.sqrt(2 * math.pi)) for n, (c, lo, step, h, count) in grids.items()],
+        "name string, column string, lo double, step double, norm double")
+    return (part.groupBy("name", "point").agg(F.sum("s").alias("s")).join(F.broadcast(table), "name")  # one row per column
+            .select("column", "point", F.round(F.col("lo") + F.col("point") * F.col("step"), 6).alias("x"),
+                    F.round(F.col("s") / F.col("norm"), digits).alias("density")))
 
 
 def scaled_density(df: DataFrame, col: str, points: int = 300, bins: int = 35,
@@ -83,9 +111,9 @@ def scaled_density(df: DataFrame, col: str, points: int = 300, bins: int = 35,
     """KDE scaled so its peak equals the tallest histogram bin (``bins``
     equal-width bins) → (point, x, density, scaled)."""
     from tabsight.operators.profile import histogram
-    k = kde(df, col, points, digits=15)
+    k = kde(df, col, points, digits=None)
     tallest = histogram(df, col, bins).agg(F.max("count").alias("__top"))
     peak = k.agg(F.max("density").alias("__peak"))
     return (k.crossJoin(F.broadcast(tallest)).crossJoin(F.broadcast(peak))
             .select("point", "x", F.round("density", digits).alias("density"),
-                    F.round(F.col("density") * F.col("__top") / F.col("__peak"), 6).alias("scaled")))
+                    F.round(F.col("density") * F.col("__top") / F.col("__peak"), 4).alias("scaled")))

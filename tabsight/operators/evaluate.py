@@ -49,20 +49,30 @@ def classification_scores(pred: DataFrame, label: str = "label", prediction: str
 
 
 def confusion_matrix(pred: DataFrame, label: str = "label", prediction: str = "prediction",
-                     by: list[str] | None = None) -> DataFrame:
+                     by: list[str] | None = None, max_classes: int = 1000, codes: DataFrame | None = None) -> DataFrame:
     """Long confusion matrix over all (actual, predicted) class pairs, zero
-    cells included → (by…, actual, predicted, count)."""
+    cells included → (by…, actual, predicted, count).  A matrix has at most
+    ``max_classes`` ** 2 cells; more classes are an error (use
+    ``class_counts`` there).  ``codes`` (value, code) turns class codes back
+    into class names."""
     by = list(by or [])
+    classes = class_counts(pred, label, prediction, by).select(*by, "class")
+    most = classes.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    if most > max_classes:
+        raise ValueError(f"{most} classes; a confusion matrix is made for at most {max_classes}")
     counts = pred.groupBy(*by, F.col(label).cast("string").alias("actual"),
                           F.col(prediction).cast("string").alias("predicted")).agg(
         F.count(F.lit(1)).cast("bigint").alias("count"))
-    classes = class_counts(pred, label, prediction, by).select(*by, "class")
-    grid = (classes.withColumnRenamed("class", "actual")
-            .join(classes.withColumnRenamed("class", "predicted"), by) if by else
-            classes.withColumnRenamed("class", "actual").crossJoin(classes.withColumnRenamed("class", "predicted")))
-    # classes × classes: k² cells, k = number of classes (a class table, not data)
-    return grid.join(counts, [*by, "actual", "predicted"], "left").select(
+    actual, predicted = classes.withColumnRenamed("class", "actual"), classes.withColumnRenamed("class", "predicted")
+    grid = actual.join(predicted, by) if by else actual.crossJoin(predicted)  # ≤ max_classes rows each
+    out = grid.join(counts, [*by, "actual", "predicted"], "left").select(
         *by, "actual", "predicted", F.coalesce("count", F.lit(0)).cast("bigint").alias("count"))
+    if codes is not None:
+        names = codes.select(F.col("code").cast("double").alias("__code"), F.col("value").alias("__name"))
+        for c in ("actual", "predicted"):
+            out = (out.join(names, F.col(c).cast("double") == F.col("__code"), "left")
+                   .withColumn(c, F.coalesce("__name", c)).drop("__code", "__name"))
+    return out
 
 
 def classification_report(pred: DataFrame, label: str = "label", prediction: str = "prediction",
@@ -170,9 +180,11 @@ def minmax_normalise(lb: DataFrame, metrics: list[str], digits: int = 6) -> Data
     return out.drop(*[f"__lo_{m}" for m in metrics], *[f"__hi_{m}" for m in metrics])
 
 
-def radar_table(lb: DataFrame, metrics: list[str], metric: str, name: str = "model", n: int = 4) -> DataFrame:
-    """Top ``n`` models with ≤ 6 metrics min-max normalised."""
-    metrics = metrics[:6]
+def radar_table(lb: DataFrame, metrics: list[str], metric: str, name: str = "model", n: int = 4,
+                max_metrics: int = 6) -> DataFrame:
+    """Top ``n`` models with the first ``max_metrics`` metrics (the original's
+    limits are the defaults) min-max normalised."""
+    metrics = metrics[:max_metrics]
     norm = minmax_normalise(lb, metrics)
     return norm.orderBy(F.desc_nulls_last(metric), name).limit(n).select(
         name, *[f"{m}_norm" for m in metrics])

@@ -7,7 +7,7 @@ squares regressions instead, and least squares is a sum over rows:
 
 1. split each series by time (first int(0.8 n) rows train) and difference;
 2. long AR(m) regression: the normal equations XᵀX, Xᵀy of every series
-   are one grouped aggregate of lag products (lags from the chunked ranking,
+   are one grouped aggregate of lag products (lags from the ranking by ranges,
    so a dominant series is spread over many tasks);
 3. residuals of that fit stand in for the unobserved shocks;
 4. regress the differences on p own lags and q residual lags (again one
@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsight.operators.ordered import RANK, ordered_rank
+from tabsight.operators.ordered import RANK, join_keys, ordered_rank
 from tabsight.operators.series import add_lags
 from tabsight.session import cut_lineage
 
@@ -115,13 +115,14 @@ def _forecast_block(keys: list[str], p: int, q: int, block_steps: int):
 
 
 def arima_forecast(df: DataFrame, keys: list[str], ts: str, val: str, p: int = 2, q: int = 2,
-                   frac: float = 0.8, long_ar: int = 8, chunk_rows: int = 1_000_000,
-                   block_steps: int = 100_000) -> DataFrame:
+                   frac: float = 0.8, long_ar: int = 8, id_col: str | None = None, block_steps: int = 100_000) -> DataFrame:
     """Forecast the last (1 − frac) of every series → (keys…, step, ts,
-    actual, forecast, error)."""
+    actual, forecast, error).  Equal times are put in order by ``id_col``
+    (else by value).  A NULL key is a series like any other."""
     keys = list(keys)
-    base = df.select(*keys, ts, F.col(val).cast("double").alias("__y")).where(F.col(ts).isNotNull())
-    ranked = ordered_rank(base, keys, ts, [], chunk_rows=chunk_rows, with_count=True)
+    base = df.select(*keys, ts, F.col(val).cast("double").alias("__y"),
+                     F.col(id_col or val).alias("__tie")).where(F.col(ts).isNotNull())
+    ranked = ordered_rank(base, keys, ts, ["__tie"], with_count=True).drop("__tie")
     cut = F.floor(F.col("__n") * F.lit(frac))
     ranked = ranked.withColumn("__train", F.col(RANK) <= cut).withColumn("__cut", cut.cast("long"))
     # the stages below reuse these rows many times: cut the lineage once
@@ -138,7 +139,7 @@ def arima_forecast(df: DataFrame, keys: list[str], ts: str, val: str, p: int = 2
     lw = add_lags(d1, keys, POS, "w", max(m, p), POS, diff=False, ts_is_rank=True)
     ar_x = [f"lag_{i}" for i in range(1, m + 1)]
     beta1 = _fit(lw, keys, "w", ar_x)
-    res = lw.join(beta1, keys) if keys else lw.crossJoin(beta1)
+    res = join_keys(lw, beta1, keys)
     res = res.withColumn("e", F.col("w") - _predict("beta", ar_x)).drop("beta")
     # 3. ARMA regression on own lags and residual lags
     own = [f"wlag_{i}" for i in range(1, p + 1)]
@@ -149,15 +150,13 @@ def arima_forecast(df: DataFrame, keys: list[str], ts: str, val: str, p: int = 2
     rl = cut_lineage(rl)
     beta2 = _fit(rl, keys, "w", xs)
     # 4. state at the end of the training part (bounded: last p values, q residuals per series)
-    tail = rl.join(train.groupBy(*keys).agg(F.max(POS).alias("__last")), keys) if keys else \
-        rl.crossJoin(train.agg(F.max(POS).alias("__last")))
+    tail = join_keys(rl, train.groupBy(*keys).agg(F.max(POS).alias("__last")), keys)
     tail = tail.where(F.col(POS) > F.col("__last") - max(p, q))
     state = tail.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct(F.col(POS).alias("r"), "w", "e"))).alias("hist"))
     last_y = train.groupBy(*keys).agg(F.max_by("__y", POS).alias("y_last"))
     horizon = test.groupBy(*keys).agg(F.max("step").alias("h"))
-    st = state.join(beta2, keys).join(last_y, keys).join(horizon, keys) if keys else \
-        state.crossJoin(beta2).crossJoin(last_y).crossJoin(horizon)
+    st = join_keys(join_keys(join_keys(state, beta2, keys), last_y, keys), horizon, keys)
     kschema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys)
 
     fschema = (kschema + ", " if keys else "") + "step long, forecast double"
@@ -167,7 +166,7 @@ def arima_forecast(df: DataFrame, keys: list[str], ts: str, val: str, p: int = 2
     blocks = st.select("*", F.explode(F.sequence(F.lit(0), F.greatest(
         F.ceil(F.col("h") / F.lit(block_steps)) - 1, F.lit(0)).cast("int"))).alias("__blk"))
     fc = blocks.groupBy(*keys, "__blk").applyInPandas(_forecast_block(keys, p, q, block_steps), fschema)
-    j = test.join(fc, [*keys, "step"], "left")
+    j = join_keys(test, fc, [*keys, "step"], "left")
     return j.select(*keys, "step", ts, F.col("__y").alias("actual"), "forecast",
                     (F.col("__y") - F.col("forecast")).alias("error"))
 

@@ -90,15 +90,24 @@ def catalogue(kind: str, n_train: int, n_classes: int = 2, y_std: float | None =
 
 
 def optional_boosters(kind: str, label: str = "label", features: str = "features") -> dict:
-    """Third-party Spark boosters if importable (none ships here) — skipped
-    otherwise, as in the original tool."""
+    """Third-party Spark boosters (50 rounds, seed 42) for each package that is
+    installed — none ships here; an installed one that fails is an error."""
+    from importlib import import_module
+    from importlib.util import find_spec
+    classify = kind == "classification"
     out = {}
-    try:  # pragma: no cover - not installed
-        from xgboost.spark import SparkXGBClassifier, SparkXGBRegressor
-        cls = SparkXGBClassifier if kind == "classification" else SparkXGBRegressor
-        out["xgboost"] = cls(n_estimators=50, label_col=label, features_col=features)
-    except Exception:  # noqa: BLE001
-        pass
+    if find_spec("xgboost"):  # pragma: no cover - not installed
+        m = import_module("xgboost.spark")
+        cls = m.SparkXGBClassifier if classify else m.SparkXGBRegressor
+        out["xgboost"] = cls(n_estimators=BOOST_ROUNDS, random_state=SEED, label_col=label, features_col=features)
+    if find_spec("synapse"):  # pragma: no cover - not installed
+        m = import_module("synapse.ml.lightgbm")
+        cls = m.LightGBMClassifier if classify else m.LightGBMRegressor
+        out["lightgbm"] = cls(numIterations=BOOST_ROUNDS, seed=SEED, labelCol=label, featuresCol=features)
+    if find_spec("catboost_spark"):  # pragma: no cover - not installed
+        m = import_module("catboost_spark")
+        cls = m.CatBoostClassifier if classify else m.CatBoostRegressor
+        out["catboost"] = cls(iterations=BOOST_ROUNDS, randomSeed=SEED, labelCol=label, featuresCol=features)
     return out
 
 

@@ -7,19 +7,19 @@ rows are compared against travel as a one-row DataFrame joined with
 ``crossJoin(broadcast(...))`` — a size bound of exactly one row — never as an
 empty ``Window.partitionBy()``, which would pull the whole table into one task.
 
-Quantiles default to the exact, linearly interpolated definition
-(``percentile`` = pandas ``quantile``).  ``exact=False`` switches to the
-bounded-memory sketch ``percentile_approx`` for very large inputs.
+Quantiles default to the exact, linearly interpolated definition (pandas
+``quantile``), computed in bounded memory at any size.  ``exact=False``
+switches to the sketch ``percentile_approx``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tabsight.functions.exprs import is_missing, is_numeric_type, num, safe_div
-from tabsight.operators.columns import categorical_columns, numeric_columns, other_columns
+from tabsight.functions.exprs import is_missing, is_numeric_type, num, severity_band
+from tabsight.operators.columns import categorical_columns, distinct_counts, numeric_columns, other_columns
+from tabsight.operators.quantiles import exact_quantiles
 
 QUANTILE_ACCURACY = 100_000
 
@@ -31,20 +31,17 @@ def quantile_expr(x, probs, exact: bool = True):
     return F.percentile_approx(x, arr, QUANTILE_ACCURACY).cast("array<double>")
 
 
-def quantile_row(df: DataFrame, exprs: dict, probs, exact=True) -> DataFrame:
+def quantile_row(df: DataFrame, exprs: dict, probs, exact: bool | str = True) -> DataFrame:
     """One-row table ``{name}__q{i}`` of quantiles of named numeric columns.
-    ``exact``: True/'auto' → exact (``percentile``, or the bounded
-    distributed ``refine`` above the size threshold), 'refine' → always
-    refine, False → ``percentile_approx``."""
-    from tabsight.operators.quantiles import choose_method, refine_quantiles
-    method = choose_method(df, "auto" if exact is True else exact) if exact else "approx"
-    if method == "refine":
-        got = refine_quantiles(df, exprs, probs)
-        spark = df.sparkSession
-        row = [float(got[(n, p)]) if got[(n, p)] is not None else None for n in exprs for p in probs]
+    ``exact``: True → bounded exact quantiles (``operators/quantiles.py``),
+    ``'percentile'`` → Spark's ``percentile`` (one pass, but the whole
+    value→count map in one task), False → ``percentile_approx``."""
+    if exact is True:
+        got = exact_quantiles(df, exprs, probs)
+        row = tuple(got[(n, float(p))] for n in exprs for p in probs)
         schema = ", ".join(f"`{n}__q{i}` double" for n in exprs for i in range(len(probs)))
-        return spark.createDataFrame([tuple(row)], schema)
-    agg = df.agg(*[quantile_expr(x, probs, method != "approx").alias(f"{n}__qa") for n, x in exprs.items()])
+        return df.sparkSession.createDataFrame([row], schema)
+    agg = df.agg(*[quantile_expr(x, probs, bool(exact)).alias(f"{n}__qa") for n, x in exprs.items()])
     return agg.select(*[F.col(f"`{n}__qa`")[i].alias(f"{n}__q{i}") for n in exprs for i in range(len(probs))])
 
 
@@ -52,23 +49,16 @@ def column_stats(df: DataFrame, cols: list[str], probs=(0.25, 0.5, 0.75),
                  exact: bool | str = True) -> DataFrame:
     """One-row wide table: ``{c}__n, __mean, __std, __std_pop, __min, __max,
     __q0 …`` for every column (NaN counted as missing)."""
-    from tabsight.operators.quantiles import choose_method
-    if probs and exact and choose_method(df, "auto" if exact is True else exact) == "refine":
-        base = column_stats(df, cols, (), exact)
-        return base.crossJoin(quantile_row(df, {c: num(df, c) for c in cols}, probs, "refine"))
     aggs = []
     for c in cols:
         x = num(df, c)
         aggs += [F.count(x).alias(f"{c}__n"), F.avg(x).alias(f"{c}__mean"),
                  F.stddev_samp(x).alias(f"{c}__std"), F.stddev_pop(x).alias(f"{c}__std_pop"),
                  F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max")]
-        if probs:
-            aggs.append(quantile_expr(x, probs, exact).alias(f"{c}__q"))
     row = df.agg(*aggs)
-    if probs:
-        row = row.select("*", *[F.col(f"{c}__q")[i].alias(f"{c}__q{i}")
-                                for c in cols for i in range(len(probs))]).drop(*[f"{c}__q" for c in cols])
-    return row
+    if not probs:
+        return row
+    return row.crossJoin(F.broadcast(quantile_row(df, {c: num(df, c) for c in cols}, probs, exact)))
 
 
 def dataset_summary(df: DataFrame) -> DataFrame:
@@ -105,8 +95,7 @@ def missing_report(df: DataFrame) -> DataFrame:
     return (long.where(F.col("n_missing") > 0)
             .select("column", F.col("n_missing").cast("bigint").alias("n_missing"),
                     pct.alias("pct_missing"))
-            .withColumn("severity", F.when(F.col("pct_missing") > 50, "high")
-                        .when(F.col("pct_missing") > 20, "medium").otherwise("low")))
+            .withColumn("severity", severity_band(F.col("pct_missing"))))
 
 
 def describe_numeric(df: DataFrame, cols: list[str] | None = None, digits: int = 2,
@@ -127,18 +116,17 @@ def describe_numeric(df: DataFrame, cols: list[str] | None = None, digits: int =
 
 def profile_columns(df: DataFrame, exact: bool = True) -> DataFrame:
     """(column, dtype, non_null, n_null, n_distinct, null_pct) for every column.
-    Distinct counts are exact (``exact=False``: HyperLogLog++)."""
-    dfn = F.countDistinct if exact else F.approx_count_distinct
-    aggs = [F.count(F.lit(1)).alias("__rows")]
-    for i, f in enumerate(df.schema.fields):
-        x = num(df, f.name) if is_numeric_type(f.dataType) else F.col(f"`{f.name}`")
-        aggs += [F.sum(is_missing(df, f.name).cast("long")).alias(f"m{i}"), dfn(x).alias(f"d{i}")]
-    row = df.agg(*aggs)
+    Missing counts are one aggregate; distinct counts are exact and made for
+    each column over that column alone (``exact=False``: HyperLogLog++)."""
+    fields = df.schema.fields
+    row = df.agg(F.count(F.lit(1)).alias("__rows"), *[
+        F.sum(is_missing(df, f.name).cast("long")).alias(f"m{i}") for i, f in enumerate(fields)])
     long = row.select("__rows", F.inline(F.array(*[
-        F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("dtype"),
-                 F.col(f"m{i}").alias("n_null"), F.col(f"d{i}").alias("n_distinct"))
-        for i, f in enumerate(df.schema.fields)])))
-    return long.select(
+        F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("column"),
+                 F.lit(f.dataType.simpleString()).alias("dtype"), F.col(f"m{i}").alias("n_null"))
+        for i, f in enumerate(fields)])))
+    counts = distinct_counts(df, df.columns, exact)
+    return long.join(F.broadcast(counts), "column").orderBy("position").select(
         "column", "dtype", (F.col("__rows") - F.col("n_null")).cast("bigint").alias("non_null"),
         F.col("n_null").cast("bigint").alias("n_null"), F.col("n_distinct").cast("bigint").alias("n_distinct"),
         F.round(F.col("n_null") * 100.0 / F.col("__rows"), 1).alias("null_pct"))
@@ -161,22 +149,16 @@ def value_counts(df: DataFrame, col: str, top: int | None = None, digits: int =
 
 def category_counts(df: DataFrame, cols: list[str], top: int = 12, digits: int = 4) -> DataFrame:
     """Per column the ``top`` most frequent values with % of ALL rows
-    → (column, rank, value, count, pct).  Each column's top-k is a distributed
-    ``TakeOrderedAndProject``; columns are stacked with ``unionByName``."""
+    → (column, rank, value, count, pct).  One scan and one partial
+    aggregation over (column, value) for all columns; the rank keeps ``top``
+    rows per column and task before its shuffle."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in cols])
     total = df.agg(F.count(F.lit(1)).alias("__rows"))
-    parts = []
-    for c in cols:
-        g = (df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("value"))
-             .agg(F.count(F.lit(1)).cast("bigint").alias("count"))
-             .orderBy(F.desc("count"), "value").limit(top))
-        from pyspark.sql import Window
-        # ≤ top rows after the limit: an ordered window over them is bounded.
-        w = Window.orderBy(F.desc("count"), "value")
-        parts.append(g.select(F.lit(c).alias("column"), F.row_number().over(w).alias("rank"), "value", "count"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.crossJoin(F.broadcast(total)).select(
+    w = Window.partitionBy("column").orderBy(F.desc("count"), "value")
+    counted = (df.select(F.inline(pairs)).where("value IS NOT NULL").groupBy("column", "value")
+               .agg(F.count(F.lit(1)).cast("bigint").alias("count"))
+               .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top))
+    return counted.crossJoin(F.broadcast(total)).select(
         "column", "rank", "value", "count",
         F.round(F.col("count") * 100.0 / F.col("__rows"), digits).alias("pct"))
 

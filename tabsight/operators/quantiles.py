@@ -2,25 +2,21 @@
 
 Spark's exact ``percentile`` keeps a value→count map of the whole column in
 its final merge: fine for millions of rows, not for a 100 TB column.  The
-sketch ``percentile_approx`` is bounded but approximate.  ``refine`` is exact
-*and* bounded:
+sketch ``percentile_approx`` is bounded but approximate.  ``exact_quantiles``
+is exact and bounded, and works alike at every size:
 
-1. one aggregate: non-missing count, min and max per column;
-2. each rank the interpolation needs (⌊h⌋ and ⌈h⌉ of h = (n−1)p) starts with
-   the interval [min, max]; a pass cuts every open interval into ``buckets``
-   equal-width buckets and counts, per bucket, the rows and their min/max —
-   one grouped aggregate over all columns and ranks, partial-aggregated
-   map-side, only rows inside an open interval contribute;
-3. the bucket holding the wanted rank becomes the new interval
-   [bucket min, bucket max] (exactly that bucket's values, so rank
-   book-keeping stays exact);
-4. once an interval holds ≤ ``max_collect`` values (or one distinct value)
-   its values are gathered — a bounded list — and the order statistic read.
+1. one aggregate: non-missing count and, for each rank the interpolation
+   needs, a pair of sketch quantiles a little below and above it;
+2. one aggregate: how many values lie below and inside each such interval.
+   The interval that holds the rank is either small (at most ``max_inside``
+   values) or a single value, or it is cut by a sketch of its own values in
+   the same way (each round leaves about 4 / accuracy of the values);
+3. the values of the small intervals are counted by value, a bounded table,
+   and the order statistics are read from it.
 
-Passes needed ≈ log_buckets(n / max_collect) + 1 (three for 10¹² rows with
-the defaults); heavy tails only add passes, never memory.
-``method='auto'`` uses Spark's ``percentile`` when the optimizer's size
-estimate of the input is below ``auto_bytes`` and ``refine`` above it.
+Two or three scans of the needed columns for up to 10^8 rows, two more for
+each further factor of about 2,500.  Infinite values are ordinary values;
+NaN counts as missing.  Interpolation is linear, as in ``percentile``.
 """
 
 from __future__ import annotations
@@ -30,101 +26,101 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# ``percentile`` merges one value→count map of every distinct value in a
-# single task: ≤ 256 MiB of input keeps that map ≤ ~32 M entries (< 1 GiB).
-# Below it the one-pass ``percentile`` is faster than refine's passes (sf0.1:
-# 14.7 s vs 25.4 s over the quantile queries); above it refine is bounded.
-AUTO_BYTES = 256 << 20
+ACCURACY = 10_000
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    try:
-        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        return int(size) if isinstance(size, int) else int(str(size.toString()))
-    except Exception:  # noqa: BLE001  (e.g. Spark Connect)
-        return None
-
-
-def choose_method(df: DataFrame, method: str = "auto", auto_bytes: int = AUTO_BYTES) -> str:
-    if method != "auto":
-        return method
-    size = estimated_bytes(df)
-    return "refine" if size is not None and size > auto_bytes else "percentile"
-
-
-def refine_quantiles(df: DataFrame, cols: dict, probs, buckets: int = 4096,
-                     max_collect: int = 100_000, max_passes: int = 64) -> dict:
+def exact_quantiles(df: DataFrame, cols: dict, probs, max_inside: int = 100_000, accuracy: int = ACCURACY) -> dict:
     """``cols``: name → numeric Column (NaN already NULL).  Returns
-    {(name, p): value or None} with pandas' linear interpolation."""
+    {(name, p): value or None} with linear interpolation.  One aggregate
+    gathers at most ``max_inside`` values for each open rank."""
     names = list(cols)
-    vals = df.select(*[cols[n].cast("double").alias(f"__c{i}") for i, n in enumerate(names)])
-    vals = vals.persist()
-    st = vals.agg(*[F.count(f"__c{i}").alias(f"n{i}") for i in range(len(names))],
-                  *[F.min(f"__c{i}").alias(f"lo{i}") for i in range(len(names))],
-                  *[F.max(f"__c{i}").alias(f"hi{i}") for i in range(len(names))]).first()
-    # target = (column index, 0-based rank) → state [lo, hi, below, count_in, done_value]
-    targets: dict[tuple[int, int], list] = {}
-    plan: dict[tuple[str, float], tuple] = {}
-    for i, n in enumerate(names):
-        cnt = st[f"n{i}"]
-        for p in probs:
-            if not cnt:
-                plan[(n, p)] = None
+    vals = df.select(*[cols[n].cast("double").alias(f"c{i}") for i, n in enumerate(names)])
+    probs = [float(p) for p in probs]
+    around = [min(1.0, max(0.0, p + e)) for p in probs for e in (-2 / accuracy, 2 / accuracy)]
+    first = vals.agg(*[e for i in range(len(names)) for e in (
+        F.count(f"c{i}").alias(f"n{i}"), F.min(f"c{i}").alias(f"lo{i}"), F.max(f"c{i}").alias(f"hi{i}"),
+        F.percentile_approx(f"c{i}", F.array(*map(F.lit, around)), accuracy).alias(f"s{i}"))]).first()
+
+    plan: dict[tuple[str, float], tuple | None] = {}
+    # (column, 0-based rank) -> [lo, hi, outer lo, outer hi]: the guess and what surely holds the rank
+    guess: dict[tuple[int, int], list] = {}
+    for i, name in enumerate(names):
+        n = first[f"n{i}"]
+        for j, p in enumerate(probs):
+            if not n:
+                plan[(name, p)] = None
                 continue
-            h = (cnt - 1) * float(p)
-            k0 = int(math.floor(h))
-            k1 = min(k0 + 1, cnt - 1)
-            plan[(n, p)] = (i, k0, k1, h - k0)
+            h = (n - 1) * p
+            k0, k1 = math.floor(h), min(math.floor(h) + 1, n - 1)
+            plan[(name, p)] = (i, k0, k1, h)
+            lo, hi = first[f"s{i}"][2 * j], first[f"s{i}"][2 * j + 1]
+            lo = first[f"lo{i}"] if around[2 * j] == 0.0 else lo
+            hi = first[f"hi{i}"] if around[2 * j + 1] == 1.0 else hi
             for k in (k0, k1):
-                targets.setdefault((i, k), [st[f"lo{i}"], st[f"hi{i}"], 0, cnt, None])
-    for _ in range(max_passes):
-        open_t = {t: s for t, s in targets.items() if s[4] is None}
-        for s in open_t.values():
-            if s[0] == s[1]:
-                s[4] = s[0]
-        open_t = {t: s for t, s in open_t.items() if s[4] is None}
-        if not open_t:
-            break
-        small = {t: s for t, s in open_t.items() if s[3] <= max_collect}
-        big = {t: s for t, s in open_t.items() if s[3] > max_collect}
-        # distinct open intervals (ranks of one column often share one)
-        ivals = sorted({(t[0], s[0], s[1]) for t, s in big.items()})
-        if ivals:
-            probes = [F.when((F.col(f"__c{c}") >= lo) & (F.col(f"__c{c}") <= hi),
-                             F.struct(F.lit(j).alias("iv"),
-                                      F.least(F.floor((F.col(f"__c{c}") - F.lit(lo)) * buckets / F.lit(hi - lo)),
-                                              F.lit(buckets - 1)).cast("int").alias("b"),
-                                      F.col(f"__c{c}").alias("x")))
-                      for j, (c, lo, hi) in enumerate(ivals)]
-            hist = (vals.select(F.explode(F.filter(F.array(*probes), lambda s: s.isNotNull())).alias("s"))
-                    .groupBy("s.iv", "s.b").agg(F.count(F.lit(1)).alias("n"), F.min("s.x").alias("mn"),
-                                                F.max("s.x").alias("mx")).collect())  # ≤ intervals × buckets rows
-            by_iv: dict[int, list] = {}
-            for r in hist:
-                by_iv.setdefault(r["iv"], []).append((r["b"], r["n"], r["mn"], r["mx"]))
-            for t, s in big.items():
-                j = ivals.index((t[0], s[0], s[1]))
-                acc = s[2]
-                for b, n, mn, mx in sorted(by_iv.get(j, [])):
-                    if t[1] < acc + n:
-                        s[0], s[1], s[2], s[3] = mn, mx, acc, n
-                        break
-                    acc += n
-        if small:
-            ivs = sorted({(t[0], s[0], s[1]) for t, s in small.items()})
-            lists = vals.agg(*[F.sort_array(F.collect_list(F.when((F.col(f"__c{c}") >= lo) & (F.col(f"__c{c}") <= hi),
-                                                                  F.col(f"__c{c}")))).alias(f"l{j}")
-                               for j, (c, lo, hi) in enumerate(ivs)]).first()  # each ≤ max_collect values
-            for t, s in small.items():
-                j = ivs.index((t[0], s[0], s[1]))
-                s[4] = lists[f"l{j}"][t[1] - s[2]]
-    vals.unpersist()
+                guess.setdefault((i, k), [lo, hi, first[f"lo{i}"], first[f"hi{i}"]])
+
+    done: dict[tuple[int, int], float] = {}
+    small: dict[tuple[int, int], tuple] = {}
+    while guess:
+        spans = sorted({(t[0], s[0], s[1]) for t, s in guess.items()})
+        got = vals.agg(*[e for j, (c, lo, hi) in enumerate(spans) for e in (
+            F.count_if(F.col(f"c{c}") < lo).alias(f"b{j}"),
+            F.count_if(F.col(f"c{c}").between(lo, hi)).alias(f"i{j}"))]).first()
+        cut: dict[tuple[int, float, float], list] = {}
+        for t, s in list(guess.items()):
+            j = spans.index((t[0], s[0], s[1]))
+            below, inside = got[f"b{j}"], got[f"i{j}"]
+            if t[1] < below:  # the sketch missed the rank: what it left out below holds it
+                edge = math.nextafter(s[0], -math.inf)
+                s[0], s[1], s[3] = s[2], edge, edge
+            elif t[1] >= below + inside:
+                edge = math.nextafter(s[1], math.inf)
+                s[0], s[1], s[2] = edge, s[3], edge
+            elif s[0] == s[1]:
+                done[t] = s[0]
+                del guess[t]
+            elif inside <= max_inside:
+                small[t] = (s[0], s[1], below)
+                del guess[t]
+            else:
+                cut.setdefault((t[0], s[0], s[1]), []).append((t, (t[1] - below) / (inside - 1)))
+        if cut:
+            spans = list(cut)
+            sketch = vals.agg(*[F.percentile_approx(
+                F.when(F.col(f"c{c}").between(lo, hi), F.col(f"c{c}")),
+                F.array(*[F.lit(min(1.0, max(0.0, p + e))) for _, p in cut[(c, lo, hi)] for e in (
+                    -2 / accuracy, 2 / accuracy)]), accuracy).alias(f"s{j}")
+                for j, (c, lo, hi) in enumerate(spans)]).first()
+            for j, span in enumerate(spans):
+                for m, (t, p) in enumerate(cut[span]):
+                    lo, hi = sketch[f"s{j}"][2 * m], sketch[f"s{j}"][2 * m + 1]
+                    if (lo, hi) == (guess[t][0], guess[t][1]):  # two heavy values: look at one of them
+                        hi = lo
+                    guess[t] = [lo, hi, span[1], span[2]]
+    if small:
+        spans = sorted({(t[0], lo, hi) for t, (lo, hi, _) in small.items()})
+        inside = F.array(*[F.when(F.col(f"c{c}").between(lo, hi), F.struct(F.lit(j).alias("j"), F.col(f"c{c}").alias("x")))
+                           for j, (c, lo, hi) in enumerate(spans)])
+        rows = (vals.select(F.inline(F.filter(inside, lambda s: s.isNotNull()))).groupBy("j", "x").count()
+                .collect())  # at most max_inside rows for each interval
+        by_span: dict[int, list] = {}
+        for r in rows:
+            by_span.setdefault(r["j"], []).append((r["x"], r["count"]))
+        for v in by_span.values():
+            v.sort()
+        for t, (lo, hi, below) in small.items():
+            at = below
+            for x, n in by_span[spans.index((t[0], lo, hi))]:
+                at += n
+                if t[1] < at:
+                    done[t] = x
+                    break
     out = {}
-    for key, pl in plan.items():
-        if pl is None:
+    for key, p in plan.items():
+        if p is None:
             out[key] = None
             continue
-        i, k0, k1, frac = pl
-        a, b = targets[(i, k0)][4], targets[(i, k1)][4]
-        out[key] = a + (b - a) * frac if frac else a
+        i, k0, k1, h = p
+        a, b = done[(i, k0)], done[(i, k1)]
+        out[key] = a if k0 == h or a == b else (k1 - h) * a + (h - k0) * b
     return out

@@ -2,7 +2,7 @@
 
 Series are keyed (``keys``, possibly empty for one series) and ordered by
 ``ts`` then ``id_col`` (a unique tiebreak).  Row-based frames use the
-chunked ranking of ``tabsight.operators.ordered`` so that a dominant key is
+range-partitioned ranking of ``tabsight.operators.ordered`` so that a dominant key is
 spread over many tasks; results equal an ordinary ordered window.
 """
 
@@ -16,7 +16,7 @@ from tabsight.operators.ordered import BLOCK, HOME, RANK, ordered_rank, with_blo
 
 
 def rolling_width(n: int) -> int:
-    """Default window: max(2, min(30, n // 8))."""
+    """Default window (fixed values 2, 30, 8): max(2, min(30, n // 8))."""
     return max(2, min(30, n // 8))
 
 
@@ -32,13 +32,13 @@ def sort_by_time(df: DataFrame, ts: str, id_col: str) -> DataFrame:
 
 
 def rolling_stats(df: DataFrame, keys: list[str], ts: str, val: str, w: int, id_col: str,
-                  block_rows: int = 1_000_000, chunk_rows: int = 1_000_000, digits: int | None = 6) -> DataFrame:
+                  block_rows: int = 1_000_000, partitions: int | None = None, digits: int | None = 6) -> DataFrame:
     """Rolling mean and sample std over the last ``w`` rows and the ±1 std
     band; NULL until the frame holds ``w`` non-missing values (pandas
     ``rolling(w)``).  Adds ma, std, band_lo, band_hi."""
     x = num(df, val)
     base = df.withColumn("__v", x)
-    ranked = ordered_rank(base, keys, ts, [id_col], chunk_rows=chunk_rows, with_count=False)
+    ranked = ordered_rank(base, keys, ts, [id_col], partitions, with_count=False)
     blk = with_blocks(ranked, w - 1, block_rows)
     frame = Window.partitionBy(*keys, BLOCK).orderBy(RANK).rowsBetween(-(w - 1), 0)
     full = F.count("__v").over(frame) == w
@@ -52,7 +52,7 @@ def rolling_stats(df: DataFrame, keys: list[str], ts: str, val: str, w: int, id_
 
 
 def add_lags(df: DataFrame, keys: list[str], ts: str, val: str, n: int, id_col: str,
-             diff: bool = True, block_rows: int = 1_000_000, chunk_rows: int = 1_000_000,
+             diff: bool = True, block_rows: int = 1_000_000, partitions: int | None = None,
              ts_is_rank: bool = False) -> DataFrame:
     """Add ``lag_1 … lag_n`` (previous values in time order) and, if asked,
     ``diff_1`` = value − previous value (the d = 1 of ARIMA).
@@ -61,7 +61,7 @@ def add_lags(df: DataFrame, keys: list[str], ts: str, val: str, n: int, id_col:
     if ts_is_rank:
         ranked = df.withColumn(RANK, F.col(ts).cast("long"))
     else:
-        ranked = ordered_rank(df, keys, ts, [id_col], chunk_rows=chunk_rows, with_count=False)
+        ranked = ordered_rank(df, keys, ts, [id_col], partitions, with_count=False)
     blk = with_blocks(ranked, n, block_rows)
     w = Window.partitionBy(*keys, BLOCK).orderBy(RANK)
     lags = [F.lag(F.col(val), i).over(w).alias(f"lag_{i}") for i in range(1, n + 1)]
@@ -72,11 +72,11 @@ def add_lags(df: DataFrame, keys: list[str], ts: str, val: str, n: int, id_col:
 
 
 def time_split(df: DataFrame, keys: list[str], ts: str, id_col: str, frac: float = 0.8,
-               chunk_rows: int = 1_000_000) -> DataFrame:
+               partitions: int | None = None) -> DataFrame:
     """Per series, the first int(frac · n) rows in time order are train →
     adds ``split`` ('train' / 'test') and ``step`` (1-based position inside
     its part)."""
-    ranked = ordered_rank(df, keys, ts, [id_col], chunk_rows=chunk_rows, with_count=True)
+    ranked = ordered_rank(df, keys, ts, [id_col], partitions, with_count=True)
     cut = F.floor(F.col("__n") * F.lit(frac))
     return (ranked.withColumn("split", F.when(F.col(RANK) <= cut, "train").otherwise("test"))
             .withColumn("step", F.when(F.col(RANK) <= cut, F.col(RANK)).otherwise(F.col(RANK) - cut).cast("long"))
@@ -103,8 +103,12 @@ def resample_mean(df: DataFrame, keys: list[str], ts: str, val: str, unit: str =
 
 
 def series_overview(df: DataFrame, keys: list[str], ts: str, val: str, id_col: str,
-                    w: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Parse/drop bad times, rolling band and extremes."""
+                    w: int | None = None, fmt: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """R1 for the value column ``val``: a text time column is parsed (what
+    does not parse is dropped, as are missing times) → (rolling band in time
+    order, extremes).  Width by default from the shortest series."""
+    if dict(df.dtypes)[ts] == "string":
+        df = parse_date(df, ts, fmt=fmt)
     clean = df.where(F.col(ts).isNotNull())
     if w is None:
         n_min = clean.groupBy(*keys).count().agg(F.min("count")).first()[0] or 0

@@ -10,6 +10,7 @@ stop list (as an ``isin`` expression) and the TF-IDF vocabulary (≤
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -83,6 +84,45 @@ def tfidf_vocabulary(df: DataFrame, col: str, max_features: int = 300, stop_word
     return top.select("term", (F.row_number().over(w) - 1).cast("int").alias("term_index"), "n", "dfreq")
 
 
+@dataclass
+class Tfidf:
+    """A fitted vocabulary: terms in index order and their smoothed idf
+    (≤ ``max_features`` numbers)."""
+
+    terms: list[str]
+    idf: list[float]
+
+    def vectors(self, df: DataFrame, col: str, out: str = "tfidf") -> DataFrame:
+        """Add the L2-normalised vector of every row's text: a
+        ``CountVectorizerModel`` over the vocabulary, ``ElementwiseProduct``
+        by the idf and ``Normalizer`` — row-local, no shuffle."""
+        from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+        from pyspark.ml.linalg import Vectors
+        vec = df.withColumn("__tok", tfidf_tokens(F.col(col)))
+        for stage in (CountVectorizerModel.from_vocabulary(self.terms, inputCol="__tok", outputCol="__tf"),
+                      ElementwiseProduct(inputCol="__tf", outputCol="__w", scalingVec=Vectors.dense(self.idf)),
+                      Normalizer(inputCol="__w", outputCol=out, p=2.0)):
+            vec = stage.transform(vec)
+        return vec.drop("__tok", "__tf", "__w")
+
+
+def fit_tfidf(df: DataFrame, col: str, max_features: int = 300, stop_words=None,
+              vocabulary: DataFrame | None = None, n_docs: int | None = None) -> Tfidf:
+    """Vocabulary and idf = ln((1 + n) / (1 + df)) + 1 from ``df``, or from a
+    given ``vocabulary`` (term, term_index[, dfreq]); without ``dfreq`` the
+    document frequencies are counted on ``df``."""
+    stop = list(ENGLISH_STOP_WORDS if stop_words is None else stop_words)
+    n = n_docs if n_docs is not None else df.count()
+    vocab = vocabulary if vocabulary is not None else tfidf_vocabulary(df, col, max_features, stop)
+    rows = vocab.orderBy("term_index").collect()  # ≤ max_features rows
+    terms = [r["term"] for r in rows]
+    if not terms:
+        return Tfidf([], [])
+    dfreq = ({r["term"]: r["dfreq"] for r in rows} if "dfreq" in vocab.columns else
+             {r["term"]: r["dfreq"] for r in _term_stats(df, col, None, terms).collect()})
+    return Tfidf(terms, [math.log((1 + n) / (1 + dfreq.get(t, 0))) + 1 for t in terms])
+
+
 def tfidf_long(df: DataFrame, id_col: str, col: str, max_features: int = 300,
                stop_words=None, vocabulary: DataFrame | None = None, n_docs: int | None = None,
                digits: int = 6) -> DataFrame:
@@ -91,79 +131,28 @@ def tfidf_long(df: DataFrame, id_col: str, col: str, max_features: int = 300,
     tf = raw count, idf = ln((1 + n) / (1 + df)) + 1 (smoothed), each
     document's vector L2-normalised over the vocabulary.  Pass a fitted
     ``vocabulary`` (term, term_index[, dfreq]) and ``n_docs`` to apply a
-    training-set fit to new rows; without ``dfreq`` the document frequencies
-    are counted on ``df``.
-
-    Pass 1 is one aggregation (term counts and document frequencies); the
-    vocabulary it yields is ≤ ``max_features`` rows and is collected.  Pass 2
-    is map-only: a ``CountVectorizerModel`` over that vocabulary counts each
-    document's terms inside its row, and idf, norm and the long form are
-    row-local Spark ML transformers (``ElementwiseProduct`` by the idf
-    vector, L2 ``Normalizer``) — no shuffle of (document, term) pairs.
-    """
-    from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+    training-set fit to new rows.  Pass 1 is one aggregation (term counts and
+    document frequencies); pass 2 is map-only, and only the non-zero entries
+    of a row's vector are unpacked."""
     from pyspark.ml.functions import vector_to_array
-    from pyspark.ml.linalg import Vectors
-
-    stop = list(ENGLISH_STOP_WORDS if stop_words is None else stop_words)
-    df = spread(df.select(id_col, col))
-    vocab = vocabulary if vocabulary is not None else tfidf_vocabulary(df, col, max_features, stop)
-    limit = max(max_features, 1 << 20) if vocabulary is not None else max_features
-    rows = vocab.orderBy("term_index").limit(limit + 1).collect()  # ≤ max_features rows
-    if len(rows) > limit:
-        raise ValueError(f"vocabulary larger than {limit} terms")
-    terms = [r["term"] for r in rows]
-    if not terms:
+    df = df.select(id_col, col)
+    model = fit_tfidf(df, col, max_features, stop_words, vocabulary, n_docs)
+    if not model.terms:
         return df.sparkSession.createDataFrame([], f"{id_col} {df.schema[id_col].dataType.simpleString()}, "
                                                    "term string, weight double")
-    if "dfreq" in vocab.columns:
-        dfreq = {r["term"]: r["dfreq"] for r in rows}
-    else:
-        dfreq = {r["term"]: r["dfreq"] for r in _term_stats(df, col, None, terms).collect()}  # ≤ |vocab|
-    n = n_docs if n_docs is not None else df.count()
-    idf = [math.log((1 + n) / (1 + dfreq.get(t, 0))) + 1 for t in terms]
-
-    stages = [CountVectorizerModel.from_vocabulary(terms, inputCol="__tok", outputCol="__tf"),
-              ElementwiseProduct(inputCol="__tf", outputCol="__w", scalingVec=Vectors.dense(idf)),
-              Normalizer(inputCol="__w", outputCol="__x", p=2.0)]
-    vec = df.select(id_col, tfidf_tokens(F.col(col)).alias("__tok"))
-    for st in stages:  # row-local JVM transformers on ≤ max_features-long sparse vectors
-        vec = st.transform(vec)
-    long = vec.select(id_col, F.posexplode(vector_to_array("__x")).alias("__i", "__v")).where(F.col("__v") > 0)
-    term_arr = F.array(*[F.lit(t) for t in terms])
-    return long.select(id_col, F.get(term_arr, F.col("__i")).alias("term"),
-                       F.round("__v", digits).alias("weight"))
-
-
-def tfidf_vectors(df: DataFrame, id_col: str, col: str, max_features: int = 300, stop_words=None):
-    """Spark ML form: ``RegexTokenizer → StopWordsRemover → CountVectorizer →
-    smoothed IDF → L2 Normalizer`` as a fitted ``PipelineModel`` plus the
-    transformed DataFrame with a sparse ``tfidf`` vector column.
-
-    Spark's ``IDF`` computes ln((n+1)/(df+1)); the +1 of the smoothed form is
-    added by scaling with an ``ElementwiseProduct`` built from the fitted idf.
-    """
-    from pyspark.ml import Pipeline, PipelineModel
-    from pyspark.ml.feature import (IDF, CountVectorizer, ElementwiseProduct, Normalizer,
-                                    RegexTokenizer, StopWordsRemover)
-    from pyspark.ml.linalg import Vectors
-
-    stop = list(ENGLISH_STOP_WORDS if stop_words is None else stop_words)
-    base = Pipeline(stages=[
-        RegexTokenizer(inputCol=col, outputCol="__tok", pattern=r"[^\p{L}\p{N}_]+", minTokenLength=2,
-                       toLowercase=True),
-        StopWordsRemover(inputCol="__tok", outputCol="__tok2", stopWords=stop),
-        CountVectorizer(inputCol="__tok2", outputCol="__tf", vocabSize=max_features),
-        IDF(inputCol="__tf", outputCol="__idf0"),
-    ]).fit(df.na.fill({col: ""}))
-    idf = base.stages[-1].idf.toArray()
-    # ln((n+1)/(df+1)) + 1 = idf0 + 1 → per-term factor (idf0 + 1) / idf0 on tf·idf0
-    # is unstable when idf0 = 0, so rebuild from tf instead.
-    scale = Vectors.dense([v + 1.0 for v in idf])
-    post = [ElementwiseProduct(inputCol="__tf", outputCol="__w", scalingVec=scale),
-            Normalizer(inputCol="__w", outputCol="tfidf", p=2.0)]
-    model = PipelineModel(stages=base.stages[:3] + post)
-    out = model.transform(df.na.fill({col: ""})).drop("__tok", "__tok2", "__tf", "__w")
-    return model, out, base.stages[2].vocabulary
-
-
+    weights = vector_to_array("tfidf")
+    entries = F.filter(F.transform(weights, lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda e: e["w"] > 0)
+    long = model.vectors(spread(df), col).select(id_col, F.inline(entries))
+    return long.select(id_col, F.get(F.array(*[F.lit(t) for t in model.terms]), F.col("i")).alias("term"),
+                       F.round("w", digits).alias("weight"))
+
+
+def attach_features(df: DataFrame, id_col: str, col: str, max_features: int = 300, stop_words=None,
+                    fit: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
+    """The table with its text column replaced by the TF-IDF vector
+    (column ``tfidf``), fitted on ``fit`` (default: the rows given); also
+    returns the terms in vector order."""
+    model = fit_tfidf(df if fit is None else fit, col, max_features, stop_words)
+    if not model.terms:
+        return df.drop(col), []
+    return model.vectors(df, col).drop(col), model.terms

@@ -8,6 +8,7 @@ from tabsight.operators import cluster as K
 from tabsight.plans.registry import query, table
 from tabsight.sources.io import union_all_by_name
 
+GMM_PCA = 20  # components for the mixture: 64 dimensions exceed small tables' rows
 EMB = """(SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"""
 
 
@@ -54,23 +55,30 @@ def _k(spark, sf_dir):
     return K.cluster_count(embeddings(spark, sf_dir).count())
 
 
+def prepared(spark, sf_dir):
+    """The embeddings standardised column by column, as the original clusters."""
+    return K.standardize_vector(embeddings(spark, sf_dir), "embedding", "z").drop("embedding").withColumnRenamed("z", "embedding")
+
+
 @query("kmeans")
 def q_kmeans(spark, sf_dir):
-    """k = min(5, max(2, n // 50)); best of 5 seeded starts."""
-    _, out = K.kmeans(embeddings(spark, sf_dir), "embedding", _k(spark, sf_dir))
+    """Standardised rows, k = min(5, max(2, n // 50)); best of 5 seeded starts."""
+    _, out = K.kmeans(prepared(spark, sf_dir), "embedding", _k(spark, sf_dir))
     return out.select("vec_id", "cluster")
 
 
 @query("gmm")
 def q_gmm(spark, sf_dir):
-    """Gaussian mixture on the 64-d embeddings projected to 20 components."""
-    _, out = K.gaussian_mixture(embeddings(spark, sf_dir), "embedding", _k(spark, sf_dir))
+    """Gaussian mixture on the standardised embeddings projected to
+    ``GMM_PCA`` components (a parameter of this query)."""
+    _, out = K.gaussian_mixture(prepared(spark, sf_dir), "embedding", _k(spark, sf_dir), pca_dim=GMM_PCA)
     return out.select("vec_id", "cluster", F.round("probability", 6).alias("probability"))
 
 
 @query("elbow")
 def q_elbow(spark, sf_dir):
-    return K.elbow(embeddings(spark, sf_dir), "embedding", 10)
+    """Standardised rows, best of 5 starts for each k."""
+    return K.elbow(prepared(spark, sf_dir), "embedding", 10)
 
 
 @query("pca_scree")
@@ -79,26 +87,30 @@ def q_pca_scree(spark, sf_dir):
 
 
 def _pca2(spark, sf_dir):
+    """(points with x and y, share of the variance the two axes keep)"""
     from pyspark.ml.functions import vector_to_array
-    p = K.pca_project(embeddings(spark, sf_dir), "embedding", 2, out="p")
-    return p.select("vec_id", "label", vector_to_array("p")[0].alias("x"), vector_to_array("p")[1].alias("y"))
+    p, share = K.pca_project(embeddings(spark, sf_dir), "embedding", 2, out="p", with_share=True)
+    return p.select("vec_id", "label", vector_to_array("p")[0].alias("x"), vector_to_array("p")[1].alias("y")), share
 
 
 @query("projection")
 def q_projection(spark, sf_dir):
-    """PCA and truncated SVD (2-D) side by side, one row per (method, id)."""
-    pca = _pca2(spark, sf_dir).select(F.lit("pca").alias("method"), "vec_id", "label", "x", "y")
-    svd, share = K.svd_project(embeddings(spark, sf_dir), "embedding", 2)
-    svd = svd.select(F.lit("svd").alias("method"), "vec_id", "label", F.col("c1").alias("x"), F.col("c2").alias("y"))
-    return union_all_by_name(pca, svd).select("method", "vec_id", "label", F.round("x", 6).alias("x"),
-                                              F.round("y", 6).alias("y"))
+    """PCA and truncated SVD (2-D) side by side, one row per (method, id),
+    with the percentage of variance the two axes keep."""
+    pca, p_share = _pca2(spark, sf_dir)
+    svd, s_share = K.svd_project(embeddings(spark, sf_dir), "embedding", 2)
+    pca = pca.select(F.lit("pca").alias("method"), "vec_id", "label", "x", "y", F.lit(p_share).alias("share"))
+    svd = svd.select(F.lit("svd").alias("method"), "vec_id", "label", F.col("c1").alias("x"), F.col("c2").alias("y"),
+                     F.lit(s_share).alias("share"))
+    return union_all_by_name(pca, svd).select("method", "vec_id", "label", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"),
+                                              F.round(F.col("share") * 100, 2).alias("variance_pct"))
 
 
 @query("cluster_map")
 def q_cluster_map(spark, sf_dir):
     """2-D PCA points with their k-means cluster, its centroid and size."""
-    pts = _pca2(spark, sf_dir)
-    _, km = K.kmeans(embeddings(spark, sf_dir), "embedding", _k(spark, sf_dir))
+    pts, _ = _pca2(spark, sf_dir)
+    _, km = K.kmeans(prepared(spark, sf_dir), "embedding", _k(spark, sf_dir))
     j = pts.join(km.select("vec_id", "cluster"), "vec_id")
     cent = K.cluster_sizes_centroids(j, "cluster")
     return j.join(cent, "cluster").select("vec_id", "cluster", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"),
@@ -108,12 +120,11 @@ def q_cluster_map(spark, sf_dir):
 @query("cluster_leaderboard")
 def q_cluster_leaderboard(spark, sf_dir):
     """k-means, Gaussian mixture and DBSCAN (eps 0.5, 5 points) scored by
-    silhouette (squared; noise counted as its own cluster, as the original
-    does) and Davies–Bouldin; clusterings with silhouette −1 (fewer than two
-    clusters) are dropped; best by silhouette; DB also as a share of the
-    largest."""
+    silhouette (squared) and Davies–Bouldin on the standardised rows;
+    clusterings with fewer than two clusters besides noise score −1 / 999 and
+    are dropped; best by silhouette; DB also as a share of the largest."""
     from pyspark.sql import Window
-    emb = embeddings(spark, sf_dir)
+    emb = prepared(spark, sf_dir)
     k = _k(spark, sf_dir)
     rows = []
     from tabsight.operators.dbscan import dbscan
@@ -122,11 +133,14 @@ def q_cluster_leaderboard(spark, sf_dir):
         lab = dbscan(df, "vec_id", vec, 0.5, 5)
         return None, df.join(lab, "vec_id")
 
-    for name, fit in (("kmeans", K.kmeans), ("gaussian_mixture", K.gaussian_mixture), ("dbscan", fit_dbscan)):
+    def fit_mixture(df, vec, k):
+        return K.gaussian_mixture(df, vec, k, pca_dim=GMM_PCA)
+
+    for name, fit in (("kmeans", K.kmeans), ("gaussian_mixture", fit_mixture), ("dbscan", fit_dbscan)):
         try:
             _, lab = fit(emb, "embedding", k)
-            s = K.silhouette_sq(lab, "embedding", "cluster").first()
-            db = K.davies_bouldin(lab, "embedding", "cluster").first()
+            s = K.silhouette_sq(lab, "embedding", "cluster", noise=-1).first()
+            db = K.davies_bouldin(lab, "embedding", "cluster", noise=-1).first()
             rows.append((name, float(s["silhouette"]), float(db["davies_bouldin"]), int(s["n_clusters"]), None))
         except Exception as e:  # noqa: BLE001
             rows.append((name, None, None, None, f"{type(e).__name__}: {e}"[:300]))

@@ -68,19 +68,16 @@ def q_interaction_features(spark, sf_dir):
 _LOG_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
-@query("log_features", """
-SELECT l_orderkey, l_linenumber,
-       CASE WHEN (SELECT min(l_quantity) > 0 FROM lineitem) THEN round(ln(1 + l_quantity), 6) END AS log_l_quantity,
-       CASE WHEN (SELECT min(l_extendedprice) > 0 FROM lineitem) THEN round(ln(1 + l_extendedprice), 6) END AS log_l_extendedprice
-FROM lineitem
-""")
+@query("log_features", " UNION ALL ".join(
+    f"SELECT l_orderkey, l_linenumber, 'log_{c}' AS feature, round(ln(1 + {c}), 6) AS value FROM lineitem "
+    f"WHERE (SELECT min({c}) > 0 FROM lineitem)" for c in _LOG_COLS))
 def q_log_features(spark, sf_dir):
-    """``l_discount`` and ``l_tax`` hold zeros, so only the two positive
-    columns get a log feature (the SQL states that outcome)."""
+    """The log features in long form: which columns get one is in the rows."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *_LOG_COLS)
     out = Fe.log_features(li, _LOG_COLS)
     logs = [c for c in out.columns if c.startswith("log_")]
-    return out.select("l_orderkey", "l_linenumber", *[F.round(c, 6).alias(c) for c in logs])
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.round(c, 6).alias("value")) for c in logs])
+    return out.select("l_orderkey", "l_linenumber", F.inline(pairs))
 
 
 @query("quartile_bins", """

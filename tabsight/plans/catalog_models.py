@@ -44,10 +44,14 @@ def _prep_reg(spark, sf_dir, **kw):
 @query("train_leaderboard")
 def q_train_leaderboard(spark, sf_dir):
     """Every catalogue model on both problems, scored on the held-out 20 %."""
-    pc = _prep_cls(spark, sf_dir)
-    lb_c, _, _ = M.train_all(pc.train.cache(), pc.test.cache(), pc.kind, pc.id_col)
-    pr = _prep_reg(spark, sf_dir)
-    lb_r, _, _ = M.train_all(pr.train.cache(), pr.test.cache(), pr.kind, pr.id_col)
+    boards = []
+    for p in (_prep_cls(spark, sf_dir), _prep_reg(spark, sf_dir)):
+        train, test = p.train.persist(), p.test.persist()  # read by every fit
+        lb, _, _ = M.train_all(train, test, p.kind, p.id_col)
+        boards.append(spark.createDataFrame(lb.collect(), lb.schema))  # one row per model
+        train.unpersist()
+        test.unpersist()
+    lb_c, lb_r = boards
     return (lb_c.select(F.lit("classification").alias("problem"), "*")
             .unionByName(lb_r.select(F.lit("regression").alias("problem"), "*"), allowMissingColumns=True))
 
@@ -59,7 +63,7 @@ def q_tuned_models(spark, sf_dir):
     from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
     from pyspark.ml.regression import LinearRegression
     pc = _prep_cls(spark, sf_dir)
-    tr = pc.train.cache()
+    tr = pc.train.persist()
     n = tr.count()
     rows = []
     _, p, s = M.tune(RandomForestClassifier(seed=M.SEED, **M.TREE_OPTS), M.GRID_FOREST, tr, "classification")
@@ -69,13 +73,15 @@ def q_tuned_models(spark, sf_dir):
     _, p, s = M.tune(lr, {"regParam": [1.0 / (c * n) for c in M.GRID_LOGREG_C]}, tr, "classification")
     rows.append(("logistic_regression", str(sorted(p.items())), s))
     pr = _prep_reg(spark, sf_dir)
-    trr = pr.train.cache()
+    tr.unpersist()
+    trr = pr.train.persist()
     st = trr.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("sd")).first()
     ridge = LinearRegression(elasticNetParam=0.0, standardization=False, solver="normal",
                              featuresCol="features_scaled")
     grid = {"regParam": [a * st["sd"] / st["n"] for a in M.GRID_RIDGE_ALPHA]}
     _, p, s = M.tune(ridge, grid, trr, "regression")
     rows.append(("ridge", str(sorted(p.items())), s))
+    trr.unpersist()
     return spark.createDataFrame(rows, "model string, best_params string, cv_score double").select(
         "model", "best_params", F.round("cv_score", 4).alias("cv_score"))
 
@@ -89,17 +95,22 @@ def q_feature_importance(spark, sf_dir):
     return M.feature_importance(m, pr.feature_cols, 20, spark=spark)
 
 
+def _engineered(spark, sf_dir):
+    """(train rows of the regression problem with engineered features fitted
+    on them, base columns, generated columns)"""
+    from tabsight.operators.features import auto_features
+    base = ["l_quantity", "l_discount", "l_tax", "p_retailprice", "p_size"]
+    train = train_test_split(regression_input(spark, sf_dir), "row_id").where(F.col("split") == "train")
+    train, generated = auto_features(train, base)
+    return train.withColumn("label", F.col("l_extendedprice")), base, generated
+
+
 @query("select_features")
 def q_select_features(spark, sf_dir):
     """Engineered features of the regression problem, kept or dropped by
-    forest importance (threshold 0.1 × mean)."""
-    from tabsight.operators.features import auto_features
-    d = regression_input(spark, sf_dir)
-    base = ["l_quantity", "l_discount", "l_tax", "p_retailprice", "p_size"]
-    d, gen = auto_features(d, base)
-    d = d.withColumn("label", F.col("l_extendedprice"))
-    train = train_test_split(d, "row_id").where(F.col("split") == "train")
-    _, tbl, _ = M.select_features(train, base + gen, gen, "label", "regression")
+    forest importance (threshold 0.1 × mean); all fitted on train rows."""
+    train, base, generated = _engineered(spark, sf_dir)
+    _, tbl, _ = M.select_features(train, base + generated, generated, "label", "regression")
     return tbl
 
 
@@ -156,14 +167,35 @@ def q_preprocess(spark, sf_dir):
     return out.drop("features", "features_scaled")
 
 
+@query("preprocess_text")
+def q_preprocess_text(spark, sf_dir):
+    """X8 with a text column: labelled documents, TF-IDF fitted on the train
+    rows, non-zero entries of the prepared vectors in long form."""
+    from pyspark.ml.functions import vector_to_array
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
+    lab = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    pr = prepare(lab.join(docs, "doc_id"), "quality", "doc_id", text_col="text")
+    names = F.array(*[F.lit(c) for c in pr.feature_cols + [f"tfidf_{t}" for t in pr.terms]])
+    x = F.filter(F.transform(vector_to_array("features"), lambda v, i: F.struct(i.alias("i"), v.alias("value"))),
+                 lambda e: e["value"] != 0)
+    rows = pr.train.unionByName(pr.test).select("doc_id", "label", "split", F.inline(x))
+    return rows.select("doc_id", "label", "split", F.get(names, F.col("i")).alias("feature"), F.round("value", 6).alias("value"))
+
+
 @query("top_selected_features")
 def q_top_selected_features(spark, sf_dir):
     """The 15 most important kept features after selection."""
-    from tabsight.operators.features import auto_features
-    d = regression_input(spark, sf_dir)
-    base = ["l_quantity", "l_discount", "l_tax", "p_retailprice", "p_size"]
-    d, gen = auto_features(d, base)
-    d = d.withColumn("label", F.col("l_extendedprice"))
-    train = train_test_split(d, "row_id").where(F.col("split") == "train")
-    _, tbl, _ = M.select_features(train, base + gen, gen, "label", "regression")
+    train, base, generated = _engineered(spark, sf_dir)
+    _, tbl, _ = M.select_features(train, base + generated, generated, "label", "regression")
     return M.top_selected_features(tbl, 15)
+
+
+@query("clustering_input")
+def q_clustering_input(spark, sf_dir):
+    """X8 without a target: customers with encoded, imputed and standardised
+    columns, ready for clustering."""
+    from pyspark.ml.functions import vector_to_array
+    pr = prepare(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"), None, "c_custkey")
+    rows = pr.train.unionByName(pr.test)
+    return rows.select("c_custkey", "split", *[F.round(vector_to_array("features_scaled")[i], 6).alias(c)
+                                               for i, c in enumerate(pr.feature_cols)])

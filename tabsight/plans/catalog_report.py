@@ -4,32 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabsight.operators import evaluate as E
 from tabsight.operators import outliers as O
 from tabsight.operators import profile as P
+from tabsight.operators.report import report_facts
 from tabsight.plans.catalog_evaluate import CC_SQL, rule_scores
 from tabsight.plans.catalog_profile import EVENT_NUM
 from tabsight.plans.registry import query, table
-from tabsight.sources.io import union_all_by_name
 from tabsight.session import checkpoint_dir
 
 
+def _forest(spark, sf_dir):
+    """(prepared classification problem, its random forest)"""
+    from pyspark.ml.classification import RandomForestClassifier
+    from tabsight.operators.models import FOREST_DEPTH, FOREST_TREES, SEED, TREE_OPTS
+    from tabsight.plans.catalog_models import _prep_cls
+    pc = _prep_cls(spark, sf_dir)
+    return pc, RandomForestClassifier(numTrees=FOREST_TREES, maxDepth=FOREST_DEPTH, seed=SEED, **TREE_OPTS).fit(pc.train)
+
+
 @query("sampled_attributions")
 def q_sampled_attributions(spark, sf_dir):
     """Sampled Shapley values (10 seeded permutations) of the random forest
-    on the classification problem, explained on every test row."""
-    from pyspark.ml.classification import RandomForestClassifier
+    on the classification problem, explained on every test row: the 18
+    features of highest mean |attribution|, for each class."""
     from tabsight.operators.explain import sampled_attributions
-    from tabsight.plans.catalog_models import _prep_cls
-    pc = _prep_cls(spark, sf_dir)
-    from tabsight.operators.models import TREE_OPTS
-    m = RandomForestClassifier(numTrees=50, maxDepth=12, seed=42, **TREE_OPTS).fit(pc.train)
+    pc, m = _forest(spark, sf_dir)
     return sampled_attributions(m, pc.test, pc.train, pc.id_col, "features", pc.feature_cols, 10,
-                                output="probability")
+                                output="probability", top=18)
 
 
-def _fmt(c, digits=4):
-    return F.format_string(f"%.{digits}f", c.cast("double"))
+@query("top_feature_attributions")
+def q_top_feature_attributions(spark, sf_dir):
+    """The most influential feature's value and attribution on every test row."""
+    from tabsight.operators.explain import top_feature_pairs
+    pc, m = _forest(spark, sf_dir)
+    return top_feature_pairs(m, pc.test, pc.train, pc.id_col, "features", pc.feature_cols, 10, output="probability")
 
 
 @query("report_facts", f"""
@@ -50,31 +59,35 @@ oc AS (SELECT string_agg(c, ', ' ORDER BY c) AS cols FROM (
 top AS (SELECT model, accuracy, row_number() OVER (ORDER BY accuracy DESC NULLS LAST, model) AS rk FROM scores)
 SELECT 'dataset' AS section, 'rows' AS "key", CAST(n AS VARCHAR) AS value FROM ev
 UNION ALL SELECT 'dataset', 'columns', '6'
+UNION ALL SELECT 'dataset', 'missing', CAST((SELECT count(*) FILTER (WHERE event_id IS NULL) + count(*) FILTER (WHERE ts IS NULL)
+  + count(*) FILTER (WHERE user_id IS NULL) + count(*) FILTER (WHERE event_type IS NULL)
+  + count(*) FILTER (WHERE value IS NULL OR isnan(value)) + count(*) FILTER (WHERE props IS NULL) FROM events) AS VARCHAR)
+UNION ALL SELECT 'dataset', 'problem', CASE WHEN count(DISTINCT value) <= 20 THEN 'classification' ELSE 'regression' END FROM events
+UNION ALL SELECT 'dataset', 'target', 'value'
+UNION ALL SELECT 'dataset', 'features', 'event_id, user_id'
 UNION ALL SELECT 'outliers', 'columns', coalesce(cols, '') FROM oc
 UNION ALL SELECT 'models', 'best', model FROM top WHERE rk = 1
 UNION ALL SELECT 'models', 'best_score', printf('%.4f', accuracy) FROM top WHERE rk = 1
 UNION ALL SELECT 'models', 'top3', string_agg(model, ', ' ORDER BY rk) FROM top WHERE rk <= 3
 """)
 def q_report_facts(spark, sf_dir):
-    """The facts of the final report as (section, key, value) rows."""
+    """E11 on ``events`` (target ``value``), with the rule leaderboard."""
+    from tabsight.operators.columns import infer_problem
+    ev = table(spark, sf_dir, "events")
+    return report_facts(P.dataset_summary(ev), infer_problem(ev, "value").first()["problem"], "value",
+                        [c for c in EVENT_NUM if c != "value"], rule_scores(spark, sf_dir), "accuracy",
+                        O.outlier_comparison(ev, EVENT_NUM))
+
+
+@query("report_facts_models")
+def q_report_facts_models(spark, sf_dir):
+    """E11 with the facts of fitted models: anomalies on ``events`` and the
+    best clustering of ``embeddings``."""
+    from tabsight.operators.anomaly import isolation_forest
+    from tabsight.plans.catalog_cluster import q_cluster_leaderboard
     ev = table(spark, sf_dir, "events")
-    summ = P.dataset_summary(ev)
-    facts = [summ.select(F.lit("dataset").alias("section"), F.lit("rows").alias("key"),
-                         F.col("n_rows").cast("string").alias("value")),
-             summ.select(F.lit("dataset").alias("section"), F.lit("columns").alias("key"),
-                         F.col("n_columns").cast("string").alias("value"))]
-    oc = O.outlier_comparison(ev, EVENT_NUM).agg(
-        F.coalesce(F.array_join(F.array_sort(F.collect_list("column")), ", "), F.lit("")).alias("value"))
-    facts.append(oc.select(F.lit("outliers").alias("section"), F.lit("columns").alias("key"), "value"))
-    lb = E.leaderboard(rule_scores(spark, sf_dir), "accuracy")  # one row per model
-    facts.append(lb.where("rank = 1").select(F.lit("models").alias("section"), F.lit("best").alias("key"),
-                                             F.col("model").alias("value")))
-    facts.append(lb.where("rank = 1").select(F.lit("models").alias("section"), F.lit("best_score").alias("key"),
-                                             _fmt(F.col("accuracy")).alias("value")))
-    top3 = lb.where("rank <= 3").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "model"))),
-                                                              lambda s: s["model"]), ", ").alias("value"))
-    facts.append(top3.select(F.lit("models").alias("section"), F.lit("top3").alias("key"), "value"))
-    return union_all_by_name(*facts)
+    return report_facts(P.dataset_summary(ev), "clustering", anomalies=isolation_forest(ev, "event_id", ["user_id", "value"]),
+                        clusters=q_cluster_leaderboard(spark, sf_dir))
 
 
 @query("save_load_model")

@@ -109,7 +109,7 @@ def q_arima_forecast(spark, sf_dir):
     """ARIMA(2,1,2) by Hannan–Rissanen on the first 80 % of every hourly
     ``event_type`` series; forecast paired with the held-out hours."""
     from tabsight.operators.forecast import arima_forecast
-    fc = arima_forecast(hourly(spark, sf_dir), ["event_type"], "ts", "value", 2, 2, 0.8)
+    fc = arima_forecast(hourly(spark, sf_dir), ["event_type"], "ts", "value", 2, 2, 0.8, id_col="ts")
     return fc.select("event_type", "step", "ts", F.round("actual", 6).alias("actual"),
                      F.round("forecast", 6).alias("forecast"), F.round("error", 6).alias("error"))
 
@@ -117,7 +117,7 @@ def q_arima_forecast(spark, sf_dir):
 @query("forecast_scores")
 def q_forecast_scores(spark, sf_dir):
     from tabsight.operators.forecast import arima_forecast, forecast_scores
-    fc = arima_forecast(hourly(spark, sf_dir), ["event_type"], "ts", "value", 2, 2, 0.8)
+    fc = arima_forecast(hourly(spark, sf_dir), ["event_type"], "ts", "value", 2, 2, 0.8, id_col="ts")
     return forecast_scores(fc, ["event_type"])
 
 
@@ -128,8 +128,43 @@ def q_forecast_table(spark, sf_dir):
     from tabsight.operators.forecast import arima_forecast, forecast_table
     from tabsight.operators.series import time_split
     h = hourly(spark, sf_dir)
-    fc = arima_forecast(h, ["event_type"], "ts", "value", 2, 2, 0.8)
+    fc = arima_forecast(h, ["event_type"], "ts", "value", 2, 2, 0.8, id_col="ts")
     train = time_split(h, ["event_type"], "ts", "ts", 0.8).where(F.col("split") == "train")
     out = forecast_table(train, fc, ["event_type"], "ts", "value")
     return out.select("event_type", "ts", "part", F.round("actual", 6).alias("actual"),
                       F.round("forecast", 6).alias("forecast"))
+
+
+@query("series_overview", """
+WITH o AS (SELECT o_orderdate AS ts, o_orderkey, o_totalprice AS value FROM orders),
+r AS (SELECT *, count(value) OVER w AS k, avg(value) OVER w AS ma, stddev_samp(value) OVER w AS sd FROM o
+      WINDOW w AS (ORDER BY ts, o_orderkey ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))
+SELECT o_orderkey, round(CASE WHEN k = 30 THEN ma END, 4) AS ma, round(CASE WHEN k = 30 THEN sd END, 0) AS std,
+       value = (SELECT max(value) FROM o) AS is_peak, value = (SELECT min(value) FROM o) AS is_low FROM r
+""")
+def q_series_overview(spark, sf_dir):
+    """R1 on order totals: the date arrives as text and is parsed; rolling
+    band of 30 orders and whether an order is the peak or the low."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("day"))
+    band, ends = S.series_overview(o, [], "day", "o_totalprice", "o_orderkey", 30, "yyyy-MM-dd HH:mm:ss")
+    return band.crossJoin(F.broadcast(ends)).select(  # one row of extremes
+        "o_orderkey", F.round("ma", 4).alias("ma"), F.round("std", 0).alias("std"),
+        (F.col("o_totalprice") == F.col("peak_value")).alias("is_peak"), (F.col("o_totalprice") == F.col("low_value")).alias("is_low"))
+
+
+@query("forecast_leaderboard")
+def q_forecast_leaderboard(spark, sf_dir):
+    """The ARIMA forecast as a row of the leaderboard next to a
+    "last value" and a "train mean" forecast of the same held-out hours."""
+    from tabsight.operators.evaluate import leaderboard, regression_scores
+    from tabsight.operators.forecast import arima_forecast
+    h = hourly(spark, sf_dir)
+    fc = arima_forecast(h, ["event_type"], "ts", "value", 2, 2, 0.8, id_col="ts")
+    train = S.time_split(h, ["event_type"], "ts", "ts", 0.8).where(F.col("split") == "train")
+    base = train.groupBy("event_type").agg(F.max_by("value", "ts").alias("last"), F.avg("value").alias("mean"))
+    both = fc.join(base, "event_type").select("event_type", "ts", F.col("actual").alias("label"), F.inline(F.array(
+        F.struct(F.lit("ARIMA(2,1,2)").alias("model"), F.col("forecast").alias("prediction")),
+        F.struct(F.lit("last value").alias("model"), F.col("last").alias("prediction")),
+        F.struct(F.lit("train mean").alias("model"), F.col("mean").alias("prediction")))))
+    scores = regression_scores(both, by=["model"]).select("model", "r2", "rmse")
+    return leaderboard(scores, "r2").select("rank", "model", "r2", "rmse", "medal")

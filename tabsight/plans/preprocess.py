@@ -3,9 +3,11 @@
 Order of the original tool: drop the date column → drop columns with more
 than half missing → infer the problem → encode the target → encode other
 strings → median-impute numerics → TF-IDF of a text column → engineered
-features → importance-based selection.  Every statistic is fitted on the
-train split only (``leaky=True`` fits on all rows, as the original did) and
-applied to both splits as column expressions.
+features → importance-based selection.  Every statistic — sparse columns,
+problem kind, label codes, medians, log columns, bin edges, vocabulary,
+selection and scaling — is fitted on the train split only (``leaky=True``
+fits on all rows, as the original did) and applied to both splits.  Without
+a target the table is prepared for clustering (no ``label`` column).
 """
 
 from __future__ import annotations
@@ -29,60 +31,57 @@ class Prepared:
     feature_cols: list[str]
     generated: list[str] = field(default_factory=list)
     dropped: list[str] = field(default_factory=list)
-    class_labels: list[str] | None = None
+    class_codes: DataFrame | None = None  # (value, code) of the target's classes
+    terms: list[str] = field(default_factory=list)  # of the tfidf part of the features
 
 
-def prepare(df: DataFrame, target: str, id_col: str, date_col: str | None = None,
+def prepare(df: DataFrame, target: str | None, id_col: str, date_col: str | None = None,
             text_col: str | None = None, auto_fe: bool = False, select: bool = False,
             frac: float = 0.8, seed: int = 42, leaky: bool = False, max_features: int = 300) -> Prepared:
     df = C.drop_column(df, date_col) if date_col else df
-    df = C.drop_sparse_columns(df, target)
-    prob = C.infer_problem(df, target).first()
-    kind = prob["problem"]
     split = Fe.train_test_split(df, id_col, frac, seed)
-    fit_rows = split if leaky else split.where(F.col("split") == "train")
-    labels = None
-    if kind == "classification":
-        split, model = Fe.label_encode(split, [target], suffix="__y")
-        labels = model.stages[0].labels
-        split = split.withColumn("label", F.col(f"{target}__y").cast("double")).drop(f"{target}__y")
-    else:
+
+    def fitting(d: DataFrame) -> DataFrame:
+        return d if leaky else d.where(F.col("split") == "train")
+    keep = C.drop_sparse_columns(fitting(split), target).columns
+    split = split.select(*[c for c in split.columns if c in keep or c in (id_col, "split")])
+    kind = C.infer_problem(fitting(split), target).first()["problem"]
+    codes = None
+    if target and kind == "classification":
+        codes = Fe.fit_codes(fitting(split), target)
+        split = Fe.apply_codes(split, target, codes, "label").withColumn("label", F.col("label").cast("double"))
+    elif target:
         split = split.withColumn("label", F.col(target).cast("double"))
-    strings = [c for c in C.categorical_columns(df, exclude=[target, id_col]) if c != text_col]
+    aside = [c for c in (target, id_col, "split", "label") if c]
+    strings = [c for c in C.categorical_columns(split, exclude=aside) if c != text_col]
+    nums = C.numeric_columns(split, exclude=aside)
     if strings:
-        split, _ = Fe.label_encode(split, strings)
-    nums = [c for c in C.numeric_columns(df, exclude=[target, id_col])]
+        split, _ = Fe.label_encode(split, strings, fit=fitting(split))
     feats = nums + [f"{c}_code" for c in strings]
     if nums:
-        med = Fe.fit_medians(fit_rows, nums)
-        split = Fe.impute_median(split, nums, med)
+        split = Fe.impute_median(split, nums, Fe.fit_medians(fitting(split), nums))
     generated: list[str] = []
     if auto_fe and nums:
-        split, generated = Fe.auto_features(split, nums)
+        split, generated = Fe.auto_features(split, nums, fit=fitting(split))
         feats = feats + generated
+    terms: list[str] = []
     if text_col:
-        from tabsight.operators.text import tfidf_vectors
-        _, split, vocab = tfidf_vectors(split, id_col, text_col, max_features)
-        split = split.drop(text_col)
+        from tabsight.operators.text import attach_features
+        split, terms = attach_features(split, id_col, text_col, max_features, fit=fitting(split))
     dropped: list[str] = []
-    if select and generated:
+    if select and generated and target:
         from tabsight.operators.models import select_features
-        base = split.where(F.col("split") == "train") if not leaky else split
-        _, _, dropped = select_features(base, feats, generated, "label", kind)
+        _, _, dropped = select_features(fitting(split), feats, generated, "label", kind)
         feats = [c for c in feats if c not in dropped]
         split = split.drop(*dropped)
     split = split.na.fill(0.0, subset=[c for c in feats if is_numeric_type(split.schema[c].dataType)])
-    scaler_rows = split if leaky else split.where(F.col("split") == "train")
-    st = Fe.fit_scaler(scaler_rows, feats)
-    scaled = Fe.standardize(split, feats, st, suffix="__z")
+    scaled = Fe.standardize(split, feats, Fe.fit_scaler(fitting(split), feats), suffix="__z") if feats else split
     from pyspark.ml.feature import VectorAssembler
-    raw_cols = feats + (["tfidf"] if text_col else [])
-    z_cols = [f"{c}__z" for c in feats] + (["tfidf"] if text_col else [])
-    out = VectorAssembler(inputCols=raw_cols, outputCol="features", handleInvalid="keep").transform(scaled)
-    out = VectorAssembler(inputCols=z_cols, outputCol="features_scaled", handleInvalid="keep").transform(out)
-    # the prepared rows feed many model fits: keep them (recomputed from
-    # lineage if an executor is lost)
-    out = out.select(id_col, "label", "split", "features", "features_scaled", *feats).persist()
+    text_part = ["tfidf"] if terms else []
+    out = VectorAssembler(inputCols=feats + text_part, outputCol="features", handleInvalid="keep").transform(scaled)
+    out = VectorAssembler(inputCols=[f"{c}__z" for c in feats] + text_part, outputCol="features_scaled",
+                          handleInvalid="keep").transform(out)
+    out = out.select(id_col, *(["label"] if target else []), "split", "features", "features_scaled", *feats)
     return Prepared(train=out.where(F.col("split") == "train"), test=out.where(F.col("split") == "test"),
                     kind=kind, id_col=id_col, feature_cols=feats, generated=generated, dropped=dropped,
-                    class_labels=labels)
+                    class_codes=codes, terms=terms)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -18,6 +19,7 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.driver.memory": "16g",
     "spark.ui.showConsoleProgress": "false",
@@ -42,51 +44,53 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder for lineage cuts.
-
-    Uses the cluster's ``spark.checkpoint.dir`` (or one already set on the
-    context).  Only when neither is set — local tests — a scratch folder is
-    created and registered.
-    """
+    """Shared checkpoint folder for lineage cuts: the one set on the context,
+    else the cluster's ``spark.checkpoint.dir``.  Where neither is set, a
+    local session (tests; one machine) gets a folder of its own, and on a
+    cluster this is an error, because executors could not read it."""
     sc = spark.sparkContext
     existing = sc.getCheckpointDir()
     if existing:
         return existing
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not conf_dir:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="tabsight-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
 
 def cut_lineage(df):
-    """Reliable checkpoint (survives executor loss); never localCheckpoint."""
+    """Reliable checkpoint (survives executor loss); never localCheckpoint.
+    Spark deletes its files when the DataFrame is no longer referenced, with
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` on."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def small_enough_to_broadcast(df, max_rows: int) -> bool:
-    """Size check before a broadcast: counts at most ``max_rows + 1`` rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default
-
-
-def spread(df, min_partitions: int | None = None, small_bytes: int = 2 << 30):
-    """Give CPU-heavy work (tokenising, NumPy scoring) one input partition
-    per core.  A table stored as one large row group is read by a single
-    task however many splits are planned.  Decided from the optimizer's size
-    estimate (no job runs): inputs under ``small_bytes`` are round-robin
-    repartitioned (a cheap shuffle of little data); larger inputs, which a
-    cluster reads from many files and row groups, are left as they are."""
-    from tabsight.operators.quantiles import estimated_bytes
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package (``addPyFile``), once per application:
+    Python tasks import its functions by name."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tabsight_shipped", False):
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(top):
+        target = os.path.join(tempfile.mkdtemp(prefix="tabsight-pkg-"), "tabsight_package.zip")
+        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+            for folder, _, names in os.walk(top):
+                for n in sorted(names):
+                    if n.endswith(".py"):
+                        path = os.path.join(folder, n)
+                        z.write(path, os.path.join("tabsight", os.path.relpath(path, top)))
+        sc.addPyFile(target)
+    sc._tabsight_shipped = True
+
+
+def spread(df, min_partitions: int | None = None):
+    """Give CPU-heavy work (tokenising, NumPy scoring) at least one input
+    partition per core.  Only the number of partitions decides: a table that
+    arrives in fewer is dealt out evenly, any other is left as it is."""
     n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    size = estimated_bytes(df)
-    if size is None or size > small_bytes:
-        return df
-    return df.repartition(n)
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)

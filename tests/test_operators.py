@@ -19,7 +19,7 @@ def events(spark):
 def test_chunked_rank_equals_window(spark):
     from tabsight.operators.ordered import RANK, ordered_rank
     ev = events(spark)
-    got = ordered_rank(ev, ["event_type"], "ts", ["event_id"], chunk_rows=17).select("event_id", RANK)
+    got = ordered_rank(ev, ["event_type"], "ts", ["event_id"], partitions=17).select("event_id", RANK)
     w = Window.partitionBy("event_type").orderBy("ts", "event_id")
     want = ev.select("event_id", F.row_number().over(w).alias(RANK))
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
@@ -28,7 +28,7 @@ def test_chunked_rank_equals_window(spark):
 def test_chunked_rolling_equals_window(spark):
     from tabsight.operators.series import rolling_stats
     ev = events(spark)
-    got = rolling_stats(ev, ["event_type"], "ts", "value", 7, "event_id", block_rows=23, chunk_rows=29)
+    got = rolling_stats(ev, ["event_type"], "ts", "value", 7, "event_id", block_rows=23, partitions=9)
     w = Window.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(-6, 0)
     want = ev.select("*", F.round(F.when(F.count("value").over(w) == 7, F.avg("value").over(w)), 6).alias("ma"),
                      F.round(F.when(F.count("value").over(w) == 7, F.stddev_samp("value").over(w)), 6).alias("std"))
@@ -51,11 +51,11 @@ def test_rolling_matches_pandas(spark):
 def test_lags_and_time_split(spark):
     from tabsight.operators.series import add_lags, time_split
     ev = events(spark)
-    lag = add_lags(ev, ["event_type"], "ts", "value", 2, "event_id", block_rows=11, chunk_rows=13)
+    lag = add_lags(ev, ["event_type"], "ts", "value", 2, "event_id", block_rows=11, partitions=13)
     w = Window.partitionBy("event_type").orderBy("ts", "event_id")
     want = ev.select("event_id", F.lag("value", 2).over(w).alias("lag_2"))
     assert lag.select("event_id", "lag_2").exceptAll(want).count() == 0
-    sp = time_split(ev, ["event_type"], "ts", "event_id", 0.8, chunk_rows=19)
+    sp = time_split(ev, ["event_type"], "ts", "event_id", 0.8, partitions=19)
     per = sp.groupBy("event_type").agg(F.count("*").alias("n"), F.sum((F.col("split") == "train").cast("int")).alias("t"))
     for r in per.collect():
         assert r["t"] == math.floor(r["n"] * 0.8)
@@ -295,24 +295,213 @@ def test_dbscan_four_dims_matches_brute_force(spark):
     assert (got == _brute_dbscan(X, 0.6, 5)).all()
 
 
-def test_refine_quantiles_equal_percentile(spark):
-    from tabsight.operators.quantiles import refine_quantiles
-    ev = events(spark)
-    probs = (0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0)
-    got = refine_quantiles(ev, {"value": F.col("value"), "user_id": F.col("user_id")}, probs,
-                           buckets=8, max_collect=20)
-    want = ev.agg(*[F.percentile(c, F.array(*[F.lit(p) for p in probs])).alias(c) for c in ["value", "user_id"]]).first()
-    for c in ["value", "user_id"]:
+@pytest.mark.parametrize("limits", [{}, {"max_inside": 20, "accuracy": 50}, {"max_inside": 3, "accuracy": 100}])
+def test_exact_quantiles_equal_percentile(spark, limits):
+    """Infinite values, ties, NULLs and a heavy value; the same method with
+    limits that force further rounds."""
+    from tabsight.operators.quantiles import exact_quantiles
+    ev = events(spark).select(
+        "value", F.col("user_id").cast("double").alias("user"),
+        F.when(F.col("event_id") % 3 == 0, 7.0).when(F.col("event_id") % 7 == 0, None).otherwise(F.col("value")).alias("tied"),
+        F.when(F.col("event_id") < 9, float("inf")).when(F.col("event_id") < 20, float("-inf")).otherwise(F.col("value")).alias("inf"),
+        F.lit(None).cast("double").alias("none"))
+    probs = (0.0, 0.003, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0)
+    got = exact_quantiles(ev, {c: F.col(c) for c in ev.columns}, probs, **limits)
+    want = ev.agg(*[F.percentile(c, F.array(*[F.lit(p) for p in probs])).alias(c) for c in ev.columns]).first()
+    for c in ev.columns:
         for i, p in enumerate(probs):
-            assert got[(c, p)] == pytest.approx(want[c][i], rel=1e-12, abs=1e-12)
+            w = None if want[c] is None else want[c][i]
+            assert got[(c, p)] == w or got[(c, p)] == pytest.approx(w, rel=1e-12, abs=1e-12), (c, p)
 
 
-def test_stats_refine_path_matches(spark):
+def test_statistics_with_either_quantile_method(spark):
     from tabsight.operators.outliers import outlier_comparison
     from tabsight.operators.profile import box_stats
     ev = events(spark)
-    assert box_stats(ev, ["value"], exact="refine").collect() == box_stats(ev, ["value"]).collect()
-    assert outlier_comparison(ev, ["value"], exact="refine").collect() == outlier_comparison(ev, ["value"]).collect()
+    assert box_stats(ev, ["value"], exact="percentile").collect() == box_stats(ev, ["value"]).collect()
+    assert outlier_comparison(ev, ["value"], exact="percentile").collect() == outlier_comparison(ev, ["value"]).collect()
+
+
+def test_null_keys_and_one_time_value(spark):
+    """Rows with a NULL key stay, and 2,000 rows at one time are spread over
+    the partitions; ranks equal a plain window's."""
+    from tabsight.operators.ordered import RANK, ordered_rank
+    from tabsight.operators.series import add_lags, rolling_stats, time_split
+    df = spark.range(2100).select(
+        F.col("id"), F.when(F.col("id") % 2 == 0, "a").alias("key"),
+        F.when(F.col("id") < 2000, F.lit(5)).when(F.col("id") < 2050, F.col("id")).cast("double").alias("t"),
+        (F.col("id") % 13).cast("double").alias("v"))
+    w = Window.partitionBy("key").orderBy(F.col("t").asc_nulls_first(), "id")
+    ranked = ordered_rank(df, ["key"], "t", ["id"], partitions=10)
+    assert ranked.select("id", RANK).exceptAll(df.select("id", F.row_number().over(w).alias(RANK))).count() == 0
+    sizes = [r["count"] for r in ordered_rank(df, ["key"], "t", ["id"], partitions=10).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 2100
+    assert rolling_stats(df, ["key"], "t", "v", 3, "id").count() == 2100
+    assert time_split(df, ["key"], "t", "id").where("key IS NULL AND split = 'train'").count() == 840
+    lag = add_lags(df, ["key"], "t", "v", 1, "id").select("id", "lag_1")
+    assert lag.exceptAll(df.select("id", F.lag("v").over(w).alias("lag_1"))).count() == 0
+
+
+def test_forecast_keeps_null_keys_and_is_repeatable(spark):
+    from tabsight.operators.forecast import arima_forecast
+    rng = np.random.default_rng(0)
+    rows = [(None if i % 2 else "a", i // 4, float(rng.normal()), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "key string, t long, v double, id long")
+    a = sorted(map(str, arima_forecast(df, ["key"], "t", "v", id_col="id").collect()))
+    b = sorted(map(str, arima_forecast(df.repartition(7), ["key"], "t", "v", id_col="id").collect()))
+    assert a == b and len(a) == 80 and sum("key=None" in r for r in a) == 40
+
+
+def test_dense_codes_and_unseen_labels(spark):
+    from tabsight.operators.features import decode_labels, label_encode
+    train = spark.createDataFrame([("b",), ("a",), (None,), ("c",), ("a",)], "s string")
+    test = spark.createDataFrame([("a",), ("zz",), (None,)], "s string")
+    got, codes = label_encode(train, ["s"])
+    assert sorted(((r["s"] or "nan"), r["s_code"]) for r in got.collect()) == [("a", 0), ("a", 0), ("b", 1), ("c", 2), ("nan", 3)]
+    new, _ = label_encode(test, ["s"], fit=train)
+    assert {r["s"]: r["s_code"] for r in new.collect()} == {"a": 0, "zz": 4, None: 3}
+    names = decode_labels(new, "s_code", codes["s"], "name")
+    assert {r["s"]: r["name"] for r in names.collect()} == {"a": "a", "zz": None, None: "nan"}
+
+
+def test_csv_missing_spellings_do_not_hide_numbers(spark, tmp_path):
+    from tabsight.sources.io import read_table
+    (tmp_path / "x.csv").write_text("a,b,c,d\n1.5,NA,true,x\nNA,2,n/a,NA\n2.5,3,FALSE,\n")
+    df = read_table(spark, str(tmp_path / "x.csv"), "csv")
+    assert dict(df.dtypes) == {"a": "double", "b": "bigint", "c": "boolean", "d": "string"}
+    assert [tuple(r) for r in df.collect()] == [(1.5, None, True, "x"), (None, 2, None, None), (2.5, 3, False, None)]
+
+
+def test_train_features_do_not_depend_on_test_rows(spark):
+    from tabsight.plans.preprocess import prepare
+    df = spark.range(300).select(
+        F.col("id"), (F.col("id") % 17 + 1).cast("double").alias("x"), (F.col("id") % 5).cast("string").alias("s"),
+        F.concat_ws(" ", F.lit("alpha"), F.concat(F.lit("w"), (F.col("id") % 9).cast("string"))).alias("t"),
+        F.when(F.col("id") % 11 == 0, None).otherwise(F.rand(3) * 100).alias("z"), (F.col("id") * 1.5).alias("y")).persist()
+    from tabsight.operators.features import train_test_split
+    test = F.col("split") == "test"
+    split = train_test_split(df, "id")
+    other = split.select("id", F.when(test, -50.0).otherwise(F.col("x")).alias("x"),
+                         F.when(test, F.lit("new")).otherwise(F.col("s")).alias("s"),
+                         F.when(test, F.lit("other words here")).otherwise(F.col("t")).alias("t"),
+                         F.when(test, None).otherwise(F.col("z")).alias("z"), "y")
+    a = prepare(df, "y", "id", text_col="t", auto_fe=True, select=True)
+    b = prepare(other, "y", "id", text_col="t", auto_fe=True, select=True)
+    assert a.feature_cols == b.feature_cols and a.terms == b.terms and a.terms
+    assert a.train.orderBy("id").collect() == b.train.orderBy("id").collect()
+    none = prepare(df, None, "id", text_col="t")
+    assert none.kind == "clustering" and "label" not in none.train.columns and none.train.count() + none.test.count() == 300
+
+
+def test_knn_far_from_zero_and_split_cells(spark):
+    from tabsight.operators.knn import knn_neighbours
+    rng = np.random.default_rng(1)
+    X = rng.normal(size=(300, 3)) + 1e6
+    X[:120] = X[0] + rng.normal(scale=1e-3, size=(120, 3))  # one dense cell
+    rows = [(i, x.tolist()) for i, x in enumerate(X)]
+    tr = spark.createDataFrame(rows[:240], "id long, v array<double>")
+    te = spark.createDataFrame(rows[240:] + [(1000, X[5].tolist())], "id long, v array<double>")
+    got = {}
+    for r in knn_neighbours(tr, te, "id", "v", 5, n_pivots=6, max_group=17).collect():
+        got.setdefault(r["id"], []).append((r["rank"], r["neighbour_id"]))
+    for i, q in [(i, X[i]) for i in range(240, 300)] + [(1000, X[5])]:
+        d = np.sqrt(((X[:240] - q) ** 2).sum(1))
+        assert [n for _, n in sorted(got[i])] == np.lexsort((np.arange(240), d))[:5].tolist()
+
+
+def test_dbscan_dense_cell_in_many_dimensions(spark):
+    from tabsight.operators import dbscan as D
+    rng = np.random.default_rng(4)
+    X = np.r_[rng.normal(0, 0.05, (150, 5)), rng.normal(1.5, 0.3, (60, 5)), rng.uniform(-2, 3, (30, 5))] + 1000.0
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(X)], "id long, v array<double>")
+    keep, D.PART_POINTS = D.PART_POINTS, 20
+    try:
+        got = D.dbscan(df, "id", "v", 0.6, 5).orderBy("id").toPandas()["cluster"].to_numpy()
+    finally:
+        D.PART_POINTS = keep
+    assert (got == _brute_dbscan(X, 0.6, 5)).all()
+
+
+def test_cluster_scores_noise_and_offset(spark):
+    from tabsight.operators.cluster import davies_bouldin, silhouette_sq
+    rng = np.random.default_rng(2)
+    X = np.r_[rng.normal(0, 1, (30, 2)), rng.normal(9, 1, (30, 2))]
+
+    def frame(shift, labels):
+        return spark.createDataFrame([((x + shift).tolist(), lab) for x, lab in zip(X, labels)], "v array<double>, c int")
+    two = [0] * 30 + [1] * 30
+    for score in (silhouette_sq, davies_bouldin):
+        near, far = score(frame(0.0, two), "v", "c", noise=-1).first()[0], score(frame(1e6, two), "v", "c", noise=-1).first()[0]
+        assert near == pytest.approx(far, abs=1e-6)
+    one_and_noise = frame(0.0, [0] * 30 + [-1] * 30)
+    assert silhouette_sq(one_and_noise, "v", "c", noise=-1).first()["silhouette"] == -1.0
+    assert davies_bouldin(one_and_noise, "v", "c", noise=-1).first()["davies_bouldin"] == 999.0
+
+
+def test_shared_folder_is_required_on_a_cluster():
+    from tabsight import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+    with pytest.raises(ValueError):
+        session.checkpoint_dir(Session())
+
+
+def test_profile_plans_copy_no_rows(spark):
+    from tabsight.operators.columns import short_categoricals
+    from tabsight.operators.profile import category_counts, profile_columns
+    li = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
+    for df in (profile_columns(li), short_categoricals(li)):
+        assert "Expand" not in df._jdf.queryExecution().executedPlan().toString()
+    plan = category_counts(li, ["l_returnflag", "l_linestatus"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 2  # values of all columns, and the row count
+
+
+def test_multi_class_attributions_sum_to_zero_over_classes(spark):
+    from pyspark.ml.classification import DecisionTreeClassifier
+    from tabsight.operators.explain import sampled_attributions, top_feature_pairs
+    from tabsight.operators.models import assemble
+    df = assemble(spark.range(90).select("id", (F.col("id") % 3).cast("double").alias("label"),
+                                         (F.col("id") % 3 * 2).cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b")), ["a", "b"])
+    m = DecisionTreeClassifier(seed=1).fit(df)
+    per = sampled_attributions(m, df, df, "id", "features", ["a", "b"], 3, output="probability", per_row=True)
+    sums = per.groupBy("id").agg(F.sum("attribution").alias("s"), F.countDistinct("class").alias("k")).collect()
+    assert all(abs(r["s"]) < 1e-4 and r["k"] == 3 for r in sums)
+    ranked = sampled_attributions(m, df, df, "id", "features", ["a", "b"], 3, output="probability", top=1).collect()
+    assert {(r["rank"], r["feature"]) for r in ranked} == {(1, "a")} and len(ranked) == 3
+    pairs = top_feature_pairs(m, df, df, "id", "features", ["a", "b"], 3, output="probability").collect()
+    assert len(pairs) == 270 and all(r["feature"] == "a" and r["value"] == r["id"] % 3 * 2 for r in pairs)
+
+
+def test_binomial_draws():
+    from tabsight.operators.anomaly import binomial_cumulative
+    got = binomial_cumulative(5, 0.3)
+    want = np.cumsum([math.comb(5, k) * 0.3 ** k * 0.7 ** (5 - k) for k in range(5)])
+    assert np.allclose(got, want) and binomial_cumulative(4, 1.0) == [0.0] * 4
+
+
+def test_report_facts_with_models(spark):
+    from tabsight.operators.profile import dataset_summary
+    from tabsight.operators.report import report_facts
+    df = spark.createDataFrame([(1, None), (2, 3.0)], "id long, x double")
+    lb = spark.createDataFrame([("m1", 0.5), ("m2", 0.75), ("m3", None)], "model string, accuracy double")
+    flags = spark.createDataFrame([(1, True), (2, False)], "id long, is_anomaly boolean")
+    cl = spark.createDataFrame([("kmeans", 0.25, 3), ("dbscan", -1.0, 1)], "method string, silhouette double, n_clusters int")
+    got = {(r["section"], r["key"]): r["value"] for r in report_facts(
+        dataset_summary(df), "regression", "x", ["id"], lb, "accuracy", None, ["forest"], flags, cl).collect()}
+    assert got[("dataset", "missing")] == "1" and got[("models", "best")] == "m2" and got[("models", "best_score")] == "0.7500"
+    assert got[("models", "top3")] == "m2, m1" and got[("models", "tuned")] == "forest" and got[("outliers", "anomalies")] == "1"
+    assert got[("clusters", "best")] == "kmeans" and got[("clusters", "silhouette")] == "0.2500" and got[("clusters", "count")] == "3"
 
 
 def test_csv_round_trip_and_schema_helpers(spark, tmp_path):
@@ -339,12 +528,14 @@ def test_cap_rows_repeatable(spark):
     assert len(a) == 100 and sorted(a) == sorted(b)
 
 
-def test_cap_rows_threshold_path_equals_direct(spark):
+def test_cap_rows_are_the_smallest_hashes(spark):
     from tabsight.sources.io import cap_rows
     o = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
-    a = sorted(r[0] for r in cap_rows(o, 700, "o_orderkey", direct_limit=10_000).select("o_orderkey").collect())
-    b = sorted(r[0] for r in cap_rows(o, 700, "o_orderkey", direct_limit=100).select("o_orderkey").collect())
-    assert a == b and len(a) == 700
+    h = F.md5(F.concat_ws("|", F.lit("42"), F.col("o_orderkey").cast("string")))
+    for n in (5, 700):
+        a = sorted(r[0] for r in cap_rows(o, n, "o_orderkey").select("o_orderkey").collect())
+        assert a == sorted(r[0] for r in o.orderBy(h, "o_orderkey").limit(n).select("o_orderkey").collect())
+    assert cap_rows(o, 10**9, "o_orderkey").count() == o.count()
 
 
 def test_forecast_blocks_equal_one_block(spark):
@@ -358,14 +549,6 @@ def test_forecast_blocks_equal_one_block(spark):
     assert np.allclose(m["forecast_x"], m["forecast_y"], rtol=1e-9, atol=1e-9)
 
 
-def test_size_estimate_and_method_choice(spark):
-    from tabsight.operators.quantiles import choose_method, estimated_bytes
-    d = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
-    assert estimated_bytes(d) > 0
-    assert choose_method(d) == "percentile"
-    assert choose_method(d, auto_bytes=1) == "refine"
-
-
 def test_correlation_matches_pandas(spark):
     from tabsight.operators.profile import correlation_matrix
     li = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
