@@ -25,7 +25,9 @@ from tabsight.llm.common import held_out
 LETTERS = bytes(range(65, 91)), bytes(range(97, 123))
 CLASSES = (LETTERS[0], b"0123456789", b"!", b"|", b"#$%&*@~^=+<>{}[]\\_`/", b".,;:?", b"\"'()-", bytes(range(128, 256)))
 N_RAW = 7 + len(CLASSES)
-N_BINS = 6
+QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)  # cut points of a feature: these, and
+SHARES = (0.25, 0.5, 0.75)  # these shares of its range, for features that are nearly always equal
+N_BINS = len(QUANTILES) + len(SHARES) + 1
 
 
 # ------------------------------------------------------------- line features
@@ -50,16 +52,20 @@ def line_features(lines: list[str], seen: Counter) -> np.ndarray:
     return np.array(rows, np.float32).reshape(len(rows), N_RAW)
 
 
+OWN = N_RAW * N_BINS  # binned features of one line
+NOTHING = 3 * OWN + 3  # place of a weight that stays 0
+
+
 def with_neighbours(own: np.ndarray) -> np.ndarray:
-    """Own features, those of the line before and after (zero at the ends) and
-    two flags for the ends."""
-    n, k = own.shape
-    out = np.zeros((n, 3 * k + 3), np.float32)
-    out[:, :k] = own
-    out[1:, k:2 * k] = own[:-1]
-    out[:-1, 2 * k:3 * k] = own[1:]
-    out[0, 3 * k] = out[-1, 3 * k + 1] = 1
-    out[:, 3 * k + 2] = 1
+    """Places of the weights that add up to a line's log odds: its own binned
+    features, those of the line before and after, two flags for the ends of
+    the text and a constant."""
+    n = len(own)
+    out = np.full((n, 3 * N_RAW + 3), NOTHING)
+    out[:, :N_RAW] = own
+    out[1:, N_RAW:2 * N_RAW] = own[:-1] + OWN
+    out[:-1, 2 * N_RAW:3 * N_RAW] = own[1:] + 2 * OWN
+    out[0, -3], out[-1, -2], out[:, -1] = 3 * OWN, 3 * OWN + 1, 3 * OWN + 2
     return out
 
 
@@ -71,12 +77,7 @@ class LineField:
         self.cuts, self.weights, self.moves = cuts, weights, moves
 
     def binned(self, raw: np.ndarray) -> np.ndarray:
-        n = len(raw)
-        out = np.zeros((n, N_RAW * N_BINS), np.float32)
-        at = np.arange(n)
-        for j in range(N_RAW):
-            out[at, j * N_BINS + np.searchsorted(self.cuts[j], raw[:, j], side="left")] = 1
-        return out
+        return np.stack([j * N_BINS + np.searchsorted(self.cuts[j], raw[:, j], side="left") for j in range(N_RAW)], axis=1)
 
     def log_odds(self, lines: list[str], block: int = 8192) -> list[float]:
         """Node log odds of every line, in blocks with one line of overlap."""
@@ -84,8 +85,11 @@ class LineField:
         for at in range(0, len(lines), block):
             lo, hi = max(0, at - 1), min(len(lines), at + block + 1)
             x = with_neighbours(self.binned(line_features(lines[lo:hi], seen)))
-            x[0, -3], x[-1, -2] = float(lo == 0), float(hi == len(lines))
-            out += (x @ self.weights)[at - lo:at - lo + min(block, len(lines) - at)].tolist()
+            if lo:
+                x[0, -3] = NOTHING
+            if hi < len(lines):
+                x[-1, -2] = NOTHING
+            out += self.weights[x].sum(axis=1)[at - lo:at - lo + min(block, len(lines) - at)].tolist()
         return out
 
     def marginals(self, odds: list[float]) -> list[float]:
@@ -124,6 +128,12 @@ class LineField:
 
 
 # -------------------------------------------------------------------- fitting
+def cut_points(raw: np.ndarray) -> np.ndarray:
+    lo, hi = raw.min(axis=0), raw.max(axis=0)
+    wide = lo[None] + np.array(SHARES)[:, None] * (hi - lo)[None]
+    return np.sort(np.concatenate([np.quantile(raw, QUANTILES, axis=0), wide]), axis=0).T.copy()
+
+
 def fit_field(docs: list[tuple[np.ndarray, int]], steps: int = 250, rate: float = 0.1,
               ridge: float = 1e-4) -> LineField:
     """Maximum conditional likelihood by full-batch Adam; ``docs`` holds (raw
@@ -132,13 +142,13 @@ def fit_field(docs: list[tuple[np.ndarray, int]], steps: int = 250, rate: float
     docs = [(x, y) for x, y in docs if len(x)]
     ys = {y for _, y in docs}
     cuts = np.zeros((N_RAW, N_BINS - 1))
-    dim = 3 * N_RAW * N_BINS + 3
+    dim = NOTHING + 1
     if len(ys) < 2:
         w = np.zeros(dim)
-        w[-1] = 8.0 if 1 in ys else (-8.0 if ys else 0.0)
+        w[-2] = 8.0 if 1 in ys else (-8.0 if ys else 0.0)
         return LineField(cuts, w, np.zeros((2, 2)))
     every = np.concatenate([x for x, _ in docs])
-    cuts = np.quantile(every, np.linspace(0, 1, N_BINS + 1)[1:-1], axis=0).T.copy()
+    cuts = cut_points(every)
     field = LineField(cuts, np.zeros(dim), np.zeros((2, 2)))
     docs.sort(key=lambda d: -len(d[0]))
     n, steps_t = len(docs), len(docs[0][0])
@@ -155,7 +165,7 @@ def fit_field(docs: list[tuple[np.ndarray, int]], steps: int = 250, rate: float
     label_of_line = np.repeat(y, size)
     for step in range(1, steps + 1):
         w, moves = theta[:dim], theta[dim:].reshape(2, 2)
-        u = x @ w
+        u = w[x].sum(axis=1)
         alpha, beta = np.zeros((steps_t, n, 2)), np.zeros((steps_t, n, 2))
         alpha[0, :, 1] = u[first]
         for t in range(1, steps_t):
@@ -176,7 +186,9 @@ def fit_field(docs: list[tuple[np.ndarray, int]], steps: int = 250, rate: float
                 moved += np.exp(pair - z[:, None, None]).sum(0)
                 step_back = moves[None] + own[:, None, :]
                 beta[t - 1, :k] = np.logaddexp(step_back[:, :, 0], step_back[:, :, 1])
-        grad = np.concatenate([x.T @ (label_of_line - p_good), (target_moves - moved).ravel()]) / n - ridge * theta
+        by_weight = np.bincount(x.ravel(), np.repeat(label_of_line - p_good, x.shape[1]), dim)
+        by_weight[NOTHING] = 0.0
+        grad = np.concatenate([by_weight, (target_moves - moved).ravel()]) / n - ridge * theta
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         theta = theta + rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
     return LineField(cuts, theta[:dim], theta[dim:].reshape(2, 2))
@@ -213,14 +225,14 @@ def scorer(field: LineField):
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = LineField(cuts, weights.astype(np.float32), moves)
+        own = LineField(cuts, weights, moves)
         for batch in texts:
             yield pd.Series([own.score(t) for t in batch], dtype="float64")
     return score
 
 
 def quality_score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  max_docs: int = 6000, max_lines: int = 64) -> Column:
+                  max_docs: int = 4000, max_lines: int = 64) -> Column:
     """Column with the score of ``docs``' whole texts (0 to 1), the field being
     fitted on the labelled ones among them.  A null, empty or blank text
     scores 0; no labels at all score 0.5 each line."""

@@ -69,8 +69,8 @@ def test_line_features_in_blocks_equal_whole():
     rng = np.random.default_rng(1)
     lines = [sentence(i, 3 + i % 5) for i in range(30)]
     raw = quality.line_features(lines, Counter(lines))
-    cuts = np.quantile(raw, np.linspace(0, 1, quality.N_BINS + 1)[1:-1], axis=0).T.copy()
-    field = quality.LineField(cuts, rng.normal(size=3 * quality.N_RAW * quality.N_BINS + 3), np.zeros((2, 2)))
+    cuts = quality.cut_points(raw)
+    field = quality.LineField(cuts, np.append(rng.normal(size=quality.NOTHING), 0.0), np.zeros((2, 2)))
     assert np.allclose(field.log_odds(lines), field.log_odds(lines, block=7))
 
 
