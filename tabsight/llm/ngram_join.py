@@ -3,16 +3,18 @@
 Texts with the same shingle set are one node.  Two nodes link when the
 intersection of their sets holds at least ``NUM / DEN`` of the union (0.8).
 
-1. Candidates.  All shingles have one global order: first those of a quarter
-   of the hash range, rarest (by the number of rows that hold them) first,
+1. Candidates.  All shingles have one global order: first those of three
+   eighths of the hash range, rarest (by the number of rows that hold them) first,
    then the others.  By the prefix principle two linked sets share a shingle
    among the first n - ceil(0.8 n) + 1 of each.  Only shingles that several
    nodes hold matter, and most texts have enough shingles of their own to
    fill that prefix, so they drop out here.
 2. Cells.  Nodes that share a prefix shingle, directly or through others, are
    a cell; links never leave a cell.
-3. Tree join.  The sets of a cell, each in one order of shingles, are stored
-   in a compressed prefix tree.  A set traverses it level by level: the
+3. Tree join.  A set that shares fewer than 0.8 of its shingles with the
+   others of its cell links with none of them and is left out, until no more
+   fall away.  The others, each in one order of shingles, are stored in a
+   compressed prefix tree.  A set traverses it level by level: the
    overlap with a stretch shared by many sets is counted once, and a subtree
    is left as soon as no length of the sets below could still reach the
    threshold with what remains of both sides.  As the result is components,
@@ -42,7 +44,7 @@ from tabsight.llm.shingles import shingle_sets
 # link when DEN * intersection >= NUM * union, that is
 # (NUM + DEN) * intersection >= NUM * (size + size)
 NUM, DEN = 4, 5
-FIRST = np.uint64(1 << 62)  # hashes below come first in the global order
+FIRST = np.uint64(3 << 61)  # hashes below (three eighths) come first in the global order
 
 
 def prefix_length(n: int) -> int:
@@ -226,11 +228,38 @@ class Groups:
         return True
 
 
+def dense(sets: list[np.ndarray], side: np.ndarray | None = None) -> np.ndarray:
+    """Indices of the sets that can link at all: those that share enough of
+    their shingles with the other sets left, found by leaving out the others
+    again and again.  With ``side`` (0 or 1 for each set) only shingles of
+    the other side count."""
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    alive = np.ones(len(sets), bool)
+    while True:
+        at = alive[owner]
+        if side is None:
+            shared = np.bincount(codes[at], minlength=codes.max() + 1)[codes] > 1
+        else:
+            held = [np.bincount(codes[at & (side[owner] == k)], minlength=codes.max() + 1) for k in (0, 1)]
+            shared = np.where(side[owner] == 0, held[1][codes], held[0][codes]) > 0
+        left = alive & (DEN * np.bincount(owner[at & shared], minlength=len(sets)) >= NUM * sizes)
+        if left.sum() == alive.sum() or not left.any():
+            return np.flatnonzero(left)
+        alive = left
+
+
 def spanning_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Links that connect exactly what all links among ``sets`` connect: every
     set outside the largest group traverses the tree."""
     if len(sets) < 2:
         return []
+    kept = dense(sets)
+    if len(kept) < 2:
+        return []
+    if len(kept) < len(sets):
+        return [(int(kept[i]), int(kept[j])) for i, j in spanning_links([sets[k] for k in kept])]
     own, _, n_tokens = in_order(sets, [])
     tree, groups, out = PrefixTree(own, n_tokens), Groups(len(sets)), []
     waiting = list(range(len(sets)))
@@ -284,6 +313,12 @@ def _join_strays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     whole cell (role 1): only the members are held."""
     def search(members: dict, chunk: list) -> list[tuple[int, int]]:
         nodes = list(members)
+        every = [members[x][1] for x in nodes] + [s for _, _, s in chunk]
+        kept = dense(every, np.arange(len(every)) >= len(nodes))
+        chunk = [chunk[i - len(nodes)] for i in kept if i >= len(nodes)]
+        nodes = [nodes[i] for i in kept if i < len(nodes)]
+        if not nodes or not chunk:
+            return []
         own, probes, n_tokens = in_order([members[x][1] for x in nodes], [s for _, _, s in chunk])
         tree = PrefixTree(own, n_tokens)
         return [(node, nodes[j]) for (node, comp, _), x in zip(chunk, probes)
@@ -380,7 +415,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 .groupBy("cell").agg(F.max_by("comp", F.struct("size", "comp")).alias("main")))
         known = known.join(main, "cell")
         row = ["text_key", "cell", "blocks", "node", "comp", "role"]
-        strays = known.where("comp <> main").withColumns({"blocks": every, "role": F.lit(1)}).select(*row)
+        # a set's own block was joined in full in the first round
+        strays = known.where("comp <> main").withColumns(
+            {"blocks": F.array_remove(every, block), "role": F.lit(1)}).select(*row)
         open_cells = strays.select("cell").distinct()
         held = known.join(open_cells, "cell", "left_semi").withColumns({"blocks": F.array(block), "role": F.lit(0)}).select(*row)
         more = sets_of(held.unionByName(strays)).mapInArrow(_join_strays, "u long, v long")
