@@ -31,61 +31,70 @@ from pyspark.sql.pandas.types import to_arrow_type
 from tabsight.llm.common import shuffle_partitions
 from tabsight.llm.wordbpe import WordIds, load, read_json, words_of
 
-# rows: a text of a block (bucket null: its word numbers) or the words a block sends to a bucket
-ROW = "block long, bucket int, to_part int, doc_id {id}, numbers binary, data binary"
-NAMES = ["block", "bucket", "to_part", "doc_id", "numbers", "data"]
-
-
-def _types(id_type: pa.DataType) -> list[pa.DataType]:
-    return [pa.int64(), pa.int32(), pa.int32(), id_type, pa.binary(), pa.binary()]
+# rows: a block's texts (bucket null: ids, word counts and word numbers of its texts) or the
+# words a block sends to a bucket (their numbers, and the words or the ids they have)
+ROW = "block long, bucket int, to_part int, docs array<{id}>, sizes binary, numbers binary, data binary"
+NAMES = ["block", "bucket", "to_part", "docs", "sizes", "numbers", "data"]
 
 
 def _batch(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.list_(id_type), pa.binary(), pa.binary(), pa.binary()]
     cols = list(zip(*rows)) if rows else [[]] * len(NAMES)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _types(id_type))], names=NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=NAMES)
 
 
 def _pack(values) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.asarray(values, "<u4").tobytes())
+    """Unsigned 32-bit numbers, byte by byte of the same weight, compressed:
+    the higher bytes are nearly all alike."""
+    v = np.ascontiguousarray(values, "<u4")
+    return zstandard.ZstdCompressor(level=1).compress(v.view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def _unpack(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), "<u4")
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
 
 
 def _split(block_bytes: int, block_words: int, buckets: int, id_type: pa.DataType):
-    def send(block: int, number: dict[bytes, int]) -> Iterator[tuple]:
-        lists: dict[int, tuple[list, list]] = {}
-        for word, k in number.items():
-            at = lists.setdefault(xxhash.xxh3_64_intdigest(word) % buckets, ([], []))
-            at[0].append(k)
-            at[1].append(word)
-        press = zstandard.ZstdCompressor(level=1)
-        for bucket, (numbers, words) in lists.items():
-            yield block, bucket, bucket, None, _pack(numbers), press.compress(b" ".join(words))
+    """Blocks number their distinct words by falling frequency, then bucket and
+    first letters: frequent words get small numbers, and the words sent to a
+    bucket are nearly sorted, so both compress well."""
+    def close(block: int, docs: list, lists: list[list[int]], number: dict[bytes, int]) -> Iterator[tuple]:
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        first = np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum()))
+        words = list(number)
+        bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), np.int64, len(words))
+        order = np.lexsort((np.array([w[:16] for w in words], "S16"), bucket, -np.bincount(first, minlength=len(words)))) \
+            if words else np.zeros(0, np.int64)
+        final = np.empty(len(words), np.int64)
+        final[order] = np.arange(len(words))
+        yield block, None, hash(block) % buckets, docs, _pack(sizes), _pack(final[first]), None
+        by_bucket = order[np.argsort(bucket[order], kind="stable")]
+        ends = np.cumsum(np.bincount(bucket, minlength=buckets)).tolist()
+        press, start = zstandard.ZstdCompressor(level=3), 0
+        for k, end in enumerate(ends):
+            if end > start:
+                own = by_bucket[start:end]
+                yield (block, k, k, None, None, _pack(np.diff(final[own], prepend=0)),
+                       press.compress(b" ".join([words[i] for i in own.tolist()])))
+            start = end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        block, dealt = part << 32, part
+        block, size = (part << 20) + part, 0
         number: dict[bytes, int] = {}
-        size, rows = 0, []
+        docs, lists = [], []
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = words_of(text)
                 new = number.setdefault
-                numbers = [new(w, len(number)) for w in words]
-                rows.append((block, None, dealt % buckets, doc, _pack(numbers), None))
-                dealt += 1
+                lists.append([new(w, len(number)) for w in words_of(text)])
+                docs.append(doc)
                 size += len(text or "")
                 if size >= block_bytes or len(number) >= block_words:
-                    rows += send(block, number)
-                    block, number, size = block + 1, {}, 0
-                if len(rows) >= 2000:
-                    yield _batch(rows, id_type)
-                    rows = []
-        if number:
-            rows += send(block, number)
-        yield _batch(rows, id_type)
+                    yield _batch(list(close(block, docs, lists, number)), id_type)
+                    block, number, docs, lists, size = block + 1, {}, [], [], 0
+        if docs:
+            yield _batch(list(close(block, docs, lists, number)), id_type)
     return run
 
 
@@ -95,10 +104,10 @@ def _encode(tokenizer_json: str, max_known: int, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordIds(tokenizer_json)
         known, current, rows = table.known, None, []
-        unzip, press = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+        unzip = zstandard.ZstdDecompressor()
         for batch in batches:
             cols = [c.to_pylist() for c in batch.columns]
-            for block, bucket, part, doc, numbers, data in zip(*cols):
+            for block, bucket, part, docs, sizes, numbers, data in zip(*cols):
                 if bucket is not None:
                     if bucket != current or len(known) > max_known:
                         known.clear()
@@ -107,10 +116,10 @@ def _encode(tokenizer_json: str, max_known: int, id_type: pa.DataType):
                     new = [w for w in words if w not in known]
                     known.update(zip(new, table.encode_new(new)))
                     ids = [known[w] for w in words]
-                    counts = np.fromiter((len(i) // 4 for i in ids), "<u4", len(ids)).tobytes()
-                    data = press.compress(counts + b"".join(ids))
-                rows.append((block, bucket, part, doc, numbers, data))
-                if len(rows) >= 2000:
+                    sizes = _pack(np.fromiter((len(i) // 4 for i in ids), "<u4", len(ids)))
+                    data = _pack(np.frombuffer(b"".join(ids), "<u4"))
+                rows.append((block, bucket, part, docs, sizes, numbers, data))
+                if len(rows) >= 500:
                     yield _batch(rows, id_type)
                     rows = []
         yield _batch(rows, id_type)
@@ -122,33 +131,28 @@ def _join(tokenizer_json: str, id_type: pa.DataType):
     types = [id_type, pa.list_(pa.int32()), pa.string()]
 
     def run(table: pa.Table) -> pa.Table:
-        unzip = zstandard.ZstdDecompressor()
         pieces = id_to_piece(tokenizer_json)
-        answers, texts = [], []
-        for bucket, doc, numbers, data in zip(*(table.column(c).to_pylist() for c in ("bucket", "doc_id", "numbers", "data"))):
+        ids_of: dict[int, list[int]] = {}
+        text_of: dict[int, str] = {}
+        texts, some_empty = None, False
+        for bucket, docs, sizes, numbers, data in zip(*(table.column(c).to_pylist() for c in (
+                "bucket", "docs", "sizes", "numbers", "data"))):
             if bucket is None:
-                texts.append((doc, numbers))
-            else:
-                answers.append((_unpack(numbers), np.frombuffer(unzip.decompress(data), "<u4")))
-        n_words = 1 + max((int(n.max()) for n, _ in answers), default=-1)
-        ids_of: list = [None] * n_words
-        text_of: list = [""] * n_words
-        some_empty = False
-        for numbers, data in answers:
-            ends = np.cumsum(data[:len(numbers)]).tolist()
-            ids = data[len(numbers):].tolist()
-            start = 0
-            for k, end in zip(numbers.tolist(), ends):
-                own = ids_of[k] = ids[start:end]
+                texts = docs, _unpack(sizes).tolist(), _unpack(numbers).tolist()
+                continue
+            ids, start = _unpack(data).tolist(), 0
+            for k, n in zip(np.cumsum(_unpack(numbers).view("<i4"), dtype=np.int64).tolist(), _unpack(sizes).tolist()):
+                own = ids_of[k] = ids[start:start + n]
                 text_of[k] = " ".join([pieces[i] for i in own])
-                some_empty |= end == start
-                start = end
-        docs, all_ids, decoded = [], [], []
-        for doc, blob in texts:
-            numbers = _unpack(blob).tolist()
-            docs.append(doc)
-            all_ids.append(np.fromiter(chain.from_iterable([ids_of[k] for k in numbers]), np.int32))
-            parts = [text_of[k] for k in numbers]
+                some_empty |= n == 0
+                start += n
+        all_ids, decoded, start = [], [], 0
+        docs, sizes, numbers = texts
+        for n in sizes:
+            own = numbers[start:start + n]
+            start += n
+            all_ids.append(np.fromiter(chain.from_iterable([ids_of[k] for k in own]), np.int32))
+            parts = [text_of[k] for k in own]
             decoded.append(" ".join([p for p in parts if p] if some_empty else parts))
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip((docs, all_ids, decoded), types)], names=names)
     return run

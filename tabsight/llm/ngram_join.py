@@ -365,8 +365,11 @@ def candidate_cells(docs: DataFrame, k: int, partitions: int, max_seen: int) ->
               .withColumn("rank", F.row_number().over(own.orderBy("rows", "shingle")))
               .where(~F.col("first_class") | (F.col("rank") <= F.col("spare") + F.col("n_shared")))
               .select("shingle", "node"))
-    head = F.first("node").over(same.orderBy("node"))
-    edges = prefix.select("node", head.alias("head")).where("node <> head")
+    # each node with the first node of its shingle: minima are combined before
+    # the shuffle and joined back, so a shingle of very many nodes can be split
+    prefix = shared_checkpoint(prefix)
+    heads = prefix.groupBy("shingle").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head <> last")
+    edges = prefix.join(heads, "shingle").where("node <> head")
     return components(edges.select(F.col("node").alias("u"), F.col("head").alias("v")))
 
 
