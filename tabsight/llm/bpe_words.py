@@ -11,7 +11,9 @@
    id-to-piece table (whose size is that of the vocabulary).
 
 Only packed word lists and numbers are shuffled, never a row per occurrence;
-every word occurs at most once per block, so no word is hot.
+every word occurs at most once per block, so no word is hot.  The texts'
+numbers are shuffled once, to their block: the split is run a second time
+for them, which is cheaper than a second shuffle.
 """
 
 from __future__ import annotations
@@ -33,12 +35,12 @@ from tabsight.llm.wordbpe import WordIds, load, read_json, words_of
 
 # rows: a block's texts (bucket null: ids, word counts and word numbers of its texts) or the
 # words a block sends to a bucket (their numbers, and the words or the ids they have)
-ROW = "block long, bucket int, to_part int, docs array<{id}>, sizes binary, numbers binary, data binary"
-NAMES = ["block", "bucket", "to_part", "docs", "sizes", "numbers", "data"]
+ROW = "block long, bucket int, docs array<{id}>, sizes binary, numbers binary, data binary"
+NAMES = ["block", "bucket", "docs", "sizes", "numbers", "data"]
 
 
 def _batch(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.list_(id_type), pa.binary(), pa.binary(), pa.binary()]
+    types = [pa.int64(), pa.int32(), pa.list_(id_type), pa.binary(), pa.binary(), pa.binary()]
     cols = list(zip(*rows)) if rows else [[]] * len(NAMES)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=NAMES)
 
@@ -55,8 +57,10 @@ def _unpack(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
 
 
-def _split(block_bytes: int, block_words: int, buckets: int, id_type: pa.DataType):
-    """Blocks number their distinct words by falling frequency, then bucket and
+def _split(block_bytes: int, block_words: int, buckets: int, id_type: pa.DataType, texts: bool):
+    """Rows of the texts of each block, or of its distinct words by bucket; the
+    numbers depend on a partition's rows and their order only, so both kinds
+    agree, also when a task is run again.  Blocks number their distinct words by falling frequency, then bucket and
     first letters: frequent words get small numbers, and the words sent to a
     bucket are nearly sorted, so both compress well."""
     def close(block: int, docs: list, lists: list[list[int]], number: dict[bytes, int]) -> Iterator[tuple]:
@@ -68,14 +72,16 @@ def _split(block_bytes: int, block_words: int, buckets: int, id_type: pa.DataTyp
             if words else np.zeros(0, np.int64)
         final = np.empty(len(words), np.int64)
         final[order] = np.arange(len(words))
-        yield block, None, hash(block) % buckets, docs, _pack(sizes), _pack(final[first]), None
+        if texts:
+            yield block, None, docs, _pack(sizes), _pack(final[first]), None
+            return
         by_bucket = order[np.argsort(bucket[order], kind="stable")]
         ends = np.cumsum(np.bincount(bucket, minlength=buckets)).tolist()
         press, start = zstandard.ZstdCompressor(level=3), 0
         for k, end in enumerate(ends):
             if end > start:
                 own = by_bucket[start:end]
-                yield (block, k, k, None, None, _pack(np.diff(final[own], prepend=0)),
+                yield (block, k, None, None, _pack(np.diff(final[own], prepend=0)),
                        press.compress(b" ".join([words[i] for i in own.tolist()])))
             start = end
 
@@ -107,18 +113,17 @@ def _encode(tokenizer_json: str, max_known: int, id_type: pa.DataType):
         unzip = zstandard.ZstdDecompressor()
         for batch in batches:
             cols = [c.to_pylist() for c in batch.columns]
-            for block, bucket, part, docs, sizes, numbers, data in zip(*cols):
-                if bucket is not None:
-                    if bucket != current or len(known) > max_known:
-                        known.clear()
-                        current = bucket
-                    words = unzip.decompress(data).split(b" ")
-                    new = [w for w in words if w not in known]
-                    known.update(zip(new, table.encode_new(new)))
-                    ids = [known[w] for w in words]
-                    sizes = _pack(np.fromiter((len(i) // 4 for i in ids), "<u4", len(ids)))
-                    data = _pack(np.frombuffer(b"".join(ids), "<u4"))
-                rows.append((block, bucket, part, docs, sizes, numbers, data))
+            for block, bucket, docs, _, numbers, data in zip(*cols):
+                if bucket != current or len(known) > max_known:
+                    known.clear()
+                    current = bucket
+                words = unzip.decompress(data).split(b" ")
+                new = [w for w in words if w not in known]
+                known.update(zip(new, table.encode_new(new)))
+                ids = [known[w] for w in words]
+                sizes = _pack(np.fromiter((len(i) // 4 for i in ids), "<u4", len(ids)))
+                data = _pack(np.frombuffer(b"".join(ids), "<u4"))
+                rows.append((block, bucket, docs, sizes, numbers, data))
                 if len(rows) >= 500:
                     yield _batch(rows, id_type)
                     rows = []
@@ -189,9 +194,12 @@ def encode_decode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
     arrow = to_arrow_type(kind)
     tok = read_json(tokenizer_path)
     rows = ROW.format(id=kind.simpleString())
-    sent = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        _split(block_bytes, block_words, n, arrow), rows)
-    answered = (sent.repartition(parts, "to_part").sortWithinPartitions("bucket")
+    own = (df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+           .sortWithinPartitions("doc_id", F.xxhash64("text")))
+
+    def split(texts: bool) -> DataFrame:
+        return own.mapInArrow(_split(block_bytes, block_words, n, arrow, texts), rows)
+    answered = (split(False).repartition(parts, "bucket").sortWithinPartitions("bucket")
                 .mapInArrow(_encode(tok, max_known, arrow), rows))
-    return answered.groupBy("block").applyInArrow(
+    return split(True).unionByName(answered).groupBy("block").applyInArrow(
         _join(tok, arrow), f"doc_id {kind.simpleString()}, ids array<int>, decoded string")
