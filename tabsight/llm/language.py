@@ -49,6 +49,13 @@ class KernelModel:
     def __init__(self, languages: list[str], places: np.ndarray, weights: np.ndarray, bias: np.ndarray):
         self.languages, self.places, self.weights, self.bias = languages, places, weights, bias
 
+    def floor(self) -> float:
+        """The score of a text that shares nothing with the landmarks: that of
+        the largest bias.  As the targets of a document sum to 2 - C over the C
+        languages, so do the raw outputs of any text, and the floor is 1/C or
+        more.  With one language every text scores 1 and the floor is 0."""
+        return float((self.bias.max() + 1) / 2) if len(self.languages) > 1 else 0.0
+
     def predict(self, texts: list[str | None], batch: int = 256) -> tuple[list[str], list[float]]:
         import regex
         letter = regex.compile(r"\p{L}")
@@ -134,23 +141,25 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
 
 
 def predictor(model: KernelModel):
-    """Arrow-batched column function: text -> struct(lang_pred, score)."""
+    """Arrow-batched column function: text -> struct(lang_pred, score, floor)."""
     languages, places, weights, bias = model.languages, model.places, model.weights, model.bias
+    floor = model.floor()
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, floor double")
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = KernelModel(languages, places, weights, bias)
         for batch in texts:
             names, scores = own.predict(batch.tolist())
             yield pd.DataFrame({"lang_pred": pd.Series(names, dtype="object"),
-                                "score": pd.Series(scores, dtype="float64")})
+                                "score": pd.Series(scores, dtype="float64"), "floor": floor})
     return predict
 
 
 def language_prediction(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                         per_language: int = 200, landmarks: int = 64, max_languages: int = 64) -> Column:
-    """Struct column (lang_pred, score) of ``docs``' whole texts, the model
-    being fitted on a bounded sample of them.  A null text or one without a
+    """Struct column (lang_pred, score, floor) of ``docs``' whole texts, the
+    model being fitted on a bounded sample of them; ``floor`` is the score of a
+    text that shares nothing with the languages learned.  A null text or one without a
     letter is ``und`` with score 0, as is every text when no language can be
     learned; ties go to the first language by name."""
     sample = training_sample(docs, id_col, text_col, lang_col, per_language, max_languages)

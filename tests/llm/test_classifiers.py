@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tabsight.llm import language, quality, url_filter
 from tests.llm.conftest import sentence
 
@@ -108,6 +109,24 @@ def test_language_odd_rows(odd, odd_rows, empty):
     assert {(r["lang_pred"], r["score"]) for r in nobody} == {("und", 0.0)}
 
 
+def test_language_stage_rejects_unlearned_text(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rng = np.random.default_rng(3)
+    texts = ["".join(chr(c) if j % 6 else " " for j, c in enumerate(rng.integers(*span, 240)))
+             for span in ((0x430, 0x450), (0x4e00, 0x9fff), (0x3b1, 0x3ca), (97, 123)) for _ in range(3)]
+    foreign = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(texts)], docs.schema)
+    stays = corpus_pipeline.language_stage(spark, docs.unionByName(foreign), "").select("doc_id", "lang").collect()
+    assert all(r["doc_id"] >= 0 for r in stays)
+    clean = dict(docs.where("length(text) >= 20").groupBy("lang").count().collect())
+    kept = Counter(r["lang"] for r in spark.createDataFrame(stays).join(docs.where("length(text) >= 20"), "doc_id", "left_semi").collect())
+    assert len(clean) == 4 and all(kept[lang] >= 0.99 * n for lang, n in clean.items())
+
+
+def test_language_stage_with_one_language(spark, spoken):
+    english = spoken.where("lang = 'en'")
+    assert corpus_pipeline.language_stage(spark, english, "").count() == english.count()
+
+
 def test_presence_in_steps_equals_whole(monkeypatch):
     text = "".join(chr(97 + (i * i) % 26) for i in range(500)) + "\u4e2d\U00013000"
     a, b = np.zeros(language.BUCKETS, bool), np.zeros(language.BUCKETS, bool)
