@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabsight.llm.common import shared_checkpoint
@@ -139,20 +139,51 @@ REPLY = {"reply": {"type": "object", "required": ["prompt"], "additionalProperti
                                   "system": {"type": "string"}}}}
 
 
+def _turns(conversations: DataFrame) -> DataFrame:
+    return conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", F.col("text").cast("string").alias("text"))
+
+
+def _call_id(turn: Column) -> Column:
+    return F.concat(F.col("conv_id").cast("string"), F.lit(":"), turn.cast("string"))
+
+
 def conversation_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results in a table (conv_id, turn, role, text).
 
     A user turn calls ``reply`` with its text as prompt, and depends on the
     user turn two turns before it (if it is not one of the first two); the assistant turn that follows it is its
     result.  The identifier is ``conv_id:turn``.  A null text gives a null
-    prompt; other roles make no call."""
-    c = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", F.col("text").cast("string").alias("text"))
-
-    def call_id(turn):
-        return F.concat(F.col("conv_id").cast("string"), F.lit(":"), turn.cast("string"))
+    prompt; other roles make no call (``other_turns`` has them)."""
+    c = _turns(conversations)
     calls = c.where("role = 'user'").select(
-        call_id(F.col("turn")).alias("call_id"), "conv_id", "turn", F.lit("reply").alias("name"),
+        _call_id(F.col("turn")).alias("call_id"), "conv_id", "turn", F.lit("reply").alias("name"),
         F.to_json(F.struct(F.col("text").alias("prompt")), {"ignoreNullFields": "false"}).alias("arguments"),
-        F.array_compact(F.array(F.when(F.col("turn") >= 2, call_id(F.col("turn") - 2)))).alias("depends_on"))
-    results = c.where("role = 'assistant'").select(call_id(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
+        F.array_compact(F.array(F.when(F.col("turn") >= 2, _call_id(F.col("turn") - 2)))).alias("depends_on"))
+    results = c.where("role = 'assistant'").select(_call_id(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
     return calls, results
+
+
+def other_turns(conversations: DataFrame) -> DataFrame:
+    """The turns that ``link_calls`` of ``conversation_calls`` has in no row,
+    in its columns: turns that are neither the user's nor the assistant's (the
+    system's prompts), assistant turns that follow no user turn, and those
+    whose text is not the result that counts for their call.  One row per
+    turn, with ``linked`` false, no call, and the role and text as JSON."""
+    c = _turns(conversations).where("role IS NULL OR role <> 'user'")
+    asked = _turns(conversations).where("role IN ('user', 'assistant')").select(
+        _call_id(F.when(F.col("role") == "user", F.col("turn")).otherwise(F.col("turn") - 1)).alias("id"),
+        (F.col("role") == "user").alias("is_call"), F.when(F.col("role") == "assistant", F.col("text")).alias("text"))
+    calls = (asked.where("id IS NOT NULL").groupBy("id").agg(F.max("is_call").alias("is_call"), F.min("text").alias("result"))
+             .where("is_call").select("id", "result"))
+    replies = c.where("role = 'assistant'").withColumn("id", _call_id(F.col("turn") - 1)).join(calls.withColumn("asked", F.lit(True)), "id", "left")
+    rows = (c.where("role IS NULL OR role <> 'assistant'")
+            .unionByName(replies.where("asked IS NULL OR NOT text <=> result").select(*c.columns)))
+    none = F.lit(None).cast
+
+    @F.pandas_udf("string")
+    def turn_json(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for roles, texts in batches:
+            yield pd.Series([canonical({"role": r, "text": t}) for r, t in zip(roles, texts)], dtype="object")
+    return rows.select("conv_id", "turn", none("string").alias("call_id"), none("string").alias("name"), none("int").alias("level"),
+                       F.lit(False).alias("linked"), none("boolean").alias("valid"), F.array().cast("array<string>").alias("errors"),
+                       turn_json("role", "text").alias("json"))

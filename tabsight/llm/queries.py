@@ -75,6 +75,23 @@ def op6(spark, sf_dir):
     return chat.link_calls(calls, results, chat.REPLY).withColumn("errors", F.array_join("errors", "; "))
 
 
+@query("op6_other_turns", r"""
+WITH u AS (SELECT DISTINCT conv_id, turn FROM conversations WHERE role = 'user'),
+r AS (SELECT conv_id, turn, min(text) AS result FROM conversations WHERE role = 'assistant' GROUP BY ALL)
+SELECT c.conv_id, c.turn, CAST(NULL AS VARCHAR) AS call_id, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS INTEGER) AS level,
+       false AS linked, CAST(NULL AS BOOLEAN) AS valid, '' AS errors,
+       '{"role":' || coalesce(CAST(to_json(c.role) AS VARCHAR), 'null') || ',"text":'
+       || coalesce(CAST(to_json(c.text) AS VARCHAR), 'null') || '}' AS json
+FROM conversations c LEFT JOIN u ON c.conv_id = u.conv_id AND c.turn - 1 = u.turn
+LEFT JOIN r ON c.conv_id = r.conv_id AND c.turn = r.turn
+WHERE c.role IS NULL OR c.role NOT IN ('user', 'assistant')
+   OR c.role = 'assistant' AND (u.turn IS NULL OR c.text IS DISTINCT FROM r.result)
+""")
+def op6_other(spark, sf_dir):
+    rows = chat.other_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return rows.withColumn("errors", F.array_join("errors", "; "))
+
+
 #: The rules of the URL filter; the longest that fits decides.
 URL_RULES = [url_filter.Rule("block", "net/"), url_filter.Rule("allow", "example.net/en/"),
              url_filter.Rule("block", "example.com/de/"), url_filter.Rule("allow", "org/fr/")]

@@ -119,3 +119,21 @@ def test_conversation_calls(spark):
     assert {k: (r["level"], r["linked"], r["valid"]) for k, r in got.items()} == {
         (1, 0): (0, True, True), (1, 2): (1, False, False), (1, 4): (2, False, False), (2, 1): (0, True, True), (None, 0): (None, False, True)}
     assert json.loads(got[(2, 1)]["json"]) == {"id": "2:1", "name": "reply", "arguments": {"prompt": 'q"\n'}, "depends_on": [], "result": None}
+
+
+def test_every_turn_is_in_a_row(spark):
+    rows = [(1, 0, "system", "be \u00e9\n"), (1, 1, "user", "hi"), (1, 2, "assistant", "b"), (1, 2, "assistant", "a"), (1, 3, "assistant", "twice"),
+            (1, 6, "user", "q"), (1, 8, "assistant", "late"), (2, 0, "assistant", None), (2, 1, None, "t"), (None, 1, "assistant", "lost"),
+            (3, 0, "user", "u"), (3, 1, "assistant", None), (3, 1, "assistant", "c")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    called = chat.link_calls(*chat.conversation_calls(df), chat.REPLY)
+    other = chat.other_turns(df)
+    assert other.columns == called.columns and other.schema.simpleString() == called.schema.simpleString()
+    assert {r["linked"] for r in other.collect()} == {False}
+    got = [(r["conv_id"], r["turn"], *json.loads(r["json"]).values()) for r in other.collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [
+        (1, 0, "system", "be \u00e9\n"), (1, 2, "assistant", "b"), (1, 3, "assistant", "twice"), (1, 8, "assistant", "late"),
+        (2, 0, "assistant", None), (2, 1, None, "t"), (None, 1, "assistant", "lost"), (3, 1, "assistant", None)]))
+    said = [json.loads(r["json"]) for r in called.collect()]
+    texts = [t for x in said for t in (x["arguments"]["prompt"], x["result"])] + [g[3] for g in got]
+    assert {t for _, _, _, t in rows} <= set(texts)
