@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabsight.llm import exact_dedup, language, ngram_join, packing, quality
+from tabsight.llm.common import shared_checkpoint
 from tabsight.session import checkpoint_dir
 
 QUALITY_LEAST = 0.3  # least score of a document that stays
@@ -47,11 +48,26 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest
-    id; documents without an id stay."""
-    groups = ngram_join.near_duplicates(docs)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    """One row of each group of near duplicates, that with the smallest id;
+    documents without an id or without words stay.  Of rows that share that
+    id, the one with the smallest hash of its text stays, and of equal texts
+    too, the one with the smallest hash of the row; a row of another group
+    stays whatever its id."""
+    key = F.xxhash64(F.col("text").cast("string"))
+    rows = ngram_join.labelled_rows(docs).where("comp IS NOT NULL AND doc_id IS NOT NULL")
+    rows = shared_checkpoint(rows.groupBy("comp", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")))
+    kept = rows.groupBy("comp").agg(F.min(F.struct("doc_id", "text_key")).alias("kept"))
+    gone = (rows.join(kept, "comp").where(F.struct("doc_id", "text_key") != F.col("kept"))
+            .select(F.col("doc_id").alias("__gone"), F.col("text_key").alias("__text_key")))
+    same = (docs["doc_id"] == F.col("__gone")) & (key == F.col("__text_key"))
+    stay = docs.join(gone, same, "left_anti")
+    again = rows.where("n > 1").select(F.col("doc_id").alias("__gone"), F.col("text_key").alias("__text_key"))
+    if again.isEmpty():
+        return stay
+    row = F.struct(*docs.columns)
+    one = (stay.join(again, same, "left_semi").groupBy("doc_id", key.alias("__text_key"))
+           .agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("__row")).select("__row.*"))
+    return stay.join(again, same, "left_anti").unionByName(one)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -382,6 +382,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     nothing and are their own component.  Texts with equal sets always link.
     Repeated ids are rows of their own; null ids pass through, and a component
     of null ids only has a null component_id.  Other columns are not read."""
+    labelled = labelled_rows(df, id_col, text_col, k, partitions, block_shingles, max_seen)
+    least = labelled.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    return labelled.join(least, "comp", "left").select(
+        "doc_id", "n_shingles", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def labelled_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5,
+                  partitions: int | None = None, block_shingles: int = 2_000_000,
+                  max_seen: int = 500_000) -> DataFrame:
+    """(doc_id, text_key, n_shingles, comp), one row for each row of ``df``:
+    the xxhash64 of the text and a number of the component, null for an empty
+    set.  Rows of one text_key have one component."""
     parts = partitions or shuffle_partitions(df.sparkSession)
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = df.schema[id_col].dataType.simpleString()
@@ -426,8 +438,5 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         more = sets_of(held.unionByName(strays)).mapInArrow(_join_strays, "u long, v long")
         found = shared_checkpoint(components(edges.union(more)))
 
-    labelled = (members.join(found, "node", "left")
-                .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "node").alias("comp")))
-    least = labelled.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    return labelled.join(least, "comp", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return members.join(found, "node", "left").select(
+        "doc_id", "text_key", F.col("n").alias("n_shingles"), F.coalesce("root", "node").alias("comp"))

@@ -8,7 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tabsight.llm import components, exact_dedup, ngram_join, shingles
+from tests.llm.conftest import sentence
 
 
 def brute_exact(rows):
@@ -157,3 +159,16 @@ def test_components(spark):
             label[u] = label[v] = min(label[u], label[v])
     joined = {x for u, v in edges if u != v for x in (u, v)}
     assert got == {x: label[x] for x in joined}
+
+
+def test_near_stage_goes_by_row_not_by_id(spark):
+    a, b, c = sentence(1, 60), sentence(2, 60), sentence(4, 60)
+    rows = [(3, a, "x"), (5, a + " tail", "x"), (5, b, "x"), (7, c, "x"), (7, c + " tail", "x"), (8, b + " tail", "x"), (9, "", "x"), (9, "", "x"),
+            (2, sentence(6, 60), "y"), (2, sentence(6, 60), "x"), (None, a, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [tuple(r) for r in corpus_pipeline.near_stage(spark, df, "").collect()]
+    assert len(got) == len(set(got)) + 1  # the two empty texts
+    assert {r for r in got if r[0] not in (2, 7)} == {(3, a, "x"), (5, b, "x"), (9, "", "x"), (None, a, "x")}
+    assert [r[0] for r in got].count(7) == 1 and [r[0] for r in got].count(2) == 1
+    again = corpus_pipeline.near_stage(spark, df.orderBy(F.desc("source"), "text"), "").collect()
+    assert sorted(map(str, again)) == sorted(str(r) for r in corpus_pipeline.near_stage(spark, df, "").collect())
