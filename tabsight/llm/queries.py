@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsight.llm import (bpe_words, chat, exact_dedup, fingerprint, language, ngram_join, packing, quality,
+from tabsight.llm import (bpe_words, chat, exact_dedup, fingerprint, language, merkle, ngram_join, packing, quality,
                           tokens, url_filter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,64 @@ def op9(spark, sf_dir):
 @query("op7_prefix_tree_join")
 def op7(spark, sf_dir):
     return ngram_join.near_duplicates(documents(spark, sf_dir))
+
+
+#: CRC-32 of an ASCII text ``{0}``, as DuckDB SQL.
+CRC32 = """xor(4294967295, list_reduce(list_transform(string_split({0}, ''), lambda ch: CAST(ascii(ch) AS BIGINT)),
+    lambda crc, byte: list_reduce([1, 2, 3, 4, 5, 6, 7, 8], lambda c, b: CASE WHEN c & 1 = 1
+      THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, xor(crc, byte)), CAST(4294967295 AS BIGINT)))"""
+
+
+@query("op13_merkle_manifest", r"""
+WITH RECURSIVE rows AS (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS key,
+         coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-')
+         || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+         || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+         text, CASE WHEN @crc % 5 = 0
+                    THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS other
+  FROM documents),
+leaves AS (
+  SELECT doc_id, key, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(strlen(other) || ':' || other, '-')) AS other FROM rows),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+         count(*) OVER (PARTITION BY key) AS n FROM leaves),
+up AS (
+  SELECT 0 AS lvl, key, pos, n, leaf AS digest FROM placed
+  UNION ALL
+  SELECT lvl + 1, key, pos // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY pos)) FROM up WHERE n > 1
+  GROUP BY lvl, key, n, pos // 16),
+runs AS (SELECT lvl, key, pos // 16 AS parent, list(digest ORDER BY pos) AS kids FROM up WHERE n > 1 GROUP BY ALL),
+tops AS (
+  SELECT key, digest, row_number() OVER (ORDER BY key) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+up2 AS (
+  SELECT 0 AS lvl, pos, n, digest FROM tops
+  UNION ALL
+  SELECT lvl + 1, pos // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY pos)) FROM up2 WHERE n > 1
+  GROUP BY lvl, n, pos // 16),
+runs2 AS (SELECT lvl, pos // 16 AS parent, list(digest ORDER BY pos) AS kids FROM up2 WHERE n > 1 GROUP BY ALL),
+fold AS (
+  SELECT 0 AS lvl, doc_id, leaf, key, pos, other AS cur, '' AS sibs FROM placed
+  UNION ALL
+  SELECT f.lvl + 1, f.doc_id, f.leaf, f.key, f.pos // 16,
+         sha256(array_to_string(r.kids[:f.pos % 16], '') || f.cur || array_to_string(r.kids[f.pos % 16 + 2:], '')),
+         f.sibs || array_to_string(r.kids[:f.pos % 16], '') || array_to_string(r.kids[f.pos % 16 + 2:], '')
+  FROM fold f JOIN runs r ON f.lvl = r.lvl AND f.key = r.key AND f.pos // 16 = r.parent),
+half AS (
+  SELECT f.doc_id, f.leaf, t.digest AS subroot, t.pos, f.cur, f.sibs FROM fold f JOIN tops t ON f.key = t.key
+  WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.lvl = f.lvl AND r.key = f.key)),
+fold2 AS (
+  SELECT 0 AS lvl, doc_id, leaf, subroot, pos, cur, sibs FROM half
+  UNION ALL
+  SELECT f.lvl + 1, f.doc_id, f.leaf, f.subroot, f.pos // 16,
+         sha256(array_to_string(r.kids[:f.pos % 16], '') || f.cur || array_to_string(r.kids[f.pos % 16 + 2:], '')),
+         f.sibs || array_to_string(r.kids[:f.pos % 16], '') || array_to_string(r.kids[f.pos % 16 + 2:], '')
+  FROM fold2 f JOIN runs2 r ON f.lvl = r.lvl AND f.pos // 16 = r.parent)
+SELECT f.doc_id, f.leaf, f.subroot, u.digest AS root, sha256(f.sibs) AS proof_sha256, f.cur AS folded_root,
+       f.cur = u.digest AS verified
+FROM fold2 f JOIN up2 u ON u.n = 1
+WHERE NOT EXISTS (SELECT 1 FROM runs2 r WHERE r.lvl = f.lvl)
+""".replace("@crc", CRC32.format("CAST(doc_id AS VARCHAR)")))
+def op13(spark, sf_dir):
+    return merkle.verified_manifest(documents(spark, sf_dir, *merkle.FIELDS))
