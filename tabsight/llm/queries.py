@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsight.llm import (bpe_words, chat, exact_dedup, fingerprint, language, merkle, ngram_join, packing, quality,
-                          tokens, url_filter)
+from tabsight.llm import (bpe_words, chat, decontaminate, exact_dedup, fingerprint, language, merkle, ngram_join, packing,
+                          quality, tokens, url_filter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -124,6 +124,35 @@ def op7(spark, sf_dir):
     return ngram_join.near_duplicates(documents(spark, sf_dir))
 
 
+@query("op12_fm_decontamination", r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(
+    coalesce(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+items AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(
+    coalesce(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+sized AS (SELECT *, least(len(words), 10) AS size FROM items WHERE len(words) > 0),
+starts AS (SELECT *, unnest(range(len(words) - size + 1)) AS pos FROM sized),
+windows AS (SELECT DISTINCT item, size, array_to_string(words[pos + 1:pos + size], ' ') AS phrase FROM starts),
+places AS (SELECT rid, words, size, unnest(range(len(words) - size + 1)) AS pos
+           FROM docs, (SELECT DISTINCT size FROM windows) WHERE len(words) >= size),
+found AS (SELECT p.rid, p.pos, p.size, w.item FROM places p
+          JOIN windows w ON w.size = p.size AND w.phrase = array_to_string(p.words[p.pos + 1:p.pos + p.size], ' ')),
+spots AS (SELECT rid, unnest(range(pos, pos + size)) AS spot FROM found),
+hits AS (SELECT rid, count(DISTINCT spot) AS n FROM spots GROUP BY rid),
+which AS (SELECT rid, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids
+          FROM (SELECT DISTINCT rid, item FROM found) GROUP BY rid)
+SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(w.n, 0) AS n_items,
+       sha256(coalesce(w.ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN hits h USING (rid) LEFT JOIN which w USING (rid)
+""")
+def op12(spark, sf_dir):
+    return decontaminate.decontamination_report(documents(spark, sf_dir),
+                                                spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 #: CRC-32 of an ASCII text ``{0}``, as DuckDB SQL.
 CRC32 = """xor(4294967295, list_reduce(list_transform(string_split({0}, ''), lambda ch: CAST(ascii(ch) AS BIGINT)),
     lambda crc, byte: list_reduce([1, 2, 3, 4, 5, 6, 7, 8], lambda c, b: CASE WHEN c & 1 = 1
