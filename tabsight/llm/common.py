@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,3 +29,15 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     """True for ids whose crc32 (of the id as text) leaves remainder 0; a null
     id counts as empty text (crc32 0), so it is held out."""
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds) == 0
+
+
+def byte_stretches(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose texts have at most ``most`` bytes together, or one
+    longer text each."""
+    kind, width = (np.int32, 4) if texts.type in (pa.string(), pa.binary()) else (np.int64, 8)
+    offsets = np.frombuffer(texts.buffers()[1], kind, len(texts) + 1, texts.offset * width).astype(np.int64)
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
+        yield at, to
+        at = to

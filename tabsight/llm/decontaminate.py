@@ -19,8 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
+from tabsight.llm.common import byte_stretches
 from tabsight.llm.fm_index import FMIndex
 
 #: Bytes of words: digits, letters (A-Z become a-z) and all of non-ASCII text.
@@ -133,23 +133,12 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _stretches(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of rows whose texts have about ``most`` bytes together."""
-    offsets = np.frombuffer(texts.buffers()[1], np.int32 if texts.type == pa.string() else np.int64,
-                            len(texts) + 1, texts.offset * (4 if texts.type == pa.string() else 8))
-    at = 0
-    while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
-        yield at, to
-        at = to
-
-
-def _worker(given: Phrases, shard_bytes: int, id_type: pa.DataType, keep_text: bool):
+def _worker(given: Phrases, shard_bytes: int, keep_text: bool):
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in _stretches(batch.column(1), shard_bytes):
+            for a, b in byte_stretches(batch.column(1), shard_bytes):
                 part = batch.slice(a, b - a)
                 n_words, (doc, start, end), pairs = _shard(part.column(1).to_pylist(), given)
                 spans = [[(s["start"], s["end"]) for s in row] for row in part.column(2).to_pylist()]
@@ -191,7 +180,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, size: int = 10, id
     slices = list(phrase_slices(benchmark, size, item_col, item_text_col, slice_words)) or [phrases([], size)]
     for k, given in enumerate(slices):
         more = k < len(slices) - 1
-        out = out.mapInArrow(_worker(given, shard_bytes, to_arrow_type(kind), more),
+        out = out.mapInArrow(_worker(given, shard_bytes, more),
                              f"doc_id {kind.simpleString()}, " + "text string, " * more
                              + f"spans {SPANS}, items array<string>, n_words long")
     return out.select("doc_id", "n_words", "spans", "items")

@@ -30,7 +30,7 @@ def suffix_order(codes: np.ndarray) -> np.ndarray:
     new[1:] = key[1:] != key[:-1]
     rank = np.empty(n, np.int64)
     rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1]
-    places = _shared(new)
+    places = shared_places(new)
     h = packed
     while len(places):
         at = order[places]
@@ -42,12 +42,12 @@ def suffix_order(codes: np.ndarray) -> np.ndarray:
         new = np.ones(len(places), bool)
         new[1:] = key[1:] != key[:-1]
         rank[at] = places[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        places = places[_shared(new)]
+        places = places[shared_places(new)]
         h *= 2
     return order
 
 
-def _shared(new: np.ndarray) -> np.ndarray:
+def shared_places(new: np.ndarray) -> np.ndarray:
     """Places whose group (``new`` marks first members) has other members."""
     alone = new.copy()
     alone[:-1] &= new[1:]

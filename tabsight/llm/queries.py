@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabsight.llm import (bpe_words, chat, decontaminate, exact_dedup, fingerprint, language, merkle, ngram_join, packing,
-                          quality, tokens, url_filter)
+                          quality, runs, tokens, url_filter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -124,6 +124,45 @@ def op7(spark, sf_dir):
     return ngram_join.near_duplicates(documents(spark, sf_dir))
 
 
+#: CRC-32 of an ASCII text ``{0}``, as DuckDB SQL.
+CRC32 = """xor(4294967295, list_reduce(list_transform(string_split({0}, ''), lambda ch: CAST(ascii(ch) AS BIGINT)),
+    lambda crc, byte: list_reduce([1, 2, 3, 4, 5, 6, 7, 8], lambda c, b: CASE WHEN c & 1 = 1
+      THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, xor(crc, byte)), CAST(4294967295 AS BIGINT)))"""
+
+
+
+@query("op11_periodic_runs", r"""
+WITH split AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+         @crc AS h FROM documents),
+sized AS (SELECT rid, doc_id, words, len(words) AS n, h, CASE WHEN len(words) > 0 THEN (h // 10) % len(words) END AS a
+          FROM split),
+docs AS (
+  SELECT rid, doc_id, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i:
+           CASE WHEN i < a THEN words[i + 1]
+                ELSE words[a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) + 1] END)
+         ELSE words END AS words, n FROM sized),
+spots AS (SELECT rid, n, unnest(range(n)) AS i, unnest(words) AS w FROM docs),
+equal AS (SELECT x.rid, y.i - x.i AS period, x.i FROM spots x
+          JOIN spots y ON x.rid = y.rid AND x.w = y.w AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+islands AS (SELECT *, i - row_number() OVER (PARTITION BY rid, period ORDER BY i) AS island FROM equal),
+held AS (SELECT rid, period, min(i) AS start, count(*) + period AS length FROM islands GROUP BY rid, period, island),
+runs AS (SELECT rid, start, length, min(period) AS period FROM held
+         WHERE length >= greatest(6, 4 * period) GROUP BY rid, start, length),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (
+           PARTITION BY rid ORDER BY length / period DESC, start, period) = 1),
+lines AS (SELECT rid, count(*) AS n, string_agg(start || ',' || length || ',' || period || chr(10), ''
+                                                ORDER BY start, period) AS text FROM runs GROUP BY rid),
+gone AS (SELECT DISTINCT rid, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT rid, string_agg(w, ' ' ORDER BY i) AS text FROM spots ANTI JOIN gone USING (rid, i) GROUP BY rid)
+SELECT d.doc_id, coalesce(l.n, 0) AS n_runs, b.start, b.length, b.period, 1000 * b.length // b.period AS exponent_milli,
+       sha256(coalesce(l.text, '')) AS runs_sha256, sha256(coalesce(k.text, '')) AS collapsed_sha256
+FROM docs d LEFT JOIN best b USING (rid) LEFT JOIN lines l USING (rid) LEFT JOIN kept k USING (rid)
+""".replace("@crc", CRC32.format("CAST(doc_id AS VARCHAR)")))
+def op11(spark, sf_dir):
+    return runs.run_report(documents(spark, sf_dir), change=runs.planted)
+
+
 @query("op12_fm_decontamination", r"""
 WITH docs AS (
   SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(
@@ -153,12 +192,6 @@ def op12(spark, sf_dir):
                                                 spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-#: CRC-32 of an ASCII text ``{0}``, as DuckDB SQL.
-CRC32 = """xor(4294967295, list_reduce(list_transform(string_split({0}, ''), lambda ch: CAST(ascii(ch) AS BIGINT)),
-    lambda crc, byte: list_reduce([1, 2, 3, 4, 5, 6, 7, 8], lambda c, b: CASE WHEN c & 1 = 1
-      THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, xor(crc, byte)), CAST(4294967295 AS BIGINT)))"""
-
-
 @query("op13_merkle_manifest", r"""
 WITH RECURSIVE rows AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS key,
