@@ -14,7 +14,10 @@ CONTRACT = {"op1": "doc_id n_bytes n_tokens over_limit", "op2": "doc_id held_out
             "op5": "doc_id held_out lang_pred score", "op6": "conv_id turn call_id name level linked valid errors json",
             "op7": "doc_id n_shingles component_id", "op8": "doc_id keep_id group_size kept text_sha256",
             "op9": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
-            "op10": "page_id host path rule verdict"}
+            "op10": "page_id host path rule verdict",
+            "op11": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
+            "op12": "doc_id n_words n_hit n_items items_sha256 contaminated",
+            "op13": "doc_id leaf subroot root proof_sha256 folded_root verified"}
 
 
 def test_all_registered():
@@ -34,7 +37,7 @@ def test_columns_and_rows(spark, name):
 @pytest.mark.parametrize("name", sorted(Q.ORACLE))
 def test_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations", "pages", "labels"):
+    for t in ("documents", "conversations", "pages", "labels", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     df = Q.QUERIES[name](spark, SF)
     cur = con.execute(Q.ORACLE[name])
