@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tabsight.llm.common import shuffle_partitions
-from tabsight.llm.wordbpe import WordIds, load, read_json, words_of
+from tabsight.llm.wordbpe import encoder, load, read_json, words_of
 
 # rows: a block's texts (bucket null: ids, word counts and word numbers of its texts) or the
 # words a block sends to a bucket (their numbers, and the words or the ids they have)
@@ -108,8 +108,9 @@ def _encode(tokenizer_json: str, max_known: int, id_type: pa.DataType):
     """Rows of a bucket are neighbours; the table of known words is bounded, so
     a word is encoded again only if its bucket has more than ``max_known``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordIds(tokenizer_json)
-        known, current, rows = table.known, None, []
+        encode_new = encoder(tokenizer_json)
+        known: dict[bytes, bytes] = {}
+        current, rows = None, []
         unzip = zstandard.ZstdDecompressor()
         for batch in batches:
             cols = [c.to_pylist() for c in batch.columns]
@@ -119,7 +120,7 @@ def _encode(tokenizer_json: str, max_known: int, id_type: pa.DataType):
                     current = bucket
                 words = unzip.decompress(data).split(b" ")
                 new = [w for w in words if w not in known]
-                known.update(zip(new, table.encode_new(new)))
+                known.update(zip(new, encode_new(new)))
                 ids = [known[w] for w in words]
                 sizes = _pack(np.fromiter((len(i) // 4 for i in ids), "<u4", len(ids)))
                 data = _pack(np.frombuffer(b"".join(ids), "<u4"))

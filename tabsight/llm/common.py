@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,3 +43,36 @@ def byte_stretches(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
         yield at, to
         at = to
+
+
+def release_memory() -> None:
+    """Give memory that a task no longer uses back to the system: Spark keeps
+    the Python worker for tasks of later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], column: str | int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that the texts of ``column`` have about ``most``
+    bytes: what a task makes of a batch is bounded by bytes, not by rows."""
+    for batch in batches:
+        for a, b in byte_stretches(batch.column(column), most):
+            yield batch.slice(a, b - a)
+    release_memory()
+
+
+def text_udf(returns: str, result: pa.DataType, make: Callable[[], Callable[[list], list]]) -> Callable[[Column], Column]:
+    """Arrow-batched column function of a text column.  ``make`` is called
+    once a task and gives a function from a list of texts to a list of
+    results; it gets stretches of a bounded number of bytes."""
+    @F.arrow_udf(returns)
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        each = make()
+        for batch in texts:
+            if isinstance(batch, pa.ChunkedArray):
+                batch = batch.combine_chunks()
+            parts = [pa.array(each(batch.slice(a, b - a).to_pylist()), result) for a, b in byte_stretches(batch, 4 << 20)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], result)
+        release_memory()
+    return run

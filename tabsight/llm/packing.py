@@ -4,24 +4,29 @@ Each task packs the documents of its partition, one after the other, so the
 operator needs no shuffle.  Whole windows of a long document are cut off
 first.  Its rest goes to the fill level for which the sum over levels of
 (number of open windows at that level) squared becomes smallest; the level
-array holds these numbers.  At most ``max_open`` windows are open at a time:
-where the rule asks for one more, the fullest open window is filled with the
-beginning of the rest instead and what remains is placed again.  At the end
-of a partition the emptiest open windows are moved into the fullest, and the
-one window left is cut at powers of two, which need no padding.
+array holds these numbers.  The rule holds at any number of open windows as
+long as the ids in them fit into ``open_bytes`` (64 MB are 8,192 windows of
+2,048 ids); only when they would not, the fullest open window is filled with
+the beginning of the rest and what remains is placed again, so a task's memory
+is bounded and no id is lost.  At the end of a partition the emptiest open
+windows are moved into the fullest, and the one window left is cut at powers
+of two, which need no padding.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsight.llm.wordbpe import WordIds, read_json
+from tabsight.llm.common import byte_stretches, release_memory
+from tabsight.llm.wordbpe import encoder, read_json
 
+NEVER = 1 << 62
 FIELDS = ("start", "length", "doc_tokens", "sequence_id", "offset")
 
 
@@ -29,10 +34,10 @@ class LevelPacker:
     """Places (document, ids) pieces; finished pieces are appended to ``out``
     as (document, start, length, document's tokens, sequence, offset, ids)."""
 
-    def __init__(self, capacity: int, max_open: int, first_sequence: int):
-        self.capacity, self.max_open = capacity, max_open
+    def __init__(self, capacity: int, open_bytes: int, first_sequence: int):
+        self.capacity, self.open_ids, self.held = capacity, open_bytes // 4, 0
         self.next_sequence = first_sequence
-        self.level = [0] * (capacity + 1)  # open windows at each fill level
+        self.level = np.zeros(capacity + 1, np.int64)  # open windows at each fill level
         self.open: dict[int, list[list]] = {}  # level -> windows, each a list of pieces
         self.n_open = 0
         self.out: list[tuple] = []
@@ -46,8 +51,8 @@ class LevelPacker:
         while at < total:
             rest = total - at
             h = self._best(rest)
-            if h == 0 and self.n_open >= self.max_open:
-                h = max(self.open)
+            if h == 0 and self.n_open and self.held + rest > self.open_ids:
+                h = self._fullest()
                 rest = min(rest, size - h)
             window = self._take(h) if h else []
             window.append((doc, at, ids[4 * at:4 * (at + rest)], total))
@@ -58,14 +63,20 @@ class LevelPacker:
         """Level to place ``s`` tokens at (0: a new window): least growth of
         the sum of squares, the fuller level among equals."""
         level, size = self.level, self.capacity
-        best, cost = 0, (2 * level[s] + 1 if s < size else 0)
-        for h in self.open:
-            if h + s > size:
-                continue
-            c = 1 - 2 * level[h] + (2 * level[h + s] + 1 if h + s < size else 0)
-            if c < cost or (c == cost and h > best):
-                best, cost = h, c
-        return best
+        fits = size - s  # highest level with room for s tokens
+        new = 2 * level[s] + 1 if s < size else 0
+        if fits < 1:
+            return 0
+        # growth at level h: (h loses a window) + (h + s gains one, unless the window is then full)
+        growth = 1 - 2 * level[1:fits + 1]
+        gain = 2 * level[1 + s:size + 1] + 1
+        gain[-1] = 0
+        growth = np.where(level[1:fits + 1] > 0, growth + gain, NEVER)
+        h = fits - int(growth[::-1].argmin())  # the fullest level among equals
+        return h if growth[h - 1] <= new and growth[h - 1] < NEVER else 0
+
+    def _fullest(self) -> int:
+        return int(self.level.nonzero()[0][-1])
 
     def _take(self, h: int) -> list:
         windows = self.open[h]
@@ -73,6 +84,7 @@ class LevelPacker:
         if not windows:
             del self.open[h]
         self.level[h] -= 1
+        self.held -= h
         self.n_open -= 1
         return window
 
@@ -82,6 +94,7 @@ class LevelPacker:
         else:
             self.open.setdefault(h, []).append(window)
             self.level[h] += 1
+            self.held += h
             self.n_open += 1
 
     def _close(self, window: list) -> None:
@@ -94,13 +107,13 @@ class LevelPacker:
 
     def finish(self) -> None:
         while self.n_open > 1:
-            emptiest = self._take(min(self.open))
+            emptiest = self._take(int(self.level.nonzero()[0][0]))
             for piece in emptiest:
                 while piece:
                     if not self.n_open:  # every other window is full by now
                         self._put(len(piece[2]) // 4, [piece])
                         break
-                    h = max(self.open)
+                    h = self._fullest()
                     window = self._take(h)
                     head, piece = _cut(piece, self.capacity - h)
                     window.append(head)
@@ -128,7 +141,7 @@ def _cut(piece: tuple, n: int) -> tuple[tuple, tuple | None]:
     return (doc, start, ids[:4 * n], total), (doc, start + n, ids[4 * n:], total)
 
 
-def _worker(tokenizer_json: str, capacity: int, max_open: int, end_id: int, id_type: pa.DataType):
+def _worker(tokenizer_json: str, capacity: int, open_bytes: int, end_id: int, stretch_bytes: int, id_type: pa.DataType):
     types = [id_type] + [pa.int64()] * len(FIELDS) + [pa.binary()]
 
     def table(rows):
@@ -136,22 +149,30 @@ def _worker(tokenizer_json: str, capacity: int, max_open: int, end_id: int, id_t
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", *FIELDS, "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordIds(tokenizer_json)
-        end = end_id.to_bytes(4, "little")
-        packer = LevelPacker(capacity, max_open, TaskContext.get().partitionId() << 36)
+        encode = encoder(tokenizer_json)
+        end_bytes = end_id.to_bytes(4, "little")
+        packer = LevelPacker(capacity, open_bytes, TaskContext.get().partitionId() << 36)
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                packer.add(doc, encode(text) + end)
-                if len(packer.out) >= 2000:
-                    yield table(packer.out)
-                    packer.out = []
+            docs, texts = batch.column(0), batch.column(1)
+            for a, b in byte_stretches(texts, stretch_bytes):
+                ids, end = encode.texts(texts.slice(a, b - a))
+                raw, start = ids.astype("<u4").tobytes(), 0
+                for doc, to in zip(docs.slice(a, b - a).to_pylist(), (4 * end).tolist()):
+                    packer.add(doc, raw[start:to] + end_bytes)
+                    start = to
+                    if len(packer.out) >= 2000:
+                        yield table(packer.out)
+                        packer.out = []
         packer.finish()
         yield table(packer.out)
+        packer = None
+        release_memory()
     return run
 
 
-def pack_documents(df: DataFrame, tokenizer_path: str, capacity: int = 2048, max_open: int = 64,
-                   end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(df: DataFrame, tokenizer_path: str, capacity: int = 2048, open_bytes: int = 64 << 20,
+                   end_id: int = 1, id_col: str = "doc_id", text_col: str = "text",
+                   stretch_bytes: int = 16 << 20) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, sequence_id,
     offset, ids (binary, little-endian unsigned 32-bit).
 
@@ -159,11 +180,12 @@ def pack_documents(df: DataFrame, tokenizer_path: str, capacity: int = 2048, max
     packed like any other row; an empty table gives no piece; other columns
     are not read.  A sequence belongs to one partition (its number holds the
     partition's), so a lost task packs the same rows again.  State per task:
-    ``max_open`` windows, one document and a bounded word table."""
+    ``open_bytes`` of open windows, one Arrow batch and the words and ids of
+    ``stretch_bytes`` of text or of one longer document."""
     from pyspark.sql.pandas.types import to_arrow_type
     kind = df.schema[id_col].dataType
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        _worker(read_json(tokenizer_path), capacity, max_open, end_id, to_arrow_type(kind)),
+        _worker(read_json(tokenizer_path), capacity, open_bytes, end_id, stretch_bytes, to_arrow_type(kind)),
         f"doc_id {kind.simpleString()}, " + ", ".join(f"`{c}` long" for c in FIELDS) + ", ids binary")
 
 

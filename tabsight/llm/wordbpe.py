@@ -5,9 +5,16 @@ other (the tests compare this with the library on whole texts)."""
 
 from __future__ import annotations
 
+import json
 import os
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+JOINED = 1000  # words of letters encoded as one text
+TEXTS = 16  # such texts handed to the library at a time
 
 
 def load(tokenizer_json: str):
@@ -42,44 +49,96 @@ def words_of(text: str | None) -> list[bytes]:
     return raw.split()
 
 
-class WordIds:
-    """Ids of words as little-endian unsigned 32-bit bytes, each distinct word
-    encoded once while it stays in a bounded table."""
-
-    def __init__(self, tokenizer_json: str, max_known: int = 700_000):
-        self.tok, self.max_known = load(tokenizer_json), max_known
-        self.known: dict[bytes, bytes] = {}
-
-    def encode_new(self, words: list[bytes]) -> list[bytes]:
-        out = self.tok.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in out]
-
-    def __call__(self, text: str | None) -> bytes:
-        words = words_of(text)
-        known = self.known
-        if len(known) > self.max_known:
-            known.clear()
-        ids = list(map(known.get, words))
-        if None in ids:
-            self.learn(dict.fromkeys(w for w, i in zip(words, ids) if i is None))
-            ids = list(map(known.__getitem__, words))
-        return b"".join(ids)
-
-    def learn(self, words) -> None:
-        """Add words that are not known.  A full stop or comma behind an ASCII
-        letter is always a pre-token of its own, so such a word's ids are
-        those of the bare word and of the mark."""
-        known, marked, bare = self.known, [], {}
-        for w in words:
-            if len(w) > 1 and w[-1] in b".," and (97 <= w[-2] <= 122 or 65 <= w[-2] <= 90) and b"<|" not in w:
-                marked.append(w)
-                if w[:-1] not in known:
-                    bare[w[:-1]] = None
-            else:
-                bare[w] = None
-        for mark in (b".", b","):
-            if mark not in known:
-                bare[mark] = None
-        known.update(zip(bare, self.encode_new(list(bare))))
-        for w in marked:
-            known[w] = known[w[:-1]] + known[w[-1:]]
+#: Letters up to U+00FF, and such words with or without a full stop or comma:
+#: the word is one pre-token, the mark another, and neither composition nor
+#: special tokens touch them.
+_LETTERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_PLAIN = f"^[{_LETTERS}]+[.,]?$"
+
+
+class WordEncoder:
+    """Ids of distinct words.  Words of letters are encoded many in one text
+    by the same merges, without normaliser and pattern, and cut at the pieces
+    that end a word; all others go through the library's whole chain."""
+
+    def __init__(self, tokenizer_json: str):
+        self.tok, self.plain = load(tokenizer_json), None
+        spec = json.loads(tokenizer_json)
+        suffix = spec["model"].get("end_of_word_suffix")
+        pieces = spec["model"]["vocab"]
+        byte_pieces = [p for p in pieces if len(p) == 1]
+        # every byte has a piece, also at the end of a word, so each word ends with a piece that says so
+        if suffix and len(byte_pieces) == 256 and all(p + suffix in pieces for p in byte_pieces):
+            level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+            split = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, level]}
+            self.plain = load(json.dumps({**spec, "normalizer": None, "pre_tokenizer": split, "post_processor": None,
+                                          "added_tokens": []}))
+            self.ends = np.zeros(max(pieces.values()) + 1, bool)
+            self.ends[[i for p, i in pieces.items() if p.endswith(suffix)]] = True
+
+    def _plain_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        marked = pc.match_substring_regex(words, "[.,]$").to_numpy(zero_copy_only=False)
+        apart = pc.utf8_lower(pc.replace_substring_regex(words, "([.,])$", r" \1")).to_pylist()
+        texts = [" ".join(apart[at:at + JOINED]) for at in range(0, len(apart), JOINED)]
+        # few texts at a time: the library's results are much larger than their ids
+        flat = [np.array(e.ids, np.uint32) for at in range(0, len(texts), TEXTS)
+                for e in self.plain.encode_batch_fast(texts[at:at + TEXTS], add_special_tokens=False)]
+        flat = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
+        ends = np.flatnonzero(self.ends[flat]) + 1
+        return flat, np.diff(ends[np.cumsum(1 + marked) - 1], prepend=0)
+
+    def _other_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        words, step = words.to_pylist(), JOINED * TEXTS
+        ids = [e.ids for at in range(0, len(words), step)
+               for e in self.tok.encode_batch_fast(words[at:at + step], add_special_tokens=False)]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum())), size
+
+    def distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first, size): a word's ids are ids[first:first + size]."""
+        first, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        plain = pc.match_substring_regex(words, _PLAIN) if self.plain else pa.array(np.zeros(len(words), bool))
+        parts, start = [], 0
+        for mask, encode in ((plain, self._plain_ids), (pc.invert(plain), self._other_ids)):
+            ids, n = encode(words.filter(mask))
+            at = mask.to_numpy(zero_copy_only=False)
+            size[at], first[at] = n, start + np.cumsum(n) - n
+            parts.append(ids)
+            start += len(ids)
+        return np.concatenate(parts), first, size
+
+    def __call__(self, words: list[bytes]) -> list[bytes]:
+        """The words' ids as little-endian unsigned 32-bit bytes."""
+        ids, first, size = self.distinct(pa.array(words, pa.binary()).cast(pa.string()))
+        raw = ids.astype("<u4").tobytes()
+        return [raw[a:b] for a, b in zip((4 * first).tolist(), (4 * (first + size)).tolist())]
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, end): the ids of all texts in a row, and where each text's
+        end; null is empty.  Each distinct word is encoded once.  The memory
+        is that of the texts' words, so hand over bounded stretches."""
+        texts = pc.fill_null(texts, "")
+        # as in ``words_of``
+        kept = pc.or_(pc.match_substring(texts, "<|"), pc.match_substring_regex(texts, r"[^\x00-\x{FF}]"))
+        lists = pc.ascii_split_whitespace(pc.if_else(kept, texts, pc.ascii_lower(texts)))
+        words = lists.flatten().dictionary_encode()
+        code = words.indices.to_numpy()
+        ids, first, size = self.distinct(words.dictionary)
+        size = size[code]
+        end = np.cumsum(size)
+        total = int(end[-1]) if len(end) else 0
+        out = ids[np.arange(total) + np.repeat(first[code] - (end - size), size)]
+        word_end = np.cumsum(pc.list_value_length(lists).to_numpy())
+        return out, np.append(0, end)[word_end]
+
+
+_ENCODERS: dict[int, WordEncoder] = {}
+
+
+def encoder(tokenizer_json: str) -> WordEncoder:
+    """The encoder, kept by the worker process (its size is that of the file)."""
+    key = hash(tokenizer_json)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = WordEncoder(tokenizer_json)
+    return _ENCODERS[key]

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -16,7 +17,7 @@ WORDS = public_tokenizers.path("word_bpe_49k.json")
 SP = sentencepiece.SentencePieceProcessor(model_file=PIECES)
 TOK = wordbpe.load(wordbpe.read_json(WORDS))
 COUNT = tokens.TokenCounter(*tokens.read_model(PIECES))
-IDS = wordbpe.WordIds(wordbpe.read_json(WORDS))
+IDS = wordbpe.WordEncoder(wordbpe.read_json(WORDS))
 ALPHABET = list(" \n\t  ab\u2581e\u00e9\u4e2d\U00013000\x00\r.,'</t1 ") + [
     "<0x0A>", "</s>", "the ", "   ", "\u0301", "aaaa", "<|endoftext|>", "<|ENDOFTEXT|>", "H\u0331", "\u0130", "\xa0",
     "\x85", "\x1c", "'s", "'S", "\u00c9", "\u00df", "\u0308", "\u03a3"]
@@ -33,7 +34,9 @@ def test_count_equals_sentencepiece(text):
 @given(TEXT)
 def test_word_ids_equal_the_library(text):
     want = TOK.encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(IDS(text), "<u4").tolist() == want
+    ids, end = IDS.texts(pa.array([text, None, "", f"{text} {text}"]))
+    assert ids.tolist() == want * 3 and end.tolist() == [len(want) * k for k in (1, 1, 1, 3)]
+    assert np.frombuffer(b"".join(IDS(wordbpe.words_of(text))), "<u4").tolist() == want
 
 
 def test_known_table_stays_bounded():
@@ -90,7 +93,7 @@ def check_pieces(pieces, texts, capacity):
 def test_packing_on_odd_rows(odd, odd_rows, empty):
     unique = {i: t for i, t in odd_rows if i is not None and i != 7}
     df = odd.where("doc_id IS NOT NULL AND doc_id <> 7")
-    for capacity, most in ((2048, 64), (64, 3)):
+    for capacity, most in ((2048, 64 << 20), (64, 3 * 64 * 4)):
         pieces = packing.with_checksums(packing.pack_documents(df, WORDS, capacity, most)).collect()
         assert check_pieces(pieces, unique, capacity) == 0
     all_rows = packing.pack_documents(odd, WORDS).collect()
@@ -101,7 +104,7 @@ def test_packing_on_odd_rows(odd, odd_rows, empty):
 
 def test_level_packer_takes_the_least_sum_of_squares():
     rng = random.Random(3)
-    packer = packing.LevelPacker(50, 10**9, 0)
+    packer = packing.LevelPacker(50, 1 << 40, 0)
     for doc in range(300):
         s = rng.randint(1, 49)
         before = list(packer.level)
