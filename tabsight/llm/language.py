@@ -16,14 +16,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabsight.llm.common import held_out
+from tabsight.llm.common import held_out, text_udf
 
 MAX_N = 4
 BUCKETS = 1 << 17
 STEP = 1 << 18  # characters hashed at a time
+BLOCK = 1 << 13  # buckets of the kernel added up at a time
 SAMPLE_PARTS = 64
 UNKNOWN = "und"
 
@@ -56,7 +58,7 @@ class KernelModel:
         more.  With one language every text scores 1 and the floor is 0."""
         return float((self.bias.max() + 1) / 2) if len(self.languages) > 1 else 0.0
 
-    def predict(self, texts: list[str | None], batch: int = 256) -> tuple[list[str], list[float]]:
+    def predict(self, texts: list[str | None], batch: int = 64) -> tuple[list[str], list[float]]:
         import regex
         letter = regex.compile(r"\p{L}")
         names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
@@ -79,49 +81,69 @@ class KernelModel:
 def fit_model(sample: list[tuple[str, np.ndarray]], landmarks: int, ridge: float = 1e-3) -> KernelModel:
     """``sample``: (language, sorted bucket numbers); the first ``landmarks``
     of each language are landmarks."""
-    languages = sorted({y for y, _ in sample})
+    packed = np.zeros((len(sample), BUCKETS // 8), np.uint8)
+    for k, (_, x) in enumerate(sample):
+        flags = np.zeros(BUCKETS, bool)
+        flags[x] = True
+        packed[k] = np.packbits(flags)
+    return fit_packed([y for y, _ in sample], packed, landmarks, ridge)
+
+
+def fit_packed(spoken: list[str], packed: np.ndarray, landmarks: int, ridge: float = 1e-3) -> KernelModel:
+    """``packed``: one row of bits (the buckets) for each document of the
+    sample.  Kernel and weights are added up over blocks of buckets, so no
+    matrix of documents x buckets is made."""
+    languages = sorted(set(spoken))
     none = np.zeros(0, np.int64)
     if not languages:
         return KernelModel([], none, np.zeros((0, 0), np.float32), np.zeros(0, np.float32))
     taken: dict[str, int] = {}
     marks = []
-    for i, (y, _) in enumerate(sample):
+    for i, y in enumerate(spoken):
         taken[y] = taken.get(y, 0) + 1
         if taken[y] <= landmarks:
             marks.append(i)
-    places = np.unique(np.concatenate([sample[i][1] for i in marks]))
-    z = np.zeros((len(sample), len(places)), np.float32)
-    norm = np.array([max(1, len(x)) for _, x in sample], np.float64) ** 0.5
-    for i, (_, x) in enumerate(sample):
-        z[i, np.searchsorted(places, np.intersect1d(x, places))] = 1
-    k_nm = (z @ z[marks].T).astype(np.float64) / np.outer(norm, norm[marks])
+
+    def blocks():
+        for at in range(0, packed.shape[1], BLOCK // 8):
+            part = packed[:, at:at + BLOCK // 8]
+            used = np.flatnonzero(np.unpackbits(np.bitwise_or.reduce(part[marks], axis=0)))
+            yield 8 * at + used, np.unpackbits(part, axis=1)[:, used].astype(np.float32)
+    shared = np.zeros((len(spoken), len(marks)))
+    for _, z in blocks():
+        shared += z @ z[marks].T
+    norm = np.maximum(1, np.bitwise_count(packed).sum(1, dtype=np.int64)) ** 0.5
+    k_nm = shared / np.outer(norm, norm[marks])
     values, vectors = np.linalg.eigh(k_nm[marks])
     good = values > 1e-8 * values.max()
     to_features = vectors[:, good] / np.sqrt(values[good])  # K_mm^(-1/2)
-    features = np.hstack([k_nm @ to_features, np.ones((len(sample), 1))])
-    y = np.array([[1.0 if lang == c else -1.0 for c in languages] for lang, _ in sample])
-    penalty = ridge * len(sample) * np.eye(features.shape[1])
+    features = np.hstack([k_nm @ to_features, np.ones((len(spoken), 1))])
+    y = np.array([[1.0 if lang == c else -1.0 for c in languages] for lang in spoken])
+    penalty = ridge * len(spoken) * np.eye(features.shape[1])
     penalty[-1, -1] = 0
     beta = np.linalg.solve(features.T @ features + penalty, features.T @ y)
-    by_mark = (to_features @ beta[:-1]) / norm[marks][:, None]
-    return KernelModel(languages, places, z[marks].T @ by_mark.astype(np.float32), beta[-1].astype(np.float32))
+    by_mark = ((to_features @ beta[:-1]) / norm[marks][:, None]).astype(np.float32)
+    parts = [(places, z[marks].T @ by_mark) for places, z in blocks()]
+    return KernelModel(languages, np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]),
+                       beta[-1].astype(np.float32))
 
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int,
-                    max_languages: int) -> list[tuple[str, np.ndarray]]:
-    """Bucket numbers of at most ``per_language`` documents of each of the (at
-    most ``max_languages``, most frequent first) languages, outside the
-    held-out fold, in the order of a hash of id and language."""
+                    max_rows: int) -> tuple[list[str], np.ndarray]:
+    """Languages and bucket flags (bits) of documents outside the held-out
+    fold, in the order of a hash of id and language: at most ``per_language``
+    of each language, and ``max_rows`` or one of each in all."""
     rows = docs.select(F.col(id_col).alias("did"), F.col(lang_col).cast("string").alias("lang"),
                        F.col(text_col).cast("string").alias("text"))
     usable = rows.where("did IS NOT NULL AND lang IS NOT NULL").where(~held_out(F.col("did")))
-    known = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).select("lang")
+    n_languages = usable.select("lang").distinct().count()
+    each = share(per_language, max_rows, n_languages)
     # the first of each language, in two steps, so that a frequent language is not one task's
     h = F.xxhash64("did", "lang")
-    ids = usable.select("did", "lang", F.pmod(h, F.lit(SAMPLE_PARTS)).alias("part")).join(F.broadcast(known), "lang", "left_semi")
+    ids = usable.select("did", "lang", F.pmod(h, F.lit(SAMPLE_PARTS)).alias("part"))
     for keys in (["lang", "part"], ["lang"]):
         order = Window.partitionBy(*keys).orderBy(h, "did")
-        ids = ids.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language)
+        ids = ids.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= each)
     ids = ids.select("did").distinct()
 
     @F.pandas_udf("binary")
@@ -131,13 +153,19 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
             out = []
             for text in batch:
                 presence(text, flags)
-                out.append(np.flatnonzero(flags).astype("<u4").tobytes())
+                out.append(np.packbits(flags).tobytes())
             yield pd.Series(out)
 
     picked = (usable.where("text IS NOT NULL").join(F.broadcast(ids), "did")
               .select("lang", "did", buckets("text").alias("x"))
-              .orderBy(F.xxhash64("did", "lang"), "did", "lang", "x").limit(per_language * max_languages))
-    return [(r["lang"], np.frombuffer(r["x"], "<u4").astype(np.int64)) for r in picked.collect()]
+              .orderBy(F.xxhash64("did", "lang"), "did", "lang", "x").limit(each * n_languages)).collect()
+    bits = np.frombuffer(b"".join(r["x"] for r in picked), np.uint8).reshape(-1, BUCKETS // 8)
+    return [r["lang"] for r in picked], bits
+
+
+def share(per_language: int, in_all: int, n_languages: int) -> int:
+    """A language's part of a budget for all languages; every language gets one."""
+    return max(1, min(per_language, in_all // max(1, n_languages)))
 
 
 def predictor(model: KernelModel):
@@ -145,25 +173,27 @@ def predictor(model: KernelModel):
     languages, places, weights, bias = model.languages, model.places, model.weights, model.bias
     floor = model.floor()
 
-    @F.pandas_udf("lang_pred string, score double, floor double")
-    def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def make():
         own = KernelModel(languages, places, weights, bias)
-        for batch in texts:
-            names, scores = own.predict(batch.tolist())
-            yield pd.DataFrame({"lang_pred": pd.Series(names, dtype="object"),
-                                "score": pd.Series(scores, dtype="float64"), "floor": floor})
-    return predict
+        return lambda texts: [{"lang_pred": y, "score": x, "floor": floor} for y, x in zip(*own.predict(texts))]
+    return text_udf("lang_pred string, score double, floor double",
+                    pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("floor", pa.float64())]), make)
 
 
 def language_prediction(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                        per_language: int = 200, landmarks: int = 64, max_languages: int = 64) -> Column:
+                        per_language: int = 200, landmarks: int = 64, max_rows: int = 4000,
+                        max_landmarks: int = 1024) -> Column:
     """Struct column (lang_pred, score, floor) of ``docs``' whole texts, the
     model being fitted on a bounded sample of them; ``floor`` is the score of a
-    text that shares nothing with the languages learned.  A null text or one without a
-    letter is ``und`` with score 0, as is every text when no language can be
-    learned; ties go to the first language by name."""
-    sample = training_sample(docs, id_col, text_col, lang_col, per_language, max_languages)
-    return predictor(fit_model(sample, landmarks))(F.col(text_col).cast("string"))
+    text that shares nothing with the languages learned.  Every language is
+    learned: with many of them each has an equal share of ``max_rows``
+    documents and ``max_landmarks`` landmarks, and the model has up to half a
+    megabyte for each.  A null text or one without a letter is ``und`` with
+    score 0, as is every text when no language can be learned; ties go to the
+    first language by name."""
+    spoken, bits = training_sample(docs, id_col, text_col, lang_col, per_language, max_rows)
+    model = fit_packed(spoken, bits, share(landmarks, max_landmarks, len(set(spoken))))
+    return predictor(model)(F.col(text_col).cast("string"))
 
 
 def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabsight.llm.common import shared_checkpoint, shuffle_partitions
+from tabsight.llm.common import shared_checkpoint, shuffle_partitions, small_batches
 from tabsight.llm.components import components
 from tabsight.llm.shingles import shingle_sets
 
@@ -59,7 +59,7 @@ def node_of(shingles: np.ndarray) -> int:
 # ---------------------------------------------------------------- set passes
 def _members(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, "text"):
             sets = shingle_sets(batch.column("text").to_pylist(), k)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_key"), pa.array([len(s) for s in sets], pa.int64()),
@@ -74,7 +74,7 @@ def _prefix_rows(k: int, max_seen: int):
     of first-class shingles (negative if there are more)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in small_batches(batches, "text"):
             shingles, nodes, spares = [], [], []
             for s in shingle_sets(batch.column("text").to_pylist(), k):
                 if not len(s):
@@ -100,7 +100,7 @@ def _prefix_rows(k: int, max_seen: int):
 
 def _block_sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, "text"):
             sets = shingle_sets(batch.column("text").to_pylist(), k)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in ("cell", "blocks", "node", "comp", "role")]

@@ -5,7 +5,9 @@ neighbouring lines; forward-backward gives each line's probability of being
 good, and the document's score is their mean weighted by line length.  The
 field is fitted on a bounded sample of labelled documents whose lines inherit
 the document's label: per-line features are made in the tasks and at most
-``max_docs`` documents of ``max_lines`` lines each reach the driver.
+``max_docs`` documents of ``max_lines`` lines each reach the driver.  Of a
+document with more lines, runs of ``RUN`` neighbouring lines from anywhere in
+the text are taken, chosen by a hash of the document's id and the run's number.
 """
 
 from __future__ import annotations
@@ -14,13 +16,16 @@ from collections import Counter
 from collections.abc import Iterator
 from math import exp, log1p
 from operator import eq
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabsight.llm.common import held_out
+from tabsight.llm.common import held_out, text_udf
 
 LETTERS = bytes(range(65, 91)), bytes(range(97, 123))
 CLASSES = (LETTERS[0], b"0123456789", b"!", b"|", b"#$%&*@~^=+<>{}[]\\_`/", b".,;:?", b"\"'()-", bytes(range(128, 256)))
@@ -28,6 +33,7 @@ N_RAW = 7 + len(CLASSES)
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)  # cut points of a feature: these, and
 SHARES = (0.25, 0.5, 0.75)  # these shares of its range, for features that are nearly always equal
 N_BINS = len(QUANTILES) + len(SHARES) + 1
+RUN = 16  # neighbouring lines taken from a long document
 
 
 # ------------------------------------------------------------- line features
@@ -128,34 +134,68 @@ class LineField:
 
 
 # -------------------------------------------------------------------- fitting
+class Piece(NamedTuple):
+    """Raw features of neighbouring lines; the first (``before``) and the last
+    (``after``) are not part of it but give their features to their neighbours."""
+
+    raw: np.ndarray
+    label: int
+    before: bool = False
+    after: bool = False
+
+    @property
+    def size(self) -> int:
+        return len(self.raw) - self.before - self.after
+
+    def places(self, field: LineField) -> np.ndarray:
+        x = with_neighbours(field.binned(self.raw))
+        if self.before:
+            x[0, -3] = NOTHING
+            x[1, -3] = NOTHING
+        if self.after:
+            x[-1, -2] = NOTHING
+            x[-2, -2] = NOTHING
+        return x[self.before:len(x) - self.after]
+
+
+def sampled_runs(n: int, max_lines: int, seed: int) -> list[tuple[int, int]]:
+    """Ranges of the lines to learn from: all ``n``, or, of a longer document,
+    runs of ``RUN`` lines with the smallest hashes, ``max_lines`` in all."""
+    if n <= max_lines:
+        return [(0, n)] if n else []
+    size = min(RUN, max_lines)
+    runs = range(-(-n // size))
+    chosen = sorted(runs, key=lambda r: xxhash.xxh3_64_intdigest(f"{seed}:{r}"))[:max(1, max_lines // size)]
+    return [(r * size, min(n, (r + 1) * size)) for r in sorted(chosen)]
+
+
 def cut_points(raw: np.ndarray) -> np.ndarray:
     lo, hi = raw.min(axis=0), raw.max(axis=0)
     wide = lo[None] + np.array(SHARES)[:, None] * (hi - lo)[None]
     return np.sort(np.concatenate([np.quantile(raw, QUANTILES, axis=0), wide]), axis=0).T.copy()
 
 
-def fit_field(docs: list[tuple[np.ndarray, int]], steps: int = 250, rate: float = 0.1,
+def fit_field(pieces: list[Piece], steps: int = 250, rate: float = 0.1,
               ridge: float = 1e-4) -> LineField:
-    """Maximum conditional likelihood by full-batch Adam; ``docs`` holds (raw
-    line features, label) of the bounded sample.  Without documents of both
-    labels every line gets the share of good ones."""
-    docs = [(x, y) for x, y in docs if len(x)]
-    ys = {y for _, y in docs}
+    """Maximum conditional likelihood by full-batch Adam; ``pieces`` are those
+    of the bounded sample.  Without documents of both labels every line gets
+    the share of good ones."""
+    pieces = [p for p in pieces if p.size]
+    ys = {p.label for p in pieces}
     cuts = np.zeros((N_RAW, N_BINS - 1))
     dim = NOTHING + 1
     if len(ys) < 2:
         w = np.zeros(dim)
         w[-2] = 8.0 if 1 in ys else (-8.0 if ys else 0.0)
         return LineField(cuts, w, np.zeros((2, 2)))
-    every = np.concatenate([x for x, _ in docs])
-    cuts = cut_points(every)
+    cuts = cut_points(np.concatenate([p.raw for p in pieces]))
     field = LineField(cuts, np.zeros(dim), np.zeros((2, 2)))
-    docs.sort(key=lambda d: -len(d[0]))
-    n, steps_t = len(docs), len(docs[0][0])
-    x = np.concatenate([with_neighbours(field.binned(d)) for d, _ in docs])
-    size = np.array([len(d) for d, _ in docs])
+    pieces.sort(key=lambda p: -p.size)
+    n, steps_t = len(pieces), pieces[0].size
+    x = np.concatenate([p.places(field) for p in pieces])
+    size = np.array([p.size for p in pieces])
     first = np.concatenate([[0], np.cumsum(size)[:-1]])
-    y = np.array([v for _, v in docs])
+    y = np.array([p.label for p in pieces])
     alive = [int((size > t).sum()) for t in range(steps_t)]  # documents are sorted by length
     theta = np.zeros(dim + 4)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
@@ -195,40 +235,44 @@ def fit_field(docs: list[tuple[np.ndarray, int]], steps: int = 250, rate: float
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_docs: int,
-                    max_lines: int) -> list[tuple[np.ndarray, int]]:
-    """Raw line features of at most ``max_docs`` labelled documents outside the
-    held-out fold, in the order of a hash of their id (repeated labels of an
-    id: the smallest; null labels and ids are left out)."""
+                    max_lines: int) -> list[Piece]:
+    """Pieces of at most ``max_docs`` labelled documents outside the held-out
+    fold, in the order of a hash of their id (repeated labels of an id: the
+    smallest; null labels and ids are left out)."""
     chosen = (labels.select(F.col("doc_id").alias("lid"), F.col("quality").cast("int").alias("y"))
               .where("lid IS NOT NULL AND y IN (0, 1)").where(~held_out(F.col("lid")))
               .groupBy("lid").agg(F.min("y").alias("y")).orderBy(F.xxhash64("lid"), "lid").limit(max_docs))
 
-    @F.pandas_udf("binary")
-    def features(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
+    @F.pandas_udf("array<struct<raw:binary,before:boolean,after:boolean>>")
+    def features(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, seeds in columns:
             out = []
-            for text in batch:
+            for text, seed in zip(texts, seeds):
                 lines = lines_of(text)
-                out.append(line_features(lines[:max_lines], Counter(lines)).tobytes())
+                seen, pieces = Counter(lines), []
+                for a, b in sampled_runs(len(lines), max_lines, seed):
+                    lo, hi = max(0, a - 1), min(len(lines), b + 1)
+                    pieces.append({"raw": line_features(lines[lo:hi], seen).tobytes(), "before": lo < a, "after": hi > b})
+                out.append(pieces)
             yield pd.Series(out)
 
+    seed = F.xxhash64("did")
     picked = (docs.select(F.col(id_col).alias("did"), F.col(text_col).cast("string").alias("text"))
               .join(F.broadcast(chosen), F.col("did") == F.col("lid"))
-              .select("did", "y", features("text").alias("x"))
-              .orderBy(F.xxhash64("did"), "did", "x").limit(max_docs))
-    return [(np.frombuffer(r["x"], np.float32).reshape(-1, N_RAW), r["y"]) for r in picked.collect()]
+              .select("did", "y", features("text", seed).alias("pieces"))
+              .orderBy(seed, "did", F.col("pieces.raw")).limit(max_docs))
+    return [Piece(np.frombuffer(p["raw"], np.float32).reshape(-1, N_RAW), r["y"], p["before"], p["after"])
+            for r in picked.collect() for p in r["pieces"]]
 
 
 def scorer(field: LineField):
     """Arrow-batched column function: text -> score."""
     cuts, weights, moves = field.cuts, field.weights, field.moves
 
-    @F.pandas_udf("double")
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def make():
         own = LineField(cuts, weights, moves)
-        for batch in texts:
-            yield pd.Series([own.score(t) for t in batch], dtype="float64")
-    return score
+        return lambda texts: [own.score(t) for t in texts]
+    return text_udf("double", pa.float64(), make)
 
 
 def quality_score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -204,3 +204,49 @@ def test_urls_without_two_kinds_of_label(spark):
     only = spark.createDataFrame([("http://b.org/", 1)], "url string, blocked int")
     assert {r["verdict"] for r in url_filter.judge(pages, [], only).collect()} == {"block"}
     assert url_filter.judge(pages.where("false"), RULES).count() == 0
+
+
+def test_url_copies_do_not_fill_the_sample(spark):
+    rows = [("http://copy.example.org/x", 0)] * 20_000 + [(f"http://s{i}.example.org/{i}" + "?id=1&x=2&y=3" * (i % 2), i % 2)
+                                                       for i in range(60)]
+    labelled = spark.createDataFrame(rows, "url string, blocked int")
+    pages = spark.createDataFrame([(1, "http://s9.example.org/7"), (2, "http://s8.example.org/8?id=1&x=2&y=3")],
+                                  "page_id long, url string")
+    got = {r["page_id"]: r["block_score"] for r in url_filter.judge(pages, [], labelled, max_rows=40).collect()}
+    assert got[1] < got[2]
+
+
+def test_language_learns_all_of_80_languages(spark):
+    rng = np.random.default_rng(5)
+    words = {lang: ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(8)] for lang in range(80)}
+    rows = [(100 * lang + k, " ".join(rng.choice(words[lang], 12)), f"l{lang:02}") for lang in range(80) for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.identify_language(docs, max_rows=400, max_landmarks=160).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in got if r["held_out"]]
+    assert np.mean([r["lang_pred"] == r["lang"] for r in held]) >= 0.9 and len({r["lang_pred"] for r in got}) == 80
+    assert language.share(200, 4000, 4) == 200 and language.share(200, 4000, 9999) == 1
+
+
+def test_quality_learns_from_late_lines(spark):
+    good = [sentence(i, 12) + "." for i in range(90)]
+    rows = [(i, "\n".join(good[:70] + good[i % 20:]), 1) for i in range(60)]
+    rows += [(i, "\n".join(good[:70] + [f"BUY!! {i} " * 9] * 200), 0) for i in range(60, 120)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    got = {r["doc_id"]: r["predicted"] for r in quality.classify_quality(docs, labels).collect()}
+    assert all(got[i] == (1 if i < 60 else 0) for i in got)
+
+
+def test_sampled_runs_and_pieces():
+    assert quality.sampled_runs(0, 64, 1) == [] and quality.sampled_runs(64, 64, 1) == [(0, 64)]
+    runs = [quality.sampled_runs(1000, 64, seed) for seed in range(300)]
+    assert all(sum(b - a for a, b in r) in (64, 56) and all(a % 16 == 0 for a, _ in r) for r in runs)
+    assert max(b for r in runs for _, b in r) == 1000 and len({tuple(r) for r in runs}) > 200
+    lines = [sentence(i, 3 + i % 5) for i in range(30)]
+    raw = quality.line_features(lines, Counter(lines))
+    field = quality.LineField(quality.cut_points(raw), np.zeros(1), np.zeros((2, 2)))
+    whole = quality.Piece(raw, 1).places(field)
+    for a, b in ((0, 10), (7, 19), (20, 30)):
+        lo, hi = max(0, a - 1), min(30, b + 1)
+        piece = quality.Piece(raw[lo:hi], 1, lo < a, hi > b)
+        assert piece.size == b - a and np.array_equal(piece.places(field), whole[a:b])
