@@ -15,6 +15,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabsight.llm.common import shared_checkpoint
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SUFFIX_BINS = 1024
 FEATURES = ["length", "host_length", "host_labels", "path_length", "depth", "digit_ratio", "letter_ratio",
@@ -116,21 +118,31 @@ def _with_stats(x: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def fit(labelled: DataFrame, max_rows: int = 10_000, trees: int = 12, depth: int = 4, seed: int = 7) -> UrlModel:
-    """Fit on (url, host, path, blocked 0/1).  Suffix statistics count all
-    labelled rows; the trees see at most ``max_rows`` of them, in the order of
-    a hash of the url."""
+    """Fit on (url, host, path, blocked 0/1).  Equal rows are one row with a
+    weight, so copies take no room.  Suffix statistics count all labelled
+    rows; the trees see at most ``max_rows`` distinct ones, half of them with
+    each label, in the order of a hash of the url, weighted so that the labels
+    keep the shares they have in all rows."""
     spark = labelled.sparkSession
-    rows = lexical(labelled.where("blocked IS NOT NULL").select("url", "host", "path", F.col("blocked").cast("double").alias("label")))
-    counts = rows.groupBy("suffix_bin").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("bad")).collect()
-    total, bad = sum(r["n"] for r in counts), sum(r["bad"] for r in counts)  # at most SUFFIX_BINS rows
-    if not 0 < bad < total:
-        return UrlModel(None, None, 1.0 if total and bad else 0.0)
-    stats = spark.createDataFrame(
-        [(r["suffix_bin"], float(r["bad"] + 1) / (r["n"] + 2), r["n"] / total) for r in counts],
-        "suffix_bin int, suffix_rate double, suffix_share double")
-    sample = _with_stats(rows.orderBy(F.xxhash64("url"), "url", "label").limit(max_rows), stats)
-    train = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(sample).select("features", "label")
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, maxBins=32).fit(train)
+    known = labelled.where("blocked IS NOT NULL").select("url", "host", "path", F.col("blocked").cast("double").alias("label"))
+    rows = lexical(shared_checkpoint(known.groupBy("url", "host", "path", "label").agg(F.count(F.lit(1)).alias("copies"))))
+    counts = rows.groupBy("suffix_bin", "label").agg(F.sum("copies").alias("n")).collect()  # at most 2 * SUFFIX_BINS rows
+    n, bad = {}, {}
+    for r in counts:
+        n[r["suffix_bin"]] = n.get(r["suffix_bin"], 0) + r["n"]
+        bad[r["suffix_bin"]] = bad.get(r["suffix_bin"], 0) + r["n"] * r["label"]
+    total, blocked = sum(n.values()), sum(bad.values())
+    if not 0 < blocked < total:
+        return UrlModel(None, None, 1.0 if total and blocked else 0.0)
+    stats = spark.createDataFrame([(k, float(bad[k] + 1) / (n[k] + 2), n[k] / total) for k in n],
+                                  "suffix_bin int, suffix_rate double, suffix_share double")
+    parts = [rows.where(F.col("label") == y).orderBy(F.xxhash64("url"), "url").limit(max(1, max_rows // 2)) for y in (0.0, 1.0)]
+    sample = shared_checkpoint(_with_stats(parts[0].unionByName(parts[1]), stats))
+    seen = dict(sample.groupBy("label").agg(F.sum("copies")).collect())
+    weight = F.col("copies") * F.when(F.col("label") == 1.0, blocked / seen[1.0]).otherwise((total - blocked) / seen[0.0])
+    train = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(sample.withColumn("weight", weight))
+    model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, maxBins=32, weightCol="weight").fit(
+        train.select("features", "label", "weight"))
     return UrlModel(stats, model, None)
 
 
