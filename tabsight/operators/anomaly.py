@@ -2,9 +2,10 @@
 
 * **Samples**: one seeded hash of a row's id says how many trees it is drawn
   for (binomial, sized for ~3 × sample rows per tree); rows drawn for none
-  stop there, the others go to the trees that hash lowest with the id, and
-  each tree keeps its ``sample_size`` smallest hashes — repeatable,
-  independent of partitioning, and no row is copied to trees it is not in.
+  stop there, the others step with a hashed stride through the trees from a
+  hashed first one, and each tree keeps its ``sample_size`` smallest hashes —
+  repeatable, independent of partitioning, and no row is copied to trees it
+  is not in.
 * **Fit**: ``groupBy(tree).applyInPandas`` grows each tree (≤ 2·sample − 1
   nodes) from its own bounded sample.
 * **Score**: the node tables (trees × nodes, bounded by the parameters) are
@@ -127,14 +128,23 @@ def isolation_forest(df: DataFrame, id_col: str, cols: list[str], n_trees: int =
     psi = max(1, min(sample_size, n))
     frac = min(1.0, 3.0 * psi / max(n, 1))
     # how many trees a row joins is binomial(n_trees, frac): one hash against
-    # the cumulative probabilities; rows of no tree go no further, the others
-    # join the trees that a hash of (row, tree) puts first
+    # the cumulative probabilities, and rows of no tree go no further.  A row
+    # that joins k trees takes k steps of a hashed stride, coprime to their
+    # number, from a hashed first tree: only drawn pairs are made, all in
+    # generated code.
     u = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    joins = F.size(F.filter(F.array(*[F.lit(c) for c in binomial_cumulative(n_trees, frac)]), lambda c: c <= F.col("__u")))
-    order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: F.struct(
-        F.xxhash64(F.col(id_col), F.lit(seed + 1), t).alias("__h"), t.alias("tree"))))
-    cand = (x.withColumn("__u", u).withColumn("__joins", joins).where("__joins > 0")
-            .select(id_col, *cols, F.inline(F.slice(order, 1, F.col("__joins")))))
+    steps = [float(c) for c in binomial_cumulative(n_trees, frac)]
+    more = [c for c in steps[1:] if c < 1 - 1e-13]
+    joins = sum(((F.col("__u") >= F.lit(c)).cast("int") for c in more), F.lit(1))
+    strides = [t for t in range(1, n_trees + 1) if math.gcd(t, n_trees) == 1]
+    first = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed + 1)), F.lit(n_trees))
+    stride = F.get(F.array(*map(F.lit, strides)), F.pmod(F.xxhash64(F.col(id_col), F.lit(seed + 2)), F.lit(len(strides))).cast("int"))
+    cand = (x.withColumn("__u", u).where(F.col("__u") >= F.lit(steps[0]))
+            .select(id_col, *cols, first.alias("__first"), stride.alias("__stride"),
+                    F.explode(F.sequence(F.lit(0), joins - 1)).alias("__step"))
+            .withColumn("tree", F.pmod(F.col("__first") + F.col("__step") * F.col("__stride"), F.lit(n_trees)).cast("int"))
+            .drop("__first", "__stride", "__step")
+            .withColumn("__h", F.xxhash64(F.col(id_col), F.lit(seed + 3), F.col("tree"))))
     w = Window.partitionBy("tree").orderBy("__h", id_col)  # ~3·sample rows per tree
     sample = cand.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= psi).drop("__rn", "__h")
     nodes = sample.groupBy("tree").applyInPandas(

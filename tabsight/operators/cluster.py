@@ -151,15 +151,11 @@ def davies_bouldin(df: DataFrame, vec: str, label: str, noise=None):
 
 
 def kmeans(df: DataFrame, vec: str, k: int, starts: int = 5, seed: int = 42, out: str = "cluster"):
-    """Best of ``starts`` seeded k-means++ runs by cost → (model, labelled df)."""
-    from pyspark.ml.clustering import KMeans
-    d = to_vector(df, vec, "__v")
-    best = None
-    for i in range(starts):
-        m = KMeans(k=k, seed=seed + i, featuresCol="__v", predictionCol=out).fit(d)
-        if best is None or m.summary.trainingCost < best.summary.trainingCost:
-            best = m
-    return best, best.transform(d).drop("__v")
+    """Best of ``starts`` seeded k-means++ runs by inertia, all in the same
+    passes -> (model, labelled df)."""
+    from tabsight.operators.kmeans_batch import Centres, batched_kmeans
+    model = Centres(min(batched_kmeans(df, vec, [k], starts, seed), key=lambda r: r.inertia), vec, out)
+    return model, model.transform(df)
 
 
 def gaussian_mixture(df: DataFrame, vec: str, k: int, seed: int = 42, pca_dim: int | None = None,
@@ -180,16 +176,12 @@ def gaussian_mixture(df: DataFrame, vec: str, k: int, seed: int = 42, pca_dim: i
 
 def elbow(df: DataFrame, vec: str, k_max: int = 10, seed: int = 42, starts: int = 5) -> DataFrame:
     """Lowest k-means inertia of ``starts`` seeded runs for k = 2 …
-    min(k_max, n // 2 + 1) on one cached input."""
-    from pyspark.ml.clustering import KMeans
-    d = to_vector(df, vec, "__v").select("__v").persist()
-    n = d.count()
-    rows = []
-    for k in range(2, min(k_max, n // 2 + 1) + 1):
-        cost = min(float(KMeans(k=k, seed=seed + i, featuresCol="__v").fit(d).summary.trainingCost) for i in range(starts))
-        rows.append((k, cost))
-    d.unpersist()
-    return df.sparkSession.createDataFrame(rows, "k int, inertia double")
+    min(k_max, n // 2 + 1); all runs share their passes over the rows."""
+    from tabsight.operators.kmeans_batch import batched_kmeans
+    best: dict[int, float] = {}
+    for r in batched_kmeans(df, vec, list(range(2, min(k_max, df.count() // 2 + 1) + 1)), starts, seed):
+        best[r.k] = min(r.inertia, best.get(r.k, r.inertia))
+    return df.sparkSession.createDataFrame(list(best.items()), "k int, inertia double")
 
 
 def standardize_vector(df: DataFrame, vec: str, out: str) -> DataFrame:

@@ -6,8 +6,8 @@ Every estimator is a Spark ML estimator fitted on a DataFrame with a
 error instead of disappearing.  Settings follow the original tool:
 
 * random forest: 50 trees, depth 12, seed 42
-* gradient boosting: 50 rounds, depth 3, step 0.1 (``OneVsRest`` when
-  there are more than two classes: ``GBTClassifier`` is binary)
+* gradient boosting: 50 rounds, depth 3, step 0.1 (more than two classes:
+  ``tabsight.operators.boosting``, as ``GBTClassifier`` is binary)
 * logistic regression: L2 with C = 1 → regParam = 1 / (C · n), no internal
   standardisation (inputs are scaled), 500 iterations
 * linear regression: ordinary least squares
@@ -63,8 +63,8 @@ def catalogue(kind: str, n_train: int, n_classes: int = 2, y_std: float | None =
         gbt = C.GBTClassifier(maxIter=BOOST_ROUNDS, maxDepth=BOOST_DEPTH, stepSize=BOOST_STEP, seed=SEED,
                               **TREE_OPTS, **common)
         if n_classes > 2:
-            gbt = C.OneVsRest(classifier=C.GBTClassifier(maxIter=BOOST_ROUNDS, maxDepth=BOOST_DEPTH,
-                                                         stepSize=BOOST_STEP, seed=SEED, **TREE_OPTS), **common)
+            from tabsight.operators.boosting import SoftmaxBoosting
+            gbt = SoftmaxBoosting(BOOST_ROUNDS, BOOST_DEPTH, BOOST_STEP, label=label, features=features)
         return {
             "random_forest": C.RandomForestClassifier(numTrees=FOREST_TREES, maxDepth=FOREST_DEPTH, seed=SEED,
                                                       **TREE_OPTS, **common),

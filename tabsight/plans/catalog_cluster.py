@@ -36,6 +36,27 @@ def q_silhouette_by_label(spark, sf_dir):
     return s.select(F.round("silhouette", 6).alias("silhouette"), F.col("n_clusters").cast("int"))
 
 
+@query("silhouette_euclidean_by_label", f"""
+WITH e AS {EMB},
+cs AS (SELECT label, count(*) AS n FROM e GROUP BY label),
+p AS (SELECT a.vec_id, a.label AS la, b.label AS lb, sum(list_distance(a.v, b.v)) AS ss
+      FROM e a, e b WHERE a.vec_id <> b.vec_id GROUP BY 1, 2, 3),
+m AS (SELECT p.vec_id, la, lb, CASE WHEN la = lb THEN ss / (cs.n - 1) ELSE ss / cs.n END AS md
+      FROM p JOIN cs ON cs.label = p.lb),
+ab AS (SELECT vec_id, max(CASE WHEN la = lb THEN md END) AS a, min(CASE WHEN la <> lb THEN md END) AS b
+       FROM m GROUP BY 1),
+s AS (SELECT CASE WHEN cs.n <= 1 THEN 0 WHEN greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END AS s
+      FROM e JOIN cs USING (label) LEFT JOIN ab ON ab.vec_id = e.vec_id)
+SELECT round(avg(s), 6) AS silhouette, CAST((SELECT count(*) FROM cs) AS INTEGER) AS n_clusters FROM s
+""")
+def q_silhouette_euclidean_by_label(spark, sf_dir):
+    """Euclidean silhouette of the given labels, every row against its own
+    cluster and those that could be nearest."""
+    from tabsight.operators.silhouette import silhouette
+    s = silhouette(embeddings(spark, sf_dir), "embedding", "label")
+    return s.select(F.round("silhouette", 6).alias("silhouette"), F.col("n_clusters").cast("int"))
+
+
 @query("davies_bouldin_by_label", f"""
 WITH e AS {EMB},
 u AS (SELECT label, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS x FROM e),

@@ -9,7 +9,7 @@ from tabsight.operators.knn import knn_predict
 from tabsight.operators.features import train_test_split
 from tabsight.plans.preprocess import prepare
 from tabsight.plans.registry import query, table
-from tabsight.session import get_spark  # noqa: F401  (scripts)
+from tabsight.session import get_spark, spread  # noqa: F401  (scripts)
 
 
 def classification_input(spark, sf_dir):
@@ -46,7 +46,7 @@ def q_train_leaderboard(spark, sf_dir):
     """Every catalogue model on both problems, scored on the held-out 20 %."""
     boards = []
     for p in (_prep_cls(spark, sf_dir), _prep_reg(spark, sf_dir)):
-        train, test = p.train.persist(), p.test.persist()  # read by every fit
+        train, test = spread(p.train).persist(), spread(p.test).persist()  # read by every fit, on all cores
         lb, _, _ = M.train_all(train, test, p.kind, p.id_col)
         boards.append(spark.createDataFrame(lb.collect(), lb.schema))  # one row per model
         train.unpersist()
@@ -58,30 +58,20 @@ def q_train_leaderboard(spark, sf_dir):
 
 @query("tuned_models")
 def q_tuned_models(spark, sf_dir):
-    """Grid search with 3-fold CV: forest trees × depth and logistic C on the
-    classification problem, ridge alpha on the regression problem."""
-    from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-    from pyspark.ml.regression import LinearRegression
-    pc = _prep_cls(spark, sf_dir)
-    tr = pc.train.persist()
-    n = tr.count()
-    rows = []
+    """Grid search with 3-fold CV: forest trees × depth (a fit each) and
+    logistic C (shared passes) on the classification problem, ridge alpha (one
+    scan) on the regression problem."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from tabsight.operators.tuning import fold_of, tune_logistic, tune_ridge
+    pc, pr = _prep_cls(spark, sf_dir), _prep_reg(spark, sf_dir)
+    tr = spread(fold_of(pc.train, pc.id_col, M.CV_FOLDS)).persist()
     _, p, s = M.tune(RandomForestClassifier(seed=M.SEED, **M.TREE_OPTS), M.GRID_FOREST, tr, "classification")
-    rows.append(("random_forest", str(sorted(p.items())), s))
-    lr = LogisticRegression(elasticNetParam=0.0, standardization=False, maxIter=M.LOGREG_ITER,
-                            featuresCol="features_scaled")
-    _, p, s = M.tune(lr, {"regParam": [1.0 / (c * n) for c in M.GRID_LOGREG_C]}, tr, "classification")
-    rows.append(("logistic_regression", str(sorted(p.items())), s))
-    pr = _prep_reg(spark, sf_dir)
+    rows = [("random_forest", str(sorted(p.items())), s)]
+    c, scores, _, _ = tune_logistic(tr, M.GRID_LOGREG_C, "features_scaled", rounds=M.LOGREG_ITER)
+    rows.append(("logistic_regression", str([("C", c)]), dict(scores)[c]))
     tr.unpersist()
-    trr = pr.train.persist()
-    st = trr.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("sd")).first()
-    ridge = LinearRegression(elasticNetParam=0.0, standardization=False, solver="normal",
-                             featuresCol="features_scaled")
-    grid = {"regParam": [a * st["sd"] / st["n"] for a in M.GRID_RIDGE_ALPHA]}
-    _, p, s = M.tune(ridge, grid, trr, "regression")
-    rows.append(("ridge", str(sorted(p.items())), s))
-    trr.unpersist()
+    alpha, scores, _ = tune_ridge(fold_of(pr.train, pr.id_col, M.CV_FOLDS), M.GRID_RIDGE_ALPHA, "features_scaled")
+    rows.append(("ridge", str([("alpha", alpha)]), dict(scores)[alpha]))
     return spark.createDataFrame(rows, "model string, best_params string, cv_score double").select(
         "model", "best_params", F.round("cv_score", 4).alias("cv_score"))
 
@@ -91,7 +81,7 @@ def q_feature_importance(spark, sf_dir):
     from pyspark.ml.regression import RandomForestRegressor
     pr = _prep_reg(spark, sf_dir)
     m = RandomForestRegressor(numTrees=M.FOREST_TREES, maxDepth=M.FOREST_DEPTH, seed=M.SEED,
-                              **M.TREE_OPTS).fit(pr.train)
+                              **M.TREE_OPTS).fit(spread(pr.train))
     return M.feature_importance(m, pr.feature_cols, 20, spark=spark)
 
 
@@ -102,7 +92,7 @@ def _engineered(spark, sf_dir):
     base = ["l_quantity", "l_discount", "l_tax", "p_retailprice", "p_size"]
     train = train_test_split(regression_input(spark, sf_dir), "row_id").where(F.col("split") == "train")
     train, generated = auto_features(train, base)
-    return train.withColumn("label", F.col("l_extendedprice")), base, generated
+    return spread(train.withColumn("label", F.col("l_extendedprice"))), base, generated
 
 
 @query("select_features")
@@ -157,6 +147,31 @@ def q_knn_predict(spark, sf_dir):
         "vec_id", F.col("prediction").cast("int").alias("prediction"), "label")
 
 
+def _boosted(spark, sf_dir):
+    """(train, test, softmax boosting) of the embeddings' ten labels."""
+    from tabsight.operators.boosting import SoftmaxBoosting
+    from tabsight.operators.cluster import to_vector
+    e = train_test_split(to_vector(table(spark, sf_dir, "embeddings"), "embedding"), "vec_id")
+    train, test = (e.where(F.col("split") == s).select("vec_id", "label", "features") for s in ("train", "test"))
+    return train, test, SoftmaxBoosting(M.BOOST_ROUNDS, M.BOOST_DEPTH, M.BOOST_STEP).fit(train)
+
+
+@query("softmax_boosting")
+def q_softmax_boosting(spark, sf_dir):
+    """One boosting model for ten classes: predictions on the held-out rows."""
+    _, test, m = _boosted(spark, sf_dir)
+    return m.transform(test).select("vec_id", "label", F.col("prediction").cast("int").alias("prediction"))
+
+
+@query("softmax_boosting_loss", f"""
+SELECT CAST(range AS INTEGER) AS round, true AS falls FROM range(1, {M.BOOST_ROUNDS + 1})
+""")
+def q_softmax_boosting_loss(spark, sf_dir):
+    """Whether the training loss falls in every round."""
+    _, _, m = _boosted(spark, sf_dir)
+    return spark.createDataFrame([(r, bool(b < a)) for r, (a, b) in enumerate(zip(m.loss, m.loss[1:]), 1)], "round int, falls boolean")
+
+
 @query("preprocess")
 def q_preprocess(spark, sf_dir):
     """X8 end to end on the regression problem: encode, impute, engineer

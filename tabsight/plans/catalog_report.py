@@ -10,7 +10,7 @@ from tabsight.operators.report import report_facts
 from tabsight.plans.catalog_evaluate import CC_SQL, rule_scores
 from tabsight.plans.catalog_profile import EVENT_NUM
 from tabsight.plans.registry import query, table
-from tabsight.session import checkpoint_dir
+from tabsight.session import checkpoint_dir, spread
 
 
 def _forest(spark, sf_dir):
@@ -19,7 +19,8 @@ def _forest(spark, sf_dir):
     from tabsight.operators.models import FOREST_DEPTH, FOREST_TREES, SEED, TREE_OPTS
     from tabsight.plans.catalog_models import _prep_cls
     pc = _prep_cls(spark, sf_dir)
-    return pc, RandomForestClassifier(numTrees=FOREST_TREES, maxDepth=FOREST_DEPTH, seed=SEED, **TREE_OPTS).fit(pc.train)
+    forest = RandomForestClassifier(numTrees=FOREST_TREES, maxDepth=FOREST_DEPTH, seed=SEED, **TREE_OPTS)
+    return pc, forest.fit(spread(pc.train))
 
 
 @query("sampled_attributions")
@@ -41,6 +42,54 @@ def q_top_feature_attributions(spark, sf_dir):
     return top_feature_pairs(m, pc.test, pc.train, pc.id_col, "features", pc.feature_cols, 10, output="probability")
 
 
+#: The classification problem's held-out documents, as ``_prep_cls`` splits them.
+HELD_OUT_SQL = """(SELECT l.doc_id FROM labels l JOIN documents d USING (doc_id)
+  WHERE CAST(('0x' || substr(md5('42|' || CAST(l.doc_id AS VARCHAR)), 1, 8)) AS BIGINT) % 100 >= 80)"""
+
+
+@query("tree_attributions")
+def q_tree_attributions(spark, sf_dir):
+    """Exact path-dependent Shapley values of the random forest on every test
+    row: the 18 features of highest mean |attribution|, for each class."""
+    from tabsight.operators.tree_explain import attribution_ranking, tree_attributions
+    pc, m = _forest(spark, sf_dir)
+    return attribution_ranking(tree_attributions(m, pc.test, pc.id_col, "features", pc.feature_cols), 18)
+
+
+@query("tree_attribution_sums", f"""
+SELECT t.doc_id, c.class, true AS adds_up
+FROM {HELD_OUT_SQL} t, (SELECT CAST(range AS INTEGER) AS class FROM range((SELECT count(DISTINCT quality) FROM labels))) c
+""")
+def q_tree_attribution_sums(spark, sf_dir):
+    """Whether the forest's attributions of each test row and class add up to
+    its probability minus the expectation."""
+    from pyspark.ml.functions import vector_to_array
+    from tabsight.operators.tree_explain import expectation, pack_model, tree_attributions
+    pc, m = _forest(spark, sf_dir)
+    trees = pack_model(m)
+    sums = (tree_attributions(trees, pc.test, pc.id_col, "features", pc.feature_cols)
+            .groupBy(pc.id_col, "class").agg(F.sum("attribution").alias("s")))
+    p = m.transform(pc.test).select(pc.id_col, vector_to_array("probability").alias("p"))
+    base = F.array(*[F.lit(v) for v in expectation(trees)])
+    gap = F.col("s") + F.get(base, F.col("class")) - F.get("p", F.col("class"))
+    return sums.join(p, pc.id_col).select("doc_id", "class", (F.abs(gap) < 1e-9).alias("adds_up"))
+
+
+@query("kernel_attributions")
+def q_kernel_attributions(spark, sf_dir):
+    """Shapley values by weighted least squares over coalitions (50
+    coalitions, 30 background rows) of a logistic regression, a model without
+    importances, on every test row."""
+    from pyspark.ml.classification import LogisticRegression
+    from tabsight.operators.kernel_explain import kernel_attributions
+    from tabsight.operators.tree_explain import attribution_ranking
+    from tabsight.plans.catalog_models import _prep_cls
+    pc = _prep_cls(spark, sf_dir)
+    m = LogisticRegression(featuresCol="features_scaled", maxIter=500).fit(pc.train)
+    per = kernel_attributions(m, pc.test, pc.train, pc.id_col, "features_scaled", pc.feature_cols, output="probability")
+    return attribution_ranking(per, 18)
+
+
 @query("report_facts", f"""
 WITH {CC_SQL},
 ev AS (SELECT count(*) AS n FROM events),
