@@ -240,30 +240,16 @@ def pca_scree(df: DataFrame, vec: str, k_max: int = 20, digits: int = 6) -> Data
 
 def svd_project(df: DataFrame, vec: str, k: int = 2, standardize: bool = True) -> tuple[DataFrame, float]:
     """Truncated SVD (no centring beyond the optional standardisation):
-    rows projected on the top ``k`` right singular vectors, plus the share of
-    total variance the projected columns keep."""
-    from pyspark.mllib.linalg import Vectors as OldVectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
+    rows projected on the top ``k`` right singular vectors as c1 …, plus the
+    share of total variance the projected columns keep."""
+    from tabsight.operators.svd import project, randomized_svd
     d = to_vector(df, vec, "__sv0")
     d = standardize_vector(d, "__sv0", "__sx") if standardize else d.withColumn("__sx", F.col("__sv0"))
-    d = d.persist()
-    rm = RowMatrix(d.select("__sx").rdd.map(lambda r: OldVectors.dense(r[0].toArray())))
-    svd = rm.computeSVD(k, computeU=False)
-    V = svd.V.toArray()  # d × k: a parameter-sized matrix
-    arr = to_array(d, "__sx", "__a")
-    dim = V.shape[0]
-    proj = arr
-    for j in range(k):
-        e = None
-        for i in range(dim):
-            t = F.col("__a")[i] * F.lit(float(V[i, j]))
-            e = t if e is None else e + t
-        proj = proj.withColumn(f"c{j + 1}", e)
-    got = proj.agg(*[F.var_samp(f"c{j + 1}") for j in range(k)], *[F.var_samp(F.col("__a")[i]) for i in range(dim)]).first()
-    d.unpersist()
-    total = sum(v or 0.0 for v in got[k:])
-    share = float(sum(v or 0.0 for v in got[:k]) / total) if total else float("nan")
-    return proj.drop("__sv0", "__sx", "__a"), share
+    found = randomized_svd(d, "__sx", k)
+    names = [f"c{j + 1}" for j in range(found.v.shape[1])]
+    proj = project(d, "__sx", found.v, names).drop("__sv0", "__sx")
+    kept = sum(v or 0.0 for v in proj.agg(*[F.var_samp(c) for c in names]).first())
+    return proj, float(kept / found.variance) if found.variance > 0 else float("nan")
 
 
 def cluster_sizes_centroids(points: DataFrame, label: str, x: str = "x", y: str = "y") -> DataFrame:

@@ -18,11 +18,15 @@ cell key after exploding a fixed list of offsets, never a cross join.
   eps (the order in which clusters are grown from the lowest point index);
   the rest are noise (−1).  Clusters are numbered by their smallest core id.
 
-With more dimensions a cell no longer bounds distances.  Cells (side eps)
-are then cut into parts of ``PART_POINTS`` points, and each pair of parts of
-neighbouring cells is one group whose distances are computed in NumPy; a
-group returns neighbour counts or a spanning set of links (at most as many
-rows as it holds points), never its pairs.
+With more dimensions grid cells separate nothing.  Points then belong to the
+nearest of up to ``MAX_PIVOTS`` sampled pivots.  A cell's points are compared
+with each other and with its halo: points of other cells that lie within eps
+of the plane half-way between the two pivots, and within eps of the cell's
+radius; no other point can have a neighbour in the cell.  Cell and halo are
+cut into parts of ``PART_POINTS`` points, and each pair of parts is one group
+whose distances are computed in NumPy; a group returns neighbour counts or a
+spanning set of links (at most as many rows as it holds points), never its
+pairs.  ``compared_pairs`` tells which share of all pairs is compared.
 """
 
 from __future__ import annotations
@@ -32,14 +36,17 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabsight.operators.knn import distances
 from tabsight.operators.ordered import dense_codes
+from tabsight.operators.silhouette import matrix
 from tabsight.session import cut_lineage
 
 PART_POINTS = 2000
+MAX_PIVOTS = 4096
 GROUP = ["home", "home_part", "other", "other_part"]
 
 
@@ -90,7 +97,7 @@ def dbscan(df: DataFrame, id_col: str, vec_col: str, eps: float = 0.5, min_point
     d = len(first[0])
     b = min(d, 3)
     if b < d:
-        return _dbscan_parts(pts, id_col, b, eps, min_points)
+        return _dbscan_pivots(pts, id_col, eps, min_points)
     side = eps / math.sqrt(b)
     t = side / sub
     eps2 = eps * eps * (1 + 1e-12)
@@ -288,18 +295,106 @@ def _link_near(eps2: float):
     return run
 
 
-def _dbscan_parts(pts: DataFrame, id_col: str, b: int, eps: float, min_points: int) -> DataFrame:
-    """d > 3: groups of neighbouring cells' parts, see the module's docstring."""
+# ------------------------------------------------------- more than 3 dimensions
+def _assigned(pts: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """``pts`` with the number of the nearest pivot (the first of equals) and
+    the distance to it."""
+    def run(batches):
+        step = max(1, (1 << 22) // len(pivots))
+        for batch in batches:
+            x = matrix(batch.column(1), pivots.shape[1])
+            d = [distances(x[at:at + step], pivots) for at in range(0, len(x), step)]
+            home = np.concatenate([v.argmin(1) for v in d]) if d else np.zeros(0, np.int64)
+            near = np.concatenate([v.min(1) for v in d]) if d else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home.astype(np.int32)), pa.array(near)],
+                                             names=["pid", "v", "cell", "dist"])
+    kind = pts.schema["pid"].dataType.simpleString()
+    return cut_lineage(pts.select("pid", "v").mapInArrow(run, f"pid {kind}, v array<double>, cell int, dist double"))
+
+
+def _halo(assigned: DataFrame, pivots: np.ndarray, radius: np.ndarray, eps: float) -> DataFrame:
+    """Each point once for every other cell in whose halo it lies."""
+    apart = distances(pivots, pivots)
+    reach = eps * (1 + 1e-9) + 1e-12
+
+    def run(batches):
+        step = max(1, (1 << 22) // len(pivots))
+        for batch in batches:
+            x, own = matrix(batch.column(1), pivots.shape[1]), batch.column(2).to_numpy()
+            cells = []
+            for at in range(0, len(x), step):
+                d, home = distances(x[at:at + step], pivots), own[at:at + step]
+                rows = np.arange(len(d))
+                gap = apart[home]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    beyond = (d * d - (d[rows, home] ** 2)[:, None]) / (2 * gap)  # distance to the half-way plane
+                near = (np.where(gap > 0, beyond, 0.0) <= reach) & (d <= radius[None] + reach)
+                near[rows, home] = False
+                cells += [np.flatnonzero(v).astype(np.int32) for v in near]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cells, pa.list_(pa.int32()))],
+                                             names=["pid", "v", "cells"])
+    kind = assigned.schema["pid"].dataType.simpleString()
+    made = assigned.select("pid", "v", "cell").mapInArrow(run, f"pid {kind}, v array<double>, cells array<int>")
+    return made.select("pid", "v", F.explode("cells").alias("cell"))
+
+
+def pivot_cells(pts: DataFrame, eps: float) -> tuple[DataFrame, DataFrame]:
+    """(homes, others): (pid, v, cell) of every point in its own cell, and of
+    every point in all cells where it must be compared."""
+    n = pts.count()
+    wanted = max(1, min(MAX_PIVOTS, 4 * n // PART_POINTS))
+    drawn = F.pmod(F.xxhash64("v", F.lit(7)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 8 * wanted / max(1, n)))
+    sample = pts.where(drawn).select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(wanted).collect()
+    pivots = np.array([r["v"] for r in sample or [pts.first()]], float)
+    assigned = _assigned(pts, pivots)
+    radius = np.full(len(pivots), -np.inf)
+    for cell, far in assigned.groupBy("cell").agg(F.max("dist")).collect():  # one row per pivot
+        radius[cell] = far
+    homes = assigned.select("pid", "v", "cell")
+    return homes, cut_lineage(homes.unionByName(_halo(assigned, pivots, radius, eps)))
+
+
+def compared_pairs(df: DataFrame, id_col: str, vec_col: str, eps: float = 0.5) -> DataFrame:
+    """(n, compared, share): how many ordered pairs of points ``dbscan``
+    compares in more than three dimensions, and their share of all."""
+    pts = df.select(F.col(id_col).alias("pid"), F.transform(F.col(vec_col), lambda x: x.cast("double")).alias("v"))
+    homes, others = pivot_cells(pts, eps)
+    a, b = (x.groupBy("cell").agg(F.count(F.lit(1)).alias(c)) for x, c in ((homes, "a"), (others, "b")))
+    total = a.join(b, "cell").agg(F.sum("a").alias("n"), F.sum(F.col("a") * F.col("b")).alias("compared"))
+    return total.select("n", "compared", (F.col("compared") / (F.col("n") * F.col("n"))).alias("share"))
+
+
+def _tile_groups(homes: DataFrame, others: DataFrame) -> DataFrame:
+    """Groups (cell, home part, other part) with ``side`` 0 and 1."""
+    sizes = [x.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / PART_POINTS).cast("int").alias(c))
+             for x, c in ((homes, "home_parts"), (others, "other_parts"))]
+    parts = sizes[0].join(sizes[1], "cell")
+    cols = [c for c in homes.columns if c != "cell"]
+
+    def dealt(rows: DataFrame, own: str, all_of: str, side: int) -> DataFrame:
+        part = F.pmod(F.xxhash64("pid"), F.col(f"{own}s")).cast("int")
+        return (rows.join(parts, "cell").withColumn(own, part)
+                .withColumn(all_of, F.explode(F.sequence(F.lit(0), F.col(f"{all_of}s") - 1)))
+                .select(F.col("cell").alias("home"), "home_part", F.col("cell").alias("other"), "other_part", *cols,
+                        F.lit(side).alias("side")))
+    return dealt(homes, "home_part", "other_part", 0).unionByName(dealt(others, "other_part", "home_part", 1))
+
+
+def _dbscan_pivots(pts: DataFrame, id_col: str, eps: float, min_points: int) -> DataFrame:
+    """d > 3: cells of pivots with their halos, see the module's docstring."""
     eps2 = eps * eps * (1 + 1e-12)
     kind = pts.schema["pid"].dataType.simpleString()
-    pts = pts.withColumn("cell", F.array(*[F.floor(F.col("v")[i] / eps).cast("long") for i in range(b)]))
-    offs = [o for o in itertools.product((-1, 0, 1), repeat=b)]
-    counts = (_pair_groups(pts, _neighbour_pairs(pts, offs), "pid").groupBy(*GROUP).applyInPandas(_count_near(eps2), f"pid {kind}, k long")
+    homes, others = pivot_cells(pts, eps)
+    counts = (_tile_groups(homes, others).groupBy(*GROUP).applyInPandas(_count_near(eps2), f"pid {kind}, k long")
               .groupBy("pid").agg(F.sum("k").alias("k")))
-    flagged = cut_lineage(pts.join(counts, "pid").withColumn("core", F.col("k") >= min_points).drop("k"))
-    links = cut_lineage(_pair_groups(flagged, _neighbour_pairs(flagged, offs), "pid").groupBy(*GROUP).applyInPandas(
+    core_ids = cut_lineage(counts.where(F.col("k") >= min_points).select("pid", F.lit(True).alias("core")))
+
+    def flagged(rows: DataFrame, how: str) -> DataFrame:
+        return rows.join(core_ids, "pid", how).withColumn("core", F.coalesce("core", F.lit(False)))
+    # every point needs the cores near it, and only these
+    links = cut_lineage(_tile_groups(flagged(homes, "left"), flagged(others, "inner")).groupBy(*GROUP).applyInPandas(
         _link_near(eps2), f"na {kind}, nb {kind}, core boolean"))
-    cores = flagged.where("core").select("pid")
+    cores = core_ids.select("pid")
     text = [F.col(c).cast("string").alias(c) for c in ("na", "nb")]
     edges = links.where("core").select(*text)
     edges = cut_lineage(edges.union(edges.select("nb", "na")).distinct())

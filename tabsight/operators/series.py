@@ -102,15 +102,39 @@ def resample_mean(df: DataFrame, keys: list[str], ts: str, val: str, unit: str =
             .agg(F.avg(num(df, val)).alias(val), F.count(F.lit(1)).cast("bigint").alias("n_obs")))
 
 
+def rolling_by_key(df: DataFrame, keys: list[str], ts: str, val: str, id_col: str, digits: int | None = 6) -> DataFrame:
+    """As ``rolling_stats`` with a width per key, from the key's own length
+    (``rolling_width``, at most 30 rows); adds the width as ``w``."""
+    widest = rolling_width(1 << 30)
+    ranked = ordered_rank(df.withColumn("__v", num(df, val)), keys, ts, [id_col])
+    own = F.greatest(F.lit(2), F.least(F.lit(widest), F.floor(F.col("__n") / 8))).cast("int")
+    blk = with_blocks(ranked.withColumn("w", own), widest - 1)
+    frame = Window.partitionBy(*keys, BLOCK).orderBy(RANK).rowsBetween(-(widest - 1), 0)
+    # at most ``widest`` values; the key's own width of them, missing ones left out
+    last = F.collect_list(F.struct("__v")).over(frame)
+    out = blk.withColumn("__last", last).where(F.col(HOME))
+    kept = F.transform(F.slice("__last", F.greatest(F.lit(1), F.size("__last") - F.col("w") + 1), F.col("w")), lambda s: s["__v"])
+    out = out.withColumn("__last", F.filter(kept, lambda v: v.isNotNull()))
+    full = F.size("__last") == F.col("w")
+    mean = F.aggregate("__last", F.lit(0.0), lambda a, v: a + v) / F.col("w")
+    out = out.withColumn("ma", F.when(full, mean))
+    spread_sq = F.aggregate(F.transform("__last", lambda v: (v - F.col("ma")) * (v - F.col("ma"))), F.lit(0.0), lambda a, v: a + v)
+    out = out.withColumn("std", F.when(full, F.sqrt(spread_sq / (F.col("w") - 1))))
+    r = (lambda c: F.round(c, digits)) if digits is not None else (lambda c: c)
+    return out.select(*df.columns, "w", r(F.col("ma")).alias("ma"), r(F.col("std")).alias("std"),
+                      r(F.col("ma") - F.col("std")).alias("band_lo"), r(F.col("ma") + F.col("std")).alias("band_hi"))
+
+
 def series_overview(df: DataFrame, keys: list[str], ts: str, val: str, id_col: str,
                     w: int | None = None, fmt: str | None = None) -> tuple[DataFrame, DataFrame]:
     """R1 for the value column ``val``: a text time column is parsed (what
     does not parse is dropped, as are missing times) → (rolling band in time
-    order, extremes).  Width by default from the shortest series."""
+    order, extremes).  Width by default from the length of each key's series."""
     if dict(df.dtypes)[ts] == "string":
         df = parse_date(df, ts, fmt=fmt)
     clean = df.where(F.col(ts).isNotNull())
     if w is None:
-        n_min = clean.groupBy(*keys).count().agg(F.min("count")).first()[0] or 0
-        w = rolling_width(int(n_min))
-    return rolling_stats(clean, keys, ts, val, w, id_col), peak_and_low(clean, keys, ts, val, id_col)
+        band = rolling_by_key(clean, keys, ts, val, id_col)
+    else:
+        band = rolling_stats(clean, keys, ts, val, w, id_col)
+    return band, peak_and_low(clean, keys, ts, val, id_col)

@@ -64,6 +64,35 @@ def q_classification_scores(spark, sf_dir):
     return rule_scores(spark, sf_dir)
 
 
+@query("best_model", f"""
+WITH {CC_SQL}
+SELECT model, accuracy, CASE WHEN accuracy > 0.9 THEN 'excellent' WHEN accuracy > 0.8 THEN 'very good'
+                             WHEN accuracy > 0.7 THEN 'good' ELSE 'fair' END AS grade
+FROM scores ORDER BY accuracy DESC NULLS LAST, model LIMIT 1
+""")
+def q_best_model(spark, sf_dir):
+    """The first row of the leaderboard and the grade of its score."""
+    from tabsight.functions.exprs import score_band
+    from tabsight.operators.models import best_model
+    board = rule_scores(spark, sf_dir).withColumn("error", F.lit(None).cast("string"))
+    return best_model(board, "accuracy").select("model", "accuracy", score_band(F.col("accuracy")).alias("grade"))
+
+
+@query("confusion_matrix_named", """
+WITH p AS (SELECT l.label AS actual_label, (l.label + CASE WHEN l.vec_id % 4 = 0 THEN 1 ELSE 0 END) % 10 AS guess FROM embeddings l),
+names AS (SELECT DISTINCT label AS code, 'class ' || label AS name FROM embeddings),
+cells AS (SELECT a.code AS a, a.name AS actual, b.code AS b, b.name AS predicted FROM names a, names b)
+SELECT c.actual, c.predicted, (SELECT count(*) FROM p WHERE actual_label = c.a AND guess = c.b) AS "count" FROM cells c
+""")
+def q_confusion_matrix_named(spark, sf_dir):
+    """Codes in the matrix are turned back into class names; every fourth
+    row is guessed one class too high."""
+    e = table(spark, sf_dir, "embeddings").select(
+        F.col("label"), ((F.col("label") + (F.col("vec_id") % 4 == 0).cast("int")) % 10).alias("prediction"))
+    names = e.select(F.concat(F.lit("class "), F.col("label").cast("string")).alias("value"), F.col("label").alias("code")).distinct()
+    return E.confusion_matrix(e, "label", "prediction", codes=names)
+
+
 @query("confusion_matrix", f"""
 WITH p AS (SELECT * FROM {RULE_PRED_SQL} r WHERE model = 'len_over_2000'),
 cls AS (SELECT CAST(label AS VARCHAR) AS c FROM p UNION SELECT CAST(prediction AS VARCHAR) FROM p),

@@ -147,6 +147,31 @@ def q_knn_predict(spark, sf_dir):
         "vec_id", F.col("prediction").cast("int").alias("prediction"), "label")
 
 
+@query("ann_recall", f"""
+SELECT count(*) AS n_queries, true AS recall_reached FROM embeddings
+WHERE {EMB_SPLIT_SQL} >= 80
+""")
+def q_ann_recall(spark, sf_dir):
+    """Whether the approximate index finds at least 0.9 of the five nearest
+    training rows of the held-out embeddings."""
+    from tabsight.operators.ann import recall
+    e = train_test_split(table(spark, sf_dir, "embeddings"), "vec_id")
+    tr, te = e.where(F.col("split") == "train"), e.where(F.col("split") == "test")
+    return recall(tr, te, "vec_id", "embedding", 5).select("n_queries", (F.col("recall") >= 0.9).alias("recall_reached"))
+
+
+@query("ann_neighbours")
+def q_ann_neighbours(spark, sf_dir):
+    """Five nearest training rows of every held-out embedding by the
+    approximate index, with the distances each query computed."""
+    from tabsight.operators.ann import ann_neighbours, candidates
+    e = train_test_split(table(spark, sf_dir, "embeddings"), "vec_id")
+    tr, te = e.where(F.col("split") == "train"), e.where(F.col("split") == "test")
+    nb = ann_neighbours(tr, te, "vec_id", "embedding", 5)
+    return nb.join(candidates(tr, te, "vec_id", "embedding"), "vec_id").select(
+        "vec_id", "neighbour_id", F.round("dist", 6).alias("dist"), "rank", "candidates")
+
+
 def _boosted(spark, sf_dir):
     """(train, test, softmax boosting) of the embeddings' ten labels."""
     from tabsight.operators.boosting import SoftmaxBoosting

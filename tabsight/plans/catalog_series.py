@@ -185,6 +185,23 @@ def q_series_overview(spark, sf_dir):
         (F.col("o_totalprice") == F.col("peak_value")).alias("is_peak"), (F.col("o_totalprice") == F.col("low_value")).alias("is_low"))
 
 
+@query("series_overview_by_key", """
+WITH c AS (SELECT *, CAST(greatest(2, least(30, n // 8)) AS INTEGER) AS w FROM (
+  SELECT o_orderkey, CASE WHEN o_custkey % 3 = 0 THEN o_custkey END AS cust, o_orderdate AS ts,
+         o_totalprice AS value, count(*) OVER (PARTITION BY CASE WHEN o_custkey % 3 = 0 THEN o_custkey END) AS n FROM orders)),
+r AS (SELECT *, count(value) OVER f AS k, avg(value) OVER f AS ma FROM c
+      WINDOW f AS (PARTITION BY cust ORDER BY ts, o_orderkey ROWS BETWEEN w - 1 PRECEDING AND CURRENT ROW))
+SELECT o_orderkey, w, round(CASE WHEN k = w THEN ma END, 4) AS ma FROM r
+""")
+def q_series_overview_by_key(spark, sf_dir):
+    """R1 with a rolling width per key: the orders of every third customer
+    are short series of their own, all others one long series."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_custkey") % 3 == 0, F.col("o_custkey")).alias("cust"),
+                                              "o_orderdate", "o_totalprice")
+    band, _ = S.series_overview(o, ["cust"], "o_orderdate", "o_totalprice", "o_orderkey")
+    return band.select("o_orderkey", "w", F.round("ma", 4).alias("ma"))
+
+
 @query("forecast_leaderboard")
 def q_forecast_leaderboard(spark, sf_dir):
     """The ARIMA forecasts (least squares, maximum likelihood) as rows of

@@ -35,6 +35,6 @@ def load_all():
     """Import every catalogue module (registration happens on import)."""
     from tabsight.plans import (  # noqa: F401
         catalog_profile, catalog_text, catalog_series, catalog_features,
-        catalog_evaluate, catalog_models, catalog_cluster, catalog_report,
+        catalog_evaluate, catalog_models, catalog_cluster, catalog_report, catalog_columns,
     )
     return dict(QUERIES), {k: (v() if callable(v) else v).strip() for k, v in ORACLE.items()}

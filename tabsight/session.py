@@ -21,7 +21,6 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
-    "spark.driver.memory": "16g",
     "spark.ui.showConsoleProgress": "false",
 }
 

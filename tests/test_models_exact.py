@@ -390,3 +390,196 @@ def test_euclidean_silhouette_equals_all_pairs(spark, offset, apart):
     points = sorted((r["lab"], r["s"]) for r in silhouette(df, "v", "lab", by_point=True).collect())
     assert np.allclose([s for _, s in points], [s for _, s in sorted(zip(y.tolist(), want))], atol=1e-9)
     assert silhouette(df.where("lab IN (0, 2)"), "v", "lab", noise=2).first()["silhouette"] == -1.0
+
+
+# --------------------------------------------------------------------- DBSCAN
+@pytest.mark.parametrize("d, eps", [(8, 1.2), (64, 6.0)])
+def test_dbscan_in_many_dimensions_equals_brute_force(spark, d, eps, monkeypatch):
+    from tabsight.operators import dbscan as D
+    from tests.test_operators import _brute_dbscan
+    rng = np.random.default_rng(d)
+    centres = rng.normal(size=(6, d)) * 4
+    x = np.concatenate([c + rng.normal(size=(40, d)) * 0.5 for c in centres] + [rng.uniform(-8, 8, (40, d))])
+    x[3] = x[4]
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, v array<double>").repartition(4)
+    monkeypatch.setattr(D, "PART_POINTS", 30)
+    got = [r["cluster"] for r in D.dbscan(df, "id", "v", eps, 5).orderBy("id").collect()]
+    assert got == _brute_dbscan(x, eps, 5).tolist() and len(set(got)) >= 6
+    work = D.compared_pairs(df, "id", "v", eps).first()
+    assert work["n"] == len(x) and work["share"] < 0.5
+
+
+# ------------------------------------------------------------------------ SVD
+def angle(a, b):
+    """Sine of the largest angle between two column spaces."""
+    return np.linalg.norm(a - b @ (b.T @ a), 2)
+
+
+@pytest.mark.parametrize("kind", ["dense", "sparse", "mixed"])
+def test_randomised_svd_equals_exact_factors(spark, kind):
+    from pyspark.ml.linalg import DenseVector, SparseVector, VectorUDT
+    from pyspark.sql import types as T
+    from tabsight.operators.svd import project, randomized_svd
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(200, 40)) * (0.85 ** np.arange(40)) @ np.linalg.qr(rng.normal(size=(40, 40)))[0]
+    if kind != "dense":
+        x = np.where(rng.random(x.shape) < 0.3, x, 0.0)
+        x[5] = 0.0
+
+    def vector(i, row):
+        if kind == "dense" or kind == "mixed" and i % 2:
+            return DenseVector(row)
+        at = np.flatnonzero(row)
+        return SparseVector(40, at, row[at])
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("v", VectorUDT())])
+    df = spark.createDataFrame([(i, vector(i, r)) for i, r in enumerate(x)] + [(-1, None)], schema).repartition(20)
+    got = randomized_svd(df, "v", 3)
+    _, s, vt = np.linalg.svd(x, full_matrices=False)
+    assert np.allclose(got.s, s[:3], rtol=1e-6) and angle(got.v, vt[:3].T) < 1e-3
+    assert got.variance == pytest.approx(x.var(axis=0, ddof=1).sum())
+    rows = {r["id"]: r for r in project(df, "v", got.v, ["p", "q", "r"]).collect()}
+    assert rows[-1]["p"] is None
+    assert np.allclose([[rows[i][c] for c in "pqr"] for i in range(200)], x @ got.v)
+
+
+def test_svd_of_few_rows_and_columns(spark):
+    from tabsight.operators.svd import randomized_svd
+    df = cluster.to_vector(spark.createDataFrame([([1.0, 2.0],), ([2.0, 4.0],)], "v array<double>"), "v", "f")
+    got = randomized_svd(df, "f", 5)
+    assert got.s[0] == pytest.approx(5.0) and abs(got.s[1:]).max(initial=0) < 1e-9
+    with pytest.raises(ValueError):
+        randomized_svd(df.where("false"), "f", 2)
+
+
+# ------------------------------------------------------ approximate neighbours
+def test_cheapest_flips_equal_all_subsets():
+    from tabsight.operators.ann import cheapest_flips
+    rng = np.random.default_rng(0)
+    for _ in range(30):
+        cost = rng.random(6)
+        every = sorted(range(64), key=lambda m: sum(c for i, c in enumerate(cost) if m >> i & 1))
+        got = cheapest_flips(cost, 20)
+        assert got[0] == 0 and np.allclose([sum(c for i, c in enumerate(cost) if m >> i & 1) for m in got],
+                                           [sum(c for i, c in enumerate(cost) if m >> i & 1) for m in every[:20]])
+        assert len(set(cheapest_flips(cost, 64))) == 64
+
+
+def test_ann_recall_and_candidates(spark):
+    from tabsight.operators import ann
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(40, 16)) * 2
+    x = centres[rng.integers(0, 40, 2200)] + rng.normal(size=(2200, 16))
+    x[:300] = x[0]  # one bucket holds many equal rows
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, v array<double>").repartition(4)
+    train, test = df.where("id % 10 > 0"), df.where("id % 10 = 0")
+    got = ann.recall(train, test, "id", "v", 5, max_group=100).first()
+    assert got["n_queries"] == 220 and got["recall"] >= 0.9
+    met = ann.candidates(train, test, "id", "v", tables=4, probes=4).agg(F.avg("candidates"), F.count("*")).first()
+    assert met[1] == 220 and 0 < met[0] < 0.8 * 1980
+    nb = ann.ann_neighbours(train, test, "id", "v", 3).collect()
+    assert all(r["dist"] == pytest.approx(np.linalg.norm(x[r["id"]] - x[r["neighbour_id"]]), abs=1e-9) for r in nb)
+    assert ann.ann_neighbours(train.where("false"), test, "id", "v", 3).count() == 0
+
+
+# -------------------------------------------------------------------- density
+def test_kernel_sums_equal_direct_sums(spark):
+    from tabsight.operators import density
+    rng = np.random.default_rng(2)
+    a = np.concatenate([rng.normal(size=900), [25.0, -14.0], np.full(50, 3.25)]) + 1e4
+    b = rng.exponential(size=len(a)) * 1e-3
+    df = spark.createDataFrame([(float(x), float(y)) for x, y in zip(a, b)] + [(None, float("nan"))], "a double, b double").repartition(3)
+
+    def direct(x, points):
+        h = x.std(ddof=1) * len(x) ** -0.2
+        grid = np.linspace(x.min(), x.max(), points)
+        return np.exp(-0.5 * ((grid[:, None] - x[None]) / h) ** 2).sum(1) / (len(x) * h * np.sqrt(2 * np.pi))
+    got = [r["density"] for r in density.kde(df, "a", 120, digits=None).orderBy("point").collect()]
+    assert np.allclose(got, direct(a, 120), rtol=1e-9, atol=1e-13)
+    both = density.violin_density(df, ["a", "b"], 50, digits=12).orderBy("column", "point").collect()
+    assert np.allclose([r["density"] for r in both if r["column"] == "b"], direct(b, 50), rtol=1e-9, atol=1e-9)
+
+
+# ------------------------------------------------------------ mergeable profile
+def test_merged_sketches_equal_one_pass(spark):
+    from tabsight.operators import sketches as S
+    rng = np.random.default_rng(3)
+    rows = [(i % 5, float(v) + 1e6, int(i % 700), None if i % 11 else f"t{i % 90}", float("nan") if i % 13 == 0 else float(i % 4), None)
+            for i, v in enumerate(rng.exponential(size=6000))]
+    df = spark.createDataFrame(rows, "day int, a double, b int, c string, d double, e double").repartition(6)
+    parts = S.sketch_table(df, part=["day"])
+    assert parts.count() == 25
+    merged = {r["column"]: r for r in S.profile_of(S.merge_sketches(parts)).collect()}
+    whole = {r["column"]: r for r in S.profile_of(S.sketch_table(df.drop("day"))).collect()}
+    for c in "abcde":
+        m, w = merged[c], whole[c]
+        assert (m["n_rows"], m["n_missing"], m["lo"], m["hi"]) == (w["n_rows"], w["n_missing"], w["lo"], w["hi"])
+        assert m["n_distinct"] == pytest.approx(w["n_distinct"], rel=0.01)  # a merged sketch uses another estimator
+        for k in ("mean", "std"):
+            assert m[k] == w[k] or m[k] == pytest.approx(w[k], rel=1e-9)
+    assert merged["e"]["quantiles"] is None and merged["e"]["n_distinct"] == 0 and merged["c"]["mean"] is None
+    # two loads, then a third: the old sketches are kept
+    old = S.merge_sketches(parts.where("day < 4"))
+    both = S.profile_of(S.merge_sketches(old.unionByName(parts.where("day = 4").drop("day"))))
+    errors = {r["column"]: r for r in S.measured_errors(df, both).collect()}
+    assert all(r["distinct_error"] <= 0.05 and (r["rank_error"] or 0) <= 0.02 for r in errors.values())
+    a = {r["column"]: r for r in both.collect()}["a"]
+    assert a["std"] == pytest.approx(float(np.std([r[1] for r in rows], ddof=1)), rel=1e-9)
+    per_day = S.profile_of(S.merge_sketches(parts, ["day"]), by=["day"])
+    assert per_day.count() == 25 and per_day.where("column = 'a'").agg(F.sum("n_rows")).first()[0] == 6000
+
+
+# ------------------------------------------------------------------ adapters
+def test_optional_boosters_are_built_when_installed(monkeypatch):
+    import importlib
+    import importlib.util
+    import types
+
+    class Stub:
+        def __init__(self, **kw):
+            self.kw = kw
+    modules = {"xgboost.spark": ("SparkXGBClassifier", "SparkXGBRegressor"), "synapse.ml.lightgbm": ("LightGBMClassifier", "LightGBMRegressor"),
+               "catboost_spark": ("CatBoostClassifier", "CatBoostRegressor")}
+    made = {name: types.SimpleNamespace(**{c: type(c, (Stub,), {}) for c in classes}) for name, classes in modules.items()}
+    monkeypatch.setattr(importlib.util, "find_spec", lambda name: name)
+    monkeypatch.setattr(importlib, "import_module", lambda name: made[name])
+    for at, kind in enumerate(("classification", "regression")):
+        got = models.optional_boosters(kind, "y", "x")
+        assert {k: type(v).__name__ for k, v in got.items()} == {
+            "xgboost": modules["xgboost.spark"][at], "lightgbm": modules["synapse.ml.lightgbm"][at], "catboost": modules["catboost_spark"][at]}
+        assert all(50 in v.kw.values() and 42 in v.kw.values() and "y" in v.kw.values() and "x" in v.kw.values() for v in got.values())
+
+
+def test_multiclass_catalogue_trains_one_boosting_model(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 2))
+    y = (x[:, 0] > 0).astype(int) + (x[:, 1] > 0)
+    df = models.assemble(spark.createDataFrame([(i, *map(float, r), float(v)) for i, (r, v) in enumerate(zip(x, y))],
+                                               "id long, a double, b double, label double"), ["a", "b"])
+    board, fitted, _ = models.train_all(df.where("id % 4 > 0"), df.where("id % 4 = 0"), "classification", "id",
+                                        scaled="features", models=["gradient_boosting", "decision_tree"])
+    assert isinstance(fitted["gradient_boosting"], boosting.SoftmaxModel)
+    scores = {r["model"]: (r["accuracy"], r["error"]) for r in board.collect()}
+    assert scores["gradient_boosting"][0] > 0.85 and scores["gradient_boosting"][1] is None
+
+
+# ------------------------------------------------------------ widths per key
+def test_rolling_width_of_each_key(spark):
+    from tabsight.operators.series import rolling_by_key
+    rng = np.random.default_rng(6)
+    rows = [(k, t, None if (k, t) == ("a", 40) else float(v)) for k, n in (("a", 300), ("b", 40), (None, 5), ("d", 1))
+            for t, v in enumerate(rng.normal(size=n))]
+    df = spark.createDataFrame(rows, "k string, t int, v double").withColumn("id", F.col("t"))
+    got = {(r["k"], r["t"]): r for r in rolling_by_key(df, ["k"], "t", "v", "id", digits=None).collect()}
+    assert len(got) == len(rows)
+    series = {}
+    for k, t, v in rows:
+        series.setdefault(k, []).append(v)
+    for k, values in series.items():
+        w = max(2, min(30, len(values) // 8))
+        for t in range(len(values)):
+            r, part = got[k, t], values[max(0, t - w + 1):t + 1]
+            assert r["w"] == w
+            if len(part) < w or None in part:
+                assert r["ma"] is None and r["std"] is None
+            else:
+                assert r["ma"] == pytest.approx(np.mean(part)) and r["std"] == pytest.approx(np.std(part, ddof=1))
