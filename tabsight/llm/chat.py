@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 from typing import Any
 
 import pandas as pd
@@ -84,25 +85,74 @@ def _serialiser(schemas: dict[str, dict]):
 
 
 # ---------------------------------------------------------- topological order
+def chains(single: DataFrame) -> DataFrame:
+    """``single`` (call_id, dep_id): calls with one dependency -> (call_id,
+    anchor, dist, open): the first call along the dependencies that is not of
+    this kind, and the steps to it.  Pointers jump over pointers, so the
+    rounds are the logarithm of the longest chain; ``open`` are calls on or
+    behind a cycle of such calls, which have no anchor."""
+    kind = single.select(F.col("call_id").alias("dep_id"), F.lit(True).alias("open"))
+    state = shared_checkpoint(single.join(kind, "dep_id", "left").select(
+        "call_id", F.col("dep_id").alias("anchor"), F.lit(1).alias("dist"), F.coalesce("open", F.lit(False)).alias("open")))
+    rounds = state.where("open").count().bit_length()  # then any chain without a cycle has ended
+    for _ in range(rounds):
+        ahead = state.select(F.col("call_id").alias("anchor"), F.col("anchor").alias("next"), F.col("dist").alias("more"),
+                             F.col("open").alias("still"))
+        moved = state.where("open").join(ahead, "anchor").select(
+            "call_id", F.col("next").alias("anchor"), (F.col("dist") + F.col("more")).alias("dist"), F.col("still").alias("open"))
+        state = shared_checkpoint(state.where("NOT open").unionByName(moved))
+        if state.where("open").isEmpty():
+            break
+    return state
+
+
+def _branching(edges: DataFrame, settled: DataFrame, tidy: int = 16) -> DataFrame:
+    """``edges`` (call_id, anchor, w) of calls with several dependencies and
+    the ``settled`` (call_id, level) -> all settled calls: a call whose
+    anchors are all settled has the highest level + w.  One round settles all
+    calls whose last anchor was settled in the round before, so the rounds
+    are as many as the longest chain of calls with several dependencies."""
+    new, parts, best = settled, [settled], None
+    while not edges.isEmpty():
+        known = new.select(F.col("call_id").alias("anchor"), "level")
+        met = edges.join(known, "anchor").groupBy("call_id").agg(F.max(F.col("level") + F.col("w")).alias("level"))
+        best = shared_checkpoint(met if best is None else best.unionByName(met).groupBy("call_id").agg(F.max("level").alias("level")))
+        edges = shared_checkpoint(edges.join(known, "anchor", "left_anti"))
+        still = edges.select("call_id").distinct()
+        new = shared_checkpoint(best.join(still, "call_id", "left_anti"))
+        if new.isEmpty():
+            break
+        best = best.join(still, "call_id", "left_semi")
+        parts.append(new)
+        if len(parts) > tidy:
+            parts = [shared_checkpoint(reduce(DataFrame.unionByName, parts))]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def levels(edges: DataFrame, calls: DataFrame) -> DataFrame:
     """(call_id, level): 0 without dependencies, else one more than the
     highest dependency.  ``edges`` (call_id, dep_id) hold only dependencies
-    that exist.  Each round settles the calls whose last open dependency was
-    settled in the round before, so the rounds are as many as the longest
-    chain; calls on or behind a cycle get no row.  What is open travels
-    through a checkpointed table each round."""
+    that exist.  Calls on or behind a cycle get no row.
+
+    Chains of calls with one dependency each are contracted first
+    (``chains``); only calls with several dependencies are settled round by
+    round (``_branching``)."""
     edges = shared_checkpoint(edges.distinct())
-    frontier = shared_checkpoint(calls.select("call_id").distinct().join(edges, "call_id", "left_anti")
-                                 .withColumn("level", F.lit(0)))
-    done, level = frontier, 0
-    while not frontier.isEmpty():
-        level += 1
-        met = edges.join(frontier.select(F.col("call_id").alias("dep_id")), "dep_id", "left_semi")
-        edges_left = shared_checkpoint(edges.join(frontier.select(F.col("call_id").alias("dep_id")), "dep_id", "left_anti"))
-        frontier = shared_checkpoint(met.select("call_id").distinct().join(edges_left, "call_id", "left_anti")
-                                     .withColumn("level", F.lit(level)))
-        edges, done = edges_left, done.unionByName(frontier)
-    return done
+    fan = shared_checkpoint(edges.groupBy("call_id").agg(F.count(F.lit(1)).alias("n"), F.min("dep_id").alias("dep_id")))
+    roots = shared_checkpoint(calls.select("call_id").distinct().join(fan, "call_id", "left_anti").withColumn("level", F.lit(0)))
+    found = chains(fan.where("n = 1").select("call_id", "dep_id"))
+    many = fan.where("n > 1").select("call_id")
+    settled = roots
+    if not many.isEmpty():
+        links = found.select(F.col("call_id").alias("dep_id"), "anchor", "dist", "open")
+        weighted = (edges.join(many, "call_id", "left_semi").join(links, "dep_id", "left")
+                    # behind a cycle: an anchor that is never settled
+                    .select("call_id", F.when(F.col("open"), F.lit(None)).otherwise(F.coalesce("anchor", "dep_id")).alias("anchor"),
+                            (F.coalesce("dist", F.lit(0)) + 1).alias("w")))
+        settled = shared_checkpoint(_branching(shared_checkpoint(weighted), roots))
+    ends = settled.select(F.col("call_id").alias("anchor"), "level")
+    along = found.where("NOT open").join(ends, "anchor").select("call_id", (F.col("level") + F.col("dist")).alias("level"))
+    return settled.unionByName(along)
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -126,7 +176,9 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     edges = (named.select("call_id", F.explode("depends_on").alias("dep_id"))
              .join(ids, "dep_id", "left_semi").select("call_id", "dep_id"))
     call = F.struct("call_id", "name", "arguments", "depends_on", "result")
-    return (calls.join(wanted, "call_id", "left").join(levels(edges, named), "call_id", "left")
+    # a hash join by identifier on any size of table; of a hot identifier the
+    # results are one row, and adaptive execution splits its calls
+    return (calls.join(wanted.hint("shuffle_hash"), "call_id", "left").join(levels(edges, named), "call_id", "left")
             .withColumn("out", _serialiser(schemas)(call))
             .select("conv_id", "turn", "call_id", "name", "level",
                     F.coalesce("answered", F.lit(False)).alias("linked"), "out.valid", "out.errors", "out.json"))

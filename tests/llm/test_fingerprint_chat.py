@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -137,3 +138,54 @@ def test_every_turn_is_in_a_row(spark):
     said = [json.loads(r["json"]) for r in called.collect()]
     texts = [t for x in said for t in (x["arguments"]["prompt"], x["result"])] + [g[3] for g in got]
     assert {t for _, _, _, t in rows} <= set(texts)
+
+
+def brute_levels(deps):
+    """Levels by settling what can be settled, again and again."""
+    level = {}
+    while True:
+        new = {c: 1 + max((level[d] for d in ds), default=-1) for c, ds in deps.items() if c not in level and all(d in level for d in ds)}
+        if not new:
+            return level
+        level.update(new)
+
+
+def found_levels(spark, deps):
+    calls = spark.createDataFrame([(c,) for c in deps], "call_id string")
+    edges = spark.createDataFrame([(c, d) for c, ds in deps.items() for d in ds], "call_id string, dep_id string")
+    rows = chat.levels(edges, calls).collect()
+    assert len({r["call_id"] for r in rows}) == len(rows)
+    return {r["call_id"]: r["level"] for r in rows}
+
+
+def test_levels_equal_settling_one_by_one(spark):
+    rng = random.Random(7)
+    graphs = [{}, {"a": []}, {"a": ["a"]}, {"a": ["b"], "b": ["c"], "c": ["b"], "d": ["a", "e"], "e": []}]
+    for _ in range(4):
+        names = [f"n{i}" for i in range(rng.randint(5, 60))]
+        deps = {c: sorted(set(rng.choices(names[:i], k=rng.choice([1, 1, 1, 2, 3])))) if i and rng.random() < 0.9 else [] for i, c in enumerate(names)}
+        for c in rng.sample(names, rng.choice([0, 2])):  # cycles
+            deps[c] = sorted({*deps[c], rng.choice(names)})
+        graphs.append(deps)
+    for deps in graphs:
+        assert found_levels(spark, deps) == brute_levels(deps)
+
+
+def test_long_chain_in_few_rounds(spark, monkeypatch):
+    n, made = 10_000, []
+    keep = chat.shared_checkpoint
+    monkeypatch.setattr(chat, "shared_checkpoint", lambda df: made.append(df) or keep(df))
+    calls = spark.range(n).select(F.format_string("c%d", "id").alias("call_id"))
+    edges = spark.range(1, n).select(F.format_string("c%d", "id").alias("call_id"), F.format_string("c%d", F.col("id") - 1).alias("dep_id"))
+    out = chat.levels(edges, calls)
+    assert out.where(F.col("call_id") == F.concat(F.lit("c"), F.col("level").cast("string"))).count() == n
+    assert len(made) < 25
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") < 40
+
+
+def test_results_are_hash_joined(spark):
+    calls = spark.createDataFrame([("a", 1, 0, "add", "{}", [])],
+                                  "call_id string, conv_id long, turn long, name string, arguments string, depends_on array<string>")
+    results = spark.createDataFrame([("a", "r")], "call_id string, content string")
+    plan = chat.link_calls(calls, results, SCHEMAS)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan
