@@ -102,34 +102,52 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / either)
 
 
-def with_next(df: DataFrame, id_col: str, text_col: str, partitions: int) -> DataFrame:
-    """(doc_id, text, sig, next_text, next_sig): each row with the row that
-    follows in ascending order of the id (null ids last, then by a hash of the
-    text; after the last the first; a single row follows itself).
+def _key(id_col: str, text_col: str) -> Column:
+    """Place in ascending order of the id: null ids last, then a hash of the text."""
+    return F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.xxhash64(text_col).alias("h"))
+
 
-    Rows are dealt to ranges of ids between quantiles that are ids themselves;
-    the row at a border is also put at the end of the range before it, so the
-    text is shuffled once and no range is held by one task alone."""
+def with_next(df: DataFrame, id_col: str, text_col: str, partitions: int, sampled: int = 6) -> DataFrame:
+    """(doc_id, text, sig, next_text, next_sig): each row with the row that
+    follows in ascending order of the id (of any type that can be sorted; null
+    ids last, then by a hash of the text; after the last the first; a single
+    row follows itself).
+
+    Rows are dealt to ranges between keys of a hash sample (``sampled`` for
+    each of 4 * partitions ranges; one row of two levels, so a row finds its
+    range in about twice the root of their number of comparisons).  The row at
+    a border is also put at the end of the range before it, so the text is
+    shuffled once and no range is held by one task alone; null and repeated
+    ids are spread by their text's hash."""
+    spark = df.sparkSession
     rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    keyed = rows.withColumn("key", _key("doc_id", "text"))
     n_ranges = 4 * partitions
-    found = rows.agg(F.min("doc_id").alias("first"), F.percentile_approx(
-        "doc_id", [i / n_ranges for i in range(1, n_ranges)], 20 * n_ranges).alias("cuts")).first()
-    first = found["first"]
-    cuts = sorted({c for c in (found["cuts"] or []) if c > first})
-    kind = df.schema[id_col].dataType
-    cut_list = F.array(*[F.lit(c).cast(kind) for c in cuts]) if cuts else F.array().cast(f"array<{kind.simpleString()}>")
-    own = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(
-        F.size(F.filter(cut_list, lambda c: c <= F.col("doc_id"))))
-    places = F.filter(F.array(
+    n, first = keyed.agg(F.count(F.lit(1)), F.min("key")).first()
+    drawn = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sampled * n_ranges / max(1, n)))
+    sample = [r["key"] for r in keyed.where(drawn).select("key").distinct().orderBy("key").collect()]
+    cuts = [c for c in dict.fromkeys(sample[len(sample) * k // n_ranges] for k in range(1, n_ranges) if sample) if c != first]
+    width = max(1, int(len(cuts) ** 0.5))
+    kind = keyed.schema["key"].dataType.simpleString()
+    table = spark.createDataFrame(
+        [(cuts[::width], [cuts[k:k + width] for k in range(0, len(cuts), width)], first)],
+        f"heads array<{kind}>, blocks array<array<{kind}>>, first {kind}")
+    block = F.size(F.filter("heads", lambda c: c <= F.col("key"))) - 1
+    inside = F.get("blocks", F.col("block"))
+    at_cut = F.col("block").between(0, len(cuts)) & F.array_contains(inside, F.col("key"))
+    places = F.array_compact(F.array(
         F.struct(F.col("own").alias("range"), F.lit(0).alias("tail")),
-        F.when(F.array_contains(cut_list, F.col("doc_id")), F.struct((F.col("own") - 1).alias("range"), F.lit(1).alias("tail"))),
-        F.when(F.col("doc_id") == F.lit(first).cast(kind), F.struct(F.lit(len(cuts)).alias("range"), F.lit(1).alias("tail"))),
-    ), lambda p: p.isNotNull())
-    dealt = (rows.withColumn("own", own).select("doc_id", "text", F.inline(places))
+        F.when(at_cut, F.struct((F.col("own") - 1).alias("range"), F.lit(1).alias("tail"))),
+        F.when(F.col("key") == F.col("first"), F.struct(F.lit(len(cuts)).alias("range"), F.lit(1).alias("tail")))))
+    dealt = (keyed.crossJoin(F.broadcast(table))  # one row
+             .withColumn("block", block)
+             .withColumn("own", F.when(F.col("block") < 0, F.lit(0)).otherwise(
+                 F.col("block") * width + F.size(F.filter(inside, lambda c: c <= F.col("key")))))
+             .select("doc_id", "text", "key", F.inline(places))
              .repartition(partitions, "range")
              .withColumn("kmers", kmers(F.col("text"))).withColumn("kmers", numbered(F.col("kmers")))
              .withColumn("sig", signature(F.col("kmers"))).drop("kmers"))
-    order = Window.partitionBy("range").orderBy("tail", F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
+    order = Window.partitionBy("range").orderBy("tail", "key")
     return dealt.select(
         "doc_id", "text", "sig", "tail", F.lead("text").over(order).alias("next_text"),
         F.lead("sig").over(order).alias("next_sig")).where("tail = 0").select(

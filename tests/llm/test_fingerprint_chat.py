@@ -3,8 +3,11 @@
 import hashlib
 import json
 import random
+import re
+from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tabsight.llm import chat, fingerprint
@@ -189,3 +192,61 @@ def test_results_are_hash_joined(spark):
     results = spark.createDataFrame([("a", "r")], "call_id string, content string")
     plan = chat.link_calls(calls, results, SCHEMAS)._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in plan
+
+
+def xx(*values):
+    """Spark's xxhash64 of texts (str), longs (int) and ints ((int,)), signed."""
+    h = 42
+    for v in values:
+        raw = v.encode() if isinstance(v, str) else v.to_bytes(8, "little", signed=True) if isinstance(v, int) else \
+            v[0].to_bytes(4, "little", signed=True)
+        h = xxhash.xxh64_intdigest(raw, h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def plain_signature(text):
+    """bin -> hash of its pair, from the definition: number the k-mers by
+    occurrence, keep each bin's two smallest, put them in text order."""
+    words = [xx(w) for w in re.findall(r"[^\x20\x09-\x0D]{1,16}", text)]
+    mers = [xx(*words[i:i + 3]) >> 24 for i in range(max(1, len(words) - 2))] if words else []
+    seen, bins = Counter(), {}
+    for at, m in enumerate(mers):
+        h = xx(m, (seen[m],))
+        seen[m] += 1
+        bins.setdefault((h >> 58) & 63, []).append((h >> 24, at))
+    out = {}
+    for b, members in bins.items():
+        pair = sorted(sorted(members)[:2], key=lambda x: x[1])
+        out[b] = (xx(*[h for h, _ in pair]) & ((1 << 64) - 1)) >> 32
+    return out
+
+
+def test_signature_and_likeness_equal_plain_python(spark):
+    texts = [sentence(i, 3 + 17 * i) for i in range(12)] + ["", " ", "a", "a b", "a b c", "a b c a b c a b c", "x" * 100, "word " * 300,
+             "café 中文 \U00013000 \x85 é"]
+    texts += [texts[5] + " and more", " ".join(reversed(texts[6].split()))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in fingerprint.fingerprints(df, partitions=2).collect()}
+    plain = [plain_signature(t) for t in texts]
+    changed = [plain_signature(t) for t in edited(texts)]
+
+    def alike(a, b):
+        return sum(a.get(k) == v for k, v in b.items()) / len(a.keys() | b.keys()) if a or b else 1.0
+
+    def text(sig):  # bins 32 to 63 have a sign bit, so they come first in the order of the hashes
+        return "".join(f"{(b << 32) | sig[b]:010x}" for b in sorted(sig, key=lambda b: b - 64 if b >= 32 else b))
+    for i in range(len(texts)):
+        assert got[i]["fingerprint"] == text(plain[i]) and got[i]["edited_fingerprint"] == text(changed[i]), texts[i]
+        assert got[i]["near_edited"] == pytest.approx(alike(plain[i], changed[i]))
+        assert got[i]["near_next"] == pytest.approx(alike(plain[i], plain[(i + 1) % len(texts)]))
+
+
+@pytest.mark.parametrize("partitions", [1, 4, 40])
+def test_ids_of_text_null_and_repeated(spark, partitions):
+    rows = [(f"d{i * 7 % 50:02}", sentence(i, 4 + i % 9)) for i in range(50)] + [(None, sentence(i, 5)) for i in range(30)] + [
+        ("same", sentence(i, 6)) for i in range(60, 100)]
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(6)
+    got = fingerprint.fingerprints(df, partitions=partitions).collect()
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or "", xx(r[1])))
+    want = Counter((i, hashlib.sha256(e.encode()).hexdigest()) for (i, _), e in zip(order, edited([t for _, t in order])))
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in got) == want
