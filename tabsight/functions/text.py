@@ -1,11 +1,11 @@
-"""Text expressions: word tokens, whitespace token counts, TF-IDF tokens."""
+"""Text expressions: word tokens, whitespace token counts."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-__all__ = ["STOP_WORDS_TOP", "ENGLISH_STOP_WORDS", "word_tokens", "token_count", "tfidf_tokens",
+__all__ = ["STOP_WORDS_TOP", "ENGLISH_STOP_WORDS", "word_tokens", "token_count",
            "WORD_SPLIT", "DATE_NAME_TOKENS"]
 
 # --- fixed values (must equal the reference for equal results) -------------
@@ -56,9 +56,3 @@ def token_count(text: Column) -> Column:
     """Number of whitespace-separated tokens (Python ``len(s.split())``)."""
     # maximal runs of non-whitespace = the non-empty pieces of a split on \s+
     return F.regexp_count(text, F.lit(r"\S+"))
-
-
-def tfidf_tokens(text: Column) -> Column:
-    """Lower-cased tokens of two or more word characters."""
-    parts = F.split(F.lower(F.coalesce(text, F.lit(""))), WORD_SPLIT)
-    return F.filter(parts, lambda w: F.char_length(w) >= 2)

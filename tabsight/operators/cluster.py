@@ -10,8 +10,7 @@ materialised:
   (n_C·‖x‖² − 2·x·S_C + Q_C) / n_C with S_C = Σ y, Q_C = Σ ‖y‖²;
 * Davies–Bouldin from centroids and mean centroid distances.
 
-Sums are taken around the mean of all rows, so data far from zero does not
-cancel.  The per-cluster table (k rows × d numbers, k ≤ ``max_clusters``, a
+Sums are taken around one of the rows, so data far from zero does not cancel.  The per-cluster table (k rows × d numbers, k ≤ ``max_clusters``, a
 documented bound whose breach is an error) is the only thing brought to the
 driver; nothing of size k × k is kept.  A ``noise`` label is not a cluster: with
 fewer than two real clusters the scores are −1 and 999, otherwise noise rows
@@ -52,11 +51,11 @@ def cluster_count(n: int) -> int:
 
 def _cluster_table(df: DataFrame, arr: str, label: str, max_clusters: int = MAX_CLUSTERS):
     """(centre, labels, n, S (k×d), Q (k)): per-cluster sums of the rows minus
-    the mean of all rows."""
+    the first row found, which takes away an offset common to all rows."""
     first = df.select(arr).where(F.col(arr).isNotNull()).first()
     dim = len(first[0]) if first else 0
-    mean = df.agg(*[F.avg(F.col(arr)[i]) for i in range(dim)]).first() if dim else []
-    x = [F.col(arr)[i] - F.lit(float(mean[i] or 0.0)) for i in range(dim)]
+    mean = [0.0 if v is None or v != v else v for v in first[0]] if first else []
+    x = [F.col(arr)[i] - F.lit(float(mean[i])) for i in range(dim)]
     g = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"),
                               F.array(*[F.sum(c) for c in x]).alias("s"),
                               F.sum(sum((c * c for c in x), F.lit(0.0))).alias("q"))
@@ -65,7 +64,7 @@ def _cluster_table(df: DataFrame, arr: str, label: str, max_clusters: int = MAX_
         raise ValueError(f"more than {max_clusters} clusters")
     rows.sort(key=lambda r: (r[label] is None, r[label]))
     labels = [r[label] for r in rows]
-    return np.array([float(m or 0.0) for m in mean]), labels, np.array([r["n"] for r in rows], "float64"), \
+    return np.array(mean, float), labels, np.array([r["n"] for r in rows], "float64"), \
         np.array([r["s"] for r in rows], "float64"), np.array([r["q"] for r in rows], "float64")
 
 

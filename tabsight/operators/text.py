@@ -12,12 +12,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsight.session import spread
-from tabsight.functions.text import (ENGLISH_STOP_WORDS, STOP_WORDS_TOP, WORD_SPLIT, tfidf_tokens,
-                                     token_count)
+from tabsight.functions.text import ENGLISH_STOP_WORDS, STOP_WORDS_TOP, WORD_SPLIT, token_count
 
 
 def word_counts(df: DataFrame, col: str, stop_words=STOP_WORDS_TOP, min_len: int = 3) -> DataFrame:
@@ -56,32 +55,37 @@ def token_stats(df: DataFrame, col: str, by: list[str] | None = None, digits: in
     return df.groupBy(*(by or [])).agg(*aggs)
 
 
-def _term_stats(df: DataFrame, col: str, stop, terms: list[str] | None = None) -> DataFrame:
-    """(term, n, dfreq): corpus count and number of documents containing the
-    term, in ONE partial aggregation and one explode: each row's tokens are
-    followed by its distinct tokens (``array_distinct``), and the position
-    tells which part an exploded token came from.  No (document, term)
-    shuffle."""
-    toks = tfidf_tokens(F.col(col))
-    keep = list(terms) if terms is not None else None
-    if stop or keep is not None:
-        stop_set = list(stop or [])
-        toks = F.filter(toks, lambda t: (t.isin(keep) if keep is not None else F.lit(True))
-                        & (~t.isin(stop_set) if stop_set else F.lit(True)))
-    a = df.select(toks.alias("__t"))
-    both = a.select(F.concat("__t", F.array_distinct("__t")).alias("__c"), F.size("__t").alias("__k"))
-    ex = both.select("__k", F.posexplode("__c").alias("__p", "term"))
-    return ex.groupBy("term").agg(F.count_if(F.col("__p") < F.col("__k")).alias("n"),
-                                  F.count_if(F.col("__p") >= F.col("__k")).alias("dfreq"))
+def _parts(col: str):
+    """Pieces of a text between non-word characters; short ones included."""
+    return F.split(F.lower(F.coalesce(F.col(col), F.lit(""))), WORD_SPLIT)
+
+
+def _term_counts(df: DataFrame, col: str, stop) -> DataFrame:
+    """(term, n): corpus counts of the terms of two or more characters; split,
+    explode and filter are fused, and counts are combined before the shuffle."""
+    terms = spread(df.select(col)).select(F.explode(_parts(col)).alias("term")).where(F.char_length("term") >= 2)
+    if stop:
+        terms = terms.where(~F.col("term").isin(list(stop)))
+    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _doc_freq(df: DataFrame, col: str, terms: list[str]) -> dict[str, int]:
+    """Number of rows that hold each of ``terms``: a row gives each of its
+    distinct terms once, so no (document, term) pair is shuffled."""
+    mine = F.array_intersect(F.array(*[F.lit(t) for t in terms]), _parts(col))
+    rows = spread(df.select(col)).select(F.explode(mine).alias("term")).groupBy("term").count().collect()
+    return {r["term"]: r["count"] for r in rows}  # ≤ max_features rows
 
 
 def tfidf_vocabulary(df: DataFrame, col: str, max_features: int = 300, stop_words=None) -> DataFrame:
     """Top ``max_features`` terms by corpus count (ties by term) →
-    (term, term_index, n, dfreq) — ≤ ``max_features`` rows."""
+    (term, term_index, n, dfreq) — ≤ ``max_features`` rows.  ``stop_words``:
+    any list of words to leave out (default: Spark ML's English list)."""
     stop = list(ENGLISH_STOP_WORDS if stop_words is None else stop_words)
-    top = _term_stats(df, col, stop).orderBy(F.desc("n"), "term").limit(max_features)
-    w = Window.orderBy(F.desc("n"), "term")  # ≤ max_features rows
-    return top.select("term", (F.row_number().over(w) - 1).cast("int").alias("term_index"), "n", "dfreq")
+    top = _term_counts(df, col, stop).orderBy(F.desc("n"), "term").limit(max_features).collect()
+    freq = _doc_freq(df, col, [r["term"] for r in top]) if top else {}
+    return df.sparkSession.createDataFrame([(r["term"], i, r["n"], freq[r["term"]]) for i, r in enumerate(top)],
+                                           "term string, term_index int, n long, dfreq long")
 
 
 @dataclass
@@ -98,7 +102,7 @@ class Tfidf:
         by the idf and ``Normalizer`` — row-local, no shuffle."""
         from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
         from pyspark.ml.linalg import Vectors
-        vec = df.withColumn("__tok", tfidf_tokens(F.col(col)))
+        vec = df.withColumn("__tok", _parts(col))  # terms of one character are in no vocabulary
         for stage in (CountVectorizerModel.from_vocabulary(self.terms, inputCol="__tok", outputCol="__tf"),
                       ElementwiseProduct(inputCol="__tf", outputCol="__w", scalingVec=Vectors.dense(self.idf)),
                       Normalizer(inputCol="__w", outputCol=out, p=2.0)):
@@ -119,7 +123,7 @@ def fit_tfidf(df: DataFrame, col: str, max_features: int = 300, stop_words=None,
     if not terms:
         return Tfidf([], [])
     dfreq = ({r["term"]: r["dfreq"] for r in rows} if "dfreq" in vocab.columns else
-             {r["term"]: r["dfreq"] for r in _term_stats(df, col, None, terms).collect()})
+             _doc_freq(df, col, terms))
     return Tfidf(terms, [math.log((1 + n) / (1 + dfreq.get(t, 0))) + 1 for t in terms])
 
 
@@ -131,9 +135,9 @@ def tfidf_long(df: DataFrame, id_col: str, col: str, max_features: int = 300,
     tf = raw count, idf = ln((1 + n) / (1 + df)) + 1 (smoothed), each
     document's vector L2-normalised over the vocabulary.  Pass a fitted
     ``vocabulary`` (term, term_index[, dfreq]) and ``n_docs`` to apply a
-    training-set fit to new rows.  Pass 1 is one aggregation (term counts and
-    document frequencies); pass 2 is map-only, and only the non-zero entries
-    of a row's vector are unpacked."""
+    training-set fit to new rows.  Two aggregations (term counts, then document
+    frequencies of the vocabulary) and a map-only pass, of which only the
+    non-zero entries of a row's vector are unpacked."""
     from pyspark.ml.functions import vector_to_array
     df = df.select(id_col, col)
     model = fit_tfidf(df, col, max_features, stop_words, vocabulary, n_docs)
