@@ -350,12 +350,13 @@ def candidate_cells(docs: DataFrame, k: int, partitions: int, max_seen: int) ->
     """(node, root): nodes that share a prefix shingle with another node, and
     the cell they fall into.  ``docs`` has a column text."""
     rows = docs.select("text").mapInArrow(_prefix_rows(k, max_seen), "shingle long, node long, spare int")
-    same = Window.partitionBy("shingle")
     first_class = F.col("shingle").between(0, int(FIRST) - 1)
-    shared = (rows.repartition(partitions, "shingle")
-              .withColumns({"lo": F.min("node").over(same), "hi": F.max("node").over(same),
-                            "rows": F.count(F.lit(1)).over(same)})
-              .where("lo <> hi").select("shingle", "node", "spare", "rows"))
+    # rows of a shingle are counted before the shuffle and joined back, so one
+    # that very many nodes hold is split by adaptive execution; a node that
+    # several tasks meet counts once for each, which only moves its shingles
+    # back in the global order
+    counts = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    shared = rows.join(counts, "shingle").select("shingle", "node", "spare", "rows")
     # of a node's first-class shingles only it has (number first - shared),
     # those come first; so many of the shared ones are in its prefix
     own = Window.partitionBy("node", "first_class")
