@@ -19,10 +19,10 @@ for them, which is cheaper than a second shuffle.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tabsight.llm.common import shuffle_partitions
-from tabsight.llm.wordbpe import encoder, load, read_json, words_of
+from tabsight.llm.common import shuffle_partitions, small_batches
+from tabsight.llm.wordbpe import encoder, joined, load, read_json, split_texts
 
 # rows: a block's texts (bucket null: ids, word counts and word numbers of its texts) or the
 # words a block sends to a bucket (their numbers, and the words or the ids they have)
@@ -57,16 +57,16 @@ def _unpack(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
 
 
-def _split(block_bytes: int, block_words: int, buckets: int, id_type: pa.DataType, texts: bool):
+def _split(block_bytes: int, buckets: int, id_type: pa.DataType, texts: bool):
     """Rows of the texts of each block, or of its distinct words by bucket; the
     numbers depend on a partition's rows and their order only, so both kinds
-    agree, also when a task is run again.  Blocks number their distinct words by falling frequency, then bucket and
-    first letters: frequent words get small numbers, and the words sent to a
-    bucket are nearly sorted, so both compress well."""
-    def close(block: int, docs: list, lists: list[list[int]], number: dict[bytes, int]) -> Iterator[tuple]:
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        first = np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum()))
-        words = list(number)
+    agree, also when a task is run again.  Blocks number their distinct words
+    by falling frequency, then bucket and first letters: frequent words get
+    small numbers, and the words sent to a bucket are nearly sorted, so both
+    compress well."""
+    def close(block: int, docs: list, distinct: pa.Array, first: np.ndarray, ends: np.ndarray) -> Iterator[tuple]:
+        sizes = np.diff(ends, prepend=0)
+        words = distinct.cast(pa.binary()).to_pylist()
         bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), np.int64, len(words))
         order = np.lexsort((np.array([w[:16] for w in words], "S16"), bucket, -np.bincount(first, minlength=len(words)))) \
             if words else np.zeros(0, np.int64)
@@ -87,20 +87,10 @@ def _split(block_bytes: int, block_words: int, buckets: int, id_type: pa.DataTyp
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        block, size = (part << 20) + part, 0
-        number: dict[bytes, int] = {}
-        docs, lists = [], []
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                new = number.setdefault
-                lists.append([new(w, len(number)) for w in words_of(text)])
-                docs.append(doc)
-                size += len(text or "")
-                if size >= block_bytes or len(number) >= block_words:
-                    yield _batch(list(close(block, docs, lists, number)), id_type)
-                    block, number, docs, lists, size = block + 1, {}, [], [], 0
-        if docs:
-            yield _batch(list(close(block, docs, lists, number)), id_type)
+        block = (part << 20) + part
+        for batch in small_batches(batches, 1, block_bytes):
+            yield _batch(list(close(block, batch.column(0).to_pylist(), *split_texts(batch.column(1)))), id_type)
+            block += 1
     return run
 
 
@@ -138,36 +128,30 @@ def _join(tokenizer_json: str, id_type: pa.DataType):
 
     def run(table: pa.Table) -> pa.Table:
         pieces = id_to_piece(tokenizer_json)
-        ids_of: dict[int, list[int]] = {}
-        text_of: dict[int, str] = {}
-        texts, some_empty = None, False
-        for bucket, docs, sizes, numbers, data in zip(*(table.column(c).to_pylist() for c in (
+        docs, ends, code, parts = [], np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        for bucket, own, sizes, numbers, data in zip(*(table.column(c).to_pylist() for c in (
                 "bucket", "docs", "sizes", "numbers", "data"))):
             if bucket is None:
-                texts = docs, _unpack(sizes).tolist(), _unpack(numbers).tolist()
-                continue
-            ids, start = _unpack(data).tolist(), 0
-            for k, n in zip(np.cumsum(_unpack(numbers).view("<i4"), dtype=np.int64).tolist(), _unpack(sizes).tolist()):
-                own = ids_of[k] = ids[start:start + n]
-                text_of[k] = " ".join([pieces[i] for i in own])
-                some_empty |= n == 0
-                start += n
-        all_ids, decoded, start = [], [], 0
-        docs, sizes, numbers = texts
-        for n in sizes:
-            own = numbers[start:start + n]
-            start += n
-            all_ids.append(np.fromiter(chain.from_iterable([ids_of[k] for k in own]), np.int32))
-            parts = [text_of[k] for k in own]
-            decoded.append(" ".join([p for p in parts if p] if some_empty else parts))
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip((docs, all_ids, decoded), types)], names=names)
+                docs, ends, code = own, np.cumsum(_unpack(sizes), dtype=np.int64), _unpack(numbers).astype(np.int64)
+            else:
+                parts.append((np.cumsum(_unpack(numbers).view("<i4"), dtype=np.int64), _unpack(sizes).astype(np.int64), _unpack(data)))
+        words = 1 + max((int(k.max()) for k, _, _ in parts if len(k)), default=-1)
+        first, size, start = np.zeros(words, np.int64), np.zeros(words, np.int64), 0
+        for k, n, ids in parts:
+            first[k], size[k] = start + np.cumsum(n) - n, n
+            start += len(ids)
+        ids, word_end = joined(code, np.concatenate([i for _, _, i in parts]) if parts else np.zeros(0, np.uint32), first, size)
+        offsets = pa.array(np.append(0, np.append(0, word_end)[ends]).astype(np.int32))
+        text = pc.binary_join(pa.ListArray.from_arrays(offsets, pieces.take(pa.array(ids.astype(np.int32)))), " ")
+        return pa.Table.from_arrays([pa.array(docs, types[0]), pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32))), text],
+                                    names=names)
     return run
 
 
-_PIECES: dict[int, list[str]] = {}
+_PIECES: dict[int, pa.Array] = {}
 
 
-def id_to_piece(tokenizer_json: str) -> list[str]:
+def id_to_piece(tokenizer_json: str) -> pa.Array:
     """The vocabulary as a table from id to piece, kept by the worker."""
     key = hash(tokenizer_json)
     if key not in _PIECES:
@@ -175,20 +159,20 @@ def id_to_piece(tokenizer_json: str) -> list[str]:
         if tok.decoder is not None:
             raise ValueError("only tokenizers without a decoder join pieces by a space")
         _PIECES.clear()
-        _PIECES[key] = [tok.id_to_token(i) or "" for i in range(tok.get_vocab_size(with_added_tokens=True))]
+        _PIECES[key] = pa.array([tok.id_to_token(i) or "" for i in range(tok.get_vocab_size(with_added_tokens=True))])
     return _PIECES[key]
 
 
 def encode_decode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
-                  buckets: int | None = None, block_bytes: int = 8 << 20, block_words: int = 400_000,
+                  buckets: int | None = None, block_bytes: int = 8 << 20,
                   max_known: int = 400_000) -> DataFrame:
     """(doc_id, ids array<int>, decoded string) of every row, without begin,
     end or added special tokens.
 
     Null and empty texts have no ids and decode to the empty string; null and
     repeated ids pass through, one output row for each input row; other
-    columns are not read.  A task holds one block (``block_bytes`` characters
-    or one longer text, ``block_words`` distinct words) or ``max_known`` words."""
+    columns are not read.  A task holds one block (``block_bytes`` of text
+    or one longer text) or ``max_known`` words."""
     n = buckets or 4 * shuffle_partitions(df.sparkSession)
     parts = shuffle_partitions(df.sparkSession)
     kind = df.schema[id_col].dataType
@@ -199,7 +183,7 @@ def encode_decode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
            .sortWithinPartitions("doc_id", F.xxhash64("text")))
 
     def split(texts: bool) -> DataFrame:
-        return own.mapInArrow(_split(block_bytes, block_words, n, arrow, texts), rows)
+        return own.mapInArrow(_split(block_bytes, n, arrow, texts), rows)
     answered = (split(False).repartition(parts, "bucket").sortWithinPartitions("bucket")
                 .mapInArrow(_encode(tok, max_known, arrow), rows))
     return split(True).unionByName(answered).groupBy("block").applyInArrow(

@@ -117,21 +117,39 @@ class WordEncoder:
         """(ids, end): the ids of all texts in a row, and where each text's
         end; null is empty.  Each distinct word is encoded once.  The memory
         is that of the texts' words, so hand over bounded stretches."""
-        texts = pc.fill_null(texts, "")
-        # as in ``words_of``
-        kept = pc.or_(pc.match_substring(texts, "<|"), pc.match_substring_regex(texts, r"[^\x00-\x{FF}]"))
-        lists = pc.ascii_split_whitespace(pc.if_else(kept, texts, pc.ascii_lower(texts)))
-        words = lists.flatten().dictionary_encode()
-        code = words.indices.to_numpy()
-        ids, first, size = self.distinct(words.dictionary)
-        size = size[code]
-        end = np.cumsum(size)
-        total = int(end[-1]) if len(end) else 0
-        out = ids[np.arange(total) + np.repeat(first[code] - (end - size), size)]
-        word_end = np.cumsum(pc.list_value_length(lists).to_numpy())
+        words, code, word_end = split_texts(texts)
+        out, end = joined(code, *self.distinct(words))
         return out, np.append(0, end)[word_end]
 
 
+def split_texts(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct words, code, end): the words of all texts, as ``words_of``
+    splits them, as numbers of distinct words in a row, and where each text's
+    end; null is empty."""
+    texts = pc.fill_null(texts, "")
+    kept = pc.or_(pc.match_substring(texts, "<|"), pc.match_substring_regex(texts, r"[^\x00-\x{FF}]"))
+    lists = pc.ascii_split_whitespace(pc.if_else(kept, texts, pc.ascii_lower(texts)))
+    end = np.cumsum(pc.list_value_length(lists).to_numpy())
+    words = lists.flatten().dictionary_encode()
+    code, distinct = words.indices.to_numpy(), words.dictionary
+    empty = pc.index(distinct, "").as_py()  # beside leading and trailing white space
+    if empty >= 0:
+        full = code != empty
+        end = np.append(0, np.cumsum(full))[end]
+        code = code[full]
+        code = code - (code > empty)
+        distinct = pa.concat_arrays([distinct.slice(0, empty), distinct.slice(empty + 1)])
+    return distinct, code, end
+
+
+def joined(code: np.ndarray, ids: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of the coded words in a row, where each word's end)."""
+    size = size[code]
+    end = np.cumsum(size)
+    total = int(end[-1]) if len(end) else 0
+    return ids[np.arange(total) + np.repeat(first[code] - (end - size), size)], end
+
+
 _ENCODERS: dict[int, WordEncoder] = {}
 
 
