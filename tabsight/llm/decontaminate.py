@@ -133,10 +133,11 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _worker(given: Phrases, shard_bytes: int, keep_text: bool):
+def _worker(shared, shard_bytes: int, keep_text: bool):
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = shared.value
         for batch in batches:
             for a, b in byte_stretches(batch.column(1), shard_bytes):
                 part = batch.slice(a, b - a)
@@ -177,8 +178,10 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, size: int = 10, id
     kind = docs.schema[id_col].dataType
     out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                       F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
-    slices = list(phrase_slices(benchmark, size, item_col, item_text_col, slice_words)) or [phrases([], size)]
-    for k, given in enumerate(slices):
+    # one slice at a time is in the driver's memory; a broadcast keeps its value in a file
+    send = docs.sparkSession.sparkContext.broadcast
+    slices = [send(given) for given in phrase_slices(benchmark, size, item_col, item_text_col, slice_words)]
+    for k, given in enumerate(slices or [send(phrases([], size))]):
         more = k < len(slices) - 1
         out = out.mapInArrow(_worker(given, shard_bytes, more),
                              f"doc_id {kind.simpleString()}, " + "text string, " * more
