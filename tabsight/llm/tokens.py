@@ -17,6 +17,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabsight.llm.common import small_batches
+
+SLICE = 50_000  # stretches of a text looked up at a time
 SPACE = "▁"  # the visible space of SentencePiece
 
 
@@ -74,11 +77,13 @@ class PairMerger:
 
 
 class TokenCounter:
-    """Whole-text counts with a bounded table of stretches already counted."""
+    """Whole-text counts with a table of stretches already counted, bounded by
+    their number and by their characters."""
 
-    def __init__(self, ranks: dict[str, int], plain: frozenset[str], max_known: int = 300_000):
-        self.merger, self.max_known = PairMerger(ranks, plain), max_known
+    def __init__(self, ranks: dict[str, int], plain: frozenset[str], max_known: int = 300_000, max_chars: int = 16 << 20):
+        self.merger, self.max_known, self.max_chars = PairMerger(ranks, plain), max_known, max_chars
         self.known: dict[str, int] = {}
+        self.chars = 0
 
     def _stretch(self, key: str) -> int:
         # a key that begins with a newline is that newline and what follows it;
@@ -93,11 +98,13 @@ class TokenCounter:
         if SPACE in text:
             text = text.replace(SPACE, " ")
         keys = text.replace("\n", " \n").split(" ")
-        known = self.known
-        if len(known) > self.max_known:
-            known.clear()
         if "" in keys:
             return self._with_runs(keys)
+        return sum(self._slice(keys[at:at + SLICE]) for at in range(0, len(keys), SLICE))
+
+    def _slice(self, keys: list[str]) -> int:
+        self._bound()
+        known = self.known
         counts = list(map(known.get, keys))
         if None in counts:
             for at, key in enumerate(keys):
@@ -105,14 +112,22 @@ class TokenCounter:
                     n = known.get(key)
                     if n is None:
                         n = known[key] = self._stretch(key)
+                        self.chars += len(key)
                     counts[at] = n
         return sum(counts)
 
+    def _bound(self) -> None:
+        if len(self.known) > self.max_known or self.chars > self.max_chars:
+            self.known.clear()
+            self.chars = 0
+
     def _with_runs(self, keys: list[str]) -> int:
         """Several spaces in a row stay with the word behind them: their merges
         compete with its own."""
         total, run = 0, 0
-        for key in keys:
+        for at, key in enumerate(keys):
+            if at % SLICE == 0:
+                self._bound()
             if key == "":
                 run += 1
                 continue
@@ -131,6 +146,7 @@ class TokenCounter:
         n = self.known.get(key)
         if n is None:
             n = self.known[key] = self._stretch(key)
+            self.chars += len(key)
         return n
 
 
@@ -166,7 +182,7 @@ def read_model(path: str) -> tuple[dict[str, int], frozenset[str]]:
 def _worker(ranks, plain, limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches):
         counter = TokenCounter(ranks, plain)
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             texts = batch.column(1)
             n = [counter(t) if t else 0 for t in texts.to_pylist()]
             n_bytes = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())

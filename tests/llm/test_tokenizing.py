@@ -46,6 +46,14 @@ def test_known_table_stays_bounded():
     assert len(counter.known) <= 14
 
 
+def test_known_table_is_bounded_by_characters_and_in_long_texts(monkeypatch):
+    monkeypatch.setattr(tokens, "SLICE", 7)
+    counter = tokens.TokenCounter(*tokens.read_model(PIECES), max_chars=40)
+    for text in (" ".join(f"word{i}" for i in range(200)), "  ".join(f"w{i}" for i in range(200)), "x" * 500 + " y" * 30):
+        assert counter(text) == len(SP.encode(text))
+    assert counter.chars <= 40 + 500 + 7 * 7
+
+
 def test_count_tokens_on_odd_rows(odd, odd_rows, empty):
     got = sorted(map(tuple, tokens.count_tokens(odd, PIECES).collect()), key=str)
     want = sorted(((i, len((t or "").encode()), n := len(SP.encode(t or "")), n > 4096) for i, t in odd_rows), key=str)
@@ -54,7 +62,7 @@ def test_count_tokens_on_odd_rows(odd, odd_rows, empty):
 
 
 def test_encode_decode_on_odd_rows(odd, odd_rows, empty):
-    for options in ({}, {"buckets": 3, "block_bytes": 2000, "block_words": 20, "max_known": 5}):
+    for options in ({}, {"buckets": 3, "block_bytes": 2000, "max_known": 5}):
         got = sorted(map(str, bpe_words.encode_decode(odd, WORDS, **options).collect()))
         rows = []
         for i, t in odd_rows:
