@@ -230,7 +230,17 @@ def q_top_selected_features(spark, sf_dir):
     return M.top_selected_features(tbl, 15)
 
 
-@query("clustering_input")
+@query("clustering_input", f"""
+WITH c AS (SELECT c_custkey, CAST(c_nationkey AS DOUBLE) AS nation, CAST(c_acctbal AS DOUBLE) AS bal, c_mktsegment,
+                  {EMB_SPLIT_SQL.replace('vec_id', 'c_custkey')} < 80 AS is_train FROM customer),
+codes AS (SELECT c_mktsegment, CAST(row_number() OVER (ORDER BY c_mktsegment) - 1 AS DOUBLE) AS seg
+          FROM (SELECT DISTINCT c_mktsegment FROM c WHERE is_train)),
+x AS (SELECT c.*, seg FROM c LEFT JOIN codes USING (c_mktsegment)),
+s AS (SELECT avg(nation) AS m1, stddev_pop(nation) AS s1, avg(bal) AS m2, stddev_pop(bal) AS s2, avg(seg) AS m3, stddev_pop(seg) AS s3
+      FROM x WHERE is_train)
+SELECT c_custkey, CASE WHEN is_train THEN 'train' ELSE 'test' END AS split, round((nation - m1) / s1, 6) AS c_nationkey,
+       round((bal - m2) / s2, 6) AS c_acctbal, round((seg - m3) / s3, 6) AS c_mktsegment_code FROM x, s
+""")
 def q_clustering_input(spark, sf_dir):
     """X8 without a target: customers with encoded, imputed and standardised
     columns, ready for clustering."""

@@ -46,8 +46,8 @@ def q_token_stats(spark, sf_dir):
     return X.token_stats(table(spark, sf_dir, "conversations"), "text", by=["role"])
 
 
-def _tfidf_sql():
-    stop = _sql_list(ENGLISH_STOP_WORDS)
+def tfidf_sql(stop_words=ENGLISH_STOP_WORDS):
+    stop = _sql_list(stop_words)
     return f"""
 WITH tok AS (
   SELECT doc_id, t AS term FROM (
@@ -62,6 +62,6 @@ SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) A
 """
 
 
-@query("tfidf_long", _tfidf_sql)
+@query("tfidf_long", tfidf_sql)
 def q_tfidf_long(spark, sf_dir):
     return X.tfidf_long(table(spark, sf_dir, "documents"), "doc_id", "text", 300)

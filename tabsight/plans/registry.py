@@ -36,5 +36,6 @@ def load_all():
     from tabsight.plans import (  # noqa: F401
         catalog_profile, catalog_text, catalog_series, catalog_features,
         catalog_evaluate, catalog_models, catalog_cluster, catalog_report, catalog_columns,
+        catalog_checks,
     )
     return dict(QUERIES), {k: (v() if callable(v) else v).strip() for k, v in ORACLE.items()}
