@@ -13,6 +13,10 @@ fits read the same rows:
   of the slowest problem, whatever the size of the grid; one more pass scores
   all folds.
 
+* **Random forests.** The first n trees of a forest are a forest of n trees,
+  and a tree cut at depth d is a tree grown to depth d.  One forest per fold,
+  with the most trees and levels of the grid, scores every (trees, depth).
+
 The rows are kept as blocks of numbers; sums have the size of the model times
 the grid and are added up in two steps (``boosting.tree_sum``).
 """
@@ -236,3 +240,82 @@ def tune_logistic(df: DataFrame, cs: list[float], features: str = "features", la
         return best, scores, solved[problems.index((best, -1))].reshape(1 + d, outputs), passes + 1
     finally:
         blocks.unpersist()
+
+
+# -------------------------------------------------------------------- forests
+def _arrays(nodes: dict[int, dict], classes: int | None) -> tuple[np.ndarray, ...]:
+    """(feature or -1, threshold, left, right, value) of a tree's nodes."""
+    ids = sorted(nodes)
+    at = {i: k for k, i in enumerate(ids)}
+    feature, edge = np.full(len(ids), -1), np.zeros(len(ids))
+    left, right = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+    value = np.zeros((len(ids), classes or 1))
+    for k, i in enumerate(ids):
+        node = nodes[i]
+        value[k] = np.array(node["impurityStats"]) / sum(node["impurityStats"]) if classes else node["impurityStats"][1] / node["impurityStats"][0]
+        if node["leftChild"] >= 0:
+            if node["split"]["numCategories"] >= 0:
+                raise ValueError("categorical features are not tuned in shared fits")
+            feature[k], edge[k] = node["split"]["featureIndex"], node["split"]["leftCategoriesOrThreshold"][0]
+            left[k], right[k] = at[node["leftChild"]], at[node["rightChild"]]
+    return feature, edge, left, right, value
+
+
+def values_by_depth(tree: tuple[np.ndarray, ...], x: np.ndarray, depths: list[int]) -> list[np.ndarray]:
+    """The rows' values in the tree cut at each of the ascending ``depths``."""
+    feature, edge, left, right, value = tree
+    at, rows, out = np.zeros(len(x), np.int64), np.arange(len(x)), []
+    for depth in range(depths[-1] + 1):
+        if depth in depths:
+            out.append(value[at])
+        inner = feature[at] >= 0
+        if not inner.any():
+            break
+        goes_left = x[rows, np.maximum(feature[at], 0)] <= edge[at]
+        at = np.where(inner, np.where(goes_left, left[at], right[at]), at)
+    return out + [value[at]] * (len(depths) - len(out))
+
+
+def tune_forest(df: DataFrame, kind: str, trees: list[int], depths: list[int], features: str = "features",
+                label: str = "label", fold: str = "fold", folds: int = 3, seed: int = 42, **options) -> tuple[dict, list[tuple], object]:
+    """(best parameters, [(numTrees, maxDepth, mean score over the folds)],
+    the forest with the best ones fitted on all rows).  The score is accuracy
+    (``kind`` classification) or R2; the first of equal scores wins."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.regression import RandomForestRegressor
+    from tabsight.operators.tree_explain import _nodes
+    classify = kind == "classification"
+    est = RandomForestClassifier if classify else RandomForestRegressor
+    args = dict(seed=seed, featuresCol=features, labelCol=label, **options)
+    trees, depths = sorted(trees), sorted(depths)
+    blocks, _ = _blocks(df, features, label, fold)
+    blocks = blocks.persist()
+    scores = {(n, d): [] for n in trees for d in depths}
+    try:
+        for k in range(folds):
+            rest = df.where(F.col(fold) != k)
+            if rest.isEmpty() or df.where(F.col(fold) == k).isEmpty():
+                continue
+            m = est(numTrees=trees[-1], maxDepth=depths[-1], **args).fit(rest)
+            nodes = _nodes(m)
+            packed = df.sparkSession.sparkContext.broadcast([_arrays(nodes[t], m.numClasses if classify else None) for t in sorted(nodes)])
+
+            def one(x, y, f, k=k, packed=packed):
+                here = f == k
+                rows, want = x[here, 1:], y[here]
+                sums, out = [0.0] * len(depths), []
+                for t, tree in enumerate(packed.value, 1):
+                    sums = [a + b for a, b in zip(sums, values_by_depth(tree, rows, depths))]
+                    if t in trees:
+                        for s in sums:
+                            out.append((s.argmax(axis=1) == want).sum() if classify else ((s[:, 0] / t - want) ** 2).sum())
+                return np.array([*out, len(want), want.sum(), (want * want).sum()], float)
+            got = _summed(blocks, one)
+            n, total = got[-3], got[-1] - got[-2] ** 2 / max(1.0, got[-3])
+            for (at, v) in zip(((t, d) for t in trees for d in depths), got[:-3]):
+                scores[at].append(v / n if classify else (1 - v / total if total > 0 else float("nan")))
+    finally:
+        blocks.unpersist()
+    means = [(n, d, float(np.mean(v))) for (n, d), v in scores.items() if v]
+    n, d, _ = max(means, key=lambda s: s[2])
+    return {"numTrees": n, "maxDepth": d}, means, est(numTrees=n, maxDepth=d, **args).fit(df)

@@ -58,15 +58,14 @@ def q_train_leaderboard(spark, sf_dir):
 
 @query("tuned_models")
 def q_tuned_models(spark, sf_dir):
-    """Grid search with 3-fold CV: forest trees × depth (a fit each) and
+    """Grid search with 3-fold CV: forest trees × depth (one fit per fold) and
     logistic C (shared passes) on the classification problem, ridge alpha (one
     scan) on the regression problem."""
-    from pyspark.ml.classification import RandomForestClassifier
-    from tabsight.operators.tuning import fold_of, tune_logistic, tune_ridge
+    from tabsight.operators.tuning import fold_of, tune_forest, tune_logistic, tune_ridge
     pc, pr = _prep_cls(spark, sf_dir), _prep_reg(spark, sf_dir)
     tr = spread(fold_of(pc.train, pc.id_col, M.CV_FOLDS)).persist()
-    _, p, s = M.tune(RandomForestClassifier(seed=M.SEED, **M.TREE_OPTS), M.GRID_FOREST, tr, "classification")
-    rows = [("random_forest", str(sorted(p.items())), s)]
+    p, scores, _ = tune_forest(tr, "classification", M.GRID_FOREST["numTrees"], M.GRID_FOREST["maxDepth"], seed=M.SEED, **M.TREE_OPTS)
+    rows = [("random_forest", str(sorted(p.items())), max(s for *_, s in scores))]
     c, scores, _, _ = tune_logistic(tr, M.GRID_LOGREG_C, "features_scaled", rounds=M.LOGREG_ITER)
     rows.append(("logistic_regression", str([("C", c)]), dict(scores)[c]))
     tr.unpersist()

@@ -324,6 +324,32 @@ def test_ridge_tuning_equals_single_fits(folded):
     assert best == max(scores, key=lambda s: s[1])[0] and np.allclose(w, fit(fold >= 0, best))
 
 
+@pytest.mark.parametrize("kind, label", [("classification", "ym"), ("regression", "yr")])
+def test_forest_tuning_scores_every_pair_from_one_fit(folded, kind, label):
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.regression import RandomForestRegressor
+    params, scores, m = tuning.tune_forest(folded, kind, [3, 6], [2, 8], label=label)
+    assert len(scores) == 4 and params == dict(zip(("numTrees", "maxDepth"), max(scores, key=lambda s: s[2])[:2]))
+    assert m.getNumTrees == params["numTrees"]
+    # the largest pair is the fitted forest itself; a forest of one level more is not better than its own cut
+    est = RandomForestClassifier if kind == "classification" else RandomForestRegressor
+    want = []
+    for k in range(3):
+        p = est(numTrees=6, maxDepth=8, seed=42, labelCol=label).fit(folded.where(F.col("fold") != k)).transform(folded.where(F.col("fold") == k))
+        y, g = (np.array([r[c] for r in p.collect()]) for c in (label, "prediction"))
+        want.append((y == g).mean() if kind == "classification" else 1 - ((y - g) ** 2).sum() / ((y - y.mean()) ** 2).sum())
+    assert dict(((n, d), s) for n, d, s in scores)[6, 8] == pytest.approx(np.mean(want), abs=1e-9)
+
+
+def test_values_by_depth_equal_a_shallower_tree(folded):
+    from pyspark.ml.regression import DecisionTreeRegressor
+    x = np.array([r["features"].toArray() for r in folded.orderBy("id").collect()])
+    deep = tuning._arrays(tree_explain._nodes(DecisionTreeRegressor(maxDepth=7, labelCol="yr").fit(folded))[0], None)
+    for depth, got in zip((0, 2, 4), tuning.values_by_depth(deep, x, [0, 2, 4])):
+        p = DecisionTreeRegressor(maxDepth=depth, labelCol="yr").fit(folded).transform(folded.orderBy("id"))
+        assert np.allclose(got[:, 0], [r["prediction"] for r in p.collect()])
+
+
 # -------------------------------------------------------------------- k-means
 def test_batched_kmeans_inertia_and_sharing(spark):
     from pyspark.ml.clustering import KMeans
