@@ -7,9 +7,8 @@ of all K trees.
 * Features are binned once, at quantiles; a row is ``d`` bytes, its label and
   its K margins, kept in blocks of rows.
 * A pass adds up, for the nodes it is asked for, gradient, Hessian and row
-  count per (class, node, feature, bin).  Partitions are added up in two steps
-  (groups of about the root of their number, then the driver), and only the
-  smaller child of a split is counted: its sibling is the parent minus it.
+  count per (class, node, feature, bin).  Partitions are added up in steps
+  (groups of about the root of their number first), and only the smaller child of a split is counted: its sibling is the parent minus it.
 * The first pass of a round adds the trees of the round before to the
   margins; the blocks are persisted, and checkpointed every
   ``checkpoint_rounds`` rounds, so lost executors cost few rounds.
@@ -244,12 +243,14 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def tree_sum(parts: DataFrame) -> np.ndarray:
-    """Sum of the arrays in the one binary column, in two steps if there are
-    many partitions."""
+    """Sum of the arrays in the one binary column: with many partitions in
+    groups of about the root of their number, then in one task; the driver
+    gets at most 16 arrays."""
     n = parts.rdd.getNumPartitions()
     if n > 16:
-        parts = parts.repartition(int(np.ceil(np.sqrt(n)))).mapInArrow(_added, "x binary")
-    return sum(np.frombuffer(r["x"], float) for r in parts.toLocalIterator())
+        for groups in (int(np.ceil(np.sqrt(n))), 1):
+            parts = parts.repartition(groups).mapInArrow(_added, "x binary")
+    return sum(np.frombuffer(r["x"], float) for r in parts.collect())
 
 
 class SoftmaxBoosting:

@@ -118,9 +118,10 @@ def qr_triangle(rows: DataFrame, q: np.ndarray) -> np.ndarray:
     parts, l = rows.mapInArrow(_triangles(q), "x binary"), q.shape[1]
     n = parts.rdd.getNumPartitions()
     if n > 16:
-        parts = parts.repartition(int(np.ceil(np.sqrt(n)))).mapInArrow(_stacked(l), "x binary")
+        for groups in (int(np.ceil(np.sqrt(n))), 1):
+            parts = parts.repartition(groups).mapInArrow(_stacked(l), "x binary")
     r = np.zeros((0, l))
-    for row in parts.toLocalIterator():
+    for row in parts.collect():  # at most 16 triangles
         r = np.linalg.qr(np.vstack([r, np.frombuffer(row["x"], float).reshape(-1, l)]), mode="r")
     return r
 
@@ -136,7 +137,7 @@ class Factors:
     passes: int
 
 
-def randomized_svd(df: DataFrame, vec: str, k: int, more: int = 8, tol: float = 1e-6, max_passes: int = 60,
+def randomized_svd(df: DataFrame, vec: str, k: int, more: int = 24, tol: float = 1e-6, max_passes: int = 60,
                    seed: int = 42) -> Factors:
     """The ``k`` leading right singular vectors and values of the rows of the
     vector column ``vec`` (null vectors are left out).  ``tol``: sine of the
