@@ -135,13 +135,18 @@ def dbscan(df: DataFrame, id_col: str, vec_col: str, eps: float = 0.5, min_point
     sp = probe_s.join(csub.select("sub", F.col("node").alias("nb")), "sub").where(F.col("na") != F.col("nb"))
     gap2, far2 = _sub_pair_d2("su", "sub", t, b)
     sure = sp.where(far2 <= eps2).select("na", "nb").distinct()
-    maybe = sp.where((far2 > eps2) & (gap2 <= eps2)).join(sure, ["na", "nb"], "left_anti")
-    maybe = maybe.select("na", "nb", F.col("su").alias("home"), F.col("sub").alias("other"))
-    touching = _touching(core.select(F.col("sub").alias("cell"), "v"), maybe.select("home", "other").distinct(), eps2)
-    checked = maybe.join(touching, ["home", "other"]).select("na", "nb").distinct()
-    edges = cut_lineage(sure.unionByName(checked).distinct())
+    # sure links first: points are compared only between sub-cells that these leave apart
     labels = cut_lineage(core.select("node").distinct().withColumn("lab", F.col("node")))
-    labels = _propagate(labels, edges)
+    labels = _propagate(labels, cut_lineage(sure))
+    maybe = (sp.where((far2 > eps2) & (gap2 <= eps2)).select("na", "nb", F.col("su").alias("home"), F.col("sub").alias("other"))
+             .join(labels.select(F.col("node").alias("na"), F.col("lab").alias("la")), "na")
+             .join(labels.select(F.col("node").alias("nb"), F.col("lab").alias("lb")), "nb").where("la < lb"))
+    maybe = cut_lineage(maybe.select("la", "lb", "home", "other").distinct())
+    touching = _touching(core.select(F.col("sub").alias("cell"), "v"), maybe.select("home", "other").distinct(), eps, t, b)
+    checked = maybe.join(touching, ["home", "other"]).select(F.col("la").alias("na"), F.col("lb").alias("nb")).distinct()
+    edges = cut_lineage(checked.union(checked.select("nb", "na")))
+    whole = _propagate(labels.select(F.col("lab").alias("node"), "lab").distinct(), edges)
+    labels = labels.join(whole.select(F.col("node").alias("lab"), F.col("lab").alias("least")), "lab").select("node", F.col("least").alias("lab"))
     core_lab = core.join(_component_ids(core.select("pid", "node"), labels), "pid").select("pid", "v", "sub", "lab")
 
     # ---- border points: lowest cluster among cores within eps --------------
@@ -202,22 +207,28 @@ def _number(all_ids: DataFrame, assigned: DataFrame, id_col: str) -> DataFrame:
             .select(F.col("pid").alias(id_col), F.coalesce("cluster", F.lit(-1)).cast("int").alias("cluster")))
 
 
-def _pair_groups(pts: DataFrame, pairs: DataFrame, hash_col: str) -> DataFrame:
+def _pair_groups(pts: DataFrame, pairs: DataFrame, hash_col: str, within, first: bool) -> DataFrame:
     """``pts`` (cell, …) cut into parts of about ``PART_POINTS`` by a hash of
     ``hash_col``; every point once for each part of each cell that ``pairs``
     (home, other) puts it together with, as a member of a (home part, other
-    part) group: ``side`` 0 as a home point, 1 as the other."""
+    part) group: ``side`` 0 as a home point, 1 as the other.  Points for which
+    ``within`` (name of the cell's column) is false are left out.  ``first``:
+    the group of the two first parts only, else all others."""
     parts = pts.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / PART_POINTS).cast("int").alias("parts"))
     near = (pairs.join(parts.withColumnsRenamed({"cell": "home", "parts": "home_parts"}), "home")
             .join(parts.withColumnsRenamed({"cell": "other", "parts": "other_parts"}), "other"))
     mine = pts.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64(hash_col), F.col("parts")).cast("int")).drop("parts")
-    homes = (mine.withColumnsRenamed({"cell": "home", "part": "home_part"}).join(near, "home")
-             .withColumn("other_part", F.explode(F.sequence(F.lit(0), F.col("other_parts") - 1))))
-    others = (mine.withColumnsRenamed({"cell": "other", "part": "other_part"}).join(near, "other")
-              .withColumn("home_part", F.explode(F.sequence(F.lit(0), F.col("home_parts") - 1))))
     cols = [c for c in pts.columns if c != "cell"]
-    return (homes.select(*GROUP, *cols, F.lit(0).alias("side"))
-            .unionByName(others.select(*GROUP, *cols, F.lit(1).alias("side"))))
+
+    def dealt(own: str, across: str, side: int) -> DataFrame:
+        rows = mine.withColumnsRenamed({"cell": own, "part": f"{own}_part"}).join(near, own).where(within(across))
+        if first:
+            rows = rows.where(F.col(f"{own}_part") == 0).withColumn(f"{across}_part", F.lit(0))
+        else:
+            rows = rows.withColumn(f"{across}_part", F.explode(F.sequence(F.lit(0), F.col(f"{across}_parts") - 1)))
+            rows = rows.where("home_part > 0 OR other_part > 0")
+        return rows.select(*GROUP, *cols, F.lit(side).alias("side"))
+    return dealt("home", "other", 0).unionByName(dealt("other", "home", 1))
 
 
 def _neighbour_pairs(pts: DataFrame, offs: list[tuple[int, ...]]) -> DataFrame:
@@ -229,19 +240,27 @@ def _neighbour_pairs(pts: DataFrame, offs: list[tuple[int, ...]]) -> DataFrame:
         .join(cells.withColumnRenamed("cell", "other"), "other"))
 
 
-def _touching(pts: DataFrame, pairs: DataFrame, eps2: float) -> DataFrame:
-    """The (home, other) of ``pairs`` that hold two points within eps.  First
-    one part of each side is compared, which settles nearly all pairs of
-    dense cells; the others are compared in full."""
+def _touching(pts: DataFrame, pairs: DataFrame, eps: float, t: float, b: int) -> DataFrame:
+    """The (home, other) of ``pairs`` that hold two points within eps.  Only
+    places that occur, and only those within eps of the other cell's box, are
+    compared: first one part of each side, which settles nearly all pairs of
+    dense cells, then the other pairs in full."""
+    eps2 = eps * eps * (1 + 1e-12)
+    cells = pairs.select(F.col("home").alias("cell")).union(pairs.select("other")).distinct()
+    pts = cut_lineage(pts.join(cells, "cell", "left_semi").distinct())
+
+    def within(cell: str) -> Column:
+        return _box_d2("v", cell, t, b, False) <= eps2 * (1 + 1e-6)
+
     def any_near(pdf: pd.DataFrame) -> pd.DataFrame:
         _, _, near = _sides(pdf, eps2)
         return pdf[["home", "other"]].iloc[:1] if near.any() else pdf[["home", "other"]].iloc[:0]
 
     def found(groups):
         return groups.groupBy(*GROUP).applyInPandas(any_near, "home array<long>, other array<long>").distinct()
-    first = cut_lineage(found(_pair_groups(pts, pairs, "v").where("home_part = 0 AND other_part = 0")))
+    first = cut_lineage(found(_pair_groups(pts, pairs, "v", within, True)))
     rest = pairs.join(first, ["home", "other"], "left_anti")
-    return first.unionByName(found(_pair_groups(pts, rest, "v").where("home_part > 0 OR other_part > 0")))
+    return first.unionByName(found(_pair_groups(pts, rest, "v", within, False)))
 
 
 def _sides(pdf: pd.DataFrame, eps2: float):
