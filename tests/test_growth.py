@@ -34,3 +34,37 @@ def test_dbscan_links_dense_clusters_through_one_near_pair(spark):
         rows = [(i, x.tolist()) for i, x in enumerate(v)]
         got = dbscan(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v", 0.5, 5)
         assert {r["cluster"] for r in got.collect()} == want
+
+
+def test_knn_handles_a_bounded_block_of_queries_and_pivots(spark):
+    from tabsight.operators import knn
+    rng = np.random.default_rng(1)
+    pivots = rng.normal(size=(3000, 3))
+    vecs = list(rng.normal(size=(1500, 3)))
+    batch = pd.DataFrame({"t_id": range(1500), "t_vec": vecs})
+    out = list(knn._assign(pivots, np.zeros(3))(iter([batch])))
+    assert sum(map(len, out)) == 1500 and max(map(len, out)) * 3000 <= knn.BLOCK
+
+
+def test_knn_searches_few_cells(spark):
+    from tabsight.operators import knn
+    rng = np.random.default_rng(2)
+    rows = [(i, v.tolist(), i % 5 == 0) for i, v in enumerate(rng.normal(size=(1500, 3)))]
+    df = spark.createDataFrame(rows, "id long, v array<double>, test boolean")
+    train, test = df.where("NOT test"), df.where("test")
+    got = {}
+    for r in knn.knn_neighbours(train, test, "id", "v", 4).collect():
+        got.setdefault(r["id"], {})[r["rank"]] = r["neighbour_id"]
+    tr = [(i, np.array(v)) for i, v, t in rows if not t]
+    for i, v, t in rows:
+        if t:
+            d = sorted((float(np.sqrt(((np.array(v) - x) ** 2).sum())), j) for j, x in tr)
+            assert [got[i][k] for k in range(1, 5)] == [j for _, j in d[:4]]
+    # the plane half-way between pivots keeps out cells that the radius does not
+    pivots = np.array([[0.0, 0.0], [1.0, 0.0], [4.0, 0.0]])
+    batch = pd.DataFrame({"q_id": [1], "q_vec": [np.array([0.1, 0.0])], "cell": [0], "r": [0.2]})
+    out = next(knn._candidates(pivots, np.array([3.0, 3.0, 5.0]), np.zeros(2))(iter([batch])))
+    assert out["cells"].iloc[0].tolist() == []
+    batch["r"] = 0.4
+    out = next(knn._candidates(pivots, np.array([3.0, 3.0, 5.0]), np.zeros(2))(iter([batch])))
+    assert out["cells"].iloc[0].tolist() == [1]
