@@ -68,3 +68,15 @@ def test_knn_searches_few_cells(spark):
     batch["r"] = 0.4
     out = next(knn._candidates(pivots, np.array([3.0, 3.0, 5.0]), np.zeros(2))(iter([batch])))
     assert out["cells"].iloc[0].tolist() == [1]
+
+
+def test_tree_explainer_returns_bounded_slices(monkeypatch):
+    from tabsight.operators import tree_explain as T
+    tree = T.PackedTree(np.array([[0], [0]]), np.array([[-np.inf], [0.5]]), np.array([[0.5], [np.inf]]),
+                        np.full((2, 1), -1), np.zeros((1, 1), bool), np.array([[0.5], [0.5]]), np.array([[0.0], [1.0]]))
+    monkeypatch.setattr(T, "CELLS", 8)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10)), pa.array([[i / 10, 0.0] for i in range(10)])], names=["id", "x"])
+    out = list(T._worker(SimpleNamespace(value=[tree]), 2)(iter([batch])))
+    assert [b.num_rows for b in out] == [4, 4, 2]
+    a = np.concatenate([b.column(2).flatten().to_numpy() for b in out]).reshape(10, 2)
+    assert a[:, 0].tolist() == [-0.5] * 6 + [0.5] * 4 and not a[:, 1].any()
