@@ -242,14 +242,13 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _blob(total)
 
 
-def tree_sum(parts: DataFrame) -> np.ndarray:
+def tree_sum(parts: DataFrame, most: int = 16) -> np.ndarray:
     """Sum of the arrays in the one binary column: with many partitions in
     groups of about the root of their number, then in one task; the driver
-    gets at most 16 arrays."""
+    gets at most ``most`` arrays."""
     n = parts.rdd.getNumPartitions()
-    if n > 16:
-        for groups in (int(np.ceil(np.sqrt(n))), 1):
-            parts = parts.repartition(groups).mapInArrow(_added, "x binary")
+    for groups in [int(np.ceil(np.sqrt(n)))] * (n > 16) + [1] * (n > most):
+        parts = parts.repartition(groups).mapInArrow(_added, "x binary")
     return sum(np.frombuffer(r["x"], float) for r in parts.collect())
 
 
@@ -314,7 +313,7 @@ class SoftmaxBoosting:
             wanted: list[dict[int, int]] = [{} for _ in range(classes)]
             for slot, (k, node) in enumerate(ask):
                 wanted[k][node] = slot
-            got = tree_sum(blocks.mapInArrow(_counted(trees, wanted, len(ask), self.bins), "x binary"))
+            got = tree_sum(blocks.mapInArrow(_counted(trees, wanted, len(ask), self.bins), "x binary"), 1)
             if loss is None:
                 loss = float(got[-1])
             hist = got[:-1].reshape(3, len(ask), -1, self.bins)

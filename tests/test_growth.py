@@ -80,3 +80,17 @@ def test_tree_explainer_returns_bounded_slices(monkeypatch):
     assert [b.num_rows for b in out] == [4, 4, 2]
     a = np.concatenate([b.column(2).flatten().to_numpy() for b in out]).reshape(10, 2)
     assert a[:, 0].tolist() == [-0.5] * 6 + [0.5] * 4 and not a[:, 1].any()
+
+
+def test_driver_gets_one_array(spark, monkeypatch):
+    from tabsight.operators.boosting import tree_sum
+    parts = spark.createDataFrame([(np.array([1.0, i]).tobytes(),) for i in range(4)], "x binary").repartition(4)
+    sizes, real = [], type(parts).collect
+
+    def collect(self):
+        got = real(self)
+        sizes.append(len(got))
+        return got
+    monkeypatch.setattr(type(parts), "collect", collect)
+    assert tree_sum(parts, 1).tolist() == [4.0, 6.0]
+    assert sizes == [1]
