@@ -28,6 +28,7 @@ from tabsight.operators.cluster import CELLS, MAX_CLUSTERS, _cluster_table, _rea
 from tabsight.session import cut_lineage, ship_package
 
 SLACK = 1e-9  # relative widening of the bounds against rounding
+BLOCK = 1 << 17  # distances made at a time in a tile: a block stays in the processor's cache
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -38,10 +39,34 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Euclidean distances; pairs so near that the product form loses digits
     are taken from their differences."""
     xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
-    d = np.maximum(xx[:, None] + yy[None, :] - 2 * (x @ y.T), 0.0)
-    i, j = np.nonzero(d < 1e-6 * (xx[:, None] + yy[None, :]))
-    d[i, j] = ((x[i] - y[j]) ** 2).sum(axis=1)
-    return np.sqrt(d)
+    return _distances(x, xx, y, yy)
+
+
+def _distances(x: np.ndarray, xx: np.ndarray, y: np.ndarray, yy: np.ndarray) -> np.ndarray:
+    """``distances`` with the rows' squared lengths given."""
+    d = x @ y.T
+    d *= -2
+    d += xx[:, None]
+    d += yy
+    # no pair is nearer than this share of the longest rows' lengths, or each pair is looked at
+    if d.size and not d.min() >= 1e-6 * (xx.max() + yy.max()):
+        i, j = np.nonzero(d < 1e-6 * (xx[:, None] + yy[None, :]))
+        d[i, j] = ((x[i] - y[j]) ** 2).sum(axis=1)
+        np.maximum(d, 0.0, out=d)
+    return np.sqrt(d, out=d)
+
+
+def distance_sums(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sum of the Euclidean distances of each row of ``x`` to those of ``y``,
+    in blocks of both."""
+    xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    wide = min(len(y), 1024)
+    high = max(1, BLOCK // max(1, wide))
+    out = np.zeros(len(x))
+    for i in range(0, len(x), high):
+        for j in range(0, len(y), wide):
+            out[i:i + high] += _distances(x[i:i + high], xx[i:i + high], y[j:j + wide], yy[j:j + wide]).sum(axis=1)
+    return out
 
 
 def _needed(centre, index, n, s, q, label_at: int):
@@ -86,8 +111,7 @@ def _tiles(dim: int):
                     continue
                 if y is None:
                     y = np.concatenate(held)
-                step = max(1, CELLS // len(y))
-                sums = np.concatenate([distances(x[i:min(b, i + step)], y).sum(axis=1) for i in range(a, b, step)])
+                sums = distance_sums(x[a:b], y)
                 yield pa.RecordBatch.from_arrays([r.slice(a, b - a), pa.array(keys[a:b, 0].astype(np.int32)), pa.array(sums)],
                                                  names=["r", "c", "s"])
     return run

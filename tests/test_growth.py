@@ -94,3 +94,21 @@ def test_driver_gets_one_array(spark, monkeypatch):
     monkeypatch.setattr(type(parts), "collect", collect)
     assert tree_sum(parts, 1).tolist() == [4.0, 6.0]
     assert sizes == [1]
+
+
+def test_silhouette_sums_in_blocks(monkeypatch):
+    from tabsight.operators import silhouette as S
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(70, 6)), rng.normal(size=(2500, 6))
+    y[:70] = x
+    y[100] = x[3] + 1e-9
+    want = np.sqrt(((x[:, None] - y[None]) ** 2).sum(axis=2)).sum(axis=1)
+    sizes, real = [], S._distances
+
+    def noted(*a):
+        d = real(*a)
+        sizes.append(d.size)
+        return d
+    monkeypatch.setattr(S, "_distances", noted)
+    assert np.allclose(S.distance_sums(x, y), want, rtol=1e-12)
+    assert max(sizes) <= S.BLOCK and len(sizes) > 1
