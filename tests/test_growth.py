@@ -112,3 +112,20 @@ def test_silhouette_sums_in_blocks(monkeypatch):
     monkeypatch.setattr(S, "_distances", noted)
     assert np.allclose(S.distance_sums(x, y), want, rtol=1e-12)
     assert max(sizes) <= S.BLOCK and len(sizes) > 1
+
+
+def test_prepared_rows_have_fitted_numbers_in_their_plan(spark):
+    from tabsight.plans.preprocess import prepare
+    df = spark.createDataFrame([(i, float(i % 7), float(i * i % 101), float(i)) for i in range(200)],
+                               "id long, a double, b double, y double")
+    pr = prepare(df, "y", "id")
+    assert "Aggregate" not in pr.train._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_classification_input_is_read_once(spark, tmp_path):
+    from tabsight.plans import catalog_models as C
+    docs = [(i, f"w{i % 3} and more words " * (1 + i % 4), "en" if i % 2 else "de", "web", 20 + i) for i in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    plan = C._prep_cls(spark, str(tmp_path)).train._jdf.queryExecution().optimizedPlan().toString()
+    assert "n_tokens" in plan and "text" not in plan
