@@ -122,6 +122,14 @@ def test_prepared_rows_have_fitted_numbers_in_their_plan(spark):
     assert "Aggregate" not in pr.train._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_selection_forest_reads_bounded_partitions(spark):
+    from tabsight.session import dealt
+    df = spark.range(0, 1000, 1, 2).select(F.col("id").cast("double").alias("x"))
+    assert dealt(df, 100).rdd.getNumPartitions() == 10
+    assert dealt(df, 500).rdd.getNumPartitions() == 2
+    assert dealt(df, 100).agg(F.sum("x")).first()[0] == 999 * 500
+
+
 def test_classification_input_is_read_once(spark, tmp_path):
     from tabsight.plans import catalog_models as C
     docs = [(i, f"w{i % 3} and more words " * (1 + i % 4), "en" if i % 2 else "de", "web", 20 + i) for i in range(60)]
