@@ -79,10 +79,9 @@ def q_tuned_models(spark, sf_dir):
 
 @query("feature_importance")
 def q_feature_importance(spark, sf_dir):
-    from pyspark.ml.regression import RandomForestRegressor
+    from tabsight.operators.forest import fit_forest
     pr = _prep_reg(spark, sf_dir)
-    m = RandomForestRegressor(numTrees=M.FOREST_TREES, maxDepth=M.FOREST_DEPTH, seed=M.SEED,
-                              **M.TREE_OPTS).fit(spread(pr.train))
+    m = fit_forest(pr.train, "regression", M.FOREST_TREES, M.FOREST_DEPTH, seed=M.SEED, deal=spread, **M.TREE_OPTS)
     return M.feature_importance(m, pr.feature_cols, 20, spark=spark)
 
 

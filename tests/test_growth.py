@@ -5,6 +5,7 @@ from types import SimpleNamespace
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 
@@ -137,3 +138,54 @@ def test_classification_input_is_read_once(spark, tmp_path):
     spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     plan = C._prep_cls(spark, str(tmp_path)).train._jdf.queryExecution().optimizedPlan().toString()
     assert "n_tokens" in plan and "text" not in plan
+
+
+@pytest.mark.parametrize("kind", ["classification", "regression"])
+def test_forest_of_many_rows_is_grown_on_their_cells(spark, monkeypatch, kind):
+    from tabsight.operators import forest, models
+    rng = np.random.default_rng(3)
+    n = 6000
+    a, b, c = rng.integers(0, 5, n).astype(float), rng.normal(size=n), rng.integers(0, 3, n).astype(float)
+    y = 3 * a + 4 * (b > 0.3) + rng.normal(size=n)
+    if kind == "classification":
+        y = (y > 7).astype(float)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(a, b, c, y)], "a double, b double, c double, label double").repartition(3)
+    df = models.assemble(df, ["a", "b", "c"])
+    want = forest.fit_forest(df, kind, 10, 5).featureImportances.toArray()
+    fits, real = [], forest.bootstrapped_cells
+
+    def noted(*args):
+        fits.append(real(*args).persist())
+        return fits[-1]
+    monkeypatch.setattr(forest, "bootstrapped_cells", noted)
+    monkeypatch.setattr(forest, "DIRECT", n - 1)
+    m = forest.fit_forest(df, kind, 10, 5)
+    assert np.abs(m.featureImportances.toArray() - want).max() < 0.08 and m.featureImportances.toArray().sum() == pytest.approx(1)
+    assert [len(e) for e in m.edges] == [4, 31, 2]
+    cells = [(tuple(r["x"]), np.array(r["w"]), np.array(r["m"])) for r in fits[0].collect()]
+    assert len(cells) < n / 4 and len(m.trees) == 10
+    w, total = (sum(v) for v in zip(*((w, w * t) for _, w, t in cells)))
+    assert (np.abs(w - n) < 5 * np.sqrt(n)).all() and len(set(w)) > 1  # a Poisson(1) weight for every row and tree
+    assert np.allclose(total / w, y.mean(), atol=0.05 * np.abs(y).max())
+
+
+def test_forest_on_cells_splits_as_one_on_rows(spark, monkeypatch):
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import DecisionTreeRegressor
+
+    from tabsight.operators import forest, models
+    rows = [(float(i % 4), float(i // 7 % 9), float((i * 37) % 11 + 5 * (i % 4))) for i in range(900)]
+    df = spark.createDataFrame(rows, "a double, b double, label double")
+    arrays = df.select(F.array("a", "b").alias("x"), F.col("label").alias("y"))
+    monkeypatch.setattr(np.random, "default_rng", lambda *a: type("Once", (), {"poisson": lambda s, n, size: np.ones(size)})())
+    run = forest._drawn(2, 0, False)
+    binned = next(forest._binned(forest.cut_points(arrays, 2))(iter(arrays.toArrow().combine_chunks().to_batches())))
+    order = sorted(range(900), key=lambda i: binned.column(0)[i].as_py())
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("T", (), {"partitionId": lambda s: 0})())
+    cells = [r for b in run(iter([binned.take(order)])) for r in b.to_pylist()]
+    assert len(cells) == 36 and sum(r["w"][0] for r in cells) == 900
+    few = spark.createDataFrame([(r["x"], float(r["w"][1]), r["m"][1]) for r in cells], "x array<double>, w double, label double")
+    few = few.select(array_to_vector("x").alias("features"), "w", "label")
+    on_cells = DecisionTreeRegressor(maxDepth=4, weightCol="w").fit(few)
+    on_rows = DecisionTreeRegressor(maxDepth=4).fit(models.assemble(df, ["a", "b"]))
+    assert np.allclose(on_cells.featureImportances.toArray(), on_rows.featureImportances.toArray()) and on_cells.numNodes == on_rows.numNodes
