@@ -27,6 +27,8 @@ from tabsight.llm.common import byte_stretches, release_memory
 from tabsight.llm.wordbpe import encoder, read_json
 
 NEVER = 1 << 62
+OUT_BYTES = 4 << 20  # of ids in a batch of finished pieces
+RUN_BYTES = 2 << 20  # of text whose ids are at hand at a time
 FIELDS = ("start", "length", "doc_tokens", "sequence_id", "offset")
 
 
@@ -148,23 +150,38 @@ def _worker(tokenizer_json: str, capacity: int, open_bytes: int, end_id: int, st
         cols = list(zip(*rows)) if rows else [[]] * len(types)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", *FIELDS, "ids"])
 
+    full = max(1, OUT_BYTES // (4 * capacity))
+
+    def tables(packer: LevelPacker, least: int) -> Iterator[pa.RecordBatch]:
+        """The finished pieces, if there are ``least``, in batches of ``full``
+        rows at most; the packer lets go of them before they are handed on."""
+        if len(packer.out) >= least:
+            packer.out.reverse()
+            while packer.out:
+                part = packer.out[:-full - 1:-1]
+                del packer.out[-full:]
+                made = table(part)
+                del part
+                yield made
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_json)
         end_bytes = end_id.to_bytes(4, "little")
         packer = LevelPacker(capacity, open_bytes, TaskContext.get().partitionId() << 36)
         for batch in batches:
             docs, texts = batch.column(0), batch.column(1)
-            for a, b in byte_stretches(texts, stretch_bytes):
-                ids, end = encode.texts(texts.slice(a, b - a))
-                raw, start = ids.astype("<u4").tobytes(), 0
-                for doc, to in zip(docs.slice(a, b - a).to_pylist(), (4 * end).tolist()):
-                    packer.add(doc, raw[start:to] + end_bytes)
-                    start = to
-                    if len(packer.out) >= 2000:
-                        yield table(packer.out)
-                        packer.out = []
+            for at, to in byte_stretches(texts, stretch_bytes):
+                for a, b, ids, end in encode.runs(texts.slice(at, to - at), RUN_BYTES):
+                    ids, start = ids.astype("<u4", copy=False), 0
+                    for doc, stop in zip(docs.slice(at + a, b - a).to_pylist(), end.tolist()):
+                        packer.add(doc, ids[start:stop].tobytes() + end_bytes)
+                        start = stop
+                        yield from tables(packer, full)
+                    ids = end = None  # else they stay while the next ones are made
+                release_memory()
+            batch = docs = texts = None  # else they stay while the next batch is read
         packer.finish()
-        yield table(packer.out)
+        yield from tables(packer, 1)
         packer = None
         release_memory()
     return run
@@ -180,8 +197,9 @@ def pack_documents(df: DataFrame, tokenizer_path: str, capacity: int = 2048, ope
     packed like any other row; an empty table gives no piece; other columns
     are not read.  A sequence belongs to one partition (its number holds the
     partition's), so a lost task packs the same rows again.  State per task:
-    ``open_bytes`` of open windows, one Arrow batch and the words and ids of
-    ``stretch_bytes`` of text or of one longer document."""
+    ``open_bytes`` of open windows, one Arrow batch of texts, one of pieces with
+    ``OUT_BYTES`` of ids at most, the distinct words of ``stretch_bytes`` of text,
+    and the ids of ``RUN_BYTES`` of it; or those of one longer document."""
     from pyspark.sql.pandas.types import to_arrow_type
     kind = df.schema[id_col].dataType
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(

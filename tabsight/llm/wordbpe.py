@@ -7,14 +7,18 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tabsight.llm.common import byte_stretches
+
 JOINED = 1000  # words of letters encoded as one text
 TEXTS = 16  # such texts handed to the library at a time
+WORDS = 1 << 17  # words of texts whose ids are looked up at a time
 
 
 def load(tokenizer_json: str):
@@ -56,6 +60,12 @@ _LETTERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 _PLAIN = f"^[{_LETTERS}]+[.,]?$"
 
 
+def _parts(words: pa.Array) -> Iterator[pa.Array]:
+    """The words in stretches that are handed to the library at a time."""
+    for at in range(0, len(words), JOINED * TEXTS):
+        yield words.slice(at, JOINED * TEXTS)
+
+
 class WordEncoder:
     """Ids of distinct words.  Words of letters are encoded many in one text
     by the same merges, without normaliser and pattern, and cut at the pieces
@@ -77,22 +87,24 @@ class WordEncoder:
             self.ends[[i for p, i in pieces.items() if p.endswith(suffix)]] = True
 
     def _plain_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        marked = pc.match_substring_regex(words, "[.,]$").to_numpy(zero_copy_only=False)
-        apart = pc.utf8_lower(pc.replace_substring_regex(words, "([.,])$", r" \1")).to_pylist()
-        texts = [" ".join(apart[at:at + JOINED]) for at in range(0, len(apart), JOINED)]
         # few texts at a time: the library's results are much larger than their ids
-        flat = [np.array(e.ids, np.uint32) for at in range(0, len(texts), TEXTS)
-                for e in self.plain.encode_batch_fast(texts[at:at + TEXTS], add_special_tokens=False)]
-        flat = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
+        marked, flat = [np.zeros(0, bool)], [np.zeros(0, np.uint32)]
+        for part in _parts(words):
+            marked.append(pc.match_substring_regex(part, "[.,]$").to_numpy(zero_copy_only=False))
+            apart = pc.utf8_lower(pc.replace_substring_regex(part, "([.,])$", r" \1")).to_pylist()
+            texts = [" ".join(apart[at:at + JOINED]) for at in range(0, len(apart), JOINED)]
+            flat += [np.array(e.ids, np.uint32) for e in self.plain.encode_batch_fast(texts, add_special_tokens=False)]
+        marked, flat = np.concatenate(marked), np.concatenate(flat)
         ends = np.flatnonzero(self.ends[flat]) + 1
         return flat, np.diff(ends[np.cumsum(1 + marked) - 1], prepend=0)
 
     def _other_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        words, step = words.to_pylist(), JOINED * TEXTS
-        ids = [e.ids for at in range(0, len(words), step)
-               for e in self.tok.encode_batch_fast(words[at:at + step], add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum())), size
+        flat, size = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for part in _parts(words):
+            ids = [e.ids for e in self.tok.encode_batch_fast(part.to_pylist(), add_special_tokens=False)]
+            size.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flat.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(size[-1].sum())))
+        return np.concatenate(flat), np.concatenate(size)
 
     def distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, first, size): a word's ids are ids[first:first + size]."""
@@ -121,6 +133,21 @@ class WordEncoder:
         out, end = joined(code, *self.distinct(words))
         return out, np.append(0, end)[word_end]
 
+    def runs(self, texts: pa.Array, most: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(a, b, ids, end) for ranges of texts of ``most`` bytes, or of one
+        longer text: what ``texts`` gives for texts[a:b].  Each distinct word
+        of all texts is encoded once; texts are split and ids looked up for
+        one range at a time."""
+        ranges = list(byte_stretches(texts, most))
+        parts = [split_texts(texts.slice(a, b - a)) for a, b in ranges]
+        ends = [end for _, _, end in parts]
+        parts = pa.chunked_array([pa.DictionaryArray.from_arrays(pa.array(code), words) for words, code, _ in parts],
+                                 pa.dictionary(pa.int32(), pa.string())).unify_dictionaries().chunks
+        known = self.distinct(parts[0].dictionary) if parts else None
+        for (a, b), part, word_end in zip(ranges, parts, ends):
+            ids, end = joined(part.indices.to_numpy(), *known)
+            yield a, b, ids, np.append(0, end)[word_end]
+
 
 def split_texts(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(distinct words, code, end): the words of all texts, as ``words_of``
@@ -131,6 +158,7 @@ def split_texts(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     lists = pc.ascii_split_whitespace(pc.if_else(kept, texts, pc.ascii_lower(texts)))
     end = np.cumsum(pc.list_value_length(lists).to_numpy())
     words = lists.flatten().dictionary_encode()
+    del lists
     code, distinct = words.indices.to_numpy(), words.dictionary
     empty = pc.index(distinct, "").as_py()  # beside leading and trailing white space
     if empty >= 0:
@@ -143,11 +171,20 @@ def split_texts(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 
 def joined(code: np.ndarray, ids: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of the coded words in a row, where each word's end)."""
-    size = size[code]
-    end = np.cumsum(size)
-    total = int(end[-1]) if len(end) else 0
-    return ids[np.arange(total) + np.repeat(first[code] - (end - size), size)], end
+    """(ids of the coded words in a row, where each word's end).  What is
+    worked with beside these two is that of ``WORDS`` words."""
+    end = np.empty(len(code), np.int64)
+    at = 0
+    for a in range(0, len(code), WORDS):
+        end[a:a + WORDS] = np.cumsum(size[code[a:a + WORDS]]) + at
+        at = int(end[min(a + WORDS, len(code)) - 1])
+    out, at = np.empty(at, ids.dtype), 0
+    for a in range(0, len(code), WORDS):
+        part, to = code[a:a + WORDS], end[a:a + WORDS]
+        n = size[part]
+        out[at:to[-1]] = ids[np.arange(at, to[-1]) + np.repeat(first[part] - (to - n), n)]
+        at = int(to[-1])
+    return out, end
 
 
 _ENCODERS: dict[int, WordEncoder] = {}

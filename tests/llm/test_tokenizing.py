@@ -1,7 +1,10 @@
 """Token counts, distinct-word BPE and packing against the libraries."""
 
 import random
+import tracemalloc
+import weakref
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -131,3 +134,68 @@ def test_level_packer_takes_the_least_sum_of_squares():
         assert squares(packer.level) == min(options.values())
     packer.finish()
     assert sum(p[2] for p in packer.out) == sum(p[3] for p in {p[0]: p for p in packer.out}.values())
+
+
+def test_ids_of_words_are_joined_in_bounded_memory(monkeypatch):
+    rng = np.random.default_rng(1)
+    size = rng.integers(0, 5, 1000)
+    ids, first = rng.integers(0, 1 << 31, int(size.sum())).astype(np.uint32), np.cumsum(size) - size
+    code = rng.integers(0, 1000, 2_000_000).astype(np.int32)
+    tracemalloc.start()
+    try:
+        out, end = wordbpe.joined(code, ids, first, size)
+        beside = tracemalloc.get_traced_memory()[1] - out.nbytes - end.nbytes
+    finally:
+        tracemalloc.stop()
+    assert beside < 20 << 20  # 80 MB when all words were looked up at once
+    assert end.tolist() == np.cumsum(size[code]).tolist()
+    assert out[:end[4999]].tolist() == [i for c in code[:5000] for i in ids[first[c]:first[c] + size[c]].tolist()]
+    for words in (1, 3, 7):
+        monkeypatch.setattr(wordbpe, "WORDS", words)
+        for n in (0, 1, 6, 7, 50):
+            some, to = wordbpe.joined(code[:n], ids, first, size)
+            assert to.tolist() == end[:n].tolist() and some.tolist() == out[:end[n - 1] if n else 0].tolist()
+
+
+def test_packing_task_holds_one_stretch_and_hands_on_small_batches(monkeypatch):
+    held, held_ids, most = [], [], []
+
+    class Encoder(wordbpe.WordEncoder):
+        def __init__(self):
+            pass
+
+        def distinct(self, words):
+            assert words.to_pylist() == ["word"]
+            return np.arange(300, dtype=np.uint32), np.array([0]), np.array([300])
+
+    def joined(*args):
+        most.append(sum(x() is not None for x in held))
+        ids, end = whole(*args)
+        held.append(weakref.ref(ids))
+        held_ids.append(len(ids))
+        return ids, end
+
+    whole = wordbpe.joined
+    monkeypatch.setattr(wordbpe, "joined", joined)
+    monkeypatch.setattr(packing, "RUN_BYTES", 3000, raising=False)
+    monkeypatch.setattr(packing, "encoder", lambda _: Encoder())
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    batches = [pa.RecordBatch.from_pydict({"doc_id": range(9000 * k, 9000 * (k + 1)), "text": ["word"] * 9000}) for k in range(2)]
+    made = list(packing._worker("", 2048, 64 << 20, 1, 12_000, pa.int64())(iter(batches)))
+    assert len(most) == 24 and max(most) <= 1  # of 750 texts; the last ones may stay, not those of a whole stretch
+    assert max(held_ids) == 750 * 300
+    assert max(b.column("ids").nbytes for b in made) <= packing.OUT_BYTES + 4 * 513
+    rows = [r for b in made for r in b.to_pylist()]
+    assert max(b.num_rows for b in made) <= 512 < len(rows) / 10
+    assert sum(r["length"] for r in rows) == 18_000 * 301
+    assert sorted(r["doc_id"] for r in rows if r["start"] == 0) == list(range(18_000))
+
+
+def test_ids_of_runs_are_those_of_the_texts():
+    texts = ["", None, "one two", "two <|x|> three", "ünï ONE", "b" * 40, None, " "]
+    for some in (texts, [None], []):
+        for most in (1, 8, 1000):
+            got = list(IDS.runs(pa.array(some, pa.string()), most))
+            assert [k for a, b, _, _ in got for k in range(a, b)] == list(range(len(some)))
+            made = [ids[x:y].tolist() for _, _, ids, end in got for x, y in zip([0, *end.tolist()], end.tolist())]
+            assert made == [TOK.encode(t or "", add_special_tokens=False).ids for t in some]
