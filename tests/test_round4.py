@@ -53,3 +53,17 @@ def test_boosting_has_no_node_cache_and_the_same_settings(spark):
         est = models.catalogue(kind, 100, 2)
         assert est["gradient_boosting"].getMaxIter() == 50 and est["gradient_boosting"].getMaxDepth() == 3
         assert not est["gradient_boosting"].getCacheNodeIds() and est["random_forest"].getCacheNodeIds()
+
+
+def test_preprocess_returns_the_scaled_features(spark, tmp_path):
+    from tabsight.plans.catalog_models import q_preprocess
+    out = q_preprocess(spark, _tables(spark, tmp_path)).toPandas()
+    feats = [c for c in out.columns if c not in ("row_id", "label", "split") and not c.endswith("_scaled")]
+    assert "l_quantity" in feats and len(out) == sum(i % 21 < 20 for i in range(400))
+    assert [c for c in out.columns if c.endswith("_scaled")] == [f"{c}_scaled" for c in feats]
+    train = out[out["split"] == "train"]
+    for c in feats:
+        sd = train[c].std(ddof=0)
+        want = (out[c] - train[c].mean()) / sd if sd > 0 else out[c] * 0
+        assert np.allclose(out[f"{c}_scaled"], want, atol=1e-8)
+    assert (train["l_quantity"] - train["l_quantity_scaled"]).abs().max() > 1
