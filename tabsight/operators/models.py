@@ -226,13 +226,19 @@ def select_features(df: DataFrame, feature_cols: list[str], generated: list[str]
                     threshold_factor: float = 0.1):
     """Forest importance (30 trees, depth 6) on the given rows; drop
     generated features whose importance is below ``threshold_factor`` × the
-    mean importance.  Original features are always kept.  Returns
+    mean importance.  Original features are always kept.  Above
+    ``forest.DIRECT`` rows the forest is grown on blocks of bin numbers.  Returns
     (DataFrame without the dropped columns, importance table, dropped list)."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.regression import RandomForestRegressor
-    a = dealt(assemble(df.na.fill(0.0, subset=feature_cols), feature_cols, "__fs").select(label, "__fs"))
-    cls = RandomForestClassifier if kind == "classification" else RandomForestRegressor
-    m = cls(numTrees=30, maxDepth=6, seed=SEED, labelCol=label, featuresCol="__fs", **TREE_OPTS).fit(a)
+
+    from tabsight.operators import block_forest, forest
+    a = assemble(df.na.fill(0.0, subset=feature_cols), feature_cols, "__fs").select(label, "__fs")
+    if df.count() > forest.DIRECT:
+        m = block_forest.block_forest(a, kind, 30, 6, "__fs", label, SEED)
+    else:
+        cls = RandomForestClassifier if kind == "classification" else RandomForestRegressor
+        m = cls(numTrees=30, maxDepth=6, seed=SEED, labelCol=label, featuresCol="__fs", **TREE_OPTS).fit(dealt(a))
     imp = m.featureImportances.toArray().tolist()
     mean = sum(imp) / len(imp) if imp else 0.0
     dropped = [c for c, v in zip(feature_cols, imp) if c in set(generated) and v < threshold_factor * mean]

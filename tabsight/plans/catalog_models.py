@@ -6,12 +6,13 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import functions as F
 
+from tabsight.operators import forest
 from tabsight.operators import models as M
 from tabsight.operators.knn import knn_predict
 from tabsight.operators.features import train_test_split
 from tabsight.plans.preprocess import prepare
 from tabsight.plans.registry import query, table
-from tabsight.session import cut_lineage, get_spark, spread  # noqa: F401  (scripts)
+from tabsight.session import cut_lineage, cut_lineage_packed, get_spark, spread  # noqa: F401  (scripts)
 
 
 def classification_input(spark, sf_dir):
@@ -24,12 +25,13 @@ def classification_input(spark, sf_dir):
     return lab.join(docs, "doc_id")
 
 
-def regression_input(spark, sf_dir):
+def regression_input(spark, sf_dir, binary_ids=False):
     """lineitem ⋈ part: target ``l_extendedprice``.  ``lineitem`` has no
     short unique key, so the row id is an md5 over its key columns and
-    measures (unique at every scale)."""
+    measures (unique at every scale); its 16 bytes if ``binary_ids``."""
     li = table(spark, sf_dir, "lineitem")
     rid = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in li.columns]))
+    rid = F.unhex(rid) if binary_ids else rid
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_retailprice", "p_size")
     return li.select(rid.alias("row_id"), "l_partkey", "l_quantity", "l_discount", "l_tax",
                      "l_extendedprice").join(part, "l_partkey").drop("l_partkey")
@@ -45,6 +47,11 @@ def _prep_reg(spark, sf_dir, **kw):
     return prepare(cut_lineage(regression_input(spark, sf_dir)), "l_extendedprice", "row_id", **kw)
 
 
+def _is_large(spark, sf_dir):
+    """Whether the rows of the regression problem are kept packed."""
+    return table(spark, sf_dir, "lineitem").count() > forest.DIRECT
+
+
 @query("train_leaderboard")
 def q_train_leaderboard(spark, sf_dir):
     """Every catalogue model on both problems, scored on the held-out 20 %."""
@@ -96,7 +103,11 @@ def _engineered(spark, sf_dir):
     on them, base columns, generated columns)"""
     from tabsight.operators.features import auto_features
     base = ["l_quantity", "l_discount", "l_tax", "p_retailprice", "p_size"]
-    train = train_test_split(cut_lineage(regression_input(spark, sf_dir)), "row_id").where(F.col("split") == "train")
+    if _is_large(spark, sf_dir):  # the ids are dropped before the join
+        train = cut_lineage_packed(train_test_split(regression_input(spark, sf_dir), "row_id")
+                                   .where(F.col("split") == "train").drop("row_id", "split"))
+    else:
+        train = train_test_split(cut_lineage(regression_input(spark, sf_dir)), "row_id").where(F.col("split") == "train")
     train, generated = auto_features(train, base)
     return spread(train.withColumn("label", F.col("l_extendedprice"))), base, generated
 

@@ -67,3 +67,75 @@ def test_preprocess_returns_the_scaled_features(spark, tmp_path):
         want = (out[c] - train[c].mean()) / sd if sd > 0 else out[c] * 0
         assert np.allclose(out[f"{c}_scaled"], want, atol=1e-8)
     assert (train["l_quantity"] - train["l_quantity_scaled"]).abs().max() > 1
+
+
+def test_packed_checkpoint_keeps_rows_and_is_smaller(spark):
+    from pathlib import Path
+
+    from tabsight.session import cut_lineage, cut_lineage_packed
+    df = spark.range(0, 40_000, 1, 3).select(
+        "id", F.md5(F.col("id").cast("string")).alias("s"), (F.col("id") % 11 / 100).alias("x"),
+        F.when(F.col("id") % 5 > 0, F.when(F.col("id") % 7 > 0, F.col("id") * 0.5).otherwise(float("nan"))).alias("gap"),
+        F.when(F.col("id") % 3 > 0, F.unhex(F.md5(F.col("id").cast("string")))).alias("b"))
+    top = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+
+    def size():
+        return sum(f.stat().st_size for f in top.rglob("part-*"))
+    before = size()
+    plain = cut_lineage(df)
+    middle = size()
+    packed = cut_lineage_packed(df)
+    assert size() - middle < 0.6 * (middle - before)
+    assert packed.schema == df.schema and packed.rdd.getNumPartitions() == 3
+    assert [str(r) for r in packed.collect()] == [str(r) for r in plain.collect()]
+    assert cut_lineage_packed(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("kind", ["classification", "regression"])
+def test_forest_on_blocks_has_the_importances_of_one_on_rows(spark, kind):
+    from tabsight.operators import block_forest, forest, models
+    rng = np.random.default_rng(3)
+    n = 6000
+    a, b, c = rng.integers(0, 5, n).astype(float), rng.normal(size=n), rng.integers(0, 3, n).astype(float)
+    y = 1e6 + 3 * a + 4 * (b > 0.3) + rng.normal(size=n)
+    if kind == "classification":
+        y = (y > 1e6 + 7).astype(float)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(a, b, c, y)], "a double, b double, c double, label double").repartition(3)
+    df = models.assemble(df, ["a", "b", "c"])
+    want = forest.fit_forest(df, kind, 20, 5).featureImportances.toArray()
+    m = block_forest.block_forest(df, kind, 20, 5)
+    got = m.featureImportances.toArray()
+    assert np.abs(got - want).max() < 0.08 and got.sum() == pytest.approx(1) and len(m.trees) == 20
+    assert [len(e) for e in m.edges] == [4, 31, 2]
+    share = np.bincount(np.searchsorted(m.edges[1], b), minlength=32) / n
+    assert abs(share - 1 / 32).max() < 0.01 and len({tuple(t.cut) for t in m.trees}) > 1
+    assert np.array_equal(block_forest.block_forest(df, kind, 20, 5).featureImportances.toArray(), got)
+    with pytest.raises(ValueError):
+        block_forest.block_forest(df.withColumn("label", F.when(F.col("a") > 0, F.col("label"))), kind, 2, 2)
+
+
+def test_sums_of_a_block_and_their_best_split():
+    from tabsight.operators import block_forest as B
+    from tabsight.operators.boosting import BinTree
+    rng = np.random.default_rng(1)
+    bins, y = rng.integers(0, 6, (4, 300)).astype(np.uint8), rng.normal(size=300)
+    w = B.DRAW[rng.integers(0, 1 << 16, (2, 300))]
+    tree = BinTree()
+    low, high = tree.split(0, 2, 3)
+    tree.split(high, 1, 2)  # a level deeper on one side only
+    got = B.block_sums(bins, y, w, [tree, BinTree()], [{low: 0, high + 2: 1}, {}], [np.array([[0, 3], [1, 2]]), np.zeros((0, 2), int)], 0)
+    assert got[0].shape == (2, 2, B.BINS, 2) and got[1].size == 0
+    at = tree.nodes_of(bins.T)
+    for slot, (node, own) in enumerate([(low, (0, 3)), (high + 2, (1, 2))]):
+        for j, f in enumerate(own):
+            for b in range(6):
+                rows = (at == node) & (bins[f] == b)
+                assert np.allclose(got[0][slot, j, b], [w[0][rows].sum(), (w[0] * y)[rows].sum()])
+    j, cut, gain = B.best_split(got[0][0], [6, 6])
+
+    def spread(rows):
+        return (w[0][rows] * (y[rows] - np.average(y[rows], weights=w[0][rows])) ** 2).sum() if w[0][rows].any() else 0
+    node = at == low
+    falls = {(k, c): spread(node) - spread(node & (bins[f] <= c)) - spread(node & (bins[f] > c)) for k, f in enumerate((0, 3)) for c in range(5)}
+    assert max(falls, key=falls.get) == (j, cut) and falls[j, cut] == pytest.approx(gain)
+    assert abs(B.DRAW.mean() - 1) < 1e-3 and abs((B.DRAW == 0).mean() - np.exp(-1)) < 1e-4
