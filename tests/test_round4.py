@@ -139,3 +139,41 @@ def test_sums_of_a_block_and_their_best_split():
     falls = {(k, c): spread(node) - spread(node & (bins[f] <= c)) - spread(node & (bins[f] > c)) for k, f in enumerate((0, 3)) for c in range(5)}
     assert max(falls, key=falls.get) == (j, cut) and falls[j, cut] == pytest.approx(gain)
     assert abs(B.DRAW.mean() - 1) < 1e-3 and abs((B.DRAW == 0).mean() - np.exp(-1)) < 1e-4
+
+
+def test_large_tables_are_packed_and_give_the_same_rows(spark, tmp_path, monkeypatch):
+    from tabsight.operators import block_forest, forest
+    from tabsight.plans import catalog_models as C
+    path = _tables(spark, tmp_path, 3000)
+    rows = C.q_select_features(spark, path).toPandas()
+    ready = C.q_preprocess(spark, path).toPandas()
+    cuts, fits, real, fit = [], [], C.cut_lineage_packed, block_forest.block_forest
+    monkeypatch.setattr(C, "cut_lineage_packed", lambda df: (cuts.append(df.columns), real(df))[1])
+    monkeypatch.setattr(block_forest, "block_forest", lambda *a: (fits.append(fit(*a)), fits[-1])[1])
+    monkeypatch.setattr(forest, "DIRECT", 2000)
+    large = C.q_select_features(spark, path).toPandas()
+    assert "row_id" not in cuts[0] and len(fits) == 1
+    assert sorted(large["feature"]) == sorted(rows["feature"])
+    # the squares and logs of a column split as it does: which of them is taken is chance
+    got, want = (d.groupby(d["feature"].str.contains("l_quantity"))["importance"].sum() for d in (large, rows))
+    assert abs(got[True] - want[True]) < 0.03 and want[True] > 0.8
+    assert C.q_top_selected_features(spark, path).toPandas().equals(
+        large[~large["dropped"]].head(15)[["feature", "importance"]].reset_index(drop=True))
+    kept = C.q_preprocess(spark, path).toPandas()
+    assert len(cuts) == len(fits) == 3 and len(kept) == len(ready)
+    both = [c for c in kept.columns if c in ready.columns]
+    assert {"row_id", "label", "split", "l_quantity_scaled", "p_size"} <= set(both)
+    for c in both:
+        a, b = (d.sort_values("row_id")[c].to_numpy() for d in (kept, ready))
+        assert np.allclose(a, b, rtol=1e-9, atol=1e-9) if a.dtype.kind == "f" else (a == b).all()
+
+
+def test_many_values_are_a_regression_without_counting_them_exactly(spark, monkeypatch):
+    from tabsight.operators import columns
+    from tabsight.plans import preprocess
+    exact, real = [], columns.infer_problem
+    monkeypatch.setattr(columns, "infer_problem", lambda df, t, **k: (exact.append(k.get("exact", True)), real(df, t, **k))[1])
+    df = spark.range(3000).select(F.col("id").cast("double").alias("y"), F.col("id").cast("string").alias("s"), (F.col("id") % 20).alias("few"), (F.col("id") % 21).alias("more"))
+    assert [preprocess._kind(df, c) for c in ("y", "s", "few", "more")] == ["regression", "classification", "classification", "regression"]
+    assert exact == [False, False, False, True, False, True]
+    assert preprocess._kind(df, None) == "clustering"
